@@ -1,3 +1,4 @@
 """Composed plans and the registered queries (importing this package registers them)."""
 
 from codetrail.plans import q_history  # noqa: F401
+from codetrail.plans import q_diffs  # noqa: F401

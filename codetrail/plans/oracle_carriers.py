@@ -55,17 +55,30 @@ FROM (SELECT repo, path, idx, is_add, lead(idx) OVER (PARTITION BY repo, path OR
 WHERE is_add = 1""")
 
 _cte("part_facts", [], """
-SELECT p_partkey, p_name AS name, CAST(p_size % 3 AS INTEGER) AS n_args, p_type = 'PROMO' AS varargs,
-       p_size, p_type, p_brand
+SELECT p_partkey, replace(p_name, ' ', '_') AS name, CAST(p_size % 3 AS INTEGER) AS n_args,
+       p_type = 'PROMO' AS varargs, p_size, p_type, p_brand,
+       lower(p_type) || '_' || CAST(p_size % 4 AS VARCHAR) AS api,
+       'org.lib.' || lower(p_type) || '.' || replace(p_brand, '#', '') AS cls
 FROM part""")
 
-_cte("decl_facts", ["lines", "part_facts"], """
-SELECT l.repo, l.idx, 'src/F' || CAST(l.fno AS VARCHAR) || '.java' AS path,
-       l.l_linenumber AS ln, l.l_partkey AS pk, l.l_suppkey AS sk,
-       p.name, p.n_args, p.varargs, false AS is_constructor,
-       l.l_linenumber AS line_start, CAST(l.l_linenumber + p.p_size % 4 AS INTEGER) AS line_end
-FROM lines l JOIN part_facts p ON l.l_partkey = p.p_partkey
-WHERE l.l_returnflag <> 'R'""")
+ARGS = "CASE {n} WHEN 0 THEN '' WHEN 1 THEN 'a' ELSE 'a, b' END"
+
+_cte("items", ["lines", "part_facts"], """
+SELECT l.*, p.name, p.n_args, p.varargs, p.p_size, p.api, p.cls, q.name AS old_name, q.n_args AS old_n_args,
+       row_number() OVER (PARTITION BY l.repo, l.idx, l.fno ORDER BY l.l_linenumber, l.l_partkey, l.l_suppkey) AS r
+FROM lines l JOIN part_facts p ON l.l_partkey = p.p_partkey JOIN part_facts q ON q.p_partkey = l.l_suppkey""")
+
+_cte("live_items", ["items"], """
+SELECT *, row_number() OVER (PARTITION BY repo, idx, fno ORDER BY l_linenumber, l_partkey, l_suppkey) AS rl,
+       count(*) OVER (PARTITION BY repo, idx, fno) AS k
+FROM items WHERE l_returnflag <> 'R'""")
+
+_cte("decl_facts", ["live_items"], """
+SELECT repo, idx, 'src/F' || CAST(fno AS VARCHAR) || '.java' AS path,
+       l_linenumber AS ln, l_partkey AS pk, l_suppkey AS sk,
+       name, n_args, varargs, false AS is_constructor,
+       CAST(k + 1 + rl AS INTEGER) AS line_start, CAST(k + 1 + rl + p_size % 2 AS INTEGER) AS line_end
+FROM live_items""")
 
 _cte("decls", ["decl_facts"], """
 SELECT repo, idx, path, name, n_args, varargs, is_constructor, line_start, line_end, ln, pk, sk
@@ -78,18 +91,78 @@ SELECT d.repo, d.path, d.name, d.n_args, d.varargs, d.is_constructor, d.line_sta
        v.valid_from, v.valid_to
 FROM decls d JOIN intervals v ON d.repo = v.repo AND d.path = v.path AND d.idx = v.valid_from""")
 
-_cte("call_facts", ["lines", "part_facts"], """
-SELECT l.repo, l.idx, 'src/F' || CAST(l.fno AS VARCHAR) || '.java' AS path, p.name, p.n_args,
-       l.l_linenumber AS line, l.l_returnflag, l.l_partkey, l.l_suppkey
-FROM lines l JOIN part_facts p ON l.l_partkey = p.p_partkey""")
+_cte("calls", ["lines", "part_facts"], """
+SELECT DISTINCT l.repo, l.idx, p.name, p.n_args FROM lines l JOIN part_facts p ON l.l_partkey = p.p_partkey""")
 
-_cte("calls", ["call_facts"], "SELECT DISTINCT repo, idx, name, n_args FROM call_facts")
+_cte("call_facts", ["live_items"], """
+SELECT repo, idx, 'src/F' || CAST(fno AS VARCHAR) || '.java' AS path, api AS name, n_args,
+       CAST(k + 1 + rl AS INTEGER) AS line
+FROM live_items""")
 
 _cte("call_versions", ["call_facts", "intervals"], """
 SELECT c.repo, c.path, c.name, c.n_args, v.valid_from, v.valid_to
-FROM (SELECT DISTINCT repo, idx, path, name, n_args FROM call_facts WHERE l_returnflag <> 'R') c
+FROM (SELECT DISTINCT repo, idx, path, name, n_args FROM call_facts) c
 JOIN intervals v ON c.repo = v.repo AND c.path = v.path AND c.idx = v.valid_from""")
 
+_cte("snapshots", ["live_items"], f"""
+SELECT repo, idx, 'src/F' || CAST(fno AS VARCHAR) || '.java' AS path,
+       string_agg('import ' || cls || ';', chr(10) ORDER BY rl) || chr(10) || 'public class F' || CAST(fno AS VARCHAR)
+       || ' {{' || chr(10) ||
+       string_agg('    void ' || name || '() {{ return lib.' || api || '(' || {ARGS.format(n="n_args")} || '); }}',
+                  chr(10) ORDER BY rl) || chr(10) || '}}' AS content
+FROM live_items GROUP BY repo, idx, fno""")
+
+_cte("edited_items", ["items", "file_changes"], """
+SELECT i.*, f.old_path, f.path FROM items i JOIN file_changes f
+  ON i.repo = f.repo AND i.idx = f.idx AND f.path = 'src/F' || CAST(i.fno AS VARCHAR) || '.java'
+WHERE f.kind IN ('M', 'R')""")
+
+_PRE = "CASE WHEN l_linenumber % 2 = 0 THEN 'x.size().' ELSE '' END"
+_OLD = f"{_PRE} || old_name || '(' || {ARGS.format(n='old_n_args')} || ')'"
+_NEW = f"{_PRE} || 'lib.' || api || '(' || {ARGS.format(n='n_args')} || ')'"
+_B = "(l_linenumber * 10 + l_suppkey % 7)"
+_A = f"({_B} + l_partkey % 5)"
+
+_cte("diff_items", ["edited_items"], f"""
+SELECT *,
+  CASE WHEN r = 1 THEN 'diff --git a/' || old_path || ' b/' || path || chr(10) || '--- a/' || old_path
+                       || chr(10) || '+++ b/' || path END AS head,
+  CASE WHEN r = 1 OR l_linenumber % 3 = 1 THEN
+       CASE WHEN l_suppkey % 4 = 0 THEN '@@ -' || CAST({_B} AS VARCHAR) || ' +' || CAST({_A} AS VARCHAR) || ' @@'
+            ELSE '@@ -' || CAST({_B} AS VARCHAR) || ',' || CAST(l_suppkey % 3 + 1 AS VARCHAR) || ' +'
+                 || CAST({_A} AS VARCHAR) || ',' || CAST(l_partkey % 3 + 1 AS VARCHAR) || ' @@' END END AS hunk_head,
+  CASE WHEN r = 1 OR l_linenumber % 3 = 1 THEN {_B} END AS head_b,
+  CASE WHEN r = 1 OR l_linenumber % 3 = 1 THEN {_A} END AS head_a,
+  CASE WHEN r = 1 OR l_linenumber % 3 = 1 THEN CASE WHEN l_suppkey % 4 = 0 THEN 1 ELSE l_partkey % 3 + 1 END END AS head_na,
+  CASE l_returnflag WHEN 'N' THEN '    v' || CAST(l_linenumber AS VARCHAR) || ' = [-' || {_OLD} || '-]{{+' || {_NEW} || '+}};'
+                    WHEN 'A' THEN '{{+import ' || cls || ';+}}'
+                    ELSE '[-import org.old.' || name || ';-]' END AS word_line,
+  CASE l_returnflag WHEN 'N' THEN '-    v' || CAST(l_linenumber AS VARCHAR) || ' = ' || {_OLD} || ';' || chr(10)
+                                  || '+    v' || CAST(l_linenumber AS VARCHAR) || ' = ' || {_NEW} || ';'
+                    WHEN 'A' THEN '+import ' || cls || ';'
+                    ELSE '-import org.old.' || name || ';' END AS unified_lines,
+  {_OLD} AS old_text, {_NEW} AS new_text
+FROM edited_items""")
+
+_cte("diffs", ["diff_items"], """
+SELECT repo, idx, old_path, path,
+  string_agg(concat_ws(chr(10), head, hunk_head, word_line, CASE WHEN l_linenumber = 4 THEN '' END), chr(10) ORDER BY r)
+    AS word_diff,
+  string_agg(concat_ws(chr(10), head, hunk_head, unified_lines, CASE WHEN l_linenumber = 4 THEN ' ' END), chr(10) ORDER BY r)
+    AS line_diff
+FROM diff_items GROUP BY repo, idx, old_path, path""")
+
+_cte("api_catalog", [], """
+SELECT p_partkey AS id, 'org.lib|' || lower(p_type) || '|1.' || CAST(p_size % 3 AS VARCHAR) AS project,
+       'org.lib.' || lower(p_type) || '.' || replace(p_brand, '#', '') AS class,
+       lower(p_type) || '_' || CAST(p_size % 4 AS VARCHAR) AS name, CAST(p_size % 3 AS INTEGER) AS n_args,
+       p_size % 5 <> 0 AS is_public
+FROM part""")
+
+_cte("library_packages", ["api_catalog"], """
+SELECT DISTINCT project, regexp_extract(class, '^(.*)\.[^.]+$', 1) AS package FROM api_catalog
+UNION SELECT DISTINCT project, lower(class) FROM api_catalog""")
+
 
 def with_carriers(names: list[str], body: str) -> str:
     """Prefix ``body`` with the CTEs for ``names`` and everything they depend on."""

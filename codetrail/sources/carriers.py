@@ -6,10 +6,13 @@ TPC-H-like test tables, so that every query's work grows with the data:
 
 * commits        repo = o_custkey, sha = o_orderkey, oldest first by (o_orderdate, o_orderkey)
 * file_changes   one row per (commit, l_partkey % 7); kind from the set of l_returnflag values
-* decl_facts     non-R lines of a changed file: name = p_name, n_args = p_size % 3,
-                 varargs = (p_type = 'PROMO'), lines from l_linenumber
-* call_facts     every line: name = p_name, n_args = p_size % 3
-* snapshots      file text = documents.text, chosen by (commit, path)
+* items          line items with their part (new side) and the part numbered l_suppkey (old side)
+* decl_facts     non-R items of a file version: name = p_name with '_', n_args = p_size % 3,
+                 varargs = (p_type = 'PROMO'), one method line per item
+* call_facts     one library call (lower(p_type)_(p_size % 4)) in each method body
+* snapshots      file text of each version: imports, class line, one method per item, '}'
+* diffs          word diff and line diff text of every edited (M/R) file, one hunk line per item
+* api_catalog    one public-or-not library method per part
 
 The matching DuckDB definitions live in ``codetrail.plans.oracle_carriers``.
 """
@@ -18,7 +21,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codetrail.operators.history import first_parent_chain, expand_changes, file_intervals
@@ -89,21 +92,42 @@ class Landed:
     @cached_property
     def part_facts(self) -> DataFrame:
         return self.t("part").select(
-            "p_partkey", F.col("p_name").alias("name"), (F.col("p_size") % 3).cast("int").alias("n_args"),
-            (F.col("p_type") == "PROMO").alias("varargs"), "p_size", "p_type", "p_brand")
+            "p_partkey", F.regexp_replace("p_name", " ", "_").alias("name"),
+            (F.col("p_size") % 3).cast("int").alias("n_args"),
+            (F.col("p_type") == "PROMO").alias("varargs"), "p_size", "p_type", "p_brand",
+            F.concat(F.lower("p_type"), F.lit("_"), (F.col("p_size") % 4).cast("string")).alias("api"),
+            F.concat(F.lit("org.lib."), F.lower("p_type"), F.lit("."), F.regexp_replace("p_brand", "#", "")).alias("cls"))
+
+    @cached_property
+    def items(self) -> DataFrame:
+        """Line items with their part (new side / declared method) and partner part (old side)."""
+        pf = self.part_facts
+        q = pf.select(F.col("p_partkey").alias("q_partkey"), F.col("name").alias("old_name"),
+                      F.col("n_args").alias("old_n_args"))
+        j = (self.lines.join(pf, self.lines["l_partkey"] == pf["p_partkey"])
+             .join(q, F.col("l_suppkey") == F.col("q_partkey")))
+        w = Window.partitionBy("repo", "idx", "fno").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+        return j.withColumn("r", F.row_number().over(w))
+
+    @cached_property
+    def live_items(self) -> DataFrame:
+        """Non-R items: the content of the file version opened at the commit."""
+        w = Window.partitionBy("repo", "idx", "fno").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+        return (self.items.filter(F.col("l_returnflag") != "R")
+                .withColumn("rl", F.row_number().over(w))
+                .withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("repo", "idx", "fno"))))
 
     @cached_property
     def decl_facts(self) -> DataFrame:
         """Raw declaration facts in file order (may repeat an identity)."""
-        li = self.lines.filter(F.col("l_returnflag") != "R")
-        j = li.join(self.part_facts, li["l_partkey"] == self.part_facts["p_partkey"])
-        return j.select(
+        li = self.live_items
+        start = F.col("k") + 1 + F.col("rl")
+        return li.select(
             "repo", "idx", path_of(F.col("fno")).alias("path"),
             F.struct(F.col("l_linenumber").alias("ln"), F.col("l_partkey").alias("pk"),
                      F.col("l_suppkey").alias("sk")).alias("pos"),
             "name", "n_args", "varargs", F.lit(False).alias("is_constructor"),
-            F.col("l_linenumber").alias("line_start"),
-            (F.col("l_linenumber") + F.col("p_size") % 4).cast("int").alias("line_end"))
+            start.cast("int").alias("line_start"), (start + F.col("p_size") % 2).cast("int").alias("line_end"))
 
     @cached_property
     def decls(self) -> DataFrame:
@@ -118,19 +142,105 @@ class Landed:
                 .withColumnRenamed("idx", "valid_from"))
 
     @cached_property
-    def call_facts(self) -> DataFrame:
+    def calls(self) -> DataFrame:
+        """Distinct (repo, idx, name, n_args) call sites of every commit (part names)."""
         j = self.lines.join(self.part_facts, self.lines["l_partkey"] == self.part_facts["p_partkey"])
-        return j.select("repo", "idx", path_of(F.col("fno")).alias("path"), "name", "n_args",
-                        F.col("l_linenumber").alias("line"), "l_returnflag")
+        return j.select("repo", "idx", "name", "n_args").distinct()
 
     @cached_property
-    def calls(self) -> DataFrame:
-        """Distinct (repo, idx, name, n_args) calls of every commit."""
-        return self.call_facts.select("repo", "idx", "name", "n_args").distinct()
+    def call_facts(self) -> DataFrame:
+        """Library calls inside the method bodies of each file version (one per live item)."""
+        li = self.live_items
+        return li.select("repo", "idx", path_of(F.col("fno")).alias("path"), F.col("api").alias("name"),
+                         "n_args", (F.col("k") + 1 + F.col("rl")).cast("int").alias("line"))
 
     @cached_property
     def call_versions(self) -> DataFrame:
-        """Calls of non-deleted files, attached to the file version alive from that commit."""
+        """Distinct calls of each file version with the version's validity interval."""
         iv = self.intervals.withColumnRenamed("valid_from", "idx")
-        live = self.call_facts.filter(F.col("l_returnflag") != "R").select("repo", "idx", "path", "name", "n_args").distinct()
+        live = self.call_facts.select("repo", "idx", "path", "name", "n_args").distinct()
         return live.join(iv, ["repo", "path", "idx"]).withColumnRenamed("idx", "valid_from")
+
+    # --- file text ------------------------------------------------------
+    @cached_property
+    def snapshots(self) -> DataFrame:
+        """File text stored at the commit that opened each version: imports, class, one method per item."""
+        li = self.live_items
+        imp = F.concat(F.lit("import "), F.col("cls"), F.lit(";"))
+        meth = F.concat(F.lit("    void "), F.col("name"), F.lit("() { return lib."), F.col("api"),
+                        F.lit("("), args_text(F.col("n_args")), F.lit("); }"))
+        g = li.groupBy("repo", "idx", "fno").agg(
+            F.array_sort(F.collect_list(F.struct("rl", imp.alias("imp"), meth.alias("meth")))).alias("_l"))
+        content = F.concat_ws("\n", F.array_join(F.transform("_l", lambda x: x["imp"]), "\n"),
+                              F.concat(F.lit("public class F"), F.col("fno").cast("string"), F.lit(" {")),
+                              F.array_join(F.transform("_l", lambda x: x["meth"]), "\n"), F.lit("}"))
+        return g.select("repo", "idx", path_of(F.col("fno")).alias("path"), content.alias("content"))
+
+    @cached_property
+    def edited_items(self) -> DataFrame:
+        fc = self.file_changes.filter(F.col("kind").isin("M", "R")).select(
+            "repo", "idx", "old_path", "path", F.regexp_extract("path", r"F(\d+)\.java", 1).cast("int").alias("fno"))
+        return self.items.join(fc, ["repo", "idx", "fno"])
+
+    @cached_property
+    def diffs(self) -> DataFrame:
+        """Word diff and line diff text of every edited file (kinds M and R)."""
+        it = self.edited_items
+        ln = F.col("l_linenumber")
+        pre = F.when(ln % 2 == 0, F.lit("x.size().")).otherwise(F.lit(""))
+        old_call = F.concat(pre, F.col("old_name"), F.lit("("), args_text(F.col("old_n_args")), F.lit(")"))
+        new_call = F.concat(pre, F.lit("lib."), F.col("api"), F.lit("("), args_text(F.col("n_args")), F.lit(")"))
+        flag = F.col("l_returnflag")
+        head = F.when(F.col("r") == 1, F.concat(
+            F.lit("diff --git a/"), F.col("old_path"), F.lit(" b/"), F.col("path"), F.lit("\n--- a/"),
+            F.col("old_path"), F.lit("\n+++ b/"), F.col("path")))
+        b = ln * 10 + F.col("l_suppkey") % 7
+        a = b + F.col("l_partkey") % 5
+        hunk = F.when((F.col("r") == 1) | (ln % 3 == 1), F.when(
+            F.col("l_suppkey") % 4 == 0,
+            F.concat(F.lit("@@ -"), b.cast("string"), F.lit(" +"), a.cast("string"), F.lit(" @@")))
+            .otherwise(F.concat(F.lit("@@ -"), b.cast("string"), F.lit(","), (F.col("l_suppkey") % 3 + 1).cast("string"),
+                                F.lit(" +"), a.cast("string"), F.lit(","), (F.col("l_partkey") % 3 + 1).cast("string"),
+                                F.lit(" @@"))))
+        blank_w = F.when(ln == 4, F.lit(""))
+        blank_l = F.when(ln == 4, F.lit(" "))
+        word = (F.when(flag == "N", F.concat(F.lit("    v"), ln.cast("string"), F.lit(" = [-"), old_call,
+                                             F.lit("-]{+"), new_call, F.lit("+};")))
+                .when(flag == "A", F.concat(F.lit("{+import "), F.col("cls"), F.lit(";+}")))
+                .otherwise(F.concat(F.lit("[-import org.old."), F.col("name"), F.lit(";-]"))))
+        line = (F.when(flag == "N", F.concat(F.lit("-    v"), ln.cast("string"), F.lit(" = "), old_call, F.lit(";\n+    v"),
+                                             ln.cast("string"), F.lit(" = "), new_call, F.lit(";")))
+                .when(flag == "A", F.concat(F.lit("+import "), F.col("cls"), F.lit(";")))
+                .otherwise(F.concat(F.lit("-import org.old."), F.col("name"), F.lit(";"))))
+        frag_w = F.concat_ws("\n", head, hunk, word, blank_w)
+        frag_l = F.concat_ws("\n", head, hunk, line, blank_l)
+        g = it.groupBy("repo", "idx", "old_path", "path").agg(
+            F.array_sort(F.collect_list(F.struct("r", frag_w.alias("w"), frag_l.alias("l")))).alias("_f"))
+        return g.select("repo", "idx", "old_path", "path",
+                        F.array_join(F.transform("_f", lambda x: x["w"]), "\n").alias("word_diff"),
+                        F.array_join(F.transform("_f", lambda x: x["l"]), "\n").alias("line_diff"))
+
+    # --- library knowledge ---------------------------------------------
+    @cached_property
+    def api_catalog(self) -> DataFrame:
+        """Library declarations: one per part (project group|artifact|version, class, name, arity)."""
+        p = self.t("part")
+        return p.select(
+            F.col("p_partkey").alias("id"),
+            F.concat(F.lit("org.lib|"), F.lower("p_type"), F.lit("|1."), (F.col("p_size") % 3).cast("string")).alias("project"),
+            F.concat(F.lit("org.lib."), F.lower("p_type"), F.lit("."), F.regexp_replace("p_brand", "#", "")).alias("class"),
+            F.concat(F.lower("p_type"), F.lit("_"), (F.col("p_size") % 4).cast("string")).alias("name"),
+            (F.col("p_size") % 3).cast("int").alias("n_args"),
+            (F.col("p_size") % 5 != 0).alias("is_public"))
+
+    @cached_property
+    def library_packages(self) -> DataFrame:
+        """Packages declared by each library project: the type package and one sub-package per brand."""
+        c = self.api_catalog
+        top = c.select("project", F.regexp_extract("class", r"^(.*)\.[^.]+$", 1).alias("package"))
+        sub = c.select("project", F.lower(F.col("class")).alias("package"))
+        return top.union(sub).distinct()
+
+
+def args_text(n: F.Column) -> F.Column:
+    return F.when(n == 0, F.lit("")).when(n == 1, F.lit("a")).otherwise(F.lit("a, b"))
