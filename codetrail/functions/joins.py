@@ -16,6 +16,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from codetrail.functions.lineage import materialize
 
 # About 500k narrow key rows stay well under 100 MB once broadcast.
 BROADCAST_ROW_LIMIT = 500_000
@@ -42,7 +43,7 @@ def exists_join(left: DataFrame, right: DataFrame,
     r = lambda c: rr["_r_" + c]
     # The candidates are materialised once in the reliable checkpoint folder:
     # the size check and the final join then read them instead of recomputing.
-    left = left.checkpoint(eager=True)
+    left = materialize(left)
     keyed = left.select(*[F.col(c).alias("_k_" + c) for c in key_cols]).distinct()
     if not row_count_at_most(left, limit):
         ll = left.select(*[F.col(c).alias("_l_" + c) for c in left.columns])

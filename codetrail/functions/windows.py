@@ -21,6 +21,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from codetrail.functions.lineage import materialize
 
 DEFAULT_WIDTH = 4096
 
@@ -46,7 +47,7 @@ def ordered_index(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                .sortWithinPartitions(*_cols(keys), *_cols(order))
                .withColumn("_pid", F.spark_partition_id())
                .withColumn("_mid", F.monotonically_increasing_id()))
-    ordered = ordered.checkpoint(eager=True)
+    ordered = materialize(ordered)
     stats = ordered.groupBy(*keys, "_pid").agg(F.min("_mid").alias("_m0"), F.count(F.lit(1)).alias("_n"))
     prior = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     stats = stats.withColumn("_off", F.coalesce(F.sum("_n").over(prior), F.lit(0)))

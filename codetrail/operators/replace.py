@@ -16,8 +16,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from codetrail.functions.lineage import materialize
 
 from codetrail.functions.joins import exists_join
 
@@ -77,3 +78,247 @@ def new_is_called(cands: DataFrame, call_versions: DataFrame, name: str = "new_n
         return ((c(repo) == v("repo")) & (c(name) == v("name")) & (c(n_args) == v("n_args"))
                 & _alive(v, c(idx)))
     return exists_join(cands, call_versions, cond, [repo, idx, name, n_args])
+
+
+# ---------------------------------------------------------------- G1
+def comparable_pairs(pairs: DataFrame, removed_calls: str = "removed_calls", added_calls: str = "added_calls") -> DataFrame:
+    """G1: both texts present, both sides call something, and the call lists differ."""
+    rc, ac = F.col(removed_calls), F.col(added_calls)
+    return pairs.filter(F.col("removed").isNotNull() & F.col("added").isNotNull()
+                        & (F.size(rc) > 0) & (F.size(ac) > 0) & (rc != ac))
+
+
+# ---------------------------------------------------------------- G2
+def common_calls(pairs: DataFrame) -> DataFrame:
+    """The set of calls present on both sides (``common``)."""
+    return pairs.withColumn("common", F.array_intersect("removed_calls", "added_calls"))
+
+
+# ---------------------------------------------------------------- G3
+def drop_pure_add_remove(pairs: DataFrame) -> DataFrame:
+    """Drop pairs where every removed call, or every added call, is common."""
+    return pairs.filter((F.size(F.array_except("removed_calls", "common")) > 0)
+                        & (F.size(F.array_except("added_calls", "common")) > 0))
+
+
+_TRIM = r"regexp_replace({x}, '^[\\x00-\\x20]+|[\\x00-\\x20]+$', '')"
+
+
+def _find(text: str, name: str, cursor: str) -> str:
+    """Java ``indexOf`` of ``name(``, else ``name<``, else ``name`` from a 0-based cursor (-1 if absent)."""
+    p1 = f"locate(concat({name}, '('), {text}, {cursor} + 1)"
+    p2 = f"locate(concat({name}, '<'), {text}, {cursor} + 1)"
+    p3 = f"locate({name}, {text}, {cursor} + 1)"
+    return f"(CASE WHEN {p1} > 0 THEN {p1} WHEN {p2} > 0 THEN {p2} ELSE {p3} END - 1)"
+
+
+def _cursor(text: str, calls: str, upto: str) -> str:
+    """Cursor after passing the first ``upto - 1`` calls: fold of indexOf(name) + length(name)."""
+    return (f"aggregate(slice(transform({calls}, c -> c.name), 1, {upto} - 1), 0, "
+            f"(acc, nm) -> locate(nm, {text}, acc + 1) - 1 + length(nm))")
+
+
+# ---------------------------------------------------------------- G4
+def first_changed_call(pairs: DataFrame) -> DataFrame:
+    """The first positional pair of non-common calls whose left-hand text differs.
+
+    Equivalent to the reference's two-pointer walk: drop common calls from both
+    lists, pair the rest by position, and skip a pair when the text left of both
+    calls is equal and, trimmed, neither empty nor ``.``.  If a call name cannot
+    be found from the side's cursor the walk stops with no result.  Keeps rows
+    with a result and adds ``old_name, old_n_args, new_name, new_n_args``.
+    """
+    x = (pairs
+         .withColumn("_ri", F.expr("filter(sequence(1, size(removed_calls)), i -> NOT array_contains(common, element_at(removed_calls, i)))"))
+         .withColumn("_ai", F.expr("filter(sequence(1, size(added_calls)), i -> NOT array_contains(common, element_at(added_calls, i)))"))
+         .withColumn("_n", F.least(F.size("_ri"), F.size("_ai"))))
+    steps = F.expr(
+        "transform(filter(sequence(1, greatest(_n, 1)), k -> k <= _n), "
+        "k -> named_struct('ri', element_at(_ri, k), 'ai', element_at(_ai, k)))")
+    x = x.withColumn("_s", steps)
+    rname = "element_at(removed_calls, s.ri).name"
+    aname = "element_at(added_calls, s.ai).name"
+    pos = F.expr(
+        "transform(_s, s -> named_struct('ri', s.ri, 'ai', s.ai, "
+        f"'oi', {_find('removed', rname, _cursor('removed', 'removed_calls', 's.ri'))}, "
+        f"'ni', {_find('added', aname, _cursor('added', 'added_calls', 's.ai'))}))")
+    x = x.withColumn("_p", pos)
+    left_r = "substring(removed, 1, p.oi)"
+    left_a = "substring(added, 1, p.ni)"
+    status = F.expr(
+        "transform(_p, p -> named_struct('ri', p.ri, 'ai', p.ai, 'st', "
+        "CASE WHEN p.oi < 0 OR p.ni < 0 THEN 'stop' "
+        f"WHEN {left_r} = {left_a} AND {_TRIM.format(x=left_r)} <> '' AND {_TRIM.format(x=left_r)} <> '.' THEN 'skip' "
+        "ELSE 'hit' END))")
+    x = x.withColumn("_first", F.element_at(F.filter(status, lambda s: s["st"] != "skip"), 1))
+    x = x.filter(F.col("_first.st") == "hit")
+    old = F.element_at("removed_calls", F.col("_first.ri").cast("int"))
+    new = F.element_at("added_calls", F.col("_first.ai").cast("int"))
+    return (x.withColumn("old_name", old["name"]).withColumn("old_n_args", old["n_args"])
+            .withColumn("new_name", new["name"]).withColumn("new_n_args", new["n_args"])
+            .drop("_ri", "_ai", "_n", "_s", "_p", "_first"))
+
+
+# ---------------------------------------------------------------- G5
+def drop_non_api_names(df: DataFrame, name: str = "new_name") -> DataFrame:
+    """Drop when the new call is ``super``, ``this`` or starts with ``assert``."""
+    n = F.col(name)
+    return df.filter(~n.isin("super", "this") & ~n.startswith("assert"))
+
+
+# ---------------------------------------------------------------- G11
+_FOLD = """aggregate(_m, named_struct('heads', CAST(array() AS ARRAY<ARRAY<STRING>>), 'gids', CAST(array() AS ARRAY<INT>)),
+  (acc, x) -> CASE WHEN array_position(transform(acc.heads, h -> arrays_overlap(h, x.packages)), true) > 0
+    THEN named_struct('heads', acc.heads, 'gids',
+         concat(acc.gids, array(CAST(array_position(transform(acc.heads, h -> arrays_overlap(h, x.packages)), true) AS INT))))
+    ELSE named_struct('heads', concat(acc.heads, array(x.packages)), 'gids', concat(acc.gids, array(size(acc.heads) + 1)))
+  END).gids"""
+
+REPLACEMENT_KEY = ("repo", "idx", "old_name", "old_n_args", "new_name", "new_n_args")
+
+
+def group_replacements(cands: DataFrame, order: Sequence[str] = ("edit_rank", "path", "pos", "k"),
+                       key: Sequence[str] = REPLACEMENT_KEY) -> DataFrame:
+    """Merge equal (old, new) replacements of one commit when their imported packages overlap.
+
+    Members are folded in edited-file order (renames before modifications, then
+    path, then position in the diff); a member joins the first earlier group
+    whose *first* member's packages overlap its own, else it opens a new group
+    (not transitive).  One row per group with ``gid``, ``count``, the first
+    member's fields (``rep``) and the ordered occurrences.
+    """
+    key = list(key)
+    payload = [c for c in cands.columns if c not in key and c not in order]
+    m = cands.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(*[F.col(c) for c in order],
+                                                                       *[F.col(c) for c in payload]))).alias("_m"))
+    m = m.withColumn("_g", F.expr(_FOLD))
+    e = m.select(*key, F.explode(F.arrays_zip("_m", "_g")).alias("_z"))
+    e = e.select(*key, F.col("_z._g").alias("gid"), F.col("_z._m").alias("_x"))
+    g = e.groupBy(*key, "gid").agg(
+        F.count(F.lit(1)).alias("count"),
+        F.min("_x").alias("rep"),
+        F.array_sort(F.collect_list(F.struct(
+            F.col("_x.edit_rank").alias("o1"), F.col("_x.path").alias("o2"), F.col("_x.pos").alias("o3"),
+            F.col("_x.k").alias("o4"), F.col("_x.old_path").alias("old_path"), F.col("_x.path").alias("path"),
+            F.col("_x.before").alias("before"), F.col("_x.after").alias("after")))).alias("occurrences"))
+    return g
+
+
+# ---------------------------------------------------------------- G12
+def render_occurrences(occ: Column) -> Column:
+    """``("old"->"new"|[b,a][b,a]), (...)`` per file in first-appearance order."""
+    files = F.array_distinct(F.transform(occ, lambda o: F.struct(o["old_path"].alias("op"), o["path"].alias("np"))))
+
+    def one(f):
+        mine = F.filter(occ, lambda o: o["old_path"].eqNullSafe(f["op"]) & o["path"].eqNullSafe(f["np"]))
+        lines = F.array_join(F.transform(mine, lambda o: F.format_string("[%d,%d]", o["before"], o["after"])), "")
+        return F.format_string('("%s"->"%s"|%s)', F.coalesce(f["op"], F.lit("null")), f["np"], lines)
+
+    return F.array_join(F.transform(files, one), ", ")
+
+
+# ---------------------------------------------------------------- G13 / G14
+def candidate_apis(groups: DataFrame, catalog: DataFrame, k: int = 20,
+                   gkey: Sequence[str] = (*REPLACEMENT_KEY, "gid")) -> DataFrame:
+    """Public APIs with the new call's name and arity whose class contains one of the
+    group's imported packages; full count plus the first ``k`` ids (ascending) as CSV.
+
+    Groups are few: their keys are broadcast after a row-count check and the
+    catalog is streamed; the top-k ids come from a ranking over the matches.
+    """
+    gkey = list(gkey)
+    g = groups.select(*gkey, F.col("rep.packages").alias("_pk"))
+    cat = catalog.filter(F.col("is_public")).select(F.col("id").alias("_id"), F.col("class").alias("_cls"),
+                                                    F.col("name").alias("_nm"), F.col("n_args").alias("_na"))
+
+    def cond(l, r):
+        return ((l("new_name") == r("_nm")) & (l("new_n_args") == r("_na"))
+                & F.exists(l("_pk"), lambda p: r("_cls").contains(p)))
+    hits = _small_left_inner(g, cat, cond, gkey, ["_id"])
+    counts = hits.groupBy(*gkey).agg(F.count(F.lit(1)).alias("n_candidates"))
+    top = (hits.withColumn("_rk", F.row_number().over(Window.partitionBy(*gkey).orderBy("_id")))
+           .filter(F.col("_rk") <= k).groupBy(*gkey)
+           .agg(F.array_join(F.array_sort(F.collect_list("_id")).cast("array<string>"), ",").alias("candidate_ids")))
+    return (groups.join(counts, gkey, "left").join(top, gkey, "left")
+            .fillna(0, ["n_candidates"]).fillna("", ["candidate_ids"]))
+
+
+def _small_left_inner(left: DataFrame, right: DataFrame, cond, left_keys: Sequence[str], right_cols: Sequence[str]):
+    """Inner matches of ``left`` rows (few, broadcast after a row-count check) against a big ``right``."""
+    from codetrail.functions.joins import BROADCAST_ROW_LIMIT, row_count_at_most
+    left = materialize(left)
+    ll = left.select(*[F.col(c).alias("_l_" + c) for c in left.columns])
+    rr = right.select(*[F.col(c).alias("_r_" + c) for c in right.columns])
+    if row_count_at_most(left, BROADCAST_ROW_LIMIT):
+        ll = F.broadcast(ll)
+    j = ll.join(rr, cond(lambda c: ll["_l_" + c], lambda c: rr["_r_" + c]), "inner")
+    return j.select(*[F.col("_l_" + c).alias(c) for c in left_keys], *[F.col("_r_" + c).alias(c) for c in right_cols])
+
+
+# ---------------------------------------------------------------- G15
+def old_declaration(groups: DataFrame, decl_versions: DataFrame,
+                    gkey: Sequence[str] = (*REPLACEMENT_KEY, "gid")) -> DataFrame:
+    """The declaration that made G6 true, one per group: smallest (path, line_start)."""
+    gkey = list(gkey)
+    g = groups.select(*gkey)
+
+    def cond(l, d):
+        at = l("idx") - 1
+        return ((l("repo") == d("repo")) & (l("old_name") == d("name")) & _alive(d, at) & _arity(d, l("old_n_args")))
+    m = _small_left_inner(g, decl_versions, cond, gkey, ["path", "line_start", "line_end", "is_constructor"])
+    best = m.groupBy(*gkey).agg(F.min(F.struct("path", "line_start", "line_end", "is_constructor")).alias("old_decl"))
+    return groups.join(best, gkey, "left")
+
+
+# ---------------------------------------------------------------- G16
+def declaration_body(groups: DataFrame, snapshots: DataFrame, intervals: DataFrame,
+                     relaxed_end: bool = False) -> DataFrame:
+    """Text of lines start..end of the old declaration's file at the parent commit.
+
+    A synthetic constructor gives ``(((CONSTRUCTOR)))``; a missing file gives
+    null; so does ``line_count <= line_end`` (the reference's test, which also
+    drops a method ending on the last line; ``relaxed_end`` uses ``<``).
+    """
+    from codetrail.functions.text import java_lines
+    from codetrail.operators.history import content_at_commit
+    req = (groups.filter(F.col("old_decl").isNotNull() & ~F.col("old_decl.is_constructor"))
+           .select("repo", (F.col("idx") - 1).alias("idx"), F.col("old_decl.path").alias("path")).distinct())
+    text = content_at_commit(snapshots, intervals, req).select(
+        "repo", (F.col("idx") + 1).alias("idx"), F.col("path").alias("_dp"), "content")
+    j = groups.join(text, (groups["repo"] == text["repo"]) & (groups["idx"] == text["idx"])
+                    & (F.col("old_decl.path") == text["_dp"]), "left").drop(text["repo"]).drop(text["idx"])
+    lines = java_lines(F.col("content"))
+    s, e = F.col("old_decl.line_start"), F.col("old_decl.line_end")
+    too_short = (F.size(lines) < e) if relaxed_end else (F.size(lines) <= e)
+    body = (F.when(F.col("old_decl").isNull(), F.lit(None))
+            .when(F.col("old_decl.is_constructor"), F.lit("(((CONSTRUCTOR)))"))
+            .when(F.col("content").isNull(), F.lit(None))
+            .when(too_short, F.lit(None))
+            .otherwise(F.array_join(F.slice(lines, s, e - s + 1), "\n")))
+    return j.withColumn("old_body", body).drop("_dp", "content")
+
+
+# ---------------------------------------------------------------- G17
+def drop_already_using(groups: DataFrame, body: str = "old_body", name: str = "new_name") -> DataFrame:
+    """Drop null bodies, and bodies whose text from the first ``{`` contains the new call's name."""
+    b = F.col(body)
+    brace = F.instr(b, "{")
+    uses = (brace > 0) & F.expr(f"substr({body}, instr({body}, '{{'))").contains(F.col(name))
+    return groups.filter(b.isNotNull() & ~uses)
+
+
+# ---------------------------------------------------------------- G18 / G19
+def result_files(groups: DataFrame) -> DataFrame:
+    return (groups.select("repo", "idx", F.explode("occurrences").alias("_o"))
+            .select("repo", "idx", F.col("_o.old_path").alias("old_path"), F.col("_o.path").alias("path")).distinct())
+
+
+def imports_of_result_files(groups: DataFrame, import_changes: DataFrame) -> DataFrame:
+    """Import changes of each file that holds a surviving replacement."""
+    f = result_files(groups)
+    return import_changes.join(f, [c for c in ("repo", "idx", "path") if c in import_changes.columns], "left_semi")
+
+
+def restrict_imports(imports: DataFrame, groups: DataFrame) -> DataFrame:
+    """Keep import changes of the result's key files only (by new path)."""
+    return imports.join(result_files(groups).select("repo", "idx", "path"), ["repo", "idx", "path"], "left_semi")

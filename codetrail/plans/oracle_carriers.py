@@ -159,7 +159,7 @@ SELECT p_partkey AS id, 'org.lib|' || lower(p_type) || '|1.' || CAST(p_size % 3
        p_size % 5 <> 0 AS is_public
 FROM part""")
 
-_cte("library_packages", ["api_catalog"], """
+_cte("library_packages", ["api_catalog"], r"""
 SELECT DISTINCT project, regexp_extract(class, '^(.*)\.[^.]+$', 1) AS package FROM api_catalog
 UNION SELECT DISTINCT project, lower(class) FROM api_catalog""")
 

@@ -59,6 +59,11 @@ class Landed:
     def commits(self) -> DataFrame:
         return first_parent_chain(self.commit_log, order=["ts", "okey"])
 
+    @cached_property
+    def repos(self) -> DataFrame:
+        return self.t("customer").select(F.col("c_custkey").alias("repo"), F.col("c_name").alias("repo_name"),
+                                         F.lower("c_mktsegment").alias("default_branch"))
+
     @cached_property
     def commit_keys(self) -> DataFrame:
         return self.commits.select("okey", "repo", "idx")
@@ -242,5 +247,14 @@ class Landed:
         return top.union(sub).distinct()
 
 
+def mining_inputs(L: "Landed"):
+    from codetrail.operators.deps import base_packages
+    from codetrail.plans.mining import MiningInputs
+    return MiningInputs(
+        commits=L.commits, repos=L.repos, file_changes=L.file_changes, diffs=L.diffs, snapshots=L.snapshots,
+        intervals=L.intervals, decl_versions=L.decl_versions, call_versions=L.call_versions,
+        api_catalog=L.api_catalog, base_packages=base_packages(L.library_packages))
+
+
 def args_text(n: F.Column) -> F.Column:
     return F.when(n == 0, F.lit("")).when(n == 1, F.lit("a")).otherwise(F.lit("a, b"))
