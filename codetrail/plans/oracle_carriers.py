@@ -64,7 +64,7 @@ FROM part""")
 ARGS = "CASE {n} WHEN 0 THEN '' WHEN 1 THEN 'a' ELSE 'a, b' END"
 
 _cte("items", ["lines", "part_facts"], """
-SELECT l.*, p.name, p.n_args, p.varargs, p.p_size, p.api, p.cls, q.name AS old_name, q.n_args AS old_n_args,
+SELECT l.*, p.name, p.n_args, p.varargs, p.p_size, p.p_type, p.api, p.cls, q.name AS old_name, q.n_args AS old_n_args,
        row_number() OVER (PARTITION BY l.repo, l.idx, l.fno ORDER BY l.l_linenumber, l.l_partkey, l.l_suppkey) AS r
 FROM lines l JOIN part_facts p ON l.l_partkey = p.p_partkey JOIN part_facts q ON q.p_partkey = l.l_suppkey""")
 
@@ -164,6 +164,60 @@ SELECT DISTINCT project, regexp_extract(class, '^(.*)\.[^.]+$', 1) AS package FR
 UNION SELECT DISTINCT project, lower(class) FROM api_catalog""")
 
 
+_cte("word_items", ["diff_items"], """
+SELECT *, (CASE WHEN r = 1 THEN 3 ELSE 0 END) + (CASE WHEN hunk_head IS NOT NULL THEN 1 ELSE 0 END) AS pre_n,
+       (CASE WHEN r = 1 THEN 3 ELSE 0 END) + (CASE WHEN hunk_head IS NOT NULL THEN 1 ELSE 0 END) + 1
+       + (CASE WHEN l_linenumber = 4 THEN 1 ELSE 0 END) AS n_lines
+FROM diff_items""")
+
+_cte("word_items2", ["word_items"], """
+SELECT *, coalesce(sum(n_lines) OVER (PARTITION BY repo, idx, path ORDER BY r
+                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start_pos,
+       sum(CASE WHEN hunk_head IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY repo, idx, path ORDER BY r
+                   ROWS UNBOUNDED PRECEDING) AS hunk
+FROM word_items""")
+
+_cte("word_code", ["word_items2"], """
+SELECT repo, idx, old_path, path, fno, start_pos + pre_n AS pos, hunk, ltrim(word_line) AS line,
+       CASE l_returnflag WHEN 'A' THEN 0 ELSE 1 END AS ib, CASE l_returnflag WHEN 'R' THEN 0 ELSE 1 END AS ia,
+       l_returnflag, old_text, new_text, name, cls, l_linenumber, old_name, old_n_args, api, n_args
+FROM word_items2
+UNION ALL
+SELECT repo, idx, old_path, path, fno, start_pos + pre_n + 1, hunk, '', 1, 1, 'blank', NULL, NULL, NULL, NULL,
+       l_linenumber, NULL, NULL, NULL, NULL
+FROM word_items2 WHERE l_linenumber = 4""")
+
+_cte("word_heads", ["word_items2"], """
+SELECT repo, idx, path, hunk, head_b, head_a FROM word_items2 WHERE hunk_head IS NOT NULL""")
+
+_cte("numbered", ["word_code", "word_heads"], """
+SELECT c.*, CAST(h.head_b + coalesce(sum(c.ib) OVER w, 0) AS INTEGER) AS before,
+       CAST(h.head_a + coalesce(sum(c.ia) OVER w, 0) AS INTEGER) AS after
+FROM word_code c JOIN word_heads h ON c.repo = h.repo AND c.idx = h.idx AND c.path = h.path AND c.hunk = h.hunk
+WINDOW w AS (PARTITION BY c.repo, c.idx, c.path, c.hunk ORDER BY c.pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
+
+_cte("pairs", ["numbered"], """
+SELECT repo, idx, old_path, path, fno, CAST(pos AS INTEGER) AS pos, CAST(hunk AS INTEGER) AS hunk, before, after,
+       0 AS k, trim(old_text) AS removed, trim(new_text) AS added, l_linenumber,
+       old_name, old_n_args, api AS new_name, n_args AS new_n_args,
+       CASE WHEN l_linenumber % 2 = 0 THEN 2 ELSE 1 END AS n_calls
+FROM numbered WHERE l_returnflag = 'N'""")
+
+_ALIVE = "{d}.valid_from <= {at} AND ({d}.valid_to IS NULL OR {d}.valid_to > {at})"
+_ARITY = "CASE WHEN {d}.varargs THEN {d}.n_args <= {n} ELSE {d}.n_args = {n} END"
+
+_cte("checked", ["pairs", "decl_versions", "call_versions"], f"""
+SELECT p.* FROM pairs p
+WHERE EXISTS (SELECT 1 FROM decl_versions d WHERE d.repo = p.repo AND d.name = p.old_name
+              AND {_ARITY.format(d='d', n='p.old_n_args')} AND {_ALIVE.format(d='d', at='p.idx - 1')})
+  AND NOT EXISTS (SELECT 1 FROM decl_versions d WHERE d.repo = p.repo AND d.name = p.old_name
+              AND {_ARITY.format(d='d', n='p.old_n_args')} AND {_ALIVE.format(d='d', at='p.idx')})
+  AND NOT EXISTS (SELECT 1 FROM decl_versions d WHERE d.repo = p.repo AND d.name = p.new_name
+              AND {_ARITY.format(d='d', n='p.new_n_args')} AND {_ALIVE.format(d='d', at='p.idx')})
+  AND EXISTS (SELECT 1 FROM call_versions v WHERE v.repo = p.repo AND v.name = p.new_name
+              AND v.n_args = p.new_n_args AND {_ALIVE.format(d='v', at='p.idx')})""")
+
+
 def with_carriers(names: list[str], body: str) -> str:
     """Prefix ``body`` with the CTEs for ``names`` and everything they depend on."""
     order: list[str] = []

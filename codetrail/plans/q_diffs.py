@@ -13,37 +13,8 @@ from codetrail.plans.oracle_carriers import with_carriers
 from codetrail.plans.registry import query
 from codetrail.sources.carriers import Landed
 
-_WORD_ROWS = """
-d AS (SELECT *, (CASE WHEN r = 1 THEN 3 ELSE 0 END) + (CASE WHEN hunk_head IS NOT NULL THEN 1 ELSE 0 END) AS pre_n,
-             (CASE WHEN r = 1 THEN 3 ELSE 0 END) + (CASE WHEN hunk_head IS NOT NULL THEN 1 ELSE 0 END) + 1
-             + (CASE WHEN l_linenumber = 4 THEN 1 ELSE 0 END) AS n_lines
-      FROM diff_items),
-d2 AS (SELECT *, coalesce(sum(n_lines) OVER (PARTITION BY repo, idx, path ORDER BY r
-                          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start_pos,
-              sum(CASE WHEN hunk_head IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY repo, idx, path ORDER BY r
-                          ROWS UNBOUNDED PRECEDING) AS hunk
-       FROM d),
-code AS (SELECT repo, idx, old_path, path, start_pos + pre_n AS pos, hunk, ltrim(word_line) AS line,
-                CASE l_returnflag WHEN 'A' THEN 0 ELSE 1 END AS ib, CASE l_returnflag WHEN 'R' THEN 0 ELSE 1 END AS ia,
-                l_returnflag, old_text, new_text, name, cls
-         FROM d2
-         UNION ALL
-         SELECT repo, idx, old_path, path, start_pos + pre_n + 1, hunk, '', 1, 1, 'blank', NULL, NULL, NULL, NULL
-         FROM d2 WHERE l_linenumber = 4),
-heads AS (SELECT repo, idx, path, hunk, head_b, head_a FROM d2 WHERE hunk_head IS NOT NULL),
-numbered AS (
-  SELECT c.*, CAST(h.head_b + coalesce(sum(c.ib) OVER w, 0) AS INTEGER) AS before,
-         CAST(h.head_a + coalesce(sum(c.ia) OVER w, 0) AS INTEGER) AS after
-  FROM code c JOIN heads h ON c.repo = h.repo AND c.idx = h.idx AND c.path = h.path AND c.hunk = h.hunk
-  WINDOW w AS (PARTITION BY c.repo, c.idx, c.path, c.hunk ORDER BY c.pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-"""
-
-
 def _word_sql(body: str) -> str:
-    base = with_carriers(["diff_items"], "SELECT 1")
-    assert base.startswith("WITH ")
-    ctes = base[len("WITH "):-len("\nSELECT 1")]
-    return f"WITH {ctes},\n{_WORD_ROWS}\n{body}"
+    return with_carriers(["numbered", "file_changes"], body)
 
 
 @query("d1_diff_lines", _word_sql("""
