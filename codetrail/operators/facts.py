@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -26,3 +26,280 @@ def distinct_facts(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     payload = [c for c in df.columns if c not in keys and c != order]
     best = F.min(F.struct(F.col(order).alias("_o"), *[F.col(c) for c in payload])).alias("_best")
     return df.groupBy(*keys).agg(best).select(*keys, *[F.col("_best." + c).alias(c) for c in payload])
+
+
+# Error markers of the parser's output and the unit pattern of its result list.
+PARSE_ERRORS_PREFIX = ("srcml: Unable to open file", "srcML translator error")
+PARSE_ERROR_INFIX = "parser error"
+UNIT_BODY = r"(?s)<unit [^>]*item=\"\d+\"[^>]*>(.*?)</unit>"
+
+
+# ---------------------------------------------------------------- X8
+def drop_failed_parses(df: DataFrame, xml_col: str) -> DataFrame:
+    """Drop null parser output and output that reports a parse failure."""
+    x = F.col(xml_col)
+    bad = x.isNull() | x.startswith(PARSE_ERRORS_PREFIX[0]) | x.startswith(PARSE_ERRORS_PREFIX[1]) | x.contains(PARSE_ERROR_INFIX)
+    return df.filter(~bad)
+
+
+def _units(df: DataFrame, xml_col: str, keys: Sequence[str]) -> DataFrame:
+    """Result units of a parser xpath listing, with their position; one-line output has none."""
+    body = F.regexp_extract_all(F.col(xml_col), F.lit(UNIT_BODY), 1)
+    multi = F.size(F.split(F.regexp_replace(F.col(xml_col), r"\n+$", ""), "\n")) > 1
+    return (drop_failed_parses(df, xml_col).filter(multi)
+            .select(*keys, F.posexplode(body).alias("unit_pos", "unit")))
+
+
+def _last_name_chain(root: str) -> Column:
+    """Text of the innermost-last ``name`` under ``root`` (follow the last ``name`` child while one exists).
+
+    One XPath: the leaf ``name`` whose every ``name`` ancestor below the call is
+    a last ``name`` child and that is not inside any other element (such as a
+    generic ``argument_list``) below the call.
+    """
+    leaf = (f"{root}/descendant-or-self::name[not(name)][not(following-sibling::name)]"
+            "[not(ancestor::*[not(self::name)][ancestor::call])]"
+            "[not(ancestor::name[following-sibling::name][ancestor::call])]")
+    return F.when(F.xpath_boolean(F.col("unit"), F.lit(root)), F.xpath_string(F.col("unit"), F.lit(leaf)))
+
+
+# ---------------------------------------------------------------- X1
+def calls_from_xml(df: DataFrame, xml_col: str = "calls_xml", keys: Sequence[str] = ("repo", "idx", "path")) -> DataFrame:
+    """One row per ``<call>`` unit: innermost-last name, number of direct ``<argument>``s
+    and the start line of the ``argument_list``; calls missing any of these are skipped."""
+    keys = list(keys)
+    u = _units(df, xml_col, keys)
+    name = _last_name_chain("/call/name")
+    n_args = F.xpath_int(F.col("unit"), F.lit("count(/call/argument_list/argument)"))
+    has_args = F.xpath_boolean(F.col("unit"), F.lit("/call/argument_list"))
+    start = F.xpath_string(F.col("unit"), F.lit("/call/argument_list/@*[name()='pos:start']"))
+    line = F.split(start, ":").getItem(0).try_cast("int")
+    return (u.select(*keys, "unit_pos", name.alias("name"), F.when(has_args, n_args).alias("n_args"), line.alias("line"))
+            .filter(F.col("name").isNotNull() & F.col("n_args").isNotNull() & F.col("line").isNotNull()))
+
+
+# ---------------------------------------------------------------- X3
+def declarations_from_xml(df: DataFrame, xml_col: str = "decls_xml", keys: Sequence[str] = ("repo", "idx", "path")) -> DataFrame:
+    """Functions / constructors: name, parameter count (all nested ``parameter`` elements;
+    ``...`` anywhere in the list -> varargs and one fewer), start and end line."""
+    keys = list(keys)
+    u = _units(df, xml_col, keys)
+    root = "/*[name()='function' or name()='constructor' or name()='function_decl']"
+    name = F.xpath_string(F.col("unit"), F.lit(f"{root}/name"))
+    has_name = F.xpath_boolean(F.col("unit"), F.lit(f"{root}/name"))
+    has_params = F.xpath_boolean(F.col("unit"), F.lit(f"{root}/parameter_list"))
+    n_par = F.xpath_int(F.col("unit"), F.lit(f"count({root}/parameter_list//parameter)"))
+    plist = F.xpath_string(F.col("unit"), F.lit(f"{root}/parameter_list"))
+    varargs = plist.contains("...")
+    start = F.xpath_string(F.col("unit"), F.lit(f"{root}/@*[name()='pos:start']"))
+    end = F.xpath_string(F.col("unit"), F.lit(f"{root}/@*[name()='pos:end']"))
+    is_ctor = F.xpath_boolean(F.col("unit"), F.lit("/constructor"))
+    out = u.select(*keys, "unit_pos", F.when(has_name, name).alias("name"),
+                   F.when(has_params, F.when(varargs, n_par - 1).otherwise(n_par)).alias("n_args"),
+                   F.when(has_params, varargs).alias("varargs"), is_ctor.alias("is_constructor"),
+                   F.split(start, ":").getItem(0).try_cast("int").alias("line_start"),
+                   F.split(end, ":").getItem(0).try_cast("int").alias("line_end"))
+    return out.filter(F.col("name").isNotNull() & F.col("n_args").isNotNull()
+                      & F.col("line_start").isNotNull() & F.col("line_end").isNotNull())
+
+
+# ---------------------------------------------------------------- X4
+SPAN_START = r"<unit .*>start=\"(\d+):\d+\"</unit>"
+SPAN_END = r"<unit .*>end=\"(\d+):\d+\"</unit>"
+SPAN_NAME = r"<unit .*>([\$\w]*)</unit>"
+
+
+def declaration_spans_from_xml(df: DataFrame, xml_col: str = "spans_xml",
+                               keys: Sequence[str] = ("repo", "idx", "path")) -> DataFrame:
+    """(start, end, name) lists of a file; nothing for the file if the three lists differ in length."""
+    keys = list(keys)
+    x = F.col(xml_col)
+    s = F.regexp_extract_all(x, F.lit(SPAN_START), 1)
+    e = F.regexp_extract_all(x, F.lit(SPAN_END), 1)
+    n = F.regexp_extract_all(x, F.lit(SPAN_NAME), 1)
+    ok = (F.size(s) == F.size(e)) & (F.size(e) == F.size(n))
+    z = F.arrays_zip(s.alias("s"), e.alias("e"), n.alias("n"))
+    return (drop_failed_parses(df, xml_col).filter(ok)
+            .select(*keys, F.posexplode(z).alias("k", "_z"))
+            .select(*keys, "k", F.col("_z.n").alias("name"), F.col("_z.s").cast("int").alias("line_start"),
+                    F.col("_z.e").cast("int").alias("line_end")))
+
+
+# ---------------------------------------------------------------- X5
+TYPE_TOKEN = r"<unit .*>(:?start=\"(\d+):\d+\"|end=\"(\d+):\d+\"|\w+)</unit>"
+
+_TYPE_FOLD = """aggregate(_tok, named_struct('ph', 0, 's', CAST(NULL AS STRING), 'e', CAST(NULL AS STRING),
+    'res', CAST(array() AS ARRAY<STRUCT<name: STRING, s: STRING, e: STRING>>)),
+  (st, t) -> CASE
+    WHEN st.ph = 0 THEN CASE WHEN t.g2 <> '' THEN named_struct('ph', 1, 's', t.g2, 'e', st.e, 'res', st.res) ELSE st END
+    WHEN st.ph = 1 THEN named_struct('ph', 2, 's', st.s, 'e', t.g3, 'res', st.res)
+    WHEN startswith(t.g1, 'start=') THEN named_struct('ph', 1, 's', t.g2, 'e', st.e, 'res', st.res)
+    ELSE named_struct('ph', 0, 's', st.s, 'e', st.e,
+                      'res', concat(st.res, array(named_struct('name', t.g1, 's', st.s, 'e', st.e)))) END).res"""
+
+
+def types_from_xml(df: DataFrame, xml_col: str = "types_xml", keys: Sequence[str] = ("repo", "idx", "path")) -> DataFrame:
+    """Class / enum / interface (name, start, end) from a start/end/name token list;
+    a start/end pair not followed by a name (anonymous class) is skipped."""
+    keys = list(keys)
+    x = F.col(xml_col)
+    tok = F.arrays_zip(F.regexp_extract_all(x, F.lit(TYPE_TOKEN), 1).alias("g1"),
+                       F.regexp_extract_all(x, F.lit(TYPE_TOKEN), 2).alias("g2"),
+                       F.regexp_extract_all(x, F.lit(TYPE_TOKEN), 3).alias("g3"))
+    t = drop_failed_parses(df, xml_col).select(*keys, tok.alias("_tok"))
+    t = t.select(*keys, F.posexplode(F.expr(_TYPE_FOLD)).alias("k", "_c"))
+    return (t.select(*keys, "k", F.col("_c.name").alias("name"), F.col("_c.s").try_cast("int").alias("line_start"),
+                     F.col("_c.e").try_cast("int").alias("line_end"))
+            .filter(F.col("line_start").isNotNull() & F.col("line_end").isNotNull()))
+
+
+# ---------------------------------------------------------------- X6
+def add_default_constructors(decls: DataFrame, types: DataFrame, keys: Sequence[str] = ("repo", "idx", "path")) -> DataFrame:
+    """Add a 0-argument constructor (with the type's lines) for each type that has no
+    0-argument member of its own name in the same file."""
+    keys = list(keys)
+    have = decls.filter(F.col("n_args") == 0).select(*keys, "name").distinct()
+    missing = types.join(have, [*keys, "name"], "left_anti")
+    synth = missing.select(*keys, "name", F.lit(0).alias("n_args"), F.lit(False).alias("varargs"),
+                           F.lit(True).alias("is_constructor"), "line_start", "line_end")
+    base = decls.select(*keys, "name", "n_args", "varargs", "is_constructor", "line_start", "line_end")
+    return base.unionByName(synth)
+
+
+# ---------------------------------------------------------------- X9
+def invocations_per_file(raw: DataFrame, keys: Sequence[str] = ("project", "path"),
+                         ident: Sequence[str] = ("cls", "return_type", "name", "arg_types", "n_args")) -> DataFrame:
+    """Merge equal calls of a file keeping the sorted line list and count; flag ``java.`` classes;
+    calls with an empty name are dropped."""
+    keys, ident = list(keys), list(ident)
+    r = raw.filter(F.col("name").isNotNull() & (F.col("name") != ""))
+    return (r.groupBy(*keys, *ident)
+            .agg(F.sort_array(F.collect_list("line")).alias("lines"), F.count(F.lit(1)).alias("count"))
+            .withColumn("is_java", F.coalesce(F.col("cls").startswith("java."), F.lit(False))))
+
+
+# ---------------------------------------------------------------- X10
+def declared_members(df: DataFrame) -> DataFrame:
+    """Declaration rows: ``args_types`` joined by ', ', ``n_args``, javadoc / body flags and spans
+    (-1 when absent)."""
+    return (df.withColumn("args_types", F.array_join("arg_type_list", ", "))
+            .withColumn("n_args", F.size("arg_type_list"))
+            .withColumn("has_javadoc", F.col("javadoc").isNotNull())
+            .withColumn("javadoc_line_start", F.coalesce(F.col("javadoc_line_start"), F.lit(-1)))
+            .withColumn("javadoc_line_end", F.coalesce(F.col("javadoc_line_end"), F.lit(-1)))
+            .withColumn("has_body", F.col("body").isNotNull())
+            .drop("arg_type_list"))
+
+
+# ---------------------------------------------------------------- X11
+_VIS_FOLD = """aggregate(ancestors,
+  named_struct('pub', CASE WHEN modifier IN ('private', 'protected') THEN false ELSE true END,
+               'pending', coalesce(modifier, '') NOT IN ('private', 'protected', 'public'),
+               'done', modifier IN ('private', 'protected')),
+  (st, a) -> CASE
+    WHEN st.done THEN st
+    WHEN a.kind IN ('anonymous', 'local') THEN named_struct('pub', false, 'pending', st.pending, 'done', true)
+    WHEN a.modifier IN ('private', 'protected') THEN named_struct('pub', false, 'pending', st.pending, 'done', true)
+    WHEN a.modifier = 'public' AND NOT st.pending THEN named_struct('pub', true, 'pending', false, 'done', false)
+    WHEN a.modifier = 'public' AND a.kind IN ('interface', 'annotation')
+      THEN named_struct('pub', true, 'pending', false, 'done', false)
+    WHEN a.modifier = 'public' THEN named_struct('pub', false, 'pending', false, 'done', true)
+    ELSE named_struct('pub', false, 'pending', st.pending, 'done', true) END).pub"""
+
+
+def effective_visibility(df: DataFrame) -> DataFrame:
+    """X11: ``is_public`` of a member given its ``modifier`` and ``ancestors`` (innermost first,
+    ``kind`` in class / interface / enum / annotation / anonymous / local).
+
+    Private or protected anywhere -> not public; a type without modifier -> not
+    public; a member without modifier is decided by the nearest public type
+    (interface / annotation -> public, class / enum -> not); inside an
+    anonymous or local type -> not public.
+    """
+    return df.withColumn("is_public", F.expr(_VIS_FOLD))
+
+
+# ---------------------------------------------------------------- X12
+def drop_local_types(df: DataFrame, qualified: str = "qualified_class") -> DataFrame:
+    """Drop members of local / anonymous types or with an empty qualified class name."""
+    return df.filter(~F.exists("ancestors", lambda a: a["kind"].isin("anonymous", "local"))
+                     & F.col(qualified).isNotNull() & (F.col(qualified) != ""))
+
+
+# ---------------------------------------------------------------- X13
+def qualified_type_name(types: DataFrame, packages: DataFrame | None = None,
+                        keys: Sequence[str] = ("project", "path")) -> DataFrame:
+    """``outer.inner`` name from the enclosing types (innermost first in ``ancestors``);
+    unresolved types get their file's package as prefix, joined with a dot."""
+    keys = list(keys)
+    outer = F.reverse(F.transform("ancestors", lambda a: a["name"]))
+    local = F.array_join(F.concat(outer, F.array(F.col("name"))), ".")
+    t = types.withColumn("_local", local)
+    if packages is not None:
+        p = packages.select(*keys, F.col("package").alias("_pkg")).dropDuplicates(keys)
+        t = t.join(p, keys, "left")
+    else:
+        t = t.withColumn("_pkg", F.lit(None).cast("string"))
+    q = F.when(F.col("resolved"), F.col("binding_name")).otherwise(F.concat_ws(".", F.col("_pkg"), F.col("_local")))
+    return t.withColumn("qualified_name", q).drop("_local", "_pkg")
+
+
+# ---------------------------------------------------------------- X14
+TYPE_KINDS = ("class", "interface", "enum", "annotation")
+
+
+def type_declarations(types: DataFrame) -> DataFrame:
+    """Distinct (project, path, qualified_name, kind code 0..3, resolved)."""
+    code = (F.when(F.col("kind") == "class", 0).when(F.col("kind") == "interface", 1)
+            .when(F.col("kind") == "enum", 2).when(F.col("kind") == "annotation", 3))
+    return (types.filter(F.col("kind").isin(*TYPE_KINDS))
+            .select("project", "path", "qualified_name", code.alias("kind_code"), "resolved").distinct())
+
+
+# ---------------------------------------------------------------- X15
+def package_declarations(pkgs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct (project, package, dir) and the files that declare more than one package."""
+    d = pkgs.select("project", "package", "dir").distinct()
+    multi = (pkgs.groupBy("project", "path").agg(F.count_distinct("package").alias("n_packages"))
+             .filter(F.col("n_packages") > 1))
+    return d, multi
+
+
+# ---------------------------------------------------------------- X16
+def public_members(methods: DataFrame, fields: DataFrame, calls: DataFrame) -> DataFrame:
+    """Public methods, public fields and resolved calls (by key) with a ``kind`` column."""
+    cols = ["project", "cls", "name"]
+    m = methods.filter(F.col("is_public")).select(*cols, F.lit("method").alias("kind"))
+    f = fields.filter(F.col("is_public")).select(*cols, F.lit("field").alias("kind"))
+    c = calls.filter(F.col("cls").isNotNull()).select(*cols, F.lit("call").alias("kind")).distinct()
+    return m.unionByName(f).unionByName(c)
+
+
+# ---------------------------------------------------------------- X17
+def relevant_files(files: DataFrame, facts: DataFrame, keys: Sequence[str] = ("repo", "idx", "path"),
+                   content: str = "content") -> DataFrame:
+    """Text and line count only for files that yielded at least one fact."""
+    from codetrail.functions.text import java_lines
+    keys = list(keys)
+    f = files.join(facts.select(*keys).distinct(), keys, "left_semi")
+    return f.withColumn("n_lines", F.size(java_lines(F.col(content))))
+
+
+# ---------------------------------------------------------------- X19
+def merge_projects(*dfs: DataFrame, distinct: bool = True) -> DataFrame:
+    """Union of per-project results (null parts skipped), set-merged when ``distinct``."""
+    parts = [d for d in dfs if d is not None]
+    out = parts[0]
+    for d in parts[1:]:
+        out = out.unionByName(d)
+    return out.distinct() if distinct else out
+
+
+# ---------------------------------------------------------------- X20
+def extraction_report(invocations: DataFrame, decls: DataFrame, packages: DataFrame, types: DataFrame) -> DataFrame:
+    """Totals: calls (sum of line counts), unique (file, method) calls, declarations, packages, types."""
+    i = invocations.agg(F.sum(F.size("lines")).alias("n_calls"), F.count(F.lit(1)).alias("n_unique_calls"))
+    d = decls.agg(F.count(F.lit(1)).alias("n_declarations"))
+    p = packages.agg(F.count(F.lit(1)).alias("n_packages"))
+    t = types.agg(F.count(F.lit(1)).alias("n_types"))
+    return i.crossJoin(d).crossJoin(p).crossJoin(t)

@@ -218,6 +218,45 @@ WHERE EXISTS (SELECT 1 FROM decl_versions d WHERE d.repo = p.repo AND d.name = p
               AND v.n_args = p.new_n_args AND {_ALIVE.format(d='v', at='p.idx')})""")
 
 
+XML_HEAD = ('<unit xmlns="http://www.srcML.org/srcML/src" xmlns:pos="http://www.srcML.org/srcML/position" '
+            'revision="1.0.0">')
+_A1 = "<argument><expr><name>a</name></expr></argument>"
+_P1 = "<parameter><decl><type><name>int</name></type> <name>a</name></decl></parameter>"
+_P2 = _P1.replace(">a<", ">b<")
+_VA = "<parameter><decl><type><name>String</name>...</type> <name>rest</name></decl></parameter>"
+
+_cte("xml_units", ["live_items"], f"""
+SELECT repo, idx, fno, k, rl, l_linenumber, api, name, n_args, varargs, p_size,
+  CAST(k + 1 + rl AS INTEGER) AS line, CAST(k + 1 + rl + p_size % 2 AS INTEGER) AS line_end,
+  '<unit revision="1.0.0" language="Java" item="' || CAST(rl AS VARCHAR) || '"><call><name>' ||
+  CASE WHEN l_linenumber % 3 = 0 THEN '<name>lib</name><operator>.</operator><name>' || api || '</name>'
+       WHEN l_linenumber % 3 = 1 THEN '<name>' || api || '</name><argument_list type="generic">&lt;<argument><name><name>java</name><operator>.</operator><name>T</name></name></argument>&gt;</argument_list>'
+       ELSE api END ||
+  '</name><argument_list pos:start="' || CAST(k + 1 + rl AS VARCHAR) || ':9" pos:end="' || CAST(k + 1 + rl AS VARCHAR) || ':30">(' ||
+  CASE WHEN n_args = 0 THEN '' WHEN n_args = 1 THEN '{_A1}'
+       ELSE '{_A1}, <argument><expr><call><name>f</name><argument_list pos:start="' || CAST(k + 1 + rl AS VARCHAR) ||
+            ':20">(<argument><expr>x</expr></argument>)</argument_list></call></expr></argument>' END ||
+  ')</argument_list></call></unit>' AS call_u,
+  '<unit revision="1.0.0" language="Java" item="' || CAST(rl AS VARCHAR) || '"><function pos:start="' ||
+  CAST(k + 1 + rl AS VARCHAR) || ':5" pos:end="' || CAST(k + 1 + rl + p_size % 2 AS VARCHAR) ||
+  ':5"><type><name>void</name></type> <name>' || name || '</name><parameter_list pos:start="' ||
+  CAST(k + 1 + rl AS VARCHAR) || ':20">(' ||
+  CASE WHEN varargs THEN (CASE WHEN n_args = 0 THEN '' WHEN n_args = 1 THEN '{_P1}' ELSE '{_P1}, {_P2}' END) ||
+                         (CASE WHEN n_args > 0 THEN ', ' ELSE '' END) || '{_VA}'
+       ELSE (CASE WHEN n_args = 0 THEN '' WHEN n_args = 1 THEN '{_P1}' ELSE '{_P1}, {_P2}' END) END ||
+  ')</parameter_list><block>{{<block_content/>}}</block></function></unit>' AS decl_u,
+  CASE WHEN l_linenumber % 3 = 0 THEN '<unit revision="1.0.0" item="9">start="' || CAST(k + 1 + rl AS VARCHAR) ||
+       ':30"</unit>' || chr(10) || '<unit revision="1.0.0" item="9">end="' || CAST(k + 1 + rl AS VARCHAR) || ':40"</unit>'
+       ELSE '' END AS type_u,
+  '<unit revision="1.0.0" item="1">start="' || CAST(k + 1 + rl AS VARCHAR) || ':5"</unit>' || chr(10) ||
+  '<unit revision="1.0.0" item="2">end="' || CAST(k + 1 + rl + p_size % 2 AS VARCHAR) || ':5"</unit>' || chr(10) ||
+  '<unit revision="1.0.0" item="3">' || name || '</unit>' AS span_u
+FROM live_items""")
+
+_cte("parsed_files", ["xml_units"], """
+SELECT repo, idx, fno, 'src/F' || CAST(fno AS VARCHAR) || '.java' AS path, max(k) AS k FROM xml_units GROUP BY ALL""")
+
+
 def with_carriers(names: list[str], body: str) -> str:
     """Prefix ``body`` with the CTEs for ``names`` and everything they depend on."""
     order: list[str] = []

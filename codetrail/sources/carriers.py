@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from codetrail.operators.history import first_parent_chain, expand_changes, file_intervals
 from codetrail.operators.facts import distinct_facts
+from codetrail.functions.lineage import materialize
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
           "pages benchmark labels conversations").split()
@@ -57,7 +58,7 @@ class Landed:
 
     @cached_property
     def commits(self) -> DataFrame:
-        return first_parent_chain(self.commit_log, order=["ts", "okey"])
+        return materialize(first_parent_chain(self.commit_log, order=["ts", "okey"]))
 
     @cached_property
     def repos(self) -> DataFrame:
@@ -72,8 +73,8 @@ class Landed:
     def lines(self) -> DataFrame:
         """lineitem rows placed on their commit, with the file number they touch."""
         li = self.t("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag")
-        return (li.join(self.commit_keys, li["l_orderkey"] == self.commit_keys["okey"])
-                .withColumn("fno", (F.col("l_partkey") % N_PATHS).cast("int")))
+        return materialize(li.join(self.commit_keys, li["l_orderkey"] == self.commit_keys["okey"])
+                           .withColumn("fno", (F.col("l_partkey") % N_PATHS).cast("int")))
 
     @cached_property
     def file_changes(self) -> DataFrame:
@@ -83,7 +84,7 @@ class Landed:
                 .when((F.col("fmin") == "A") & (F.col("fmax") == "R"), "R").otherwise("M"))
         path = path_of(F.col("fno"))
         old = F.concat(F.lit("src/old/F"), F.col("fno").cast("string"), F.lit(".java"))
-        return (agg.withColumn("kind", kind)
+        return materialize(agg.withColumn("kind", kind)
                 .select("repo", "idx", "kind",
                         F.when(F.col("kind") == "R", old).when(F.col("kind") == "A", F.lit(None).cast("string"))
                         .otherwise(path).alias("old_path"),
@@ -91,7 +92,7 @@ class Landed:
 
     @cached_property
     def intervals(self) -> DataFrame:
-        return file_intervals(expand_changes(self.file_changes))
+        return materialize(file_intervals(expand_changes(self.file_changes)))
 
     # --- code facts -----------------------------------------------------
     @cached_property
@@ -112,15 +113,15 @@ class Landed:
         j = (self.lines.join(pf, self.lines["l_partkey"] == pf["p_partkey"])
              .join(q, F.col("l_suppkey") == F.col("q_partkey")))
         w = Window.partitionBy("repo", "idx", "fno").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-        return j.withColumn("r", F.row_number().over(w))
+        return materialize(j.withColumn("r", F.row_number().over(w)))
 
     @cached_property
     def live_items(self) -> DataFrame:
         """Non-R items: the content of the file version opened at the commit."""
         w = Window.partitionBy("repo", "idx", "fno").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-        return (self.items.filter(F.col("l_returnflag") != "R")
-                .withColumn("rl", F.row_number().over(w))
-                .withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("repo", "idx", "fno"))))
+        return materialize(self.items.filter(F.col("l_returnflag") != "R")
+                           .withColumn("rl", F.row_number().over(w))
+                           .withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("repo", "idx", "fno"))))
 
     @cached_property
     def decl_facts(self) -> DataFrame:
@@ -179,7 +180,38 @@ class Landed:
         content = F.concat_ws("\n", F.array_join(F.transform("_l", lambda x: x["imp"]), "\n"),
                               F.concat(F.lit("public class F"), F.col("fno").cast("string"), F.lit(" {")),
                               F.array_join(F.transform("_l", lambda x: x["meth"]), "\n"), F.lit("}"))
-        return g.select("repo", "idx", path_of(F.col("fno")).alias("path"), content.alias("content"))
+        return materialize(g.select("repo", "idx", path_of(F.col("fno")).alias("path"), content.alias("content")))
+
+    @cached_property
+    def parsed_xml(self) -> DataFrame:
+        """Parser listings (calls, declarations, types, spans) of each file version, see ``xml_units``."""
+        u = xml_units(self.live_items)
+        g = u.groupBy("repo", "idx", "fno").agg(
+            F.array_sort(F.collect_list(F.struct("rl", "call_u", "decl_u", "type_u", "span_u"))).alias("_u"),
+            F.first("k").alias("k"))
+        k = F.col("k")
+        fno = F.col("fno").cast("string")
+        ln = lambda parts: F.array_join(parts, "\n")
+        calls = F.concat(F.lit(XML_HEAD + "\n"), ln(F.transform("_u", lambda x: x["call_u"])), F.lit("\n</unit>"))
+        ctor = F.when(k % 2 == 0, F.concat(
+            F.lit('\n<unit revision="1.0.0" language="Java" item="'), (k + 1).cast("string"),
+            F.lit('"><constructor pos:start="'), (k + 1).cast("string"), F.lit(':5" pos:end="'), (k + 1).cast("string"),
+            F.lit(':30"><name>F'), fno, F.lit('</name><parameter_list pos:start="'), (k + 1).cast("string"),
+            F.lit(':20">()</parameter_list><block>{}</block></constructor></unit>'))).otherwise(F.lit(""))
+        decls = F.concat(F.lit(XML_HEAD + "\n"), ln(F.transform("_u", lambda x: x["decl_u"])), ctor, F.lit("\n</unit>"))
+        cls_units = F.concat(F.lit('<unit revision="1.0.0" item="1">start="'), (k + 1).cast("string"),
+                             F.lit(':1"</unit>\n<unit revision="1.0.0" item="2">end="'), (2 * k + 2).cast("string"),
+                             F.lit(':1"</unit>\n<unit revision="1.0.0" item="3">F'), fno, F.lit("</unit>"))
+        anon = F.array_join(F.filter(F.transform("_u", lambda x: x["type_u"]), lambda t: t != ""), "\n")
+        types = F.concat_ws("\n", F.lit("<unit>"), cls_units, F.when(anon != "", anon), F.lit("</unit>"))
+        spans_all = F.transform("_u", lambda x: x["span_u"])
+        spans_list = F.when(F.col("fno") == 0, F.concat(
+            F.slice(spans_all, 1, F.size(spans_all) - 1),
+            F.array(F.regexp_replace(F.element_at(spans_all, -1), "\n[^\n]*$", "")))).otherwise(spans_all)
+        spans = F.concat_ws("\n", F.lit("<unit>"), F.array_join(spans_list, "\n"), F.lit("</unit>"))
+        calls = F.when((F.col("fno") == 6) & (k == 1), F.lit("srcML translator error: cannot parse")).otherwise(calls)
+        return materialize(g.select("repo", "idx", path_of(F.col("fno")).alias("path"), calls.alias("calls_xml"),
+                                    decls.alias("decls_xml"), types.alias("types_xml"), spans.alias("spans_xml")))
 
     @cached_property
     def edited_items(self) -> DataFrame:
@@ -221,9 +253,9 @@ class Landed:
         frag_l = F.concat_ws("\n", head, hunk, line, blank_l)
         g = it.groupBy("repo", "idx", "old_path", "path").agg(
             F.array_sort(F.collect_list(F.struct("r", frag_w.alias("w"), frag_l.alias("l")))).alias("_f"))
-        return g.select("repo", "idx", "old_path", "path",
-                        F.array_join(F.transform("_f", lambda x: x["w"]), "\n").alias("word_diff"),
-                        F.array_join(F.transform("_f", lambda x: x["l"]), "\n").alias("line_diff"))
+        return materialize(g.select("repo", "idx", "old_path", "path",
+                           F.array_join(F.transform("_f", lambda x: x["w"]), "\n").alias("word_diff"),
+                           F.array_join(F.transform("_f", lambda x: x["l"]), "\n").alias("line_diff")))
 
     # --- library knowledge ---------------------------------------------
     @cached_property
@@ -256,5 +288,46 @@ def mining_inputs(L: "Landed"):
         api_catalog=L.api_catalog, base_packages=base_packages(L.library_packages))
 
 
+XML_HEAD = ('<unit xmlns="http://www.srcML.org/srcML/src" xmlns:pos="http://www.srcML.org/srcML/position" '
+            'revision="1.0.0">')
+
+
+def xml_units(li: DataFrame) -> DataFrame:
+    """Per live item: its call unit, declaration unit, anonymous-class tokens and span tokens."""
+    ln = F.col("l_linenumber")
+    rl = F.col("rl").cast("string")
+    line = (F.col("k") + 1 + F.col("rl")).cast("string")
+    end = (F.col("k") + 1 + F.col("rl") + F.col("p_size") % 2).cast("string")
+    api = F.col("api")
+    name_xml = (F.when(ln % 3 == 0, F.concat(F.lit("<name>lib</name><operator>.</operator><name>"), api, F.lit("</name>")))
+                .when(ln % 3 == 1, F.concat(F.lit("<name>"), api, F.lit(
+                    "</name><argument_list type=\"generic\">&lt;<argument><name><name>java</name><operator>.</operator>"
+                    "<name>T</name></name></argument>&gt;</argument_list>")))
+                .otherwise(api))
+    a1 = "<argument><expr><name>a</name></expr></argument>"
+    n = F.col("n_args")
+    args_xml = (F.when(n == 0, F.lit("")).when(n == 1, F.lit(a1))
+                .otherwise(F.concat(F.lit(a1 + ", <argument><expr><call><name>f</name><argument_list pos:start=\""), line,
+                                    F.lit(':20">(<argument><expr>x</expr></argument>)</argument_list></call></expr></argument>'))))
+    call_u = F.concat(F.lit('<unit revision="1.0.0" language="Java" item="'), rl, F.lit('"><call><name>'), name_xml,
+                      F.lit('</name><argument_list pos:start="'), line, F.lit(':9" pos:end="'), line, F.lit(':30">('),
+                      args_xml, F.lit(")</argument_list></call></unit>"))
+    p1 = "<parameter><decl><type><name>int</name></type> <name>a</name></decl></parameter>"
+    params = F.when(n == 0, F.lit("")).when(n == 1, F.lit(p1)).otherwise(F.lit(p1 + ", " + p1.replace(">a<", ">b<")))
+    va = "<parameter><decl><type><name>String</name>...</type> <name>rest</name></decl></parameter>"
+    params = F.when(F.col("varargs"), F.concat(params, F.when(n > 0, F.lit(", ")).otherwise(F.lit("")), F.lit(va))).otherwise(params)
+    decl_u = F.concat(F.lit('<unit revision="1.0.0" language="Java" item="'), rl, F.lit('"><function pos:start="'), line,
+                      F.lit(':5" pos:end="'), end, F.lit(':5"><type><name>void</name></type> <name>'), F.col("name"),
+                      F.lit('</name><parameter_list pos:start="'), line, F.lit(':20">('), params,
+                      F.lit(')</parameter_list><block>{<block_content/>}</block></function></unit>'))
+    type_u = F.when(ln % 3 == 0, F.concat(F.lit('<unit revision="1.0.0" item="9">start="'), line,
+                                          F.lit(':30"</unit>\n<unit revision="1.0.0" item="9">end="'), line,
+                                          F.lit(':40"</unit>'))).otherwise(F.lit(""))
+    span_u = F.concat(F.lit('<unit revision="1.0.0" item="1">start="'), line, F.lit(':5"</unit>\n<unit revision="1.0.0" item="2">end="'),
+                      end, F.lit(':5"</unit>\n<unit revision="1.0.0" item="3">'), F.col("name"), F.lit("</unit>"))
+    return li.select("repo", "idx", "fno", "k", "rl", call_u.alias("call_u"), decl_u.alias("decl_u"),
+                     type_u.alias("type_u"), span_u.alias("span_u"))
+
+
 def args_text(n: F.Column) -> F.Column:
     return F.when(n == 0, F.lit("")).when(n == 1, F.lit("a")).otherwise(F.lit("a, b"))
