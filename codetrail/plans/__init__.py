@@ -4,3 +4,4 @@ from codetrail.plans import q_history  # noqa: F401
 from codetrail.plans import q_diffs  # noqa: F401
 from codetrail.plans import q_replace  # noqa: F401
 from codetrail.plans import q_facts  # noqa: F401
+from codetrail.plans import q_sources  # noqa: F401
