@@ -158,11 +158,13 @@ def files_at_commit(intervals: DataFrame, targets: DataFrame, suffix: str | None
     checked, otherwise the join shuffles on the repository key (AQE splits skew).
     """
     iv = intervals if suffix is None else intervals.filter(F.col("path").endswith(suffix))
-    t = targets.select(repo, "idx").distinct()
+    t = targets.select(F.col(repo).alias("_t_repo"), F.col("idx").alias("_t_idx")).distinct()
     if row_count_at_most(t, BROADCAST_ROW_LIMIT):
         t = F.broadcast(t)
-    cond = (iv[repo] == t[repo]) & (iv["valid_from"] <= t["idx"]) & (iv["valid_to"].isNull() | (iv["valid_to"] > t["idx"]))
-    return iv.join(t, cond).select(t[repo], t["idx"], iv["path"])
+    v = iv.select(F.col(repo).alias("_v_repo"), "path", "valid_from", "valid_to")
+    cond = ((v["_v_repo"] == t["_t_repo"]) & (v["valid_from"] <= t["_t_idx"])
+            & (v["valid_to"].isNull() | (v["valid_to"] > t["_t_idx"])))
+    return v.join(t, cond).select(F.col("_t_repo").alias(repo), F.col("_t_idx").alias("idx"), "path")
 
 
 # ---------------------------------------------------------------- H7
