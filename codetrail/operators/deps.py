@@ -53,9 +53,8 @@ def resolve_external(invocations: DataFrame, deps: DataFrame, classes: DataFrame
     cand = invocations.filter(~F.col("is_local") & ~F.col("is_java")).select(key, repo, cls)
     d = deps.select(repo, "group", "artifact", "version",
                     F.concat_ws(":", "group", "artifact", "version").alias("library")).distinct()
-    lib_cls = classes.select("library", F.col("class").alias("_c"))
-    hits = (cand.join(d, repo).join(lib_cls, (F.col("library") == lib_cls["library"]) & (F.col(cls) == F.col("_c")))
-            .drop(lib_cls["library"]))
+    lib_cls = classes.select(F.col("library").alias("_lib"), F.col("class").alias("_c"))
+    hits = cand.join(d, repo).join(lib_cls, (F.col("library") == F.col("_lib")) & (F.col(cls) == F.col("_c")))
     per = hits.groupBy(key).agg(
         F.count_distinct("group", "artifact", "version").alias("n_libs"),
         F.count_distinct("group", "artifact").alias("n_ga"),
@@ -70,7 +69,7 @@ def resolve_external(invocations: DataFrame, deps: DataFrame, classes: DataFrame
     if fallback:
         need = out.filter(F.col("status").isNull()).select(key, cls)
         fb = (need.join(lib_cls, need[cls] == lib_cls["_c"]).groupBy(key)
-              .agg(F.min("library").alias("_fb")))
+              .agg(F.min("_lib").alias("_fb")))
         parts = F.split("_fb", ":")
         out = (out.join(fb, key, "left")
                .withColumn("library", F.when(F.col("_fb").isNotNull() & F.col("status").isNull(),
@@ -130,54 +129,61 @@ def available_dependencies(deps: DataFrame, catalog: DataFrame, keys: Sequence[s
 
 
 # ---------------------------------------------------------------- R7
-def gradle_dependencies(files: DataFrame, content: str = "content", keys: Sequence[str] = ("repo", "path")) -> DataFrame:
-    """(group, artifact) inside a ``dependencies {`` block of a Gradle file.
+# The two coordinate shapes recognised in a Gradle dependency block.
+GRADLE_CALL = r'\w+\(\s*"([.\w-]+)"\s*,\s*"([.\w-]+)"\s*,\s*"([.\w-]+)"\s*\)'
+GRADLE_COLON = r"([.\w-]+):([.\w-]+):([.\w-]+)"
+
+_BLOCK_FOLD = """aggregate(_lines, named_struct('inb', false, 'lvl', 0, 'scan', CAST(array() AS ARRAY<BOOLEAN>)),
+  (st, l) -> CASE
+    WHEN NOT st.inb AND contains(l, 'dependencies {') THEN named_struct('inb', true, 'lvl', 0, 'scan', concat(st.scan, array(false)))
+    WHEN NOT st.inb THEN named_struct('inb', false, 'lvl', st.lvl, 'scan', concat(st.scan, array(false)))
+    ELSE named_struct(
+      'inb', (st.lvl + CASE WHEN contains(l, '{') THEN 1 WHEN contains(l, '}') THEN -1 ELSE 0 END) >= 0,
+      'lvl', st.lvl + CASE WHEN contains(l, '{') THEN 1 WHEN contains(l, '}') THEN -1 ELSE 0 END,
+      'scan', concat(st.scan, array(true))) END).scan"""
 
-    The block opens at a line containing ``dependencies {`` (that line itself is
-    not scanned); later lines with ``{`` add one level, otherwise lines with
-    ``}`` remove one; the block ends below level 0.  Per line the call form
-    ``x("g", "a", ...)`` is tried first, the ``'g:a:v'`` form only if it found nothing.
+
+def gradle_dependencies(files: DataFrame, content: str = "content", keys: Sequence[str] = ("repo", "path")) -> DataFrame:
+    """(group, artifact) of dependency coordinates inside a ``dependencies {`` block.
+
+    The block opens at a line containing ``dependencies {`` (that line is not
+    scanned); every later line is scanned, then a line with ``{`` adds a level,
+    otherwise one with ``}`` removes one, and the block closes below level 0 (a
+    later ``dependencies {`` opens it again).  Per line the call form
+    ``f("g", "a", "v")`` is used if it matches, else the ``g:a:v`` form.  The
+    block state is a fold over the lines of one build file.
     """
     keys = list(keys)
-    x = files.select(*keys, F.posexplode(java_lines(F.col(content))).alias("pos", "line"))
-    opens = F.col("line").contains("dependencies {")
-    x = x.withColumn("_open", opens.cast("int"))
-    w = Window.partitionBy(*keys).orderBy("pos")
-    # block number = opens so far; inside a block the brace level is a running sum since its opening line.
-    x = x.withColumn("_blk", F.sum("_open").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    step = F.when(F.col("_open") == 1, 0).when(F.col("line").contains("{"), 1).when(F.col("line").contains("}"), -1).otherwise(0)
-    x = x.withColumn("_step", step)
-    bw = Window.partitionBy(*keys, "_blk").orderBy("pos")
-    x = x.withColumn("_lvl", F.sum("_step").over(bw.rowsBetween(Window.unboundedPreceding, 0)))
-    # a block ends at the first line whose level drops below zero
-    x = x.withColumn("_closed", F.max((F.col("_lvl") < 0).cast("int")).over(bw.rowsBetween(Window.unboundedPreceding, 0)))
-    inside = (F.col("_blk") > 0) & (F.col("_open") == 0) & (F.col("_closed") == 0)
-    call_g = F.regexp_extract_all("line", F.lit(r"""\w+\s*\(\s*['"]([^'"]+)['"]\s*,\s*['"]([^'"]+)['"]"""), 1)
-    call_a = F.regexp_extract_all("line", F.lit(r"""\w+\s*\(\s*['"]([^'"]+)['"]\s*,\s*['"]([^'"]+)['"]"""), 2)
-    col_g = F.regexp_extract_all("line", F.lit(r"""['"]([^'":\s]+):([^'":\s]+)(?::[^'"]*)?['"]"""), 1)
-    col_a = F.regexp_extract_all("line", F.lit(r"""['"]([^'":\s]+):([^'":\s]+)(?::[^'"]*)?['"]"""), 2)
+    x = files.select(*keys, java_lines(F.col(content)).alias("_lines"))
+    x = x.select(*keys, F.posexplode(F.arrays_zip(F.col("_lines").alias("line"), F.expr(_BLOCK_FOLD).alias("scan")))
+                 .alias("pos", "_z")).filter(F.col("_z.scan"))
+    line = F.col("_z.line")
+    call_g = F.regexp_extract_all(line, F.lit(GRADLE_CALL), 1)
+    call_a = F.regexp_extract_all(line, F.lit(GRADLE_CALL), 2)
+    col_g = F.regexp_extract_all(line, F.lit(GRADLE_COLON), 1)
+    col_a = F.regexp_extract_all(line, F.lit(GRADLE_COLON), 2)
     pairs = F.when(F.size(call_g) > 0, F.arrays_zip(call_g.alias("group"), call_a.alias("artifact"))) \
              .otherwise(F.arrays_zip(col_g.alias("group"), col_a.alias("artifact")))
-    return (x.filter(inside).select(*keys, "pos", F.explode(pairs).alias("_d"))
+    return (x.select(*keys, "pos", F.explode(pairs).alias("_d"))
             .select(*keys, "pos", F.col("_d.group").alias("group"), F.col("_d.artifact").alias("artifact")))
 
 
 # ---------------------------------------------------------------- R8
 def pom_dependencies(files: DataFrame, content: str = "content", keys: Sequence[str] = ("repo", "path")) -> DataFrame:
-    """(group, artifact, version) of each ``/project/dependencies/dependency`` of a Maven file."""
+    """(group, artifact, version) of each ``/project/dependencies/dependency`` of a Maven file.
+
+    Versions are optional in a POM; they are attached by position only when
+    every dependency of the file has one, otherwise left null.
+    """
     base = "/project/dependencies/dependency"
     g = F.xpath(F.col(content), F.lit(f"{base}/groupId/text()"))
     a = F.xpath(F.col(content), F.lit(f"{base}/artifactId/text()"))
-    n = F.xpath(F.col(content), F.lit(f"count({base})"))
-    # versions are optional: read them per dependency position
-    v = F.transform(F.sequence(F.lit(1), F.greatest(F.size(g), F.lit(1))),
-                    lambda i: F.xpath_string(F.col(content), F.concat(F.lit(f"{base}["), i.cast("string"), F.lit("]/version/text()"))))
-    _ = n
+    v = F.xpath(F.col(content), F.lit(f"{base}/version/text()"))
+    v = F.when(F.size(v) == F.size(g), v).otherwise(F.array_repeat(F.lit(None).cast("string"), F.size(g)))
     z = F.arrays_zip(g.alias("group"), a.alias("artifact"), v.alias("version"))
     return (files.select(*keys, F.posexplode(z).alias("k", "_d"))
-            .filter(F.col("_d.group").isNotNull())
             .select(*keys, "k", F.col("_d.group").alias("group"), F.col("_d.artifact").alias("artifact"),
-                    F.when(F.col("_d.version") == "", None).otherwise(F.col("_d.version")).alias("version")))
+                    F.col("_d.version").alias("version")))
 
 
 # ---------------------------------------------------------------- R9

@@ -64,7 +64,7 @@ FROM part""")
 ARGS = "CASE {n} WHEN 0 THEN '' WHEN 1 THEN 'a' ELSE 'a, b' END"
 
 _cte("items", ["lines", "part_facts"], """
-SELECT l.*, p.name, p.n_args, p.varargs, p.p_size, p.p_type, p.api, p.cls, q.name AS old_name, q.n_args AS old_n_args,
+SELECT l.*, p.name, p.n_args, p.varargs, p.p_size, p.p_type, p.p_brand, p.api, p.cls, q.name AS old_name, q.n_args AS old_n_args,
        row_number() OVER (PARTITION BY l.repo, l.idx, l.fno ORDER BY l.l_linenumber, l.l_partkey, l.l_suppkey) AS r
 FROM lines l JOIN part_facts p ON l.l_partkey = p.p_partkey JOIN part_facts q ON q.p_partkey = l.l_suppkey""")
 
