@@ -6,3 +6,4 @@ from codetrail.plans import q_replace  # noqa: F401
 from codetrail.plans import q_facts  # noqa: F401
 from codetrail.plans import q_sources  # noqa: F401
 from codetrail.plans import q_deps  # noqa: F401
+from codetrail.plans import q_misc  # noqa: F401
