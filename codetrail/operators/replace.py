@@ -150,7 +150,7 @@ def first_changed_call(pairs: DataFrame) -> DataFrame:
         "CASE WHEN p.oi < 0 OR p.ni < 0 THEN 'stop' "
         f"WHEN {left_r} = {left_a} AND {_TRIM.format(x=left_r)} <> '' AND {_TRIM.format(x=left_r)} <> '.' THEN 'skip' "
         "ELSE 'hit' END))")
-    x = x.withColumn("_first", F.element_at(F.filter(status, lambda s: s["st"] != "skip"), 1))
+    x = x.withColumn("_first", F.try_element_at(F.filter(status, lambda s: s["st"] != "skip"), F.lit(1)))
     x = x.filter(F.col("_first.st") == "hit")
     old = F.element_at("removed_calls", F.col("_first.ri").cast("int"))
     new = F.element_at("added_calls", F.col("_first.ai").cast("int"))

@@ -87,14 +87,15 @@ def replacement_groups(inp: MiningInputs, checked: DataFrame) -> DataFrame:
     return G.drop_already_using(g)
 
 
-def mine_replacements(inp: MiningInputs) -> tuple[DataFrame, DataFrame]:
+def mine_replacements(inp: MiningInputs, materialize_inputs: bool = True) -> tuple[DataFrame, DataFrame]:
     """The ``APIReplacements`` rows (S11 layout) and the ``ImportsChanges`` rows.
 
     The declaration and call state tables are read by four interval joins, so
     they are materialised once in the reliable checkpoint folder; so are the
     surviving groups, which feed both result tables.
     """
-    inp = materialized(inp)
+    if materialize_inputs:
+        inp = materialized(inp)
     groups = materialize(replacement_groups(inp, checked_pairs(inp, candidate_pairs(inp))))
     return write_replacements_frame(groups, inp), import_changes_frame(groups, inp)
 

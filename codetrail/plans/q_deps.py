@@ -113,7 +113,7 @@ def _resolved(L: Landed, fallback: bool = True):
 
 @query("r1_resolve_local", _r_sql("SELECT inv_id, cls, is_local FROM local_flag"))
 def q_r1(spark, sf):
-    L = Landed(spark, sf)
+    L = Landed.get(spark, sf)
     return R.resolve_local(_invocations(L), _project_types(L)).select("inv_id", "cls", "is_local")
 
 
@@ -121,12 +121,12 @@ def q_r1(spark, sf):
 SELECT inv_id, cls, starts_with(cls, 'java.') AS is_java, starts_with(cls, 'javax.') OR starts_with(cls, 'sun.')
        AS is_javax_or_sun FROM inv_r"""))
 def q_r4(spark, sf):
-    return R.flag_platform_calls(_invocations(Landed(spark, sf))).select("inv_id", "cls", "is_java", "is_javax_or_sun")
+    return R.flag_platform_calls(_invocations(Landed.get(spark, sf))).select("inv_id", "cls", "is_java", "is_javax_or_sun")
 
 
 @query("r2_resolve_external", _r_sql("SELECT inv_id, cls, status, library FROM resolved"))
 def q_r2(spark, sf):
-    r = _resolved(Landed(spark, sf))
+    r = _resolved(Landed.get(spark, sf))
     return r.select("inv_id", "cls", "status", F.when(F.col("library").isNotNull(), F.concat_ws(
         ":", "library.group", "library.artifact", "library.version")).alias("library"))
 
@@ -142,7 +142,7 @@ SELECT CAST(count(*) AS BIGINT) AS total, CAST(count(*) FILTER (WHERE status <>
        CAST(count(*) FILTER (WHERE status = 'fallback') AS BIGINT) AS linked_by_fallback
 FROM resolved"""))
 def q_r3(spark, sf):
-    r = R.resolution_report(_resolved(Landed(spark, sf)))
+    r = R.resolution_report(_resolved(Landed.get(spark, sf)))
     return r.select(*[F.col(c).cast("long").alias(c) for c in r.columns])
 
 
@@ -179,7 +179,7 @@ SELECT w.repo, w."group", w.artifact,
 FROM wanted w LEFT JOIN cat c ON c."group" = w."group" AND c.artifact = w.artifact AND c.version = w.version
 LEFT JOIN latest l ON l."group" = w."group" AND l.artifact = w.artifact"""))
 def q_r5(spark, sf):
-    L = Landed(spark, sf)
+    L = Landed.get(spark, sf)
     return R.upgrade_missing_versions(_wanted_deps(L), _catalog_versions(L)).select(
         "repo", "group", "artifact", "version", "upgraded")
 
@@ -188,7 +188,7 @@ def q_r5(spark, sf):
 SELECT DISTINCT w."group", w.artifact, w.version FROM wanted w
 WHERE EXISTS (SELECT 1 FROM cat c WHERE c."group" = w."group" AND c.artifact = w.artifact AND c.version = w.version)"""))
 def q_r6(spark, sf):
-    L = Landed(spark, sf)
+    L = Landed.get(spark, sf)
     return R.available_dependencies(_wanted_deps(L), _catalog_versions(L))[0]
 
 
@@ -196,7 +196,7 @@ def q_r6(spark, sf):
 SELECT DISTINCT w."group", w.artifact, w.version FROM wanted w
 WHERE NOT EXISTS (SELECT 1 FROM cat c WHERE c."group" = w."group" AND c.artifact = w.artifact AND c.version = w.version)"""))
 def q_r6b(spark, sf):
-    L = Landed(spark, sf)
+    L = Landed.get(spark, sf)
     return R.available_dependencies(_wanted_deps(L), _catalog_versions(L))[1]
 
 
@@ -252,14 +252,14 @@ def _build_sql(body: str) -> str:
 @query("r7_gradle_dependencies", _build_sql("""
 SELECT repo, 'build.gradle' AS path, CAST(4 + k AS INTEGER) AS pos, "group", artifact FROM coords_ranked WHERE repo % 2 = 0"""))
 def q_r7(spark, sf):
-    b = _build_files(Landed(spark, sf))
+    b = _build_files(Landed.get(spark, sf))
     return R.gradle_dependencies(b.filter(F.col("path") == "build.gradle"))
 
 
 @query("r8_pom_dependencies", _build_sql("""
 SELECT repo, 'pom.xml' AS path, CAST(k AS INTEGER) AS k, "group", artifact, version FROM coords_ranked WHERE repo % 3 = 0"""))
 def q_r8(spark, sf):
-    b = _build_files(Landed(spark, sf))
+    b = _build_files(Landed.get(spark, sf))
     return R.pom_dependencies(b.filter(F.col("path") == "pom.xml"))
 
 
@@ -269,7 +269,7 @@ FROM (SELECT DISTINCT repo FROM coords WHERE repo % 2 = 0 OR repo % 3 = 0) r
 LEFT JOIN (SELECT DISTINCT repo, "group", artifact FROM coords
            WHERE "group" IN ('org.apache.commons', 'commons-io', 'commons-daemon')) c ON c.repo = r.repo"""))
 def q_r9(spark, sf):
-    return R.project_dependencies(_build_files(Landed(spark, sf)))
+    return R.project_dependencies(_build_files(Landed.get(spark, sf)))
 
 
 @query("r10_restrict_to_dependencies", with_carriers(["api_catalog", "live_items"], """
@@ -277,14 +277,14 @@ SELECT a.id, a.project, a.class, a.name FROM api_catalog a
 WHERE split_part(a.project, '|', 1) = 'org.lib'
   AND split_part(a.project, '|', 2) IN (SELECT DISTINCT lower(p_type) FROM live_items)"""))
 def q_r10(spark, sf):
-    L = Landed(spark, sf)
+    L = Landed.get(spark, sf)
     return R.restrict_to_dependencies(L.api_catalog, _deps(L)).select("id", "project", "class", "name")
 
 
 @query("r11_base_packages", with_carriers(["library_packages"], """
 SELECT project, min_by(package, (length(package), package)) AS package FROM library_packages GROUP BY project"""))
 def q_r11(spark, sf):
-    return R.base_packages(Landed(spark, sf).library_packages)
+    return R.base_packages(Landed.get(spark, sf).library_packages)
 
 
 @query("r12_imported_targets", with_carriers(["live_items"], """
@@ -292,7 +292,7 @@ SELECT repo, idx, 'src/F' || CAST(fno AS VARCHAR) || '.java' AS path,
        array_to_string(list_sort(list(DISTINCT 'org.lib.' || lower(p_type))), ',') AS packages
 FROM live_items GROUP BY repo, idx, fno"""))
 def q_r12(spark, sf):
-    L = Landed(spark, sf)
+    L = Landed.get(spark, sf)
     t = R.imported_targets(L.snapshots, R.base_packages(L.library_packages))
     return t.select("repo", "idx", "path", F.array_join("packages", ",").alias("packages"))
 
@@ -300,7 +300,7 @@ def q_r12(spark, sf):
 @query("r13_public_api_catalog", with_carriers(["api_catalog"], """
 SELECT id, project, class, name, n_args FROM api_catalog WHERE is_public"""))
 def q_r13(spark, sf):
-    return R.public_api_catalog(Landed(spark, sf).api_catalog).select("id", "project", "class", "name", "n_args")
+    return R.public_api_catalog(Landed.get(spark, sf).api_catalog).select("id", "project", "class", "name", "n_args")
 
 
 @query("r14_match_library_patterns", f"""
@@ -312,7 +312,7 @@ FROM arts a JOIN libs l ON l."group" = a."group"
 WHERE regexp_full_match(a.artifact, replace(l.artifact, '*', '.*'))
   AND regexp_full_match(a.version, replace(replace(l.version, '.', '[.]'), '*', '.*'))""")
 def q_r14(spark, sf):
-    L = Landed(spark, sf)
+    L = Landed.get(spark, sf)
     p = L.t("part")
     arts = p.select(F.concat(F.lit("org.lib."), F.lower("p_type")).alias("group"),
                     F.concat(F.lit("lib-"), F.lower("p_type"), F.lit("-"), (F.col("p_size") % 5).cast("string")).alias("artifact"),

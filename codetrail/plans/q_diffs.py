@@ -21,7 +21,7 @@ def _word_sql(body: str) -> str:
 SELECT repo, idx, old_path, path, CAST(pos AS INTEGER) AS pos, CAST(hunk AS INTEGER) AS hunk, line, before, after
 FROM numbered"""))
 def q_d1(spark, sf):
-    return D.diff_lines(Landed(spark, sf).diffs)
+    return D.diff_lines(Landed.get(spark, sf).diffs)
 
 
 @query("d2_paired_replacements", _word_sql("""
@@ -29,7 +29,7 @@ SELECT repo, idx, old_path, path, CAST(pos AS INTEGER) AS pos, CAST(hunk AS INTE
        0 AS k, trim(old_text) AS removed, trim(new_text) AS added
 FROM numbered WHERE l_returnflag = 'N'"""))
 def q_d2(spark, sf):
-    return D.paired_replacements(D.diff_lines(Landed(spark, sf).diffs))
+    return D.paired_replacements(D.diff_lines(Landed.get(spark, sf).diffs))
 
 
 @query("d3_unpaired_changes", _word_sql("""
@@ -39,7 +39,7 @@ SELECT repo, idx, old_path, path, CAST(pos AS INTEGER) AS pos, CAST(hunk AS INTE
        CASE WHEN l_returnflag = 'R' THEN 'removed' ELSE 'added' END AS side
 FROM numbered WHERE l_returnflag IN ('A', 'R')"""))
 def q_d3(spark, sf):
-    return D.unpaired_changes(D.diff_lines(Landed(spark, sf).diffs))
+    return D.unpaired_changes(D.diff_lines(Landed.get(spark, sf).diffs))
 
 
 @query("d4_import_changes", with_carriers(["diff_items"], """
@@ -51,7 +51,7 @@ SELECT repo, idx, old_path, path,
        CAST(count(CASE WHEN l_returnflag = 'R' THEN 1 END) AS BIGINT) AS n_removed
 FROM diff_items GROUP BY repo, idx, old_path, path"""))
 def q_d4(spark, sf):
-    x = D.import_changes(Landed(spark, sf).diffs)
+    x = D.import_changes(Landed.get(spark, sf).diffs)
     return x.select("repo", "idx", "old_path", "path", "added_text", "removed_text",
                     F.size("added").cast("long").alias("n_added"), F.size("removed").cast("long").alias("n_removed"))
 
@@ -68,7 +68,7 @@ FROM (SELECT repo, idx, old_path, path, hunk,
             FROM diff_items) t
       GROUP BY repo, idx, old_path, path, hunk) g"""))
 def q_d5(spark, sf):
-    return D.hunks(Landed(spark, sf).diffs)
+    return D.hunks(Landed.get(spark, sf).diffs)
 
 
 @query("d6_modified_line_ranges", with_carriers(["diff_items"], """
@@ -82,7 +82,7 @@ FROM (SELECT *, coalesce(sum(n_lines) OVER (PARTITION BY repo, idx, path ORDER B
             FROM diff_items) a) b
 WHERE hunk_head IS NOT NULL"""))
 def q_d6(spark, sf):
-    return D.modified_line_ranges(Landed(spark, sf).diffs)
+    return D.modified_line_ranges(Landed.get(spark, sf).diffs)
 
 
 @query("d7_size_guard", _word_sql("""
@@ -95,7 +95,7 @@ JOIN (SELECT repo, idx, path, count(*) AS n_pairs FROM numbered WHERE l_returnfl
   ON n.repo = p.repo AND n.idx = p.idx AND n.path = p.path
 WHERE n.l_returnflag = 'N' AND e.n_edited <= 20 AND p.n_pairs <= 1000"""))
 def q_d7(spark, sf):
-    L = Landed(spark, sf)
+    L = Landed.get(spark, sf)
     pairs = D.paired_replacements(D.diff_lines(L.diffs))
     edited = L.file_changes.filter(F.col("kind").isin("M", "R"))
     g = D.size_guard(pairs, edited)

@@ -18,7 +18,7 @@ _PATH = "'src/F' || CAST(fno AS VARCHAR) || '.java'"
 SELECT repo, idx, {_PATH} AS path, CAST(rl - 1 AS INTEGER) AS unit_pos, api AS name, n_args, line
 FROM xml_units WHERE NOT {_FAILED}"""))
 def q_x1(spark, sf):
-    return X.calls_from_xml(Landed(spark, sf).parsed_xml)
+    return X.calls_from_xml(Landed.get(spark, sf).parsed_xml)
 
 
 _X3 = f"""
@@ -31,21 +31,21 @@ SELECT repo, idx, path, CAST(k AS INTEGER), 'F' || CAST(fno AS VARCHAR), 0, fals
 
 @query("x3_declarations_from_xml", with_carriers(["xml_units", "parsed_files"], _X3))
 def q_x3(spark, sf):
-    return X.declarations_from_xml(Landed(spark, sf).parsed_xml)
+    return X.declarations_from_xml(Landed.get(spark, sf).parsed_xml)
 
 
 @query("x4_declaration_spans_from_xml", with_carriers(["xml_units"], f"""
 SELECT repo, idx, {_PATH} AS path, CAST(rl - 1 AS INTEGER) AS k, name, line AS line_start, line_end
 FROM xml_units WHERE fno <> 0"""))
 def q_x4(spark, sf):
-    return X.declaration_spans_from_xml(Landed(spark, sf).parsed_xml)
+    return X.declaration_spans_from_xml(Landed.get(spark, sf).parsed_xml)
 
 
 @query("x5_types_from_xml", with_carriers(["parsed_files"], """
 SELECT repo, idx, path, 0 AS k, 'F' || CAST(fno AS VARCHAR) AS name, CAST(k + 1 AS INTEGER) AS line_start,
        CAST(2 * k + 2 AS INTEGER) AS line_end FROM parsed_files"""))
 def q_x5(spark, sf):
-    return X.types_from_xml(Landed(spark, sf).parsed_xml)
+    return X.types_from_xml(Landed.get(spark, sf).parsed_xml)
 
 
 @query("x6_add_default_constructors", with_carriers(["xml_units", "parsed_files"], f"""
@@ -54,20 +54,20 @@ UNION ALL
 SELECT repo, idx, path, 'F' || CAST(fno AS VARCHAR), 0, false, true, CAST(k + 1 AS INTEGER), CAST(2 * k + 2 AS INTEGER)
 FROM parsed_files WHERE k % 2 = 1"""))
 def q_x6(spark, sf):
-    p = Landed(spark, sf).parsed_xml
+    p = Landed.get(spark, sf).parsed_xml
     return X.add_default_constructors(X.declarations_from_xml(p), X.types_from_xml(p))
 
 
 @query("x7_distinct_facts", with_carriers(["decls"], """
 SELECT repo, idx, path, name, n_args, varargs, is_constructor, line_start, line_end FROM decls"""))
 def q_x7(spark, sf):
-    return Landed(spark, sf).decls
+    return Landed.get(spark, sf).decls
 
 
 @query("x8_drop_failed_parses", with_carriers(["parsed_files"], f"""
 SELECT repo, idx, path FROM parsed_files WHERE NOT {_FAILED}"""))
 def q_x8(spark, sf):
-    return X.drop_failed_parses(Landed(spark, sf).parsed_xml, "calls_xml").select(*KEYS)
+    return X.drop_failed_parses(Landed.get(spark, sf).parsed_xml, "calls_xml").select(*KEYS)
 
 
 def _raw_calls(L: Landed):
@@ -99,7 +99,7 @@ def _calls_sql(body: str) -> str:
 SELECT project, idx, path, cls, name, n_args, array_to_string(lines, ',') AS lines, CAST(cnt AS BIGINT) AS count,
        starts_with(cls, 'java.') AS is_java FROM inv"""))
 def q_x9(spark, sf):
-    i = X.invocations_per_file(_raw_calls(Landed(spark, sf)), keys=("project", "idx", "path"))
+    i = X.invocations_per_file(_raw_calls(Landed.get(spark, sf)), keys=("project", "idx", "path"))
     return i.select("project", "idx", "path", "cls", "name", "n_args", F.array_join("lines", ",").alias("lines"),
                     F.col("count").cast("long").alias("count"), "is_java")
 
@@ -113,7 +113,7 @@ SELECT repo, idx, path, name,
        NOT varargs AS has_body
 FROM decls"""))
 def q_x10(spark, sf):
-    d = Landed(spark, sf).decls
+    d = Landed.get(spark, sf).decls
     even = F.col("line_start") % 2 == 0
     x = d.select("repo", "idx", "path", "name", F.array_repeat(F.lit("int"), F.col("n_args")).alias("arg_type_list"),
                  F.when(even, F.lit("/** doc */")).alias("javadoc"),
@@ -167,14 +167,14 @@ def _members_sql(body: str) -> str:
 @query("x11_effective_visibility", _members_sql("""
 SELECT project, idx, path, name, l_linenumber, l_partkey, l_suppkey, is_public FROM vis"""))
 def q_x11(spark, sf):
-    m = X.effective_visibility(_members(Landed(spark, sf)))
+    m = X.effective_visibility(_members(Landed.get(spark, sf)))
     return m.select("project", "idx", "path", "name", "l_linenumber", "l_partkey", "l_suppkey", "is_public")
 
 
 @query("x12_drop_local_types", _members_sql("""
 SELECT project, idx, path, name, l_linenumber, l_partkey, l_suppkey FROM members WHERE l_linenumber <> 7"""))
 def q_x12(spark, sf):
-    m = X.drop_local_types(_members(Landed(spark, sf)))
+    m = X.drop_local_types(_members(Landed.get(spark, sf)))
     return m.select("project", "idx", "path", "name", "l_linenumber", "l_partkey", "l_suppkey")
 
 
@@ -233,25 +233,25 @@ def _qualified(L: Landed):
 
 @query("x13_qualified_type_name", _types_sql("SELECT project, idx, path, name, qualified_name FROM qt"))
 def q_x13(spark, sf):
-    return _qualified(Landed(spark, sf)).select("project", "idx", "path", "name", "qualified_name")
+    return _qualified(Landed.get(spark, sf)).select("project", "idx", "path", "name", "qualified_name")
 
 
 @query("x14_type_declarations", _types_sql("""
 SELECT DISTINCT project, path, qualified_name, kind_code, resolved FROM qt"""))
 def q_x14(spark, sf):
-    return X.type_declarations(_qualified(Landed(spark, sf)))
+    return X.type_declarations(_qualified(Landed.get(spark, sf)))
 
 
 @query("x15_package_declarations", _types_sql("SELECT DISTINCT project, package, dir FROM pk"))
 def q_x15(spark, sf):
-    return X.package_declarations(_packages(Landed(spark, sf)))[0]
+    return X.package_declarations(_packages(Landed.get(spark, sf)))[0]
 
 
 @query("x15_multi_package_files", _types_sql("""
 SELECT project, path, CAST(count(DISTINCT package) AS BIGINT) AS n_packages FROM pk GROUP BY ALL
 HAVING count(DISTINCT package) > 1"""))
 def q_x15b(spark, sf):
-    return X.package_declarations(_packages(Landed(spark, sf)))[1]
+    return X.package_declarations(_packages(Landed.get(spark, sf)))[1]
 
 
 @query("x16_public_members", (lambda b: b[: -len("\nSELECT 1")])(with_carriers(["xml_units", "live_items"], "SELECT 1"))
@@ -263,7 +263,7 @@ FROM live_items WHERE l_linenumber % 2 = 0 AND p_size % 2 = 0
 UNION ALL
 SELECT DISTINCT project, cls, name, 'call' FROM raw_calls""")
 def q_x16(spark, sf):
-    L = Landed(spark, sf)
+    L = Landed.get(spark, sf)
     m = X.effective_visibility(_members(L)).select("project", F.col("qualified_class").alias("cls"), "name", "is_public")
     li = L.live_items
     fields = li.filter(F.col("l_linenumber") % 2 == 0).select(
@@ -280,14 +280,14 @@ SELECT s.repo, s.idx, s.path, s.content, CAST(len(string_split(s.content, chr(10
 FROM snapshots s JOIN parsed_files p ON p.repo = s.repo AND p.idx = s.idx AND p.path = s.path
 WHERE NOT (p.fno = 6 AND p.k = 1)"""))
 def q_x17(spark, sf):
-    L = Landed(spark, sf)
+    L = Landed.get(spark, sf)
     return X.relevant_files(L.snapshots, X.calls_from_xml(L.parsed_xml))
 
 
 @query("x19_merge_projects", with_carriers(["parsed_files"], """
 SELECT DISTINCT repo, path, 'F' || CAST(fno AS VARCHAR) AS name FROM parsed_files"""))
 def q_x19(spark, sf):
-    p = Landed(spark, sf).parsed_xml
+    p = Landed.get(spark, sf).parsed_xml
     t = X.types_from_xml(p).select("repo", "path", "name")
     c = X.add_default_constructors(X.declarations_from_xml(p), X.types_from_xml(p)).filter(
         F.col("is_constructor")).select("repo", "path", "name")
@@ -302,7 +302,7 @@ SELECT (SELECT CAST(sum(cnt) AS BIGINT) FROM inv) AS n_calls, (SELECT CAST(count
        (SELECT CAST(count(*) AS BIGINT) FROM (SELECT DISTINCT project, path, qualified_name, kind_code, resolved FROM qt))
          AS n_types""")
 def q_x20(spark, sf):
-    L = Landed(spark, sf)
+    L = Landed.get(spark, sf)
     inv = X.invocations_per_file(_raw_calls(L), keys=("project", "idx", "path"))
     pk, _ = X.package_declarations(_packages(L))
     return X.extraction_report(inv, L.decls, pk, X.type_declarations(_qualified(L))).select(

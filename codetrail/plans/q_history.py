@@ -13,7 +13,7 @@ from codetrail.sources.carriers import Landed
 
 def removed_local_calls(spark, sf):
     """Flagship: calls whose method was declared in the project before the commit and nowhere after it."""
-    L = Landed(spark, sf)
+    L = Landed.get(spark, sf)
     before = was_local_before(L.calls, L.decl_versions)
     return gone_after(before, L.decl_versions).select("repo", "idx", "name", "n_args")
 
@@ -34,7 +34,7 @@ query("g6_g7_removed_local_calls", FLAGSHIP_SQL)(removed_local_calls)
 @query("h2_first_parent_chain", with_carriers(["commits"], """
 SELECT repo, sha, idx, parent_sha, subject, total FROM commits"""))
 def q_h2(spark, sf):
-    return Landed(spark, sf).commits.select("repo", "sha", "idx", "parent_sha", "subject", "total")
+    return Landed.get(spark, sf).commits.select("repo", "sha", "idx", "parent_sha", "subject", "total")
 
 
 @query("h5_expand_changes", with_carriers(["file_changes"], """
@@ -45,13 +45,13 @@ UNION ALL SELECT repo, idx, 'add', path, NULL, NULL FROM file_changes WHERE kind
 UNION ALL SELECT repo, idx, 'edit', path, old_path, CASE WHEN kind = 'R' THEN 0 ELSE 1 END
 FROM file_changes WHERE kind IN ('M', 'R')"""))
 def q_h5(spark, sf):
-    ev = H.expand_changes(Landed(spark, sf).file_changes)
+    ev = H.expand_changes(Landed.get(spark, sf).file_changes)
     return ev.select("repo", "idx", "event", "path", "old_path", "edit_rank")
 
 
 @query("h9_file_intervals", with_carriers(["intervals"], "SELECT repo, path, valid_from, valid_to FROM intervals"))
 def q_h9(spark, sf):
-    return Landed(spark, sf).intervals
+    return Landed.get(spark, sf).intervals
 
 
 # ---------------------------------------------------------------- H1 (+ H2 from log positions)
@@ -67,7 +67,7 @@ def _log_lines(L: Landed):
 SELECT repo, sha, CASE WHEN okey % 10 IN (0, 5) THEN '' ELSE subject END AS subject, idx, parent_sha, total
 FROM commits"""))
 def q_h1(spark, sf):
-    parsed = H.parse_commit_log(_log_lines(Landed(spark, sf)))
+    parsed = H.parse_commit_log(_log_lines(Landed.get(spark, sf)))
     return H.first_parent_chain(parsed, pos_col="pos").select("repo", "sha", "subject", "idx", "parent_sha", "total")
 
 
@@ -102,7 +102,7 @@ def _ns_sql(body: str) -> str:
 
 @query("h3_parse_name_status", _ns_sql("SELECT repo, idx, kind, old_path, path FROM ns"))
 def q_h3(spark, sf):
-    return H.parse_name_status(_name_status_lines(Landed(spark, sf)))
+    return H.parse_name_status(_name_status_lines(Landed.get(spark, sf)))
 
 
 @query("h4_commit_change_summary", _ns_sql("""
@@ -119,7 +119,7 @@ SELECT repo, idx, CAST(count(*) AS BIGINT) AS total,
          AS renamed
 FROM ns GROUP BY repo, idx"""))
 def q_h4(spark, sf):
-    s = H.commit_change_summary(H.parse_name_status(_name_status_lines(Landed(spark, sf))))
+    s = H.commit_change_summary(H.parse_name_status(_name_status_lines(Landed.get(spark, sf))))
     return s.select("repo", "idx", *[F.col(c).cast("long").alias(c) for c in
                                      ("total", "n_added", "n_deleted", "n_modified", "n_renamed", "n_other")],
                     *[F.array_join(c, ",").alias(c) for c in ("added", "deleted", "modified", "renamed")])
@@ -131,7 +131,7 @@ SELECT c.repo, c.idx, v.path FROM commits c JOIN intervals v ON v.repo = c.repo
   AND v.valid_from <= c.idx AND (v.valid_to IS NULL OR v.valid_to > c.idx)
 WHERE ends_with(v.path, '.java')"""))
 def q_h6(spark, sf):
-    L = Landed(spark, sf)
+    L = Landed.get(spark, sf)
     return H.files_at_commit(L.intervals, L.commits, suffix=".java")
 
 
@@ -143,7 +143,7 @@ LEFT JOIN intervals v ON v.repo = r.repo AND v.path = r.path AND v.valid_from <=
      AND (v.valid_to IS NULL OR v.valid_to > r.idx)
 LEFT JOIN snapshots s ON s.repo = v.repo AND s.path = v.path AND s.idx = v.valid_from"""))
 def q_h7(spark, sf):
-    L = Landed(spark, sf)
+    L = Landed.get(spark, sf)
     req = L.commits.select("repo", "idx", F.explode(F.sequence(F.lit(0), F.lit(6))).alias("f")).select(
         "repo", "idx", F.concat(F.lit("src/F"), F.col("f").cast("string"), F.lit(".java")).alias("path"))
     return H.content_at_commit(L.snapshots, L.intervals, req).select("repo", "idx", "path", "content")
@@ -171,14 +171,14 @@ def _prev_sql(deps, body: str) -> str:
 
 @query("h8a_interesting_commits", _prev_sql([], "SELECT DISTINCT repo_name, cur_commit FROM prev"))
 def q_h8a(spark, sf):
-    return H.interesting_commits(_previous_results(Landed(spark, sf)))
+    return H.interesting_commits(_previous_results(Landed.get(spark, sf)))
 
 
 @query("h8b_restrict_repos", _prev_sql([], """
 SELECT c_custkey AS repo, c_name AS repo_name, lower(c_mktsegment) AS default_branch FROM customer
 WHERE c_name IN (SELECT repo_name FROM prev)"""))
 def q_h8b(spark, sf):
-    L = Landed(spark, sf)
+    L = Landed.get(spark, sf)
     return H.restrict_repos(L.repos, H.interesting_commits(_previous_results(L)), repo="repo_name")
 
 
@@ -187,7 +187,7 @@ SELECT c.repo, c.idx, c.sha FROM commits c
 WHERE EXISTS (SELECT 1 FROM prev p JOIN commits c2 ON c2.repo = p.repo AND c2.sha = p.cur_commit
               WHERE c2.repo = c.repo AND (c2.idx = c.idx OR c2.idx = c.idx + 1))"""))
 def q_h8c(spark, sf):
-    L = Landed(spark, sf)
+    L = Landed.get(spark, sf)
     o = L.t("orders").filter(F.col("o_orderstatus") == "F").select(
         F.col("o_custkey").alias("repo_name"), F.col("o_orderkey").cast("string").alias("cur_commit"))
     return H.restrict_commits(L.commits, o).select("repo", "idx", "sha")
@@ -200,7 +200,7 @@ FROM commits c LEFT JOIN decl_versions d ON d.repo = c.repo AND d.valid_from <=
      AND (d.valid_to IS NULL OR d.valid_to > c.idx)
 GROUP BY c.repo, c.idx"""))
 def q_h10(spark, sf):
-    L = Landed(spark, sf)
+    L = Landed.get(spark, sf)
     t = H.state_totals(L.decls, L.intervals, L.commits)
     return t.select("repo", "idx", F.col("n_total").cast("long").alias("n_total"))
 
@@ -208,13 +208,13 @@ def q_h10(spark, sf):
 @query("h11_modified_files", with_carriers(["file_changes"], """
 SELECT repo, idx, kind, old_path, path FROM file_changes WHERE kind = 'M' AND ends_with(path, '.java')"""))
 def q_h11(spark, sf):
-    return H.modified_files(Landed(spark, sf).file_changes)
+    return H.modified_files(Landed.get(spark, sf).file_changes)
 
 
 @query("h12_all_non_merge_commits", with_carriers(["commits"], """
 SELECT repo, sha FROM commits WHERE okey % 13 <> 0"""))
 def q_h12(spark, sf):
-    c = Landed(spark, sf).commits
+    c = Landed.get(spark, sf).commits
     parents = F.when(F.col("okey") % 13 == 0, F.array("parent_sha", F.concat(F.lit("merge"), F.col("sha")))) \
         .otherwise(F.array("parent_sha"))
     return H.all_non_merge_commits(c.select("repo", "sha", parents.alias("parents")))

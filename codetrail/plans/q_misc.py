@@ -38,7 +38,7 @@ def _pages(L: Landed):
 @query("l1_artifact_links", _PAGES + """
 SELECT page_id, pos, href, text, split_part(href, '/', -1) AS artifact FROM links WHERE starts_with(href, '/')""")
 def q_l1(spark, sf):
-    return Lp.artifact_links(_pages(Landed(spark, sf)), prefix="/")
+    return Lp.artifact_links(_pages(Landed.get(spark, sf)), prefix="/")
 
 
 @query("l2_pages_before_empty", _PAGES + """,
@@ -49,7 +49,7 @@ stop AS (SELECT "group", min(page_no) AS s FROM n WHERE n_links = 0 GROUP BY ALL
 SELECT n.page_id, n."group", n.page_no, n.n_links FROM n LEFT JOIN stop USING ("group")
 WHERE stop.s IS NULL OR n.page_no < stop.s""")
 def q_l2(spark, sf):
-    pg = _pages(Landed(spark, sf))
+    pg = _pages(Landed.get(spark, sf))
     links = Lp.artifact_links(pg, prefix="/t")
     return Lp.pages_before_empty(pg, links).select("page_id", "group", "page_no", "n_links")
 
@@ -77,7 +77,7 @@ def _moves(L: Landed):
 m1 AS (SELECT "group", artifact, min(new_group) AS ng, min(new_artifact) AS na, count(*) AS n FROM moves GROUP BY ALL)
 SELECT a."group", a.artifact, m.new_group, m.new_artifact FROM arts a LEFT JOIN moves m USING ("group", artifact)""")
 def q_l3(spark, sf):
-    arts, mv = _moves(Landed(spark, sf))
+    arts, mv = _moves(Landed.get(spark, sf))
     m = mv.select(F.col("group").alias("_g"), F.col("artifact").alias("_a"), "new_group", "new_artifact")
     return arts.join(m, (arts["group"] == m["_g"]) & (arts["artifact"] == m["_a"]), "left").select(
         "group", "artifact", "new_group", "new_artifact")
@@ -89,7 +89,7 @@ SELECT a."group", a.artifact, coalesce(m.new_artifact, a.artifact) AS resolved_a
 FROM arts a LEFT JOIN moves m USING ("group", artifact)
 WHERE NOT (m.new_artifact IS NOT NULL AND m.new_group <> a."group")""")
 def q_l3b(spark, sf):
-    arts, mv = _moves(Landed(spark, sf))
+    arts, mv = _moves(Landed.get(spark, sf))
     return Lp.resolve_moved(arts, mv).select("group", "artifact", "resolved_artifact", "moved")
 
 
@@ -97,14 +97,14 @@ def q_l3b(spark, sf):
 SELECT p.page_id, (SELECT href FROM links l WHERE l.page_id = p.page_id ORDER BY pos LIMIT 1) AS latest_release
 FROM pages p""")
 def q_l4(spark, sf):
-    return Lp.latest_release(_pages(Landed(spark, sf)))
+    return Lp.latest_release(_pages(Landed.get(spark, sf)))
 
 
 @query("l4_download_listing_missing", _PAGES + """
 SELECT page_id FROM pages p
 WHERE NOT EXISTS (SELECT 1 FROM links l WHERE l.page_id = p.page_id AND trim(l.text) = 'View All')""")
 def q_l4b(spark, sf):
-    return Lp.download_listing(_pages(Landed(spark, sf)))[1]
+    return Lp.download_listing(_pages(Landed.get(spark, sf)))[1]
 
 
 def _archive_links(L: Landed):
@@ -126,7 +126,7 @@ SELECT page_id, pos, title, url, split_part(url, '/', -1) AS file_name FROM al
 WHERE ends_with(title, '-sources.jar') AND NOT ends_with(title, 'test-sources.jar')
   AND split_part(url, '/', -1) NOT IN (SELECT file_name FROM held)""")
 def q_l5(spark, sf):
-    x, held = _archive_links(Landed(spark, sf))
+    x, held = _archive_links(Landed.get(spark, sf))
     return Lp.source_archives(x, held).select("page_id", "pos", "title", "url", "file_name")
 
 
@@ -153,7 +153,7 @@ verd AS (SELECT artifact_id, CAST(CASE WHEN t3 IS NULL THEN 2 ELSE 3 END AS BIGI
 
 @query("p2_adjudicate_labels", "WITH " + _LABELS + "\nSELECT * FROM verd")
 def q_p2(spark, sf):
-    v = P.adjudicate_labels(_label_rows(Landed(spark, sf)))
+    v = P.adjudicate_labels(_label_rows(Landed.get(spark, sf)))
     return v.select("artifact_id", F.col("n_taggers").cast("long").alias("n_taggers"),
                     F.col("n_valid").cast("long").alias("n_valid"), "is_valid", "agreed")
 
@@ -166,7 +166,7 @@ SELECT * FROM ({_P1_SQL}) r
 WHERE NOT regexp_matches(split_part(old_method, '(', 1), '^(get|set|is)[A-Z_].*') AND split_part(old_method, '(', 1) <> 'main'
   AND count >= 1""")
 def q_p1(spark, sf):
-    rep, _ = M.mine_replacements(mining_inputs(Landed(spark, sf)))
+    rep, _ = Landed.get(spark, sf).mined
     return P.select_replacements(rep, min_count=1)
 
 
@@ -178,8 +178,8 @@ UNION ALL SELECT 'selected', CAST(count(*) AS BIGINT) FROM r WHERE count >= 2
 UNION ALL SELECT 'valid', CAST(count(*) AS BIGINT) FROM r WHERE count >= 2
   AND id IN (SELECT artifact_id FROM verd WHERE is_valid)""")
 def q_p3(spark, sf):
-    L = Landed(spark, sf)
-    rep, _ = M.mine_replacements(mining_inputs(L))
+    L = Landed.get(spark, sf)
+    rep, _ = L.mined
     sel = P.select_replacements(rep, min_count=2)
     out = P.funnel(rep, sel, P.adjudicate_labels(_label_rows(L)))
     return out.select("stage", F.col("n").cast("long").alias("n"))
@@ -207,7 +207,7 @@ SELECT repo, CAST(count(*) AS BIGINT) AS n_commits,
        arg_max(sha, idx) AS last_sha
 FROM d GROUP BY repo""")
 def q_u1(spark, sf):
-    c = Landed(spark, sf).commits.select("repo", "idx", "sha", "subject")
+    c = Landed.get(spark, sf).commits.select("repo", "idx", "sha", "subject")
     return analyze_history(c, _count_changes, _close,
                            "repo long, n_commits long, n_subject_changes long, last_sha string",
                            init=lambda: (0, 0, None, None))

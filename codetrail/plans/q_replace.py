@@ -34,7 +34,7 @@ _AD = "CASE WHEN l_linenumber % 2 = 0 THEN 'size(0),' ELSE '' END || new_name ||
 SELECT repo, idx, path, pos, k, {_RM} AS removed_methods, {_AD} AS added_methods,
        n_calls AS n_removed, n_calls AS n_added FROM pairs"""))
 def q_x2(spark, sf):
-    p = _pairs(Landed(spark, sf))
+    p = _pairs(Landed.get(spark, sf))
     return p.select(*PAIR_COLS, render_call_list(F.col("removed_calls")).alias("removed_methods"),
                     render_call_list(F.col("added_calls")).alias("added_methods"),
                     F.size("removed_calls").alias("n_removed"), F.size("added_calls").alias("n_added"))
@@ -44,7 +44,7 @@ def q_x2(spark, sf):
 SELECT repo, idx, path, pos, k, CASE WHEN l_linenumber % 2 = 0 THEN 'size(0)' ELSE '' END AS common
 FROM pairs"""))
 def q_g1_g3(spark, sf):
-    c = G.drop_pure_add_remove(G.common_calls(G.comparable_pairs(_pairs(Landed(spark, sf)))))
+    c = G.drop_pure_add_remove(G.common_calls(G.comparable_pairs(_pairs(Landed.get(spark, sf)))))
     return c.select(*PAIR_COLS, render_call_list(F.col("common")).alias("common"))
 
 
@@ -52,14 +52,14 @@ def q_g1_g3(spark, sf):
 SELECT repo, idx, path, pos, k, old_name, old_n_args, new_name, new_n_args FROM pairs
 WHERE new_name NOT IN ('super', 'this') AND NOT starts_with(new_name, 'assert')"""))
 def q_g4(spark, sf):
-    return _first_changed(Landed(spark, sf)).select(*PAIR_COLS, "old_name", "old_n_args", "new_name", "new_n_args")
+    return _first_changed(Landed.get(spark, sf)).select(*PAIR_COLS, "old_name", "old_n_args", "new_name", "new_n_args")
 
 
 @query("g6_g9_checked_pairs", with_carriers(["checked"], """
 SELECT repo, idx, path, pos, k, old_name, old_n_args, new_name, new_n_args FROM checked"""))
 def q_g6_g9(spark, sf):
-    L = Landed(spark, sf)
-    inp = M.materialized(mining_inputs(L))
+    L = Landed.get(spark, sf)
+    inp = L.mining
     return M.checked_pairs(inp, _first_changed(L)).select(*PAIR_COLS, "old_name", "old_n_args", "new_name", "new_n_args")
 
 
@@ -68,7 +68,7 @@ SELECT repo, path, valid_from, name || '(' || CAST(n_args AS VARCHAR) || CASE WH
        AS rendered
 FROM decl_versions"""))
 def q_g10(spark, sf):
-    d = Landed(spark, sf).decl_versions
+    d = Landed.get(spark, sf).decl_versions
     return d.select("repo", "path", "valid_from",
                     render_declaration(F.col("name"), F.col("n_args"), F.col("varargs"), F.lit(None).cast("string"))
                     .alias("rendered"))
@@ -152,13 +152,13 @@ def _groups_sql(body: str) -> str:
 SELECT repo, idx, old_name, old_n_args, new_name, new_n_args, gid, CAST(count AS BIGINT) AS count, replacement_paths
 FROM groups"""))
 def q_g11(spark, sf):
-    g, _ = _groups(Landed(spark, sf))
+    g, _ = _groups(Landed.get(spark, sf))
     return g.select(*G.REPLACEMENT_KEY, "gid", F.col("count").cast("long").alias("count"),
                     G.render_occurrences(F.col("occurrences")).alias("replacement_paths"))
 
 
 def _groups(L: Landed):
-    inp = M.materialized(mining_inputs(L))
+    inp = L.mining
     checked = M.checked_pairs(inp, M.candidate_pairs(inp))
     members = checked.select(
         *G.REPLACEMENT_KEY, "edit_rank", "path", "pos", "k", "old_path", "before", "after", "packages",
@@ -171,7 +171,7 @@ SELECT g.repo, g.idx, g.old_name, g.old_n_args, g.new_name, g.new_n_args, g.gid,
        CAST(coalesce(c.n_candidates, 0) AS BIGINT) AS n_candidates, coalesce(c.candidate_ids, '') AS candidate_ids
 FROM groups g LEFT JOIN cand_agg c USING (repo, idx, old_name, old_n_args, new_name, new_n_args)"""))
 def q_g13(spark, sf):
-    g, inp = _groups(Landed(spark, sf))
+    g, inp = _groups(Landed.get(spark, sf))
     c = G.candidate_apis(g, inp.api_catalog)
     return c.select(*G.REPLACEMENT_KEY, "gid", F.col("n_candidates").cast("long").alias("n_candidates"), "candidate_ids")
 
@@ -180,7 +180,7 @@ def q_g13(spark, sf):
 SELECT repo, idx, old_name, old_n_args, new_name, new_n_args, gid, decl_path, line_start, line_end, old_body
 FROM result"""))
 def q_g15(spark, sf):
-    g, inp = _groups(Landed(spark, sf))
+    g, inp = _groups(Landed.get(spark, sf))
     g = G.old_declaration(g, inp.decl_versions)
     g = G.drop_already_using(G.declaration_body(g, inp.snapshots, inp.intervals))
     return g.select(*G.REPLACEMENT_KEY, "gid", F.col("old_decl.path").alias("decl_path"),
@@ -211,7 +211,7 @@ LEFT JOIN customer cu ON cu.c_custkey = r.repo"""
 
 @query("g20_mine_replacements", _groups_sql(_FINAL))
 def q_g20(spark, sf):
-    rep, _ = M.mine_replacements(mining_inputs(Landed(spark, sf)))
+    rep, _ = Landed.get(spark, sf).mined
     return rep
 
 
@@ -228,5 +228,5 @@ FROM (SELECT DISTINCT m.repo, m.idx, m.path FROM members m JOIN result r
 JOIN commits cm ON cm.repo = f.repo AND cm.idx = f.idx
 LEFT JOIN customer cu ON cu.c_custkey = f.repo"""))
 def q_g18(spark, sf):
-    _, imp = M.mine_replacements(mining_inputs(Landed(spark, sf)))
+    _, imp = Landed.get(spark, sf).mined
     return imp

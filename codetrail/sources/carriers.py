@@ -39,12 +39,26 @@ def path_of(fno) -> F.Column:
 
 
 class Landed:
-    """Lazily built landed tables for one scale-factor folder."""
+    """Lazily built landed tables for one scale-factor folder.
+
+    Derived tables are materialised once (reliable checkpoint) the first time
+    they are used; ``Landed.get`` shares them between the queries of one Spark
+    application, the way landed input tables are shared in production.
+    """
+
+    _shared: dict[tuple[str, str], "Landed"] = {}
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
 
+    @classmethod
+    def get(cls, spark: SparkSession, sf_dir: str) -> "Landed":
+        key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+        if key not in cls._shared:
+            cls._shared[key] = cls(spark, sf_dir)
+        return cls._shared[key]
+
     def t(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
@@ -257,6 +271,17 @@ class Landed:
                            F.array_join(F.transform("_f", lambda x: x["w"]), "\n").alias("word_diff"),
                            F.array_join(F.transform("_f", lambda x: x["l"]), "\n").alias("line_diff")))
 
+    # --- mining (shared by the mining queries of one application) --------
+    @cached_property
+    def mining(self):
+        from codetrail.plans.mining import materialized
+        return materialized(mining_inputs(self))
+
+    @cached_property
+    def mined(self):
+        from codetrail.plans.mining import mine_replacements
+        return mine_replacements(self.mining, materialize_inputs=False)
+
     # --- library knowledge ---------------------------------------------
     @cached_property
     def api_catalog(self) -> DataFrame:
