@@ -100,6 +100,11 @@ def mine_replacements(inp: MiningInputs, materialize_inputs: bool = True) -> tup
     return write_replacements_frame(groups, inp), import_changes_frame(groups, inp)
 
 
+def surviving_groups(inp: MiningInputs) -> DataFrame:
+    """G6..G17 on materialised inputs: the groups that become result rows (materialised)."""
+    return materialize(replacement_groups(inp, checked_pairs(inp, candidate_pairs(inp))))
+
+
 def write_replacements_frame(groups: DataFrame, inp: MiningInputs) -> DataFrame:
     """The 22 result columns (ids dense from 1 in (repo, commit, old, new, group) order)."""
     c = inp.commits.select("repo", "idx", "sha", "parent_sha", "subject")

@@ -230,3 +230,25 @@ LEFT JOIN customer cu ON cu.c_custkey = f.repo"""))
 def q_g18(spark, sf):
     _, imp = Landed.get(spark, sf).mined
     return imp
+
+
+@query("s11_write_replacements", _groups_sql("SELECT id, repo_name, old_method, new_method, CAST(count AS BIGINT) AS count "
+                                              "FROM (" + _FINAL.strip() + ") r".replace("\n", " ")))
+def q_s11(spark, sf):
+    from codetrail.plans.q_sources import scratch
+    from codetrail.sources.writers import write_replacements
+    rep, _ = Landed.get(spark, sf).mined
+    path = write_replacements(rep, scratch(spark, "replacements"))
+    return spark.read.parquet(path).select("id", "repo_name", "old_method", "new_method",
+                                           F.col("count").cast("long").alias("count"))
+
+
+@query("g19_restrict_imports", _groups_sql("""
+SELECT DISTINCT d.repo, d.idx, d.path FROM diff_items d
+WHERE EXISTS (SELECT 1 FROM members m JOIN result r USING (repo, idx, old_name, old_n_args, new_name, new_n_args)
+              WHERE m.repo = d.repo AND m.idx = d.idx AND m.path = d.path)"""))
+def q_g19(spark, sf):
+    L = Landed.get(spark, sf)
+    imp = D.import_changes(L.diffs)
+    groups = L.mined_groups
+    return G.restrict_imports(imp, groups).select("repo", "idx", "path").distinct()

@@ -277,10 +277,16 @@ class Landed:
         from codetrail.plans.mining import materialized
         return materialized(mining_inputs(self))
 
+    @cached_property
+    def mined_groups(self):
+        from codetrail.plans.mining import surviving_groups
+        return surviving_groups(self.mining)
+
     @cached_property
     def mined(self):
-        from codetrail.plans.mining import mine_replacements
-        return mine_replacements(self.mining, materialize_inputs=False)
+        from codetrail.plans.mining import import_changes_frame, write_replacements_frame
+        return (write_replacements_frame(self.mined_groups, self.mining),
+                import_changes_frame(self.mined_groups, self.mining))
 
     # --- library knowledge ---------------------------------------------
     @cached_property
