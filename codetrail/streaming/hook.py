@@ -2,10 +2,11 @@
 
 The reference calls a user object once per commit, in history order, then
 once at the end of each repository.  Here the commits are hash-partitioned by
-repository and sorted by (repository, index) once; the grouped pandas UDF then
-receives each repository as an *iterator* of Arrow batches in history order,
-so a very large repository is streamed through the callback batch by batch and
-never materialised whole.  The callback is the user's own per-row code.
+repository and sorted by (repository, index) inside each partition; one
+``mapInPandas`` pass then streams every partition through the callbacks in
+Arrow batches, closing a repository when the next one starts.  A very large
+repository is therefore streamed batch by batch, never materialised whole, and
+there is one Python invocation per partition rather than one per repository.
 """
 
 from __future__ import annotations
@@ -21,21 +22,27 @@ def analyze_history(commits: DataFrame, on_commit: Callable[[Any, dict], tuple[A
                     on_end: Callable[[Any, Any], list[dict]], schema: str, init: Callable[[], Any],
                     repo: str = "repo", order: str = "idx") -> DataFrame:
     """Fold ``on_commit(state, row) -> (state, rows)`` over each repository's commits in
-    ``order``; ``on_end(key, state) -> rows`` closes the repository.  Output rows follow ``schema``."""
+    ``order``; ``on_end((repo,), state) -> rows`` closes the repository.  Output rows follow ``schema``."""
     cols = [f.split()[0] for f in schema.split(",")]
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state = init()
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, state = None, None
         for batch in batches:
             out: list[dict] = []
             for row in batch.to_dict("records"):
+                key = row[repo]
+                if key != current:
+                    if current is not None:
+                        out.extend(on_end((current,), state))
+                    current, state = key, init()
                 state, emitted = on_commit(state, row)
                 out.extend(emitted)
             if out:
                 yield pd.DataFrame(out, columns=cols)
-        tail = on_end(key, state)
-        if tail:
-            yield pd.DataFrame(tail, columns=cols)
+        if current is not None:
+            tail = on_end((current,), state)
+            if tail:
+                yield pd.DataFrame(tail, columns=cols)
 
     ordered = commits.repartition(repo).sortWithinPartitions(repo, order)
-    return ordered.groupBy(repo).applyInPandas(run, schema=schema)
+    return ordered.mapInPandas(run, schema=schema)
