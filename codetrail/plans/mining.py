@@ -51,9 +51,10 @@ def edited_files(file_changes: DataFrame) -> DataFrame:
 
 def candidate_pairs(inp: MiningInputs, max_files: int = 20, max_pairs: int = 1000) -> DataFrame:
     """D7 -> R12 -> D1/D2 -> X2 -> G1..G5: first changed call pairs of edited files."""
-    edited = edited_files(inp.file_changes)
+    # both are read three times below: materialise them once
+    edited = materialize(edited_files(inp.file_changes))
     content = content_at_commit(inp.snapshots, inp.intervals, edited.select("repo", "idx", "path"))
-    pk = imported_targets(content.filter(F.col("content").isNotNull()), inp.base_packages)
+    pk = materialize(imported_targets(content.filter(F.col("content").isNotNull()), inp.base_packages))
     diffs = inp.diffs.join(pk.select("repo", "idx", "path"), ["repo", "idx", "path"], "left_semi")
     pairs = D.paired_replacements(D.diff_lines(diffs))
     pairs = D.size_guard(pairs, edited, max_files=max_files, max_pairs=max_pairs)
