@@ -22,6 +22,12 @@ from codetrail.functions.lineage import materialize
 BROADCAST_ROW_LIMIT = 500_000
 
 
+def broadcast_row_limit(df: DataFrame, default: int = BROADCAST_ROW_LIMIT) -> int:
+    """Row limit for broadcasting a counted side (session conf ``codetrail.broadcast.rows`` overrides)."""
+    v = df.sparkSession.conf.get("codetrail.broadcast.rows", None)
+    return int(v) if v else default
+
+
 def row_count_at_most(df: DataFrame, limit: int) -> bool:
     """True when ``df`` has at most ``limit`` rows (counts at most limit+1 rows)."""
     return df.limit(limit + 1).count() <= limit
@@ -30,7 +36,8 @@ def row_count_at_most(df: DataFrame, limit: int) -> bool:
 def exists_join(left: DataFrame, right: DataFrame,
                 cond: Callable[[Callable[[str], Column], Callable[[str], Column]], Column],
                 key_cols: Sequence[str], anti: bool = False,
-                limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
+                limit: int | None = None,
+                large_hits: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Rows of ``left`` for which some ``right`` row satisfies ``cond`` (or none, if ``anti``).
 
     ``cond(l, r)`` builds the predicate from two accessors that map a column
@@ -39,17 +46,53 @@ def exists_join(left: DataFrame, right: DataFrame,
     re-projected under fresh names, so both sides may share lineage.
     """
     how = "left_anti" if anti else "left_semi"
+    limit = broadcast_row_limit(left) if limit is None else limit
     rr = right.select(*[F.col(c).alias("_r_" + c) for c in right.columns])
     r = lambda c: rr["_r_" + c]
     # The candidates are materialised once in the reliable checkpoint folder:
     # the size check and the final join then read them instead of recomputing.
     left = materialize(left)
     keyed = left.select(*[F.col(c).alias("_k_" + c) for c in key_cols]).distinct()
-    if not row_count_at_most(left, limit):
+    if row_count_at_most(left, limit):
+        hits = (F.broadcast(keyed).join(rr, cond(lambda c: keyed["_k_" + c], r), "inner")
+                .select(*[keyed["_k_" + c] for c in key_cols]).distinct())
+    elif large_hits is not None:
+        # many candidates: the caller supplies a join that avoids per-key pairs (e.g. binned ranges)
+        hits = large_hits(keyed).distinct()
+        match = reduce(lambda a, b: a & b, [left[c].eqNullSafe(hits["_k_" + c]) for c in key_cols])
+        return left.join(hits, match, how)
+    else:
         ll = left.select(*[F.col(c).alias("_l_" + c) for c in left.columns])
         out = ll.join(rr, cond(lambda c: ll["_l_" + c], r), how)
         return out.select(*[F.col("_l_" + c).alias(c) for c in left.columns])
-    hits = (F.broadcast(keyed).join(rr, cond(lambda c: keyed["_k_" + c], r), "inner")
-            .select(*[keyed["_k_" + c] for c in key_cols]).distinct())
     match = reduce(lambda a, b: a & b, [left[c].eqNullSafe(hits["_k_" + c]) for c in key_cols])
     return left.join(F.broadcast(hits), match, how)
+
+
+def binned_interval_join(points: DataFrame, intervals: DataFrame, point_keys: Sequence[str],
+                         interval_keys: Sequence[str], at: str, width: int = 64,
+                         valid_from: str = "valid_from", valid_to: str = "valid_to") -> DataFrame:
+    """Inner join of points ``at`` with intervals ``[valid_from, valid_to)`` on equal keys.
+
+    A plain equi-join on the keys compares every point of a key with every
+    interval of it, which is quadratic for a hot key.  Here both sides also
+    join on an index bin of ``width``: a point lands in one bin, an interval is
+    repeated for each bin it overlaps (open intervals stop at the largest point
+    bin of their key), and the exact interval test runs as a residual.  Columns
+    of the two sides must not clash; the result has all of them.
+    """
+    pk, ik = list(point_keys), list(interval_keys)
+    p = points.withColumn("_bin", F.floor(F.col(at) / F.lit(width)))
+    top = points.groupBy(*[F.col(a).alias(b) for a, b in zip(pk, ik)]).agg(
+        F.floor(F.max(at) / F.lit(width)).alias("_maxbin"))
+    iv = intervals.join(top, ik)
+    last = F.when(F.col(valid_to).isNull(), F.col("_maxbin")).otherwise(
+        F.least(F.floor((F.col(valid_to) - 1) / F.lit(width)), F.col("_maxbin")))
+    first = F.floor(F.col(valid_from) / F.lit(width))
+    iv = (iv.filter(last >= first)
+          .withColumn("_bin", F.explode(F.sequence(first, last))).drop("_maxbin")
+          .withColumnRenamed("_bin", "_ibin"))
+    cond = [p[a] == iv[b] for a, b in zip(pk, ik)] + [p["_bin"] == iv["_ibin"]]
+    res = (p.join(iv, reduce(lambda x, y: x & y, cond))
+           .filter((F.col(valid_from) <= F.col(at)) & (F.col(valid_to).isNull() | (F.col(valid_to) > F.col(at)))))
+    return res.drop("_bin", "_ibin")

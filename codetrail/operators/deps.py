@@ -54,7 +54,10 @@ def resolve_external(invocations: DataFrame, deps: DataFrame, classes: DataFrame
     d = deps.select(repo, "group", "artifact", "version",
                     F.concat_ws(":", "group", "artifact", "version").alias("library")).distinct()
     lib_cls = classes.select(F.col("library").alias("_lib"), F.col("class").alias("_c"))
-    hits = cand.join(d, repo).join(lib_cls, (F.col("library") == F.col("_lib")) & (F.col(cls) == F.col("_c")))
+    # class first (fan-out = libraries holding the class), then the repository's dependency on that library:
+    # two equi-joins, never every call of a repository against every dependency of it
+    hits = (cand.join(lib_cls, F.col(cls) == F.col("_c"))
+            .join(d, (cand[repo] == d[repo]) & (F.col("_lib") == d["library"])).drop(d[repo]))
     per = hits.groupBy(key).agg(
         F.count_distinct("group", "artifact", "version").alias("n_libs"),
         F.count_distinct("group", "artifact").alias("n_ga"),

@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codetrail.functions.joins import row_count_at_most, BROADCAST_ROW_LIMIT
+from codetrail.functions.joins import binned_interval_join
 from codetrail.functions.windows import next_in_order, ordered_index, running_total
 
 # Fixed value: git's well-known hash of the empty tree, the parent of the first commit.
@@ -151,41 +151,37 @@ def alive_at(intervals_col_from: str = "valid_from", intervals_col_to: str = "va
 
 # ---------------------------------------------------------------- H6
 def files_at_commit(intervals: DataFrame, targets: DataFrame, suffix: str | None = None,
-                    repo: str = "repo") -> DataFrame:
+                    repo: str = "repo", width: int = 64) -> DataFrame:
     """H6: files alive at each target commit (targets: repo, idx), optional suffix filter.
 
-    Targets are usually few; they are broadcast only after their row count is
-    checked, otherwise the join shuffles on the repository key (AQE splits skew).
+    A range join: (repo, index bin) equality plus the exact interval test, so a
+    repository with very many commits and files is not compared pairwise.
     """
     iv = intervals if suffix is None else intervals.filter(F.col("path").endswith(suffix))
     t = targets.select(F.col(repo).alias("_t_repo"), F.col("idx").alias("_t_idx")).distinct()
-    if row_count_at_most(t, BROADCAST_ROW_LIMIT):
-        t = F.broadcast(t)
     v = iv.select(F.col(repo).alias("_v_repo"), "path", "valid_from", "valid_to")
-    cond = ((v["_v_repo"] == t["_t_repo"]) & (v["valid_from"] <= t["_t_idx"])
-            & (v["valid_to"].isNull() | (v["valid_to"] > t["_t_idx"])))
-    return v.join(t, cond).select(F.col("_t_repo").alias(repo), F.col("_t_idx").alias("idx"), "path")
+    j = binned_interval_join(t, v, ["_t_repo"], ["_v_repo"], "_t_idx", width=width)
+    return j.select(F.col("_t_repo").alias(repo), F.col("_t_idx").alias("idx"), "path")
 
 
 # ---------------------------------------------------------------- H7
 def content_at_commit(snapshots: DataFrame, intervals: DataFrame, requests: DataFrame,
-                      repo: str = "repo") -> DataFrame:
+                      repo: str = "repo", width: int = 64) -> DataFrame:
     """H7: text of (repo, idx, path) requests; absent or deleted files give null content.
 
     ``snapshots`` hold the text stored at the commit that added/modified a path;
-    the version alive at the requested commit is found through the intervals.
-    File text is joined last, only for the surviving requests.
+    the version alive at the requested commit is found with a binned range join
+    on (repo, path), and file text is joined last, only for the requests.
     """
-    r = requests.alias("q")
-    iv = intervals.alias("v")
-    cond = ((F.col("q." + repo) == F.col("v." + repo)) & (F.col("q.path") == F.col("v.path"))
-            & (F.col("v.valid_from") <= F.col("q.idx"))
-            & (F.col("v.valid_to").isNull() | (F.col("v.valid_to") > F.col("q.idx"))))
-    located = r.join(iv, cond, "left").select("q.*", F.col("v.valid_from").alias("_ver"))
-    snaps = snapshots.select(F.col(repo).alias("_r"), F.col("path").alias("_p"), F.col("idx").alias("_ver"), "content")
-    out = located.join(snaps, (located[repo] == snaps["_r"]) & (located["path"] == snaps["_p"])
-                       & (located["_ver"] == snaps["_ver"]), "left")
-    return out.drop("_r", "_p", "_ver")
+    req = requests.select(F.col(repo).alias("_q_repo"), F.col("idx").alias("_q_idx"), F.col("path").alias("_q_path")).distinct()
+    iv = intervals.select(F.col(repo).alias("_v_repo"), F.col("path").alias("_v_path"), "valid_from", "valid_to")
+    hit = binned_interval_join(req, iv, ["_q_repo", "_q_path"], ["_v_repo", "_v_path"], "_q_idx", width=width)
+    ver = hit.select("_q_repo", "_q_idx", "_q_path", F.col("valid_from").alias("_ver"))
+    snaps = snapshots.select(F.col(repo).alias("_q_repo"), F.col("path").alias("_q_path"), F.col("idx").alias("_ver"), "content")
+    located = ver.join(snaps, ["_q_repo", "_q_path", "_ver"])
+    out = requests.join(located.select(F.col("_q_repo").alias(repo), F.col("_q_idx").alias("idx"),
+                                       F.col("_q_path").alias("path"), "content"), [repo, "idx", "path"], "left")
+    return out
 
 
 # ---------------------------------------------------------------- H8

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from codetrail.functions.lineage import materialize
 
-from codetrail.functions.joins import exists_join
+from codetrail.functions.joins import binned_interval_join, exists_join
 
 
 def _alive(d, at: Column) -> Column:
@@ -46,7 +46,17 @@ def _decl_exists(cands: DataFrame, decls: DataFrame, name: str, n_args: str, at_
         return ((c(repo) == d("repo")) & (c(name) == d("name")) & _alive(d, at)
                 & _arity(d, c(n_args)) & _ident(c, d, ident))
     keys = [repo, idx, name, n_args, *[p[0] for p in ident]]
-    return exists_join(cands, decls, cond, keys, anti=anti)
+
+    def binned(keyed):
+        pts = keyed.withColumn("_at", F.col("_k_" + idx) + F.lit(at_offset))
+        dv = decls.select(*[F.col(c).alias("_d_" + c) for c in decls.columns])
+        pairs = binned_interval_join(pts, dv, ["_k_" + repo, "_k_" + name], ["_d_repo", "_d_name"], "_at",
+                                     valid_from="_d_valid_from", valid_to="_d_valid_to")
+        k = lambda c: F.col("_k_" + c)
+        d = lambda c: F.col("_d_" + c)
+        pairs = pairs.filter(_arity(d, k(n_args)) & _ident(k, d, ident))
+        return pairs.select(*[F.col("_k_" + c) for c in keys])
+    return exists_join(cands, decls, cond, keys, anti=anti, large_hits=binned)
 
 
 # ---------------------------------------------------------------- G6
@@ -77,7 +87,14 @@ def new_is_called(cands: DataFrame, call_versions: DataFrame, name: str = "new_n
     def cond(c, v):
         return ((c(repo) == v("repo")) & (c(name) == v("name")) & (c(n_args) == v("n_args"))
                 & _alive(v, c(idx)))
-    return exists_join(cands, call_versions, cond, [repo, idx, name, n_args])
+
+    def binned(keyed):
+        cv = call_versions.select(*[F.col(c).alias("_v_" + c) for c in call_versions.columns])
+        pairs = binned_interval_join(keyed, cv, ["_k_" + repo, "_k_" + name, "_k_" + n_args],
+                                     ["_v_repo", "_v_name", "_v_n_args"], "_k_" + idx,
+                                     valid_from="_v_valid_from", valid_to="_v_valid_to")
+        return pairs.select(*[F.col("_k_" + c) for c in (repo, idx, name, n_args)])
+    return exists_join(cands, call_versions, cond, [repo, idx, name, n_args], large_hits=binned)
 
 
 # ---------------------------------------------------------------- G1

@@ -43,3 +43,17 @@ def test_flagship_independent_of_partitions(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
     assert a == b and len(a) > 0
+
+
+def test_state_checks_same_with_and_without_broadcast(spark):
+    """The binned range-join path (many candidates) gives the same rows as the broadcast path."""
+    from codetrail.operators.replace import gone_after, was_local_before
+    L = Landed(spark, SF)
+    cands = L.calls
+    a = sorted(gone_after(was_local_before(cands, L.decl_versions), L.decl_versions).collect())
+    spark.conf.set("codetrail.broadcast.rows", "0")
+    try:
+        b = sorted(gone_after(was_local_before(cands, L.decl_versions), L.decl_versions).collect())
+    finally:
+        spark.conf.unset("codetrail.broadcast.rows")
+    assert a == b and len(a) > 0

@@ -35,4 +35,7 @@ def test_query_matches_oracle(spark, con, name):
     orows = cur.fetchall()
     assert sorted(df.columns) == sorted(ocols)
     assert len(rows) == len(orows)
-    assert digest(df.columns, rows)[0] == digest(ocols, orows)[0]
+    got, want = digest(df.columns, rows), digest(ocols, orows)
+    if got[0] != want[0]:
+        extra, missing = sorted(set(got[1]) - set(want[1]))[:3], sorted(set(want[1]) - set(got[1]))[:3]
+        raise AssertionError(f"{name}: spark-only {extra} oracle-only {missing}")
