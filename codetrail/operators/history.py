@@ -82,12 +82,13 @@ def parse_name_status(lines: DataFrame, line_col: str = "line") -> DataFrame:
 
 # ---------------------------------------------------------------- H4
 def commit_change_summary(changes: DataFrame, keys: Sequence[str] = ("repo", "idx")) -> DataFrame:
-    """H4: per commit, total changes and per-kind counts and sorted path lists."""
-    k = F.col("kind")
-
-    def paths(cond):
-        return F.array_sort(F.collect_list(F.when(cond, F.col("path"))))
+    """H4: per commit, the total and per-kind counts (partial aggregation).
 
+    The reference also keeps per-kind path lists in memory; a single commit
+    may touch millions of files, so the lists are not collected into one row:
+    they are the change rows themselves (``changes.filter(kind == ...)``).
+    """
+    k = F.col("kind")
     return changes.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("total"),
         F.count_if(k.isin("A", "C")).alias("n_added"),
@@ -95,10 +96,6 @@ def commit_change_summary(changes: DataFrame, keys: Sequence[str] = ("repo", "id
         F.count_if(k == "M").alias("n_modified"),
         F.count_if(k == "R").alias("n_renamed"),
         F.count_if(k == "other").alias("n_other"),
-        paths(k.isin("A", "C")).alias("added"),
-        paths(k == "D").alias("deleted"),
-        paths(k == "M").alias("modified"),
-        F.array_sort(F.collect_list(F.when(k == "R", F.concat_ws("->", "old_path", "path")))).alias("renamed"),
     )
 
 

@@ -25,7 +25,8 @@ FROM (SELECT o_custkey AS repo, CAST(o_orderkey AS VARCHAR) AS sha, o_orderkey A
       FROM orders) t""")
 
 _cte("lines", ["commits"], """
-SELECT l.l_orderkey, l.l_partkey, l.l_suppkey, l.l_linenumber, l.l_returnflag, c.repo, c.idx,
+SELECT l.l_orderkey, l.l_partkey, l.l_suppkey, l.l_linenumber, l.l_returnflag,
+       l.l_quantity, l.l_extendedprice, l.l_discount, l.l_tax, l.l_shipdate, c.repo, c.idx,
        CAST(l.l_partkey % 7 AS INTEGER) AS fno
 FROM lineitem l JOIN commits c ON l.l_orderkey = c.okey""")
 
@@ -65,17 +66,19 @@ ARGS = "CASE {n} WHEN 0 THEN '' WHEN 1 THEN 'a' ELSE 'a, b' END"
 
 _cte("items", ["lines", "part_facts"], """
 SELECT l.*, p.name, p.n_args, p.varargs, p.p_size, p.p_type, p.p_brand, p.api, p.cls, q.name AS old_name, q.n_args AS old_n_args,
-       row_number() OVER (PARTITION BY l.repo, l.idx, l.fno ORDER BY l.l_linenumber, l.l_partkey, l.l_suppkey) AS r
+       row_number() OVER (PARTITION BY l.repo, l.idx, l.fno ORDER BY l.l_linenumber, l.l_partkey, l.l_suppkey,
+                          l.l_returnflag, l.l_quantity, l.l_extendedprice, l.l_discount, l.l_tax, l.l_shipdate) AS r
 FROM lines l JOIN part_facts p ON l.l_partkey = p.p_partkey JOIN part_facts q ON q.p_partkey = l.l_suppkey""")
 
 _cte("live_items", ["items"], """
-SELECT *, row_number() OVER (PARTITION BY repo, idx, fno ORDER BY l_linenumber, l_partkey, l_suppkey) AS rl,
+SELECT *, row_number() OVER (PARTITION BY repo, idx, fno ORDER BY l_linenumber, l_partkey, l_suppkey,
+                             l_returnflag, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate) AS rl,
        count(*) OVER (PARTITION BY repo, idx, fno) AS k
 FROM items WHERE l_returnflag <> 'R'""")
 
 _cte("decl_facts", ["live_items"], """
 SELECT repo, idx, 'src/F' || CAST(fno AS VARCHAR) || '.java' AS path,
-       l_linenumber AS ln, l_partkey AS pk, l_suppkey AS sk,
+       rl AS ln, l_partkey AS pk, l_suppkey AS sk,
        name, n_args, varargs, false AS is_constructor,
        CAST(k + 1 + rl AS INTEGER) AS line_start, CAST(k + 1 + rl + p_size % 2 AS INTEGER) AS line_end
 FROM live_items""")

@@ -111,18 +111,12 @@ SELECT repo, idx, CAST(count(*) AS BIGINT) AS total,
        CAST(count(*) FILTER (WHERE kind = 'D') AS BIGINT) AS n_deleted,
        CAST(count(*) FILTER (WHERE kind = 'M') AS BIGINT) AS n_modified,
        CAST(count(*) FILTER (WHERE kind = 'R') AS BIGINT) AS n_renamed,
-       CAST(count(*) FILTER (WHERE kind = 'other') AS BIGINT) AS n_other,
-       coalesce(string_agg(path, ',' ORDER BY path) FILTER (WHERE kind IN ('A', 'C')), '') AS added,
-       coalesce(string_agg(path, ',' ORDER BY path) FILTER (WHERE kind = 'D'), '') AS deleted,
-       coalesce(string_agg(path, ',' ORDER BY path) FILTER (WHERE kind = 'M'), '') AS modified,
-       coalesce(string_agg(old_path || '->' || path, ',' ORDER BY old_path || '->' || path) FILTER (WHERE kind = 'R'), '')
-         AS renamed
+       CAST(count(*) FILTER (WHERE kind = 'other') AS BIGINT) AS n_other
 FROM ns GROUP BY repo, idx"""))
 def q_h4(spark, sf):
     s = H.commit_change_summary(H.parse_name_status(_name_status_lines(Landed.get(spark, sf))))
     return s.select("repo", "idx", *[F.col(c).cast("long").alias(c) for c in
-                                     ("total", "n_added", "n_deleted", "n_modified", "n_renamed", "n_other")],
-                    *[F.array_join(c, ",").alias(c) for c in ("added", "deleted", "modified", "renamed")])
+                                     ("total", "n_added", "n_deleted", "n_modified", "n_renamed", "n_other")])
 
 
 # ---------------------------------------------------------------- H6 / H7

@@ -32,6 +32,9 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "pages benchmark labels conversations").split()
 
 N_PATHS = 7
+# (l_orderkey, l_linenumber, l_partkey, l_suppkey) is not unique in every test set: file order breaks ties on these.
+TIE_BREAK = ("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate")
+LINE_ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", *TIE_BREAK)
 
 
 def path_of(fno) -> F.Column:
@@ -86,7 +89,8 @@ class Landed:
     @cached_property
     def lines(self) -> DataFrame:
         """lineitem rows placed on their commit, with the file number they touch."""
-        li = self.t("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag")
+        li = self.t("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag",
+                                       *TIE_BREAK)
         return materialize(li.join(self.commit_keys, li["l_orderkey"] == self.commit_keys["okey"])
                            .withColumn("fno", (F.col("l_partkey") % N_PATHS).cast("int")))
 
@@ -126,13 +130,13 @@ class Landed:
                       F.col("n_args").alias("old_n_args"))
         j = (self.lines.join(pf, self.lines["l_partkey"] == pf["p_partkey"])
              .join(q, F.col("l_suppkey") == F.col("q_partkey")))
-        w = Window.partitionBy("repo", "idx", "fno").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+        w = Window.partitionBy("repo", "idx", "fno").orderBy(*LINE_ORDER)
         return materialize(j.withColumn("r", F.row_number().over(w)))
 
     @cached_property
     def live_items(self) -> DataFrame:
         """Non-R items: the content of the file version opened at the commit."""
-        w = Window.partitionBy("repo", "idx", "fno").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+        w = Window.partitionBy("repo", "idx", "fno").orderBy(*LINE_ORDER)
         return materialize(self.items.filter(F.col("l_returnflag") != "R")
                            .withColumn("rl", F.row_number().over(w))
                            .withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("repo", "idx", "fno"))))
@@ -144,8 +148,7 @@ class Landed:
         start = F.col("k") + 1 + F.col("rl")
         return li.select(
             "repo", "idx", path_of(F.col("fno")).alias("path"),
-            F.struct(F.col("l_linenumber").alias("ln"), F.col("l_partkey").alias("pk"),
-                     F.col("l_suppkey").alias("sk")).alias("pos"),
+            F.struct(F.col("rl").alias("rl")).alias("pos"),
             "name", "n_args", "varargs", F.lit(False).alias("is_constructor"),
             start.cast("int").alias("line_start"), (start + F.col("p_size") % 2).cast("int").alias("line_end"))
 
