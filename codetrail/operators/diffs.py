@@ -40,31 +40,36 @@ def diff_lines(diffs: DataFrame, text_col: str = "word_diff", keys: Sequence[str
     keys = list(keys)
     x = (diffs.select(*keys, F.posexplode(F.split(F.col(text_col), "\n")).alias("pos", "raw"))
          .withColumn("line", java_strip(F.col("raw"))).drop("raw"))
-    reset = F.col("line").startswith("diff --git") | F.col("line").startswith("---") | F.col("line").startswith("+++")
-    is_at = F.col("line").startswith("@@")
-    hb = F.regexp_extract(F.col("line"), HUNK_HEADER, 1)
-    ha = F.regexp_extract(F.col("line"), HUNK_HEADER, 2)
+    line = F.col("line")
+    reset = line.startswith("diff --git") | line.startswith("---") | line.startswith("+++")
+    is_at = line.startswith("@@")
+    hb = F.regexp_extract(line, HUNK_HEADER, 1)
+    ha = F.regexp_extract(line, HUNK_HEADER, 2)
     header_ok = is_at & (hb != "")
-    x = (x.withColumn("_ctl", (reset | header_ok).cast("int"))
-         .withColumn("_hdr", header_ok.cast("int"))
-         .withColumn("_hb", F.when(header_ok, hb.cast("int")))
-         .withColumn("_ha", F.when(header_ok, ha.cast("int"))))
-    file_w = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    x = x.withColumn("_seg", F.sum("_ctl").over(file_w)).withColumn("hunk", F.sum("_hdr").over(file_w))
-    seg_w = Window.partitionBy(*keys, "_seg").orderBy("pos")
-    x = (x.withColumn("_seg_hb", F.first("_hb").over(seg_w.rowsBetween(Window.unboundedPreceding, 0)))
-         .withColumn("_seg_ha", F.first("_ha").over(seg_w.rowsBetween(Window.unboundedPreceding, 0))))
-    code = (F.col("_seg") > 0) & F.col("_seg_hb").isNotNull() & (F.col("_ctl") == 0) & ~is_at
-    blank = F.col("line") == ""
-    only_add = F.col("line").startswith("{+") & F.col("line").endswith("+}")
-    only_rm = F.col("line").startswith("[-") & F.col("line").endswith("-]")
-    inc_b = F.when(~code, 0).when(blank, 1).when(only_add, 0).otherwise(1)
-    inc_a = F.when(~code, 0).when(blank, 1).when(only_add, 1).when(only_rm, 0).otherwise(1)
-    prev = seg_w.rowsBetween(Window.unboundedPreceding, -1)
-    x = (x.withColumn("_ib", inc_b).withColumn("_ia", inc_a)
-         .withColumn("before", (F.col("_seg_hb") + F.coalesce(F.sum("_ib").over(prev), F.lit(0))).cast("int"))
-         .withColumn("after", (F.col("_seg_ha") + F.coalesce(F.sum("_ia").over(prev), F.lit(0))).cast("int")))
-    return (x.filter(code).select(*keys, "pos", F.col("hunk").cast("int").alias("hunk"), "line", "before", "after"))
+    ctl = reset | header_ok
+    blank = line == ""
+    only_add = line.startswith("{+") & line.endswith("+}")
+    only_rm = line.startswith("[-") & line.endswith("-]")
+    # increments as if the line were code; lines outside hunks are dropped at the end
+    passive = ctl | is_at
+    ib = F.when(passive, 0).when(blank, 1).when(only_add, 0).otherwise(1)
+    ia = F.when(passive, 0).when(blank, 1).when(only_add, 1).when(only_rm, 0).otherwise(1)
+    w = Window.partitionBy(*keys).orderBy("pos")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    # one partitioning and one sort: the latest control line (header or reset) and running increments
+    x = (x.withColumn("_ctl", ctl).withColumn("_at", is_at).withColumn("_ib", ib).withColumn("_ia", ia)
+         .withColumn("_seg", F.last(F.when(ctl, F.struct(F.when(header_ok, hb.try_cast("int")).alias("b"),
+                                                          F.when(header_ok, ha.try_cast("int")).alias("a"))),
+                                    ignorenulls=True).over(upto))
+         .withColumn("hunk", F.sum(header_ok.cast("int")).over(upto))
+         .withColumn("_cb", F.sum("_ib").over(upto)).withColumn("_ca", F.sum("_ia").over(upto)))
+    x = (x.withColumn("_cb0", F.last(F.when(F.col("_ctl"), F.col("_cb")), ignorenulls=True).over(upto))
+         .withColumn("_ca0", F.last(F.when(F.col("_ctl"), F.col("_ca")), ignorenulls=True).over(upto)))
+    code = F.col("_seg.b").isNotNull() & ~F.col("_ctl") & ~F.col("_at")
+    before = F.col("_seg.b") + F.col("_cb") - F.col("_ib") - F.col("_cb0")
+    after = F.col("_seg.a") + F.col("_ca") - F.col("_ia") - F.col("_ca0")
+    return x.filter(code).select(*keys, "pos", F.col("hunk").cast("int").alias("hunk"), "line",
+                                 before.cast("int").alias("before"), after.cast("int").alias("after"))
 
 
 def _extract_pairs(lines: DataFrame, pattern: str, removed_group: int | None, added_group: int | None) -> DataFrame:
