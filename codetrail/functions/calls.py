@@ -142,6 +142,19 @@ def calls_from_text(code: Column) -> Column:
     return calls_udf(code)
 
 
+PAIR_SCHEMA = T.StructType([T.StructField("removed_calls", CALL_SCHEMA), T.StructField("added_calls", CALL_SCHEMA)])
+
+
+@F.pandas_udf(PAIR_SCHEMA)
+def _pair_calls_udf(removed: pd.Series, added: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame({"removed_calls": removed.map(extract_calls), "added_calls": added.map(extract_calls)})
+
+
+def calls_of_pair(removed: Column, added: Column) -> Column:
+    """X2 for both sides of a diff pair in one Arrow round trip: struct<removed_calls, added_calls>."""
+    return _pair_calls_udf(removed, added)
+
+
 def render_call(call: Column, with_class: bool = False, cls: Column | None = None) -> Column:
     """``name(n)`` or ``[Class] name(n)`` (class shown by its simple name)."""
     plain = F.format_string("%s(%d)", call["name"], call["n_args"])

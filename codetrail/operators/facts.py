@@ -50,29 +50,33 @@ def _units(df: DataFrame, xml_col: str, keys: Sequence[str]) -> DataFrame:
             .select(*keys, F.posexplode(body).alias("unit_pos", "unit")))
 
 
-def _last_name_chain(root: str) -> Column:
-    """Text of the innermost-last ``name`` under ``root`` (follow the last ``name`` child while one exists).
-
-    One XPath: the leaf ``name`` whose every ``name`` ancestor below the call is
-    a last ``name`` child and that is not inside any other element (such as a
-    generic ``argument_list``) below the call.  A missing name gives ''.
-    """
-    leaf = (f"{root}/descendant-or-self::name[not(name)][not(following-sibling::name)]"
+def _leaf_name_path(root: str) -> str:
+    """XPath of the innermost-last ``name`` under ``root`` (follow the last ``name`` child while one exists):
+    the leaf ``name`` whose every ``name`` ancestor below the call is a last ``name`` child and that is not
+    inside any other element (such as a generic ``argument_list``) below the call."""
+    return (f"{root}/descendant-or-self::name[not(name)][not(following-sibling::name)]"
             "[not(ancestor::*[not(self::name)][ancestor::call])]"
             "[not(ancestor::name[following-sibling::name][ancestor::call])]")
-    return F.xpath_string(F.col("unit"), F.lit(leaf))
 
 
 # ---------------------------------------------------------------- X1
 def calls_from_xml(df: DataFrame, xml_col: str = "calls_xml", keys: Sequence[str] = ("repo", "idx", "path")) -> DataFrame:
     """One row per ``<call>`` unit: innermost-last name, number of direct ``<argument>``s
     and the start line of the ``argument_list``; calls without a name or an argument list
-    (hence without a line) are skipped.  Three XPath evaluations per unit."""
+    (hence without a line) are skipped.
+
+    Two XPath evaluations per unit: one node-set union returns the name's text
+    nodes and the ``pos:start`` attribute in document order (a position never
+    looks like an identifier), one count gives the arity.
+    """
     keys = list(keys)
     u = _units(df, xml_col, keys)
-    name = _last_name_chain("/call/name")
+    both = F.xpath(F.col("unit"), F.lit(_leaf_name_path("/call/name") + "/text() | "
+                                        "/call/argument_list/@*[name()='pos:start']"))
+    is_pos = lambda v: v.rlike(r"^\d+:\d+$")
+    name = F.array_join(F.filter(both, lambda v: ~is_pos(v)), "")
+    start = F.try_element_at(F.filter(both, is_pos), F.lit(1))
     n_args = F.xpath_int(F.col("unit"), F.lit("count(/call/argument_list/argument)"))
-    start = F.xpath_string(F.col("unit"), F.lit("/call/argument_list/@*[name()='pos:start']"))
     line = F.split(start, ":").getItem(0).try_cast("int")
     return (u.select(*keys, "unit_pos", name.alias("name"), n_args.alias("n_args"), line.alias("line"))
             .filter((F.col("name") != "") & F.col("line").isNotNull()))

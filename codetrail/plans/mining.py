@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from codetrail.functions.lineage import materialize
 
-from codetrail.functions.calls import calls_from_text, render_call_list
+from codetrail.functions.calls import calls_of_pair, render_call_list
 from codetrail.operators import diffs as D
 from codetrail.operators import replace as G
 from codetrail.operators.deps import imported_targets
@@ -58,8 +58,9 @@ def candidate_pairs(inp: MiningInputs, max_files: int = 20, max_pairs: int = 100
     diffs = inp.diffs.join(pk.select("repo", "idx", "path"), ["repo", "idx", "path"], "left_semi")
     pairs = D.paired_replacements(D.diff_lines(diffs))
     pairs = D.size_guard(pairs, edited, max_files=max_files, max_pairs=max_pairs)
-    pairs = (pairs.withColumn("removed_calls", calls_from_text(F.col("removed")))
-             .withColumn("added_calls", calls_from_text(F.col("added"))))
+    pairs = (pairs.withColumn("_c", calls_of_pair(F.col("removed"), F.col("added")))
+             .withColumn("removed_calls", F.col("_c.removed_calls")).withColumn("added_calls", F.col("_c.added_calls"))
+             .drop("_c"))
     c = G.drop_pure_add_remove(G.common_calls(G.comparable_pairs(pairs)))
     c = G.drop_non_api_names(G.first_changed_call(c))
     return c.join(pk, ["repo", "idx", "path"]).join(edited.select("repo", "idx", "path", "edit_rank"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from codetrail.functions.calls import calls_from_text, render_call_list, render_declaration
+from codetrail.functions.calls import calls_of_pair, render_call_list, render_declaration
 from codetrail.operators import diffs as D
 from codetrail.operators import replace as G
 from codetrail.plans import mining as M
@@ -17,8 +17,9 @@ PAIR_COLS = ["repo", "idx", "path", "pos", "k"]
 
 def _pairs(L: Landed):
     p = D.paired_replacements(D.diff_lines(L.diffs))
-    return (p.withColumn("removed_calls", calls_from_text(F.col("removed")))
-            .withColumn("added_calls", calls_from_text(F.col("added"))))
+    return (p.withColumn("_c", calls_of_pair(F.col("removed"), F.col("added")))
+            .withColumn("removed_calls", F.col("_c.removed_calls")).withColumn("added_calls", F.col("_c.added_calls"))
+            .drop("_c"))
 
 
 def _first_changed(L: Landed):
