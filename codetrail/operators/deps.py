@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codetrail.functions.joins import row_count_at_most
+from codetrail.functions.joins import broadcast_row_limit, row_count_at_most
 from codetrail.functions.text import glob_to_regex, java_lines
 
 # Library groups kept as targets when reading project dependencies.
@@ -239,15 +239,15 @@ def imported_targets(files: DataFrame, packages: DataFrame, content: str = "cont
     imp = (x.filter(F.col("line").contains("import")).join(stop_at, keys, "left")
            .filter(F.col("_stop").isNull() | (F.col("pos") < F.col("_stop"))).drop("_stop"))
     pk = packages.select(F.col(package).alias("_pkg")).distinct()
-    if row_count_at_most(pk, PACKAGE_BROADCAST_LIMIT):
+    if row_count_at_most(pk, broadcast_row_limit(pk, PACKAGE_BROADCAST_LIMIT)):
         m = imp.join(F.broadcast(pk), F.col("line").contains(F.col("_pkg")))
     else:
         # Only the distinct package lengths (bounded by the longest name) reach the driver.
         lens = sorted(r[0] for r in pk.select(F.length("_pkg")).distinct().collect())
-        subs = F.flatten(F.array(*[
-            F.transform(F.sequence(F.lit(1), F.greatest(F.length("line") - F.lit(n) + 1, F.lit(1))),
-                        lambda i, n=n: F.substring(F.col("line"), i, F.lit(n)))
-            for n in lens]))
+        def substrings(n: int):
+            starts = F.sequence(F.lit(1), F.greatest(F.length("line") - F.lit(n) + 1, F.lit(1)))
+            return F.transform(starts, lambda i: F.substring(F.col("line"), i, F.lit(n)))
+        subs = F.flatten(F.array(*[substrings(n) for n in lens]))
         m = (imp.select(*imp.columns, F.explode(subs).alias("_sub"))
              .join(pk, F.col("_sub") == F.col("_pkg")).drop("_sub").distinct())
     first = m.groupBy(*keys, "pos").agg(F.min(F.struct((-F.length("_pkg")).alias("_l"), F.col("_pkg").alias("_p")))["_p"].alias("_pkg"))

@@ -57,3 +57,28 @@ def test_state_checks_same_with_and_without_broadcast(spark):
     finally:
         spark.conf.unset("codetrail.broadcast.rows")
     assert a == b and len(a) > 0
+
+
+def test_imported_targets_both_paths(spark):
+    """Broadcast substring match and the exact substring equi-join give the same packages."""
+    from codetrail.operators.deps import base_packages, imported_targets
+    L = Landed(spark, SF)
+    pk = base_packages(L.library_packages)
+    a = sorted(imported_targets(L.snapshots, pk).collect())
+    spark.conf.set("codetrail.broadcast.rows", "0")
+    try:
+        b = sorted(imported_targets(L.snapshots, pk).collect())
+    finally:
+        spark.conf.unset("codetrail.broadcast.rows")
+    assert a == b and len(a) > 0
+
+
+def test_binned_range_join_matches_plain(spark):
+    from codetrail.operators.history import files_at_commit
+    L = Landed(spark, SF)
+    got = sorted(files_at_commit(L.intervals, L.commits, width=2).collect())
+    iv, c = L.intervals.alias("v"), L.commits.alias("c")
+    want = sorted(c.join(iv, (F.col("c.repo") == F.col("v.repo")) & (F.col("v.valid_from") <= F.col("c.idx"))
+                         & (F.col("v.valid_to").isNull() | (F.col("v.valid_to") > F.col("c.idx"))))
+                  .select(F.col("c.repo").alias("repo"), F.col("c.idx").alias("idx"), F.col("v.path").alias("path")).collect())
+    assert got == want and len(got) > 0
