@@ -225,19 +225,26 @@ def imported_targets(files: DataFrame, packages: DataFrame, content: str = "cont
                      keys: Sequence[str] = ("repo", "idx", "path"), package: str = "package") -> DataFrame:
     """Target packages named in the import section of each file -> (keys, packages array).
 
-    The section ends at the first line containing ``class `` or ``interface ``;
-    a line counts if it contains ``import``; it names at most one package, the
+    The section ends at the first line containing ``class `` or ``interface ``
+    (located in the whole text; only the section's ``import`` lines are
+    exploded); a line counts if it contains ``import``; it names at most one package, the
     first in list order (longest, then alphabetical) that it contains as plain
     text.  The package list is broadcast for the substring test only when its
     row count is within a checked bound; above it every substring of a line
     with a package's length is equi-joined with the packages instead.
     """
     keys = list(keys)
-    x = files.select(*keys, F.posexplode(java_lines(F.col(content))).alias("pos", "line"))
-    stop_at = (x.filter(F.col("line").contains("class ") | F.col("line").contains("interface "))
-               .groupBy(*keys).agg(F.min("pos").alias("_stop")))
-    imp = (x.filter(F.col("line").contains("import")).join(stop_at, keys, "left")
-           .filter(F.col("_stop").isNull() | (F.col("pos") < F.col("_stop"))).drop("_stop"))
+    text = F.col(content)
+    # The section ends at the first line that contains "class " or "interface ": find that
+    # line in the whole text, then explode only the lines of the section that contain "import".
+    hit = F.least(*[F.when(F.instr(text, w) > 0, F.instr(text, w)) for w in ("class ", "interface ")])
+    before_hit = F.substring(text, F.lit(1), hit - 1)
+    line_start = F.length(before_hit) - F.instr(F.reverse(before_hit), "\n") + 1
+    section = F.when(hit.isNull(), text).otherwise(
+        F.when(F.instr(before_hit, "\n") > 0, F.substring(text, F.lit(1), line_start - 1)).otherwise(F.lit("")))
+    lines = F.split(section, "\n")
+    imp = (files.select(*keys, F.posexplode(lines).alias("pos", "line"))
+           .filter(F.col("line").contains("import")))
     pk = packages.select(F.col(package).alias("_pkg")).distinct()
     if row_count_at_most(pk, broadcast_row_limit(pk, PACKAGE_BROADCAST_LIMIT)):
         m = imp.join(F.broadcast(pk), F.col("line").contains(F.col("_pkg")))

@@ -18,7 +18,7 @@ from codetrail.functions.calls import calls_of_pair, render_call_list
 from codetrail.operators import diffs as D
 from codetrail.operators import replace as G
 from codetrail.operators.deps import imported_targets
-from codetrail.operators.history import content_at_commit, expand_changes
+from codetrail.operators.history import expand_changes
 from codetrail.sources.ids import assign_ids
 
 
@@ -53,7 +53,8 @@ def candidate_pairs(inp: MiningInputs, max_files: int = 20, max_pairs: int = 100
     """D7 -> R12 -> D1/D2 -> X2 -> G1..G5: first changed call pairs of edited files."""
     # both are read three times below: materialise them once
     edited = materialize(edited_files(inp.file_changes))
-    content = content_at_commit(inp.snapshots, inp.intervals, edited.select("repo", "idx", "path"))
+    # an edited file was re-added at its commit, so its text is the snapshot stored at that commit
+    content = inp.snapshots.join(edited.select("repo", "idx", "path").distinct(), ["repo", "idx", "path"], "left_semi")
     pk = materialize(imported_targets(content.filter(F.col("content").isNotNull()), inp.base_packages))
     diffs = inp.diffs.join(pk.select("repo", "idx", "path"), ["repo", "idx", "path"], "left_semi")
     pairs = D.paired_replacements(D.diff_lines(diffs))
