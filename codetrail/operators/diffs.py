@@ -152,17 +152,18 @@ def modified_line_ranges(diffs: DataFrame, text_col: str = "line_diff", keys: Se
 # ---------------------------------------------------------------- D7
 def size_guard(pairs: DataFrame, edited_files: DataFrame, max_files: int = 20, max_pairs: int = 1000,
                warn_pairs: int = 250, commit_keys: Sequence[str] = ("repo", "idx"),
-               file_keys: Sequence[str] = ("repo", "idx", "path")) -> DataFrame:
+               file_keys: Sequence[str] = FILE_KEYS) -> DataFrame:
     """Drop commits with more than ``max_files`` edited files and files with more than
     ``max_pairs`` replacements; flag files above ``warn_pairs``.
 
-    Counts come from aggregates joined back (partial aggregation, no per-key
-    window), so a commit with very many files is counted in parallel.  Project
-    state (intervals) is computed separately and is not affected by the guard.
+    The per-file count is a window over the file's own partitioning (the one the
+    diff lines were numbered in, so no new shuffle); the per-commit count of
+    edited files is a partial aggregate joined back.  Project state
+    (intervals) is computed separately and is not affected by the guard.
     """
     n_files = edited_files.groupBy(*commit_keys).agg(F.count(F.lit(1)).alias("n_edited"))
-    n_pairs = pairs.groupBy(*file_keys).agg(F.count(F.lit(1)).alias("n_pairs"))
-    out = (pairs.join(n_files, list(commit_keys)).join(n_pairs, list(file_keys))
+    out = (pairs.withColumn("n_pairs", F.count(F.lit(1)).over(Window.partitionBy(*file_keys)))
+           .join(n_files, list(commit_keys))
            .filter((F.col("n_edited") <= max_files) & (F.col("n_pairs") <= max_pairs))
            .withColumn("many_changes", F.col("n_pairs") > warn_pairs))
     return out

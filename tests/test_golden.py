@@ -82,8 +82,8 @@ def test_d6_ranges(spark):
 
 
 def test_d7_size_guard(spark):
-    pairs = spark.createDataFrame([("r", 1, "a", i) for i in range(5)] + [("r", 1, "b", 0)],
-                                  "repo string, idx int, path string, k int")
+    pairs = spark.createDataFrame([("r", 1, "a", "a", i) for i in range(5)] + [("r", 1, "b", "b", 0)],
+                                  "repo string, idx int, old_path string, path string, k int")
     edited = spark.createDataFrame([("r", 1, "a"), ("r", 1, "b")], "repo string, idx int, path string")
     got = D.size_guard(pairs, edited, max_files=20, max_pairs=3, warn_pairs=0)
     assert {r.path for r in got.collect()} == {"b"}
