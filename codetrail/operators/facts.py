@@ -45,7 +45,7 @@ def drop_failed_parses(df: DataFrame, xml_col: str) -> DataFrame:
 def _units(df: DataFrame, xml_col: str, keys: Sequence[str]) -> DataFrame:
     """Result units of a parser xpath listing, with their position; one-line output has none."""
     body = F.regexp_extract_all(F.col(xml_col), F.lit(UNIT_BODY), 1)
-    multi = F.size(F.split(F.regexp_replace(F.col(xml_col), r"\n+$", ""), "\n")) > 1
+    multi = F.instr(F.regexp_replace(F.col(xml_col), r"\n+$", ""), "\n") > 0
     return (drop_failed_parses(df, xml_col).filter(multi)
             .select(*keys, F.posexplode(body).alias("unit_pos", "unit")))
 

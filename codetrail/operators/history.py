@@ -139,13 +139,6 @@ def file_intervals(events: DataFrame, repo: str = "repo", width: int = 4096) ->
             .select(repo, "path", F.col("idx").alias("valid_from"), "valid_to"))
 
 
-def alive_at(intervals_col_from: str = "valid_from", intervals_col_to: str = "valid_to"):
-    """Predicate builder: interval alive at commit ``at``."""
-    def pred(iv, at):
-        return (iv[intervals_col_from] <= at) & (iv[intervals_col_to].isNull() | (iv[intervals_col_to] > at))
-    return pred
-
-
 # ---------------------------------------------------------------- H6
 def files_at_commit(intervals: DataFrame, targets: DataFrame, suffix: str | None = None,
                     repo: str = "repo", width: int = 64) -> DataFrame:
