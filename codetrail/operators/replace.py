@@ -260,15 +260,23 @@ def candidate_apis(groups: DataFrame, catalog: DataFrame, k: int = 20,
             .fillna(0, ["n_candidates"]).fillna("", ["candidate_ids"]))
 
 
-def _small_left_inner(left: DataFrame, right: DataFrame, cond, left_keys: Sequence[str], right_cols: Sequence[str]):
-    """Inner matches of ``left`` rows (few, broadcast after a row-count check) against a big ``right``."""
-    from codetrail.functions.joins import BROADCAST_ROW_LIMIT, row_count_at_most
+def _small_left_inner(left: DataFrame, right: DataFrame, cond, left_keys: Sequence[str], right_cols: Sequence[str],
+                      large=None):
+    """Inner matches of ``left`` rows (few, broadcast after a row-count check) against a big ``right``.
+
+    ``large(ll, rr)`` may supply the join used when ``left`` is not small (e.g. a binned range join).
+    """
+    from codetrail.functions.joins import broadcast_row_limit, row_count_at_most
     left = materialize(left)
     ll = left.select(*[F.col(c).alias("_l_" + c) for c in left.columns])
     rr = right.select(*[F.col(c).alias("_r_" + c) for c in right.columns])
-    if row_count_at_most(left, BROADCAST_ROW_LIMIT):
+    small = row_count_at_most(left, broadcast_row_limit(left))
+    if small:
         ll = F.broadcast(ll)
-    j = ll.join(rr, cond(lambda c: ll["_l_" + c], lambda c: rr["_r_" + c]), "inner")
+    if not small and large is not None:
+        j = large(ll, rr)
+    else:
+        j = ll.join(rr, cond(lambda c: ll["_l_" + c], lambda c: rr["_r_" + c]), "inner")
     return j.select(*[F.col("_l_" + c).alias(c) for c in left_keys], *[F.col("_r_" + c).alias(c) for c in right_cols])
 
 
@@ -282,7 +290,13 @@ def old_declaration(groups: DataFrame, decl_versions: DataFrame,
     def cond(l, d):
         at = l("idx") - 1
         return ((l("repo") == d("repo")) & (l("old_name") == d("name")) & _alive(d, at) & _arity(d, l("old_n_args")))
-    m = _small_left_inner(g, decl_versions, cond, gkey, ["path", "line_start", "line_end", "is_constructor"])
+    def binned(ll, rr):
+        pts = ll.withColumn("_at", F.col("_l_idx") - 1)
+        j = binned_interval_join(pts, rr, ["_l_repo", "_l_old_name"], ["_r_repo", "_r_name"], "_at",
+                                 valid_from="_r_valid_from", valid_to="_r_valid_to")
+        return j.filter(_arity(lambda c: F.col("_r_" + c), F.col("_l_old_n_args")))
+    m = _small_left_inner(g, decl_versions, cond, gkey, ["path", "line_start", "line_end", "is_constructor"],
+                          large=binned)
     best = m.groupBy(*gkey).agg(F.min(F.struct("path", "line_start", "line_end", "is_constructor")).alias("old_decl"))
     return groups.join(best, gkey, "left")
 

@@ -82,3 +82,17 @@ def test_binned_range_join_matches_plain(spark):
                          & (F.col("v.valid_to").isNull() | (F.col("v.valid_to") > F.col("c.idx"))))
                   .select(F.col("c.repo").alias("repo"), F.col("c.idx").alias("idx"), F.col("v.path").alias("path")).collect())
     assert got == want and len(got) > 0
+
+
+def test_old_declaration_both_paths(spark):
+    from codetrail.operators.replace import old_declaration
+    L = Landed(spark, SF)
+    groups = L.calls.select("repo", "idx", F.col("name").alias("old_name"), F.col("n_args").alias("old_n_args"),
+                            F.lit("x").alias("new_name"), F.lit(0).alias("new_n_args"), F.lit(1).alias("gid"))
+    a = sorted(old_declaration(groups, L.decl_versions).collect())
+    spark.conf.set("codetrail.broadcast.rows", "0")
+    try:
+        b = sorted(old_declaration(groups, L.decl_versions).collect())
+    finally:
+        spark.conf.unset("codetrail.broadcast.rows")
+    assert a == b and sum(1 for r in a if r.old_decl is not None) > 0
