@@ -58,15 +58,17 @@ def resolve_external(invocations: DataFrame, deps: DataFrame, classes: DataFrame
     # two equi-joins, never every call of a repository against every dependency of it
     hits = (cand.join(lib_cls, F.col(cls) == F.col("_c"))
             .join(d, (cand[repo] == d[repo]) & (F.col("_lib") == d["library"])).drop(d[repo]))
-    per = hits.groupBy(key).agg(
-        F.count_distinct("group", "artifact", "version").alias("n_libs"),
-        F.count_distinct("group", "artifact").alias("n_ga"),
-        F.min(F.struct("group", "artifact", "version")).alias("_lib"))
+    # one library <=> smallest and largest matching coordinate agree (no distinct aggregation needed)
+    lib = F.struct("group", "artifact", "version")
+    per = hits.groupBy(key).agg(F.min(lib).alias("_lib"), F.max(lib).alias("_max"))
     out = invocations.join(per, key, "left")
+    one_lib = F.col("_lib") == F.col("_max")
+    one_ga = (F.col("_lib.group") == F.col("_max.group")) & (F.col("_lib.artifact") == F.col("_max.artifact"))
     status = (F.when(F.col("is_local") | F.col("is_java"), F.lit("skipped"))
-              .when(F.col("n_libs") == 1, F.lit("linked"))
-              .when(F.col("n_ga") == 1, F.lit("versions"))
-              .when(F.col("n_libs") > 1, F.lit("libraries")))
+              .when(F.col("_lib").isNull(), F.lit(None))
+              .when(one_lib, F.lit("linked"))
+              .when(one_ga, F.lit("versions"))
+              .otherwise(F.lit("libraries")))
     out = out.withColumn("status", status).withColumn(
         "library", F.when(F.col("status") == "linked", F.col("_lib")))
     if fallback:
@@ -81,7 +83,7 @@ def resolve_external(invocations: DataFrame, deps: DataFrame, classes: DataFrame
                .withColumn("status", F.when(F.col("status").isNull() & F.col("_fb").isNotNull(), F.lit("fallback"))
                            .otherwise(F.col("status")))
                .drop("_fb"))
-    return out.withColumn("status", F.coalesce(F.col("status"), F.lit("unlinked"))).drop("n_libs", "n_ga", "_lib")
+    return out.withColumn("status", F.coalesce(F.col("status"), F.lit("unlinked"))).drop("_lib", "_max")
 
 
 # ---------------------------------------------------------------- R3
