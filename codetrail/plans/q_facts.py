@@ -71,7 +71,8 @@ def q_x8(spark, sf):
 
 
 def _raw_calls(L: Landed):
-    c = X.calls_from_xml(L.parsed_xml)
+    """Raw call facts as a compiler front end lands them: one row per call site (``call_facts``)."""
+    c = L.call_facts
     cls = F.when(F.col("name").startswith("promo"), F.lit("java.lang.Promo")).otherwise(
         F.concat(F.lit("org.lib."), F.substring_index("name", "_", 1)))
     return c.select(F.col("repo").alias("project"), "idx", "path", cls.alias("cls"),
@@ -84,7 +85,7 @@ raw_calls AS (
   SELECT repo AS project, idx, {_PATH} AS path,
          CASE WHEN starts_with(api, 'promo') THEN 'java.lang.Promo' ELSE 'org.lib.' || split_part(api, '_', 1) END AS cls,
          api AS name, n_args, line
-  FROM xml_units WHERE NOT {_FAILED}),
+  FROM xml_units),
 inv AS (
   SELECT project, idx, path, cls, name, n_args, list_sort(list(line)) AS lines, count(*) AS cnt
   FROM raw_calls GROUP BY ALL)"""
