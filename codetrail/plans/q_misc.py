@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from codetrail.functions.windows import ordered_index
 from codetrail.operators import pages as Lp
 from codetrail.operators import select as P
-from codetrail.plans import mining as M
 from codetrail.plans.q_replace import _FINAL, _groups_sql
 from codetrail.plans.registry import query
-from codetrail.sources.carriers import Landed, mining_inputs
+from codetrail.sources.carriers import Landed
 from codetrail.streaming.hook import analyze_history
 
 _ANCHOR_SQL = r"""'<a\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>'"""
@@ -29,10 +28,12 @@ links AS (
 
 
 def _pages(L: Landed):
+    """Fetched pages grouped by host (listing) and numbered by page id; a host may hold most pages,
+    so the numbering is range-partitioned rather than one window per host."""
     p = L.t("pages")
     host = F.regexp_extract("url", "//([^/]+)", 1)
-    return p.select("page_id", "url", "html", host.alias("group"),
-                    F.row_number().over(Window.partitionBy(host).orderBy("page_id")).alias("page_no"))
+    x = p.select("page_id", "url", "html", host.alias("group"))
+    return ordered_index(x, ["group"], ["page_id"], out="page_no").withColumn("page_no", F.col("page_no").cast("int"))
 
 
 @query("l1_artifact_links", _PAGES + """
