@@ -160,7 +160,7 @@ def q_g11(spark, sf):
 
 def _groups(L: Landed):
     inp = L.mining
-    checked = M.checked_pairs(inp, M.candidate_pairs(inp))
+    checked = L.checked
     members = checked.select(
         *G.REPLACEMENT_KEY, "edit_rank", "path", "pos", "k", "old_path", "before", "after", "packages",
         "removed", "added")

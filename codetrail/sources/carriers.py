@@ -280,10 +280,16 @@ class Landed:
         from codetrail.plans.mining import materialized
         return materialized(mining_inputs(self))
 
+    @cached_property
+    def checked(self):
+        """Candidate replacements that pass the project-state checks (G1-G9), materialised."""
+        from codetrail.plans.mining import candidate_pairs, checked_pairs
+        return materialize(checked_pairs(self.mining, candidate_pairs(self.mining)))
+
     @cached_property
     def mined_groups(self):
-        from codetrail.plans.mining import surviving_groups
-        return surviving_groups(self.mining)
+        from codetrail.plans.mining import replacement_groups
+        return materialize(replacement_groups(self.mining, self.checked))
 
     @cached_property
     def mined(self):
