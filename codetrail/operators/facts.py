@@ -65,21 +65,28 @@ def calls_from_xml(df: DataFrame, xml_col: str = "calls_xml", keys: Sequence[str
     and the start line of the ``argument_list``; calls without a name or an argument list
     (hence without a line) are skipped.
 
-    Two XPath evaluations per unit: one node-set union returns the name's text
-    nodes and the ``pos:start`` attribute in document order (a position never
-    looks like an identifier), one count gives the arity.
+    One XPath evaluation per unit: a node-set union returns, in document order,
+    the name's text nodes, the ``pos:start`` attribute of the argument list (a
+    position never looks like an identifier) and one null per direct
+    ``<argument>`` element.
     """
     keys = list(keys)
     u = _units(df, xml_col, keys)
-    both = F.xpath(F.col("unit"), F.lit(_leaf_name_path("/call/name") + "/text() | "
-                                        "/call/argument_list/@*[name()='pos:start']"))
+    nodes = F.xpath(F.col("unit"), F.lit(_leaf_name_path("/call/name") + "/text() | "
+                                         "/call/argument_list/@*[name()='pos:start'] | /call/argument_list/argument"))
     is_pos = lambda v: v.rlike(r"^\d+:\d+$")
-    name = F.array_join(F.filter(both, lambda v: ~is_pos(v)), "")
-    start = F.try_element_at(F.filter(both, is_pos), F.lit(1))
-    n_args = F.xpath_int(F.col("unit"), F.lit("count(/call/argument_list/argument)"))
-    line = F.split(start, ":").getItem(0).try_cast("int")
-    return (u.select(*keys, "unit_pos", name.alias("name"), n_args.alias("n_args"), line.alias("line"))
-            .filter((F.col("name") != "") & F.col("line").isNotNull()))
+
+    def fields(arr):
+        start = F.try_element_at(F.filter(arr, lambda v: v.isNotNull() & is_pos(v)), F.lit(1))
+        return F.struct(F.array_join(F.filter(arr, lambda v: v.isNotNull() & ~is_pos(v)), "").alias("name"),
+                        F.size(F.filter(arr, lambda v: v.isNull())).alias("n_args"),
+                        F.split(start, ":").getItem(0).try_cast("int").alias("line"))
+    # The XPath result is bound once inside a higher-order function and the kept row is produced by a
+    # generator, so the optimizer cannot copy the (expensive) XPath into a pushed-down filter.
+    kept = F.filter(F.transform(F.array(nodes), fields), lambda r: (r["name"] != "") & r["line"].isNotNull())
+    return (u.select(*keys, "unit_pos", F.explode(kept).alias("_r"))
+            .select(*keys, "unit_pos", F.col("_r.name").alias("name"), F.col("_r.n_args").alias("n_args"),
+                    F.col("_r.line").alias("line")))
 
 
 # ---------------------------------------------------------------- X3
