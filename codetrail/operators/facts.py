@@ -96,22 +96,33 @@ def declarations_from_xml(df: DataFrame, xml_col: str = "decls_xml", keys: Seque
     keys = list(keys)
     u = _units(df, xml_col, keys)
     root = "/*[name()='function' or name()='constructor' or name()='function_decl']"
-    name = F.xpath_string(F.col("unit"), F.lit(f"{root}/name"))
-    has_name = F.xpath_boolean(F.col("unit"), F.lit(f"{root}/name"))
-    has_params = F.xpath_boolean(F.col("unit"), F.lit(f"{root}/parameter_list"))
-    n_par = F.xpath_int(F.col("unit"), F.lit(f"count({root}/parameter_list//parameter)"))
-    plist = F.xpath_string(F.col("unit"), F.lit(f"{root}/parameter_list"))
-    varargs = plist.contains("...")
-    start = F.xpath_string(F.col("unit"), F.lit(f"{root}/@*[name()='pos:start']"))
-    end = F.xpath_string(F.col("unit"), F.lit(f"{root}/@*[name()='pos:end']"))
-    is_ctor = F.xpath_boolean(F.col("unit"), F.lit("/constructor"))
-    out = u.select(*keys, "unit_pos", F.when(has_name, name).alias("name"),
-                   F.when(has_params, F.when(varargs, n_par - 1).otherwise(n_par)).alias("n_args"),
-                   F.when(has_params, varargs).alias("varargs"), is_ctor.alias("is_constructor"),
-                   F.split(start, ":").getItem(0).try_cast("int").alias("line_start"),
-                   F.split(end, ":").getItem(0).try_cast("int").alias("line_end"))
-    return out.filter(F.col("name").isNotNull() & F.col("n_args").isNotNull()
-                      & F.col("line_start").isNotNull() & F.col("line_end").isNotNull())
+
+    def raw(x):
+        xs = lambda path: F.xpath_string(x, F.lit(path))
+        xb = lambda path: F.xpath_boolean(x, F.lit(path))
+        return F.struct(xb(f"{root}/name").alias("has_name"), xs(f"{root}/name").alias("name"),
+                        xb(f"{root}/parameter_list").alias("has_params"), xs(f"{root}/parameter_list").alias("plist"),
+                        F.xpath_int(x, F.lit(f"count({root}/parameter_list//parameter)")).alias("n_par"),
+                        xb("/constructor").alias("is_constructor"),
+                        xs(f"{root}/@*[name()='pos:start']").alias("start"), xs(f"{root}/@*[name()='pos:end']").alias("end"))
+
+    def fields(r):
+        varargs = r["plist"].contains("...")
+        return F.struct(
+            F.when(r["has_name"], r["name"]).alias("name"),
+            F.when(r["has_params"], F.when(varargs, r["n_par"] - 1).otherwise(r["n_par"])).alias("n_args"),
+            F.when(r["has_params"], varargs).alias("varargs"),
+            r["is_constructor"].alias("is_constructor"),
+            F.split(r["start"], ":").getItem(0).try_cast("int").alias("line_start"),
+            F.split(r["end"], ":").getItem(0).try_cast("int").alias("line_end"))
+    # bound once per unit inside a higher-order function and emitted by a generator, so pushed-down
+    # filters cannot re-run the XPath expressions
+    kept = F.filter(F.transform(F.transform(F.array(F.col("unit")), raw), fields),
+                    lambda r: r["name"].isNotNull() & r["n_args"].isNotNull()
+                    & r["line_start"].isNotNull() & r["line_end"].isNotNull())
+    cols = ["name", "n_args", "varargs", "is_constructor", "line_start", "line_end"]
+    return (u.select(*keys, "unit_pos", F.explode(kept).alias("_r"))
+            .select(*keys, "unit_pos", *[F.col("_r." + c).alias(c) for c in cols]))
 
 
 # ---------------------------------------------------------------- X4
@@ -124,14 +135,16 @@ def declaration_spans_from_xml(df: DataFrame, xml_col: str = "spans_xml",
                                keys: Sequence[str] = ("repo", "idx", "path")) -> DataFrame:
     """(start, end, name) lists of a file; nothing for the file if the three lists differ in length."""
     keys = list(keys)
-    x = F.col(xml_col)
-    s = F.regexp_extract_all(x, F.lit(SPAN_START), 1)
-    e = F.regexp_extract_all(x, F.lit(SPAN_END), 1)
-    n = F.regexp_extract_all(x, F.lit(SPAN_NAME), 1)
-    ok = (F.size(s) == F.size(e)) & (F.size(e) == F.size(n))
-    z = F.arrays_zip(s.alias("s"), e.alias("e"), n.alias("n"))
-    return (drop_failed_parses(df, xml_col).filter(ok)
-            .select(*keys, F.posexplode(z).alias("k", "_z"))
+
+    def lists(x):
+        return F.struct(F.regexp_extract_all(x, F.lit(SPAN_START), 1).alias("s"),
+                        F.regexp_extract_all(x, F.lit(SPAN_END), 1).alias("e"),
+                        F.regexp_extract_all(x, F.lit(SPAN_NAME), 1).alias("n"))
+    kept = F.filter(F.transform(F.array(F.col(xml_col)), lists),
+                    lambda r: (F.size(r["s"]) == F.size(r["e"])) & (F.size(r["e"]) == F.size(r["n"])))
+    t = drop_failed_parses(df, xml_col).select(*keys, F.explode(kept).alias("_r"))
+    z = F.arrays_zip(F.col("_r.s").alias("s"), F.col("_r.e").alias("e"), F.col("_r.n").alias("n"))
+    return (t.select(*keys, F.posexplode(z).alias("k", "_z"))
             .select(*keys, "k", F.col("_z.n").alias("name"), F.col("_z.s").cast("int").alias("line_start"),
                     F.col("_z.e").cast("int").alias("line_end")))
 
