@@ -121,3 +121,11 @@ def test_u1_hook_in_order(spark):
 
     out = analyze_history(commits, on_commit, on_end, "repo string, shas string", init=list)
     assert sorted(tuple(r) for r in out.collect()) == [("r", "a,b,c"), ("s", "z")]
+
+
+def test_d5_hunks_all_real_hunks(spark):
+    from codetrail.operators import diffs as D
+    text = "diff --git a/f b/f\n@@ -1 +7 @@\n-a\n+b\n@@ -5,2 +9,3 @@\n c"
+    df = spark.createDataFrame([("r", 1, "f", "f", text)], "repo string, idx int, old_path string, path string, line_diff string")
+    got = [(r.hunk, r.start, r.end, r.text) for r in D.hunks(df).orderBy("hunk").collect()]
+    assert got == [(1, 7, 7, "-a\n+b\n"), (2, 9, 11, " c\n")]
