@@ -129,3 +129,14 @@ def test_d5_hunks_all_real_hunks(spark):
     df = spark.createDataFrame([("r", 1, "f", "f", text)], "repo string, idx int, old_path string, path string, line_diff string")
     got = [(r.hunk, r.start, r.end, r.text) for r in D.hunks(df).orderBy("hunk").collect()]
     assert got == [(1, 7, 7, "-a\n+b\n"), (2, 9, 11, " c\n")]
+
+
+def test_h11_h12_s14(spark):
+    from codetrail.sources.text import normalize_text
+    ch = spark.createDataFrame([("r", 1, "M", "a.java", "a.java"), ("r", 1, "M", "b.txt", "b.txt"), ("r", 1, "A", None, "c.java")],
+                               "repo string, idx int, kind string, old_path string, path string")
+    assert [r.path for r in H.modified_files(ch).collect()] == ["a.java"]
+    cp = spark.createDataFrame([("r", "s1", ["p"]), ("r", "s2", ["p", "q"]), ("r", "s0", [])], "repo string, sha string, parents array<string>")
+    assert sorted(r.sha for r in H.all_non_merge_commits(cp).collect()) == ["s0", "s1"]
+    t = spark.createDataFrame([("a\r\nb\r",)], "t string")
+    assert normalize_text(t, ["t"]).first().t == "a\nb"
