@@ -140,3 +140,16 @@ def test_h11_h12_s14(spark):
     assert sorted(r.sha for r in H.all_non_merge_commits(cp).collect()) == ["s0", "s1"]
     t = spark.createDataFrame([("a\r\nb\r",)], "t string")
     assert normalize_text(t, ["t"]).first().t == "a\nb"
+
+
+def test_l1_artifact_links_and_s2(spark, tmp_path):
+    html = ('<a href="/artifact/org.apache.commons/commons-lang3">x</a> <a href="/artifact/other/y">y</a>'
+            '<a href="/artifact/org.apache.commons/commons-io">z</a>')
+    pages = spark.createDataFrame([(1, html)], "page_id int, html string")
+    got = [r.artifact for r in Lp.artifact_links(pages, group="org.apache.commons").orderBy("pos").collect()]
+    assert got == ["commons-lang3", "commons-io"]
+    from codetrail.sources.readers import read_library_list
+    f = tmp_path / "libs.txt"
+    f.write_text("commons-io|commons-io|2.11.0\norg.apache.commons|commons-jcs3-*|*\n")
+    rows = sorted(tuple(r) for r in read_library_list(spark, str(f)).collect())
+    assert rows == [("commons-io", "commons-io", "2.11.0"), ("org.apache.commons", "commons-jcs3-*", "*")]
