@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codetrail.llm import bpe, chunk_dedup, dart_minhash, decontaminate, langid
+from codetrail.llm import bpe, chunk_dedup, dart_minhash, decontaminate, langid, licence_scan, suffix_dedup, url_automaton
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,11 +29,26 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict_languages(_table(spark, sf_dir, "documents"))
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_automaton.judge(_table(spark, sf_dir, "pages"))
+
+
+def op7_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licence_scan.scan(_table(spark, sf_dir, "documents"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_strings(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe, op3_exact_dedup, op4_minhash, op5_language, op8_decontamination)}
+    f.__name__: f for f in (op1_bpe, op3_exact_dedup, op4_minhash, op5_language, op6_url_filter, op7_licence_scan,
+                             op8_decontamination, op10_suffix_array)}
 
-ORACLE_SQL: dict[str, str] = {"op3_exact_dedup": chunk_dedup.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op3_exact_dedup": chunk_dedup.ORACLE_SQL, "op6_url_filter": url_automaton.ORACLE_SQL,
+    "op7_licence_scan": licence_scan.ORACLE_SQL}
