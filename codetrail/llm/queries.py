@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codetrail.llm import bpe, chunk_dedup, dart_minhash, decontaminate, langid, licence_scan, suffix_dedup, url_automaton
+from codetrail.llm import bpe, chunk_dedup, dart_minhash, decontaminate, langid, licence_scan, suffix_dedup, toxicity, url_automaton, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_dedup.exact_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -41,14 +45,18 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(_table(spark, sf_dir, "pages"))
+
+
 def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeated_strings(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe, op3_exact_dedup, op4_minhash, op5_language, op6_url_filter, op7_licence_scan,
-                             op8_decontamination, op10_suffix_array)}
+    f.__name__: f for f in (op1_bpe, op2_toxicity, op3_exact_dedup, op4_minhash, op5_language, op6_url_filter,
+                            op7_licence_scan, op8_decontamination, op9_warc, op10_suffix_array)}
 
 ORACLE_SQL: dict[str, str] = {
     "op3_exact_dedup": chunk_dedup.ORACLE_SQL, "op6_url_filter": url_automaton.ORACLE_SQL,
-    "op7_licence_scan": licence_scan.ORACLE_SQL}
+    "op7_licence_scan": licence_scan.ORACLE_SQL, "op9_warc": warc.ORACLE_SQL}
