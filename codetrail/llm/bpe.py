@@ -24,7 +24,8 @@ from codetrail.llm.common import slices, strings
 from codetrail.llm.words import hash_spans
 
 #: Text that is encoded together, and the words that a task remembers.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 8 << 20
+BLOCK_ROWS = 16_384
 REMEMBER = 600_000
 
 OTHER, LETTER, NUMBER, SPACE, BREAK = range(5)
@@ -312,7 +313,7 @@ def encode(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
 
     def run(batches):
         codec = Codec(path)
-        for batch in slices(batches, limit=BLOCK_BYTES):
+        for batch in slices(batches, limit=BLOCK_BYTES, rows=BLOCK_ROWS):
             ids, first = codec.encode(strings(batch))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.ListArray.from_arrays(first.astype(np.int32), ids.astype(np.int32))],
@@ -348,7 +349,7 @@ def round_trip(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
 
     def run(batches):
         codec = Codec(path)
-        for batch in slices(batches, limit=BLOCK_BYTES):
+        for batch in slices(batches, limit=BLOCK_BYTES, rows=BLOCK_ROWS):
             ids, first = codec.encode(strings(batch))
             own = [ids[a:b] for a, b in zip(first, first[1:], strict=False)]
             yield pa.RecordBatch.from_pydict({

@@ -121,14 +121,15 @@ def exact_duplicates(docs: DataFrame, hash_bits: int = 64) -> DataFrame:
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each group of equal texts; of a repeated row one stays."""
-    chosen = exact_duplicates(docs).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
+    """``docs`` with one row of each group of equal texts; of a repeated row one stays.  The texts are shuffled once."""
+    def key(doc_id, sha):
+        return F.concat_ws(":", F.coalesce(F.col(doc_id).cast("string"), F.lit("")), sha)
+
+    chosen = exact_duplicates(docs).where("kept").select(key("doc_id", F.col("text_sha256")).alias("__key")).distinct()
     sha = F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]", "").cast("binary"), 256)
-    once = chosen.groupBy("__id", "__sha").agg(F.lit(1).alias("__one"))
-    marked = docs.withColumn("__own", sha).join(
-        once, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__sha")), "left_semi")
-    numbered = marked.withColumn("__n", F.row_number().over(Window.partitionBy("doc_id", "__own").orderBy(
-        F.length("text").desc(), F.lit(0))))
+    marked = docs.withColumn("__key", key("doc_id", sha)).join(chosen, "__key", "left_semi")
+    numbered = marked.withColumn("__n", F.row_number().over(
+        Window.partitionBy("__key").orderBy(F.length("text").desc_nulls_last())))
     return numbered.where("__n = 1").select(*docs.columns)
 
 

@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 from codetrail.session import ensure_checkpoint_dir
 
 #: Bytes of text that one Python task works on at a time; a longer text stands alone.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+#: ... and documents.
+SLICE_ROWS = 2048
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -44,24 +46,26 @@ def in_training(doc_id: str | Column = "doc_id") -> Column:
                    .cast("binary")) % 3 != 1
 
 
-def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of at most ``limit`` bytes of ``column`` (at least one row each)."""
+def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES,
+           rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows`` rows and ``limit`` bytes of ``column`` (at least one row each)."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0)
         ends = np.cumsum(np.asarray(sizes, dtype=np.int64))
         start = 0
         while start < batch.num_rows:
             before = int(ends[start - 1]) if start else 0
-            stop = max(start + 1, int(np.searchsorted(ends, before + limit, side="right")))
+            stop = max(start + 1, min(start + rows, int(np.searchsorted(ends, before + limit, side="right"))))
             yield batch.slice(start, stop - start)
             start = stop
 
 
 def by_slice(fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], column: str = "text",
-             limit: int = SLICE_BYTES) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+             limit: int = SLICE_BYTES, rows: int = SLICE_ROWS,
+             ) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A ``mapInArrow`` function that applies ``fn`` to slices of bounded size."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, column, limit):
+        for part in slices(batches, column, limit, rows):
             out = fn(part)
             if out is not None and out.num_rows:
                 yield out
