@@ -14,7 +14,8 @@ bucket:
 
 1. each document against the smallest of each of its buckets;
 2. then, in buckets that still hold several classes, blocks of at most ``BLOCK`` documents against each other inside a
-   task: pairs of different classes whose signatures agree in at least ``LIKELY`` of the coordinates come out once.
+   task, once for each pair: those of different classes whose signatures agree in at least ``LIKELY`` of the coordinates
+   are verified, the most alike first, until the classes that have a link are joined.
 
 Both are verified with the shingle sets (40 bits of each shingle's hash) before they count as links.
 """
@@ -38,7 +39,9 @@ ROWS = 6
 SIMILAR = 0.8
 #: Agreement of signatures below which a pair of step 2 isn't verified: 0.8 less 3.4 standard deviations.
 LIKELY = 0.7
-BLOCK = 512
+BLOCK = 256
+#: Documents whose darts are thrown together (about 1,400 for each, whatever its length).
+SKETCH_ROWS = 256
 WORDS = 5
 
 
@@ -112,7 +115,7 @@ def sketches(docs: DataFrame, k: int = K, rows: int = ROWS, weighted: bool = Fal
             "bands": pa.array([b if f else [] for b, f in zip(bands, full, strict=True)], pa.list_(pa.int64()))})
 
     return (docs.select("doc_id", "text")
-            .mapInArrow(by_slice(run), f"doc_id {kind}, key binary, n double, sketch binary, bands array<long>")
+            .mapInArrow(by_slice(run, rows=SKETCH_ROWS), f"doc_id {kind}, key binary, n double, sketch binary, bands array<long>")
             .withColumn("node", F.monotonically_increasing_id()))
 
 
@@ -150,19 +153,18 @@ def _unpack(blob: bytes, weighted: bool) -> tuple[np.ndarray, np.ndarray]:
     return wide.view("<u8").ravel(), np.frombuffer(blob, "<f4", n, 5 * n) if weighted else np.ones(n)
 
 
-def similarity(a: bytes, b: bytes, weighted: bool = False) -> float:
-    """Weighted Jaccard similarity of two packed sets."""
-    (x, v), (y, w) = _unpack(a, weighted), _unpack(b, weighted)
-    common, i, j = np.intersect1d(x, y, assume_unique=False, return_indices=True)
+def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    """Weighted Jaccard similarity of two sets (sorted elements, weights)."""
+    (x, v), (y, w) = a, b
+    _, i, j = np.intersect1d(x, y, return_indices=True)
     shared = float(np.minimum(v[i], w[j]).sum())
     union = float(v.sum() + w.sum()) - shared
     return shared / union if union else 1.0
 
 
-def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, similar: float, weighted: bool) -> DataFrame:
-    """The pairs (a, b nodes of ``reps``) whose sets are similar enough; sets are made for documents in a pair only."""
-    kind = dict(docs.dtypes)["doc_id"]
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(
+def shingle_sets(nodes: DataFrame, reps: DataFrame, docs: DataFrame, weighted: bool) -> DataFrame:
+    """node, set (packed) of the texts of ``nodes``; a text is found by its doc_id and the key of its words."""
+    wanted = nodes.select("node").distinct().join(
         reps.select("node", F.col("doc_id").alias("__id"), F.col("key").alias("__key")), "node")
     texts = wanted.join(docs.select(F.col("doc_id").alias("__doc"), "text"), F.col("__id").eqNullSafe(F.col("__doc")))
 
@@ -176,15 +178,21 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, similar: float,
         out = pa.RecordBatch.from_pydict({"node": batch.column("node"), "set": pa.array(blobs, pa.binary())})
         return out.filter(pa.array(right))
 
-    sets = landed(texts.select("node", "__key", "text").mapInArrow(by_slice(pack), "node long, set binary")
+    return landed(texts.select("node", "__key", "text").mapInArrow(by_slice(pack), "node long, set binary")
                   .dropDuplicates(["node"]), "sets")
+
+
+def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, similar: float, weighted: bool) -> DataFrame:
+    """The pairs (a, b nodes of ``reps``) whose sets are similar enough; sets are made for documents in a pair only."""
+    sets = shingle_sets(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))),
+                        reps, docs, weighted)
     both = pairs.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a").join(
         sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
 
     def check(batches):
         for batch in batches:
             yield batch.select(["a", "b"]).filter(pa.array(
-                [similarity(x.as_py(), y.as_py(), weighted) >= similar
+                [similarity(_unpack(x.as_py(), weighted), _unpack(y.as_py(), weighted)) >= similar
                  for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True)], pa.bool_()))
 
     return both.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long")
@@ -198,26 +206,48 @@ def agreement(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (same - 1 / 256) / (1 - 1 / 256)
 
 
-def _between(rows: dict[str, np.ndarray], similar: float, likely: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a block with classes that differ; each pair only in the first bucket that both are in."""
-    left, right = rows["side"] <= 0, rows["side"] >= 0
-    l, r = np.flatnonzero(left), np.flatnonzero(right)
-    fit = rows["comp"][l][:, None] != rows["comp"][r][None, :]
-    fit &= rows["node"][l][:, None] < rows["node"][r][None, :] if not (rows["side"] != 0).any() else True
-    size = np.minimum(rows["n"][l][:, None], rows["n"][r][None, :]) / np.maximum(rows["n"][l][:, None], rows["n"][r][None, :])
-    fit &= size >= similar
+def _between(rows: dict[str, np.ndarray], similar: float, likely: float, weighted: bool) -> list[tuple[int, int]]:
+    """Links between the classes of a group, as many as hold them together: pairs that agree most are verified first, and
+    none whose documents are connected by then.  A pair counts only in the first bucket that both are in."""
+    left, right = np.flatnonzero(rows["side"] <= 0), np.flatnonzero(rows["side"] >= 0)
+    node, comp, n = rows["node"], rows["comp"], rows["n"]
+    fit = comp[left][:, None] != comp[right][None, :]
+    if not (rows["side"] != 0).any():
+        fit &= node[left][:, None] < node[right][None, :]
+    fit &= np.minimum.outer(n[left], n[right]) >= similar * np.maximum.outer(n[left], n[right])
     if not fit.any():
-        return l[:0], r[:0]
-    fit &= agreement(rows["sketch"][l], rows["sketch"][r]) >= likely
-    i, j = np.nonzero(fit)
-    shared = rows["bands"][l[i]] == rows["bands"][r[j]]
-    here = rows["bands"][l[i]] == rows["bucket"][l[i]][:, None]
-    ok = shared.argmax(axis=1) == here.argmax(axis=1)
-    return l[i[ok]], r[j[ok]]
-
-
-def cross_pairs(buckets: DataFrame, similar: float, likely: float, block: int) -> DataFrame:
-    """a, b: likely pairs of different classes out of ``buckets`` (bucket, m members, node, comp, n, sketch, bands).
+        return []
+    agree = agreement(rows["sketch"][left], rows["sketch"][right])
+    i, j = np.nonzero(fit & (agree >= likely))
+    agree, i, j = agree[i, j], left[i], right[j]
+    shared = rows["bands"][i] == rows["bands"][j]
+    here = rows["bands"][i] == rows["bucket"][i][:, None]
+    mine = shared.argmax(axis=1) == here.argmax(axis=1)
+    i, j = i[mine], j[mine]
+    parent: dict[int, int] = {}
+
+    def find(c: int) -> int:
+        while parent.setdefault(c, c) != c:
+            parent[c] = c = parent[parent[c]]
+        return c
+
+    sets: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    links = []
+    for k in np.argsort(-agree[mine], kind="stable"):
+        a, b = int(i[k]), int(j[k])
+        x, y = find(int(comp[a])), find(int(comp[b]))
+        if x != y:
+            for r in (a, b):
+                if r not in sets:
+                    sets[r] = _unpack(rows["set"][r], weighted)
+            if similarity(sets[a], sets[b]) >= similar:
+                parent[x] = y
+                links.append((int(node[a]), int(node[b])))
+    return links
+
+
+def cross_links(buckets: DataFrame, similar: float, likely: float, block: int, weighted: bool) -> DataFrame:
+    """a, b: links between different classes, out of ``buckets`` (bucket, m members, node, comp, n, sketch, bands, set).
 
     A bucket of m members is dealt into ceil(m / block) blocks by a hash of the node; each pair of blocks is one group,
     so a task never holds more than two blocks of a bucket, and a member is copied once per block.
@@ -227,52 +257,40 @@ def cross_pairs(buckets: DataFrame, similar: float, likely: float, block: int) -
     dealt = buckets.withColumn("own", mine).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
                          F.signum(F.col("own") - F.col("other")).cast("int").alias("side"),
-                         "node", "comp", "n", "sketch", "bands")
+                         "node", "comp", "n", "sketch", "bands", "set")
     ordered = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
 
-    def run(batches):
-        held: list[pa.RecordBatch] = []
-
-        def groups(table: pa.Table, last: bool):
-            bucket, i, j = (np.asarray(table[c]) for c in ("bucket", "i", "j"))
-            edge = np.flatnonzero((bucket[1:] != bucket[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-            ends = [*edge.tolist(), table.num_rows] if last else edge.tolist()
-            if not ends:
-                return 0, None
-            part = table.slice(0, ends[-1]).combine_chunks()
-            rows = {c: np.asarray(part[c]) for c in ("bucket", "side", "node", "comp", "n")}
-            rows["sketch"] = np.frombuffer(b"".join(part["sketch"].to_pylist()), np.uint8).reshape(part.num_rows, -1)
-            rows["bands"] = np.asarray(part["bands"].combine_chunks().flatten()).reshape(part.num_rows, -1)
-            a, b, at = [], [], 0
-            for end in ends:
-                own = {c: v[at:end] for c, v in rows.items()}
-                x, y = _between(own, similar, likely)
-                a.append(own["node"][x])
-                b.append(own["node"][y])
-                at = end
-            a, b = np.concatenate(a), np.concatenate(b)
-            return ends[-1], pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+    def compared(table: pa.Table, ends: list[int]) -> pa.RecordBatch:
+        rows = {c: np.asarray(table[c].combine_chunks()) for c in ("bucket", "side", "node", "comp", "n")}
+        rows["sketch"] = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(table.num_rows, -1)
+        rows["bands"] = np.asarray(table["bands"].combine_chunks().flatten()).reshape(table.num_rows, -1)
+        rows["set"] = np.array(table["set"].to_pylist(), dtype=object)
+        found = []
+        for at, end in zip([0, *ends], ends, strict=False):
+            found += _between({c: v[at:end] for c, v in rows.items()}, similar, likely, weighted)
+        return pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in found], pa.int64()),
+                                           "b": pa.array([b for _, b in found], pa.int64())})
 
+    def run(batches):
         rest = None
         for batch in batches:
-            held = [pa.Table.from_batches([batch])] if rest is None else [rest, pa.Table.from_batches([batch])]
-            table = pa.concat_tables(held)
-            done, out = groups(table, False)
-            rest = table.slice(done)
-            if out is not None and out.num_rows:
-                yield out
+            table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables(
+                [rest, pa.Table.from_batches([batch])])
+            bucket, i, j = (np.asarray(table[c].combine_chunks()) for c in ("bucket", "i", "j"))
+            ends = (np.flatnonzero((bucket[1:] != bucket[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1).tolist()
+            if ends:
+                yield compared(table.slice(0, ends[-1]), ends)
+            rest = table.slice(ends[-1] if ends else 0)
         if rest is not None and rest.num_rows:
-            out = groups(rest, True)[1]
-            if out.num_rows:
-                yield out
+            yield compared(rest, [rest.num_rows])
 
-    return ordered.mapInArrow(run, "a long, b long").distinct()
+    return ordered.mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, similar: float = SIMILAR, k: int = K, rows: int = ROWS, weighted: bool = False,
                     likely: float = LIKELY, block: int = BLOCK) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, class_id (the smallest doc_id of its class), class_size (rows),
-    n_links (verified links of its text to others, at least those that hold its class together) and kept.
+    n_links (verified links of its text, as many as hold its class together) and kept.
 
     Classes are connected components of the near-duplicate links; texts of the same words are copies of one class.  Null
     and empty texts, and texts without a word, have no shingles: they are in one class with texts that have the same
@@ -292,9 +310,8 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, k: int = K, rows:
     held = shared.select("bucket", "m", "node").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     mixed = held.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("bucket")
     rest = held.join(mixed, "bucket", "left_semi").join(reps.select("node", "n", "sketch", "bands"), "node")
-    pairs = landed(cross_pairs(rest, similar, likely, block).join(
-        star.select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a")), ["a", "b"], "left_anti"), "pairs")
-    links = landed(first.unionByName(verified(pairs, reps, docs, similar, weighted)), "links")
+    rest = rest.join(shingle_sets(rest, reps, docs, weighted), "node")
+    links = landed(first.unionByName(cross_links(rest, similar, likely, block, weighted)), "links")
     comp = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     classes = reps_of.withColumnRenamed("rep", "node").join(comp, "node", "left").join(degree, "node", "left").select(
