@@ -12,14 +12,15 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codetrail.functions.joins import broadcast_row_limit, row_count_at_most
+from codetrail.functions.arrays import bound, running_sum
 from codetrail.functions.text import glob_to_regex, java_lines
+from codetrail.functions.xml import parsed
 
 # Library groups kept as targets when reading project dependencies.
 TARGET_GROUPS = ("org.apache.commons", "commons-io", "commons-daemon")
 
-# Package list sizes up to this are broadcast for substring matching.
-PACKAGE_BROADCAST_LIMIT = 10_000
+# R12 looks import lines up by the last characters of a package name, this many.
+TAIL = 6
 
 
 # ---------------------------------------------------------------- R1
@@ -50,40 +51,41 @@ def resolve_external(invocations: DataFrame, deps: DataFrame, classes: DataFrame
     not linked, no fallback), fallback (linked to the smallest library id holding
     the class, when enabled), unlinked, or skipped (local / java).
     """
-    cand = invocations.filter(~F.col("is_local") & ~F.col("is_java")).select(key, repo, cls)
-    d = deps.select(repo, "group", "artifact", "version",
-                    F.concat_ws(":", "group", "artifact", "version").alias("library")).distinct()
-    lib_cls = classes.select(F.col("library").alias("_lib"), F.col("class").alias("_c"))
+    # a class is resolved once per repository, not once per call
+    asked = (invocations.filter(~F.col("is_local") & ~F.col("is_java") & F.col(cls).isNotNull())
+             .select(F.col(repo).alias("_repo"), F.col(cls).alias("_cls")).distinct())
+    d = deps.select(F.col(repo).alias("_d_repo"), "group", "artifact", "version",
+                    F.concat_ws(":", "group", "artifact", "version").alias("_d_lib")).distinct()
+    lib_cls = classes.select(F.col("library").alias("_c_lib"), F.col("class").alias("_c"))
     # class first (fan-out = libraries holding the class), then the repository's dependency on that library:
-    # two equi-joins, never every call of a repository against every dependency of it
-    hits = (cand.join(lib_cls, F.col(cls) == F.col("_c"))
-            .join(d, (cand[repo] == d[repo]) & (F.col("_lib") == d["library"])).drop(d[repo]))
+    # two equi-joins, never every class of a repository against every dependency of it
+    hits = (asked.join(lib_cls, F.col("_cls") == F.col("_c"))
+            .join(d, (F.col("_repo") == F.col("_d_repo")) & (F.col("_c_lib") == F.col("_d_lib"))))
     # one library <=> smallest and largest matching coordinate agree (no distinct aggregation needed)
     lib = F.struct("group", "artifact", "version")
-    per = hits.groupBy(key).agg(F.min(lib).alias("_lib"), F.max(lib).alias("_max"))
-    out = invocations.join(per, key, "left")
+    per = hits.groupBy("_repo", "_cls").agg(F.min(lib).alias("_lib"), F.max(lib).alias("_max"))
+    if fallback:
+        parts = F.split(F.min("_c_lib"), ":")
+        any_lib = (asked.join(lib_cls, F.col("_cls") == F.col("_c")).groupBy("_repo", "_cls").agg(
+            F.struct(F.get(parts, 0).alias("group"), F.get(parts, 1).alias("artifact"),
+                     F.get(parts, 2).alias("version")).alias("_fb")))
+        per = any_lib.join(per, ["_repo", "_cls"], "left")
+    else:
+        per = per.withColumn("_fb", F.lit(None).cast("struct<group:string,artifact:string,version:string>"))
+    out = invocations.join(per, (F.col(repo) == F.col("_repo")) & (F.col(cls) == F.col("_cls"))
+                           & ~F.col("is_local") & ~F.col("is_java"), "left")
     one_lib = F.col("_lib") == F.col("_max")
     one_ga = (F.col("_lib.group") == F.col("_max.group")) & (F.col("_lib.artifact") == F.col("_max.artifact"))
     status = (F.when(F.col("is_local") | F.col("is_java"), F.lit("skipped"))
-              .when(F.col("_lib").isNull(), F.lit(None))
+              .when(F.col("_lib").isNull() & F.col("_fb").isNotNull(), F.lit("fallback"))
+              .when(F.col("_lib").isNull(), F.lit("unlinked"))
               .when(one_lib, F.lit("linked"))
               .when(one_ga, F.lit("versions"))
               .otherwise(F.lit("libraries")))
-    out = out.withColumn("status", status).withColumn(
-        "library", F.when(F.col("status") == "linked", F.col("_lib")))
-    if fallback:
-        need = out.filter(F.col("status").isNull()).select(key, cls)
-        fb = (need.join(lib_cls, need[cls] == lib_cls["_c"]).groupBy(key)
-              .agg(F.min("_lib").alias("_fb")))
-        parts = F.split("_fb", ":")
-        out = (out.join(fb, key, "left")
-               .withColumn("library", F.when(F.col("_fb").isNotNull() & F.col("status").isNull(),
-                                             F.struct(F.get(parts, 0).alias("group"), F.get(parts, 1).alias("artifact"),
-                                                      F.get(parts, 2).alias("version"))).otherwise(F.col("library")))
-               .withColumn("status", F.when(F.col("status").isNull() & F.col("_fb").isNotNull(), F.lit("fallback"))
-                           .otherwise(F.col("status")))
-               .drop("_fb"))
-    return out.withColumn("status", F.coalesce(F.col("status"), F.lit("unlinked"))).drop("_lib", "_max")
+    return (out.withColumn("status", status)
+            .withColumn("library", F.when(F.col("status") == "linked", F.col("_lib"))
+                        .when(F.col("status") == "fallback", F.col("_fb")))
+            .drop("_repo", "_cls", "_lib", "_max", "_fb"))
 
 
 # ---------------------------------------------------------------- R3
@@ -134,63 +136,74 @@ def available_dependencies(deps: DataFrame, catalog: DataFrame, keys: Sequence[s
 
 
 # ---------------------------------------------------------------- R7
-# The two coordinate shapes recognised in a Gradle dependency block.
-GRADLE_CALL = r'\w+\(\s*"([.\w-]+)"\s*,\s*"([.\w-]+)"\s*,\s*"([.\w-]+)"\s*\)'
-GRADLE_COLON = r"([.\w-]+):([.\w-]+):([.\w-]+)"
+# A coordinate as three quoted arguments of a call, and as one text with colons.
+_PART = r"([\w.-]+)"
+CALL_FORM = r"[A-Za-z0-9_]\([ \t]*" + r"[ \t]*,[ \t]*".join(['"' + _PART + '"'] * 3) + r"[ \t]*\)"
+COLON_FORM = ":".join([_PART] * 3)
+BLOCK_OPENS = "dependencies {"
+
 
-_BLOCK_FOLD = """aggregate(_lines, named_struct('inb', false, 'lvl', 0, 'scan', CAST(array() AS ARRAY<BOOLEAN>)),
-  (st, l) -> CASE
-    WHEN NOT st.inb AND contains(l, 'dependencies {') THEN named_struct('inb', true, 'lvl', 0, 'scan', concat(st.scan, array(false)))
-    WHEN NOT st.inb THEN named_struct('inb', false, 'lvl', st.lvl, 'scan', concat(st.scan, array(false)))
-    ELSE named_struct(
-      'inb', (st.lvl + CASE WHEN contains(l, '{') THEN 1 WHEN contains(l, '}') THEN -1 ELSE 0 END) >= 0,
-      'lvl', st.lvl + CASE WHEN contains(l, '{') THEN 1 WHEN contains(l, '}') THEN -1 ELSE 0 END,
-      'scan', concat(st.scan, array(true))) END).scan"""
+def _in_block(lines):
+    """Per line, whether it stands in a block: after a line that opens one, up to the first line after which the brace
+    balance is lower than it was at the opening."""
+    change = F.transform(lines, lambda x: F.when(F.contains(x, F.lit("{")), 1).when(F.contains(x, F.lit("}")), -1).otherwise(0))
+
+    def spans(balance):
+        def closes(at):
+            below = F.filter(F.transform(F.sequence(at, F.size(lines) - 1), lambda j: F.when(
+                F.element_at(balance, j + 1) < F.element_at(balance, at + 1), j)), lambda j: j.isNotNull())
+            return F.struct(at.alias("opens"), F.coalesce(F.get(below, F.lit(0)), F.size(lines)).alias("closes"))
+        opening = F.filter(F.transform(lines, lambda x, i: F.when(F.contains(x, F.lit(BLOCK_OPENS)), i)), lambda i: i.isNotNull())
+        return F.transform(opening, closes)
+
+    return bound(bound(running_sum(change), spans), lambda found: F.transform(
+        lines, lambda x, i: F.exists(found, lambda b: (i > b["opens"]) & (i <= b["closes"]))))
 
 
 def gradle_dependencies(files: DataFrame, content: str = "content", keys: Sequence[str] = ("repo", "path")) -> DataFrame:
     """(group, artifact) of dependency coordinates inside a ``dependencies {`` block.
 
-    The block opens at a line containing ``dependencies {`` (that line is not
-    scanned); every later line is scanned, then a line with ``{`` adds a level,
-    otherwise one with ``}`` removes one, and the block closes below level 0 (a
-    later ``dependencies {`` opens it again).  Per line the call form
-    ``f("g", "a", "v")`` is used if it matches, else the ``g:a:v`` form.  The
-    block state is a fold over the lines of one build file.
+    A line that contains ``dependencies {`` opens a block and isn't scanned itself; a line with ``{`` raises the brace
+    balance by one, otherwise one with ``}`` lowers it, and the block reaches up to the line that brings the balance
+    below its opening's.  Per line the call form ``f("g", "a", "v")`` is used if it matches, else the ``g:a:v`` form.
+    The balance is a running sum inside the file's row.
     """
     keys = list(keys)
     x = files.select(*keys, java_lines(F.col(content)).alias("_lines"))
-    x = x.select(*keys, F.posexplode(F.arrays_zip(F.col("_lines").alias("line"), F.expr(_BLOCK_FOLD).alias("scan")))
+    x = x.select(*keys, F.posexplode(F.arrays_zip(F.col("_lines").alias("line"), _in_block(F.col("_lines")).alias("scan")))
                  .alias("pos", "_z")).filter(F.col("_z.scan"))
     line = F.col("_z.line")
-    call_g = F.regexp_extract_all(line, F.lit(GRADLE_CALL), 1)
-    call_a = F.regexp_extract_all(line, F.lit(GRADLE_CALL), 2)
-    col_g = F.regexp_extract_all(line, F.lit(GRADLE_COLON), 1)
-    col_a = F.regexp_extract_all(line, F.lit(GRADLE_COLON), 2)
-    pairs = F.when(F.size(call_g) > 0, F.arrays_zip(call_g.alias("group"), call_a.alias("artifact"))) \
-             .otherwise(F.arrays_zip(col_g.alias("group"), col_a.alias("artifact")))
+
+    def found(pattern):
+        return F.arrays_zip(F.regexp_extract_all(line, F.lit(pattern), 1).alias("group"),
+                            F.regexp_extract_all(line, F.lit(pattern), 2).alias("artifact"))
+    pairs = F.when(line.rlike(CALL_FORM), found(CALL_FORM)).otherwise(found(COLON_FORM))
     return (x.select(*keys, "pos", F.explode(pairs).alias("_d"))
             .select(*keys, "pos", F.col("_d.group").alias("group"), F.col("_d.artifact").alias("artifact")))
 
 
 # ---------------------------------------------------------------- R8
+_POM = "dependencies STRUCT<dependency: ARRAY<STRUCT<groupId: STRING, artifactId: STRING, version: STRING>>>"
+
+
 def pom_dependencies(files: DataFrame, content: str = "content", keys: Sequence[str] = ("repo", "path")) -> DataFrame:
     """(group, artifact, version) of each ``/project/dependencies/dependency`` of a Maven file.
 
-    Versions are optional in a POM; they are attached by position only when
-    every dependency of the file has one, otherwise left null.
+    Each element is read as one record, so what one lacks is null and doesn't shift the others; a file that isn't
+    well-formed XML has no rows (``malformed_poms`` lists those).
     """
-    base = "/project/dependencies/dependency"
-    g = F.xpath(F.col(content), F.lit(f"{base}/groupId/text()"))
-    a = F.xpath(F.col(content), F.lit(f"{base}/artifactId/text()"))
-    v = F.xpath(F.col(content), F.lit(f"{base}/version/text()"))
-    v = F.when(F.size(v) == F.size(g), v).otherwise(F.array_repeat(F.lit(None).cast("string"), F.size(g)))
-    z = F.arrays_zip(g.alias("group"), a.alias("artifact"), v.alias("version"))
-    return (files.select(*keys, F.posexplode(z).alias("k", "_d"))
-            .select(*keys, "k", F.col("_d.group").alias("group"), F.col("_d.artifact").alias("artifact"),
+    deps = parsed(F.col(content), _POM)["dependencies"]["dependency"]
+    return (files.select(*keys, F.posexplode(deps).alias("k", "_d"))
+            .select(*keys, "k", F.col("_d.groupId").alias("group"), F.col("_d.artifactId").alias("artifact"),
                     F.col("_d.version").alias("version")))
 
 
+def malformed_poms(files: DataFrame, content: str = "content", keys: Sequence[str] = ("repo", "path")) -> DataFrame:
+    """The Maven files that aren't well-formed XML."""
+    from codetrail.functions.xml import well_formed
+    return files.filter(~well_formed(F.col(content))).select(*keys)
+
+
 # ---------------------------------------------------------------- R9
 def project_dependencies(build_files: DataFrame, targets: Sequence[str] = TARGET_GROUPS, repo: str = "repo") -> DataFrame:
     """Maven files win, else Gradle, else unknown (a null row); keep target groups only."""
@@ -207,12 +220,15 @@ def project_dependencies(build_files: DataFrame, targets: Sequence[str] = TARGET
 
 
 # ---------------------------------------------------------------- R10
-def restrict_to_dependencies(apis: DataFrame, deps: DataFrame, project: str = "project") -> DataFrame:
-    """Keep APIs whose library (``group|artifact|...``) is one of the dependencies."""
+def restrict_to_dependencies(apis: DataFrame, deps: DataFrame, project: str = "project", repo: str = "repo") -> DataFrame:
+    """Keep the (repository, API) rows whose library (``group|artifact|...``) the repository depends on.
+
+    A repository with unknown dependencies (R9 gives it one row of nulls) keeps nothing.
+    """
     parts = F.split(F.col(project), r"\|")
-    a = apis.withColumn("_g", F.get(parts, 0)).withColumn("_a", F.get(parts, 1))
-    d = deps.select(F.col("group").alias("_g"), F.col("artifact").alias("_a")).distinct()
-    return a.join(d, ["_g", "_a"], "left_semi").drop("_g", "_a")
+    d = deps.select(F.col(repo).alias("_r"), F.col("group").alias("_g"), F.col("artifact").alias("_a")).distinct()
+    return apis.join(d, (F.col(repo) == F.col("_r")) & (F.get(parts, F.lit(0)) == F.col("_g"))
+                     & (F.get(parts, F.lit(1)) == F.col("_a")), "left_semi")
 
 
 # ---------------------------------------------------------------- R11
@@ -231,9 +247,8 @@ def imported_targets(files: DataFrame, packages: DataFrame, content: str = "cont
     (located in the whole text; only the section's ``import`` lines are
     exploded); a line counts if it contains ``import``; it names at most one package, the
     first in list order (longest, then alphabetical) that it contains as plain
-    text.  The package list is broadcast for the substring test only when its
-    row count is within a checked bound; above it every substring of a line
-    with a package's length is equi-joined with the packages instead.
+    text.  Import lines repeat across files and versions, so each distinct line is matched once: its substrings
+    of ``TAIL`` characters are equi-joined with the ends of the package names and the pairs found are tested.
     """
     keys = list(keys)
     text = F.col(content)
@@ -247,20 +262,20 @@ def imported_targets(files: DataFrame, packages: DataFrame, content: str = "cont
     lines = F.split(section, "\n")
     imp = (files.select(*keys, F.posexplode(lines).alias("pos", "line"))
            .filter(F.col("line").contains("import")))
-    pk = packages.select(F.col(package).alias("_pkg")).distinct()
-    if row_count_at_most(pk, broadcast_row_limit(pk, PACKAGE_BROADCAST_LIMIT)):
-        m = imp.join(F.broadcast(pk), F.col("line").contains(F.col("_pkg")))
-    else:
-        # Only the distinct package lengths (bounded by the longest name) reach the driver.
-        lens = sorted(r[0] for r in pk.select(F.length("_pkg")).distinct().collect())
-        def substrings(n: int):
-            starts = F.sequence(F.lit(1), F.greatest(F.length("line") - F.lit(n) + 1, F.lit(1)))
-            return F.transform(starts, lambda i: F.substring(F.col("line"), i, F.lit(n)))
-        subs = F.flatten(F.array(*[substrings(n) for n in lens]))
-        m = (imp.select(*imp.columns, F.explode(subs).alias("_sub"))
-             .join(pk, F.col("_sub") == F.col("_pkg")).drop("_sub").distinct())
-    first = m.groupBy(*keys, "pos").agg(F.min(F.struct((-F.length("_pkg")).alias("_l"), F.col("_pkg").alias("_p")))["_p"].alias("_pkg"))
-    return first.groupBy(*keys).agg(F.array_sort(F.collect_set("_pkg")).alias("packages"))
+    pk = packages.select(F.col(package).alias("_pkg")).distinct().filter(F.col("_pkg") != "")
+    pk = pk.withColumn("_tail", F.right("_pkg", F.lit(TAIL)))
+
+    def substrings(n: int):
+        starts = F.filter(F.sequence(F.lit(1), F.greatest(F.length("line") - n + 1, F.lit(1))),
+                          lambda i: i + n - 1 <= F.length("line"))
+        return F.transform(starts, lambda i: F.substring(F.col("line"), i, F.lit(n)))
+    # names shorter than TAIL are looked up whole
+    grams = F.array_distinct(F.flatten(F.array(*[substrings(n) for n in range(1, TAIL + 1)])))
+    lines_ = imp.select("line").distinct()
+    first = (lines_.select("line", F.explode(grams).alias("_gram")).join(pk, F.col("_gram") == F.col("_tail"))
+             .filter(F.contains(F.col("line"), F.col("_pkg")))
+             .groupBy("line").agg(F.min(F.struct((-F.length("_pkg")).alias("_l"), F.col("_pkg").alias("_p")))["_p"].alias("_pkg")))
+    return imp.join(first, "line").groupBy(*keys).agg(F.array_sort(F.collect_set("_pkg")).alias("packages"))
 
 
 # ---------------------------------------------------------------- R13

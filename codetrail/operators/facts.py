@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codetrail.functions.xml import ROOT, parsed, well_formed, wrapped
+
 
 # ---------------------------------------------------------------- X7
 def distinct_facts(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
@@ -31,7 +33,8 @@ def distinct_facts(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
 # Error markers of the parser's output and the unit pattern of its result list.
 PARSE_ERRORS_PREFIX = ("srcml: Unable to open file", "srcML translator error")
 PARSE_ERROR_INFIX = "parser error"
-UNIT_BODY = r"(?s)<unit [^>]*item=\"\d+\"[^>]*>(.*?)</unit>"
+UNIT_HEAD = r"<unit ([^>]*item=\"\d+\"[^>]*)>"
+UNIT_BODY = "(?s)" + UNIT_HEAD + "(.*?)</unit>"
 
 
 # ---------------------------------------------------------------- X8
@@ -44,10 +47,21 @@ def drop_failed_parses(df: DataFrame, xml_col: str) -> DataFrame:
 
 def _units(df: DataFrame, xml_col: str, keys: Sequence[str]) -> DataFrame:
     """Result units of a parser xpath listing, with their position; one-line output has none."""
-    body = F.regexp_extract_all(F.col(xml_col), F.lit(UNIT_BODY), 1)
+    bodies = F.arrays_zip(F.regexp_extract_all(F.col(xml_col), F.lit(UNIT_BODY), 1).alias("head"),
+                          F.regexp_extract_all(F.col(xml_col), F.lit(UNIT_BODY), 2).alias("unit"))
     multi = F.instr(F.regexp_replace(F.col(xml_col), r"\n+$", ""), "\n") > 0
     return (drop_failed_parses(df, xml_col).filter(multi)
-            .select(*keys, F.posexplode(body).alias("unit_pos", "unit")))
+            .select(*keys, F.posexplode(bodies).alias("unit_pos", "_u"))
+            .select(*keys, "unit_pos", F.col("_u.unit").alias("unit"),
+                    F.regexp_extract("_u.head", r'\bscope="(\w+)"', 1).alias("unit_scope")))
+
+
+def malformed_units(df: DataFrame, xml_col: str, keys: Sequence[str] = ("repo", "idx", "path")) -> DataFrame:
+    """Units per file, and how many of them aren't well-formed XML (the readers skip those)."""
+    keys = list(keys)
+    bad = ~well_formed(wrapped(F.col("unit")))
+    return (_units(df, xml_col, keys).groupBy(*keys)
+            .agg(F.count(F.lit(1)).alias("n_units"), F.count_if(bad).alias("n_malformed")))
 
 
 def _leaf_name_path(root: str) -> str:
@@ -63,7 +77,8 @@ def _leaf_name_path(root: str) -> str:
 def calls_from_xml(df: DataFrame, xml_col: str = "calls_xml", keys: Sequence[str] = ("repo", "idx", "path")) -> DataFrame:
     """One row per ``<call>`` unit: innermost-last name, number of direct ``<argument>``s
     and the start line of the ``argument_list``; calls without a name or an argument list
-    (hence without a line) are skipped.
+    (hence without a line) are skipped, and so is a unit that isn't well-formed XML
+    (``malformed_units`` counts those).
 
     One XPath evaluation per unit: a node-set union returns, in document order,
     the name's text nodes, the ``pos:start`` attribute of the argument list (a
@@ -72,8 +87,12 @@ def calls_from_xml(df: DataFrame, xml_col: str = "calls_xml", keys: Sequence[str
     """
     keys = list(keys)
     u = _units(df, xml_col, keys)
-    nodes = F.xpath(F.col("unit"), F.lit(_leaf_name_path("/call/name") + "/text() | "
-                                         "/call/argument_list/@*[name()='pos:start'] | /call/argument_list/argument"))
+    call = f"/{ROOT}/call"
+    path = (f"{_leaf_name_path(call + '/name')}/text() | {call}/argument_list/@*[name()='pos:start'] | "
+            f"{call}/argument_list/argument")
+
+    def nodes(unit):
+        return F.when(well_formed(unit), F.xpath(unit, F.lit(path))).otherwise(F.array().cast("array<string>"))
     is_pos = lambda v: v.rlike(r"^\d+:\d+$")
 
     def fields(arr):
@@ -83,64 +102,91 @@ def calls_from_xml(df: DataFrame, xml_col: str = "calls_xml", keys: Sequence[str
                         F.split(start, ":").getItem(0).try_cast("int").alias("line"))
     # The XPath result is bound once inside a higher-order function and the kept row is produced by a
     # generator, so the optimizer cannot copy the (expensive) XPath into a pushed-down filter.
-    kept = F.filter(F.transform(F.array(nodes), fields), lambda r: (r["name"] != "") & r["line"].isNotNull())
+    kept = F.filter(F.transform(F.transform(F.array(wrapped(F.col("unit"))), nodes), fields),
+                    lambda r: (r["name"] != "") & r["line"].isNotNull())
     return (u.select(*keys, "unit_pos", F.explode(kept).alias("_r"))
             .select(*keys, "unit_pos", F.col("_r.name").alias("name"), F.col("_r.n_args").alias("n_args"),
                     F.col("_r.line").alias("line")))
 
 
 # ---------------------------------------------------------------- X3
-def declarations_from_xml(df: DataFrame, xml_col: str = "decls_xml", keys: Sequence[str] = ("repo", "idx", "path")) -> DataFrame:
+# Elements that declare a method, and the elements that a declaration directly in a type stands in.
+DECLARATIONS = ("function", "constructor", "function_decl")
+TYPE_ELEMENTS = ("class", "interface", "enum", "annotation_defn")
+
+
+def declarations_from_xml(df: DataFrame, xml_col: str = "decls_xml", keys: Sequence[str] = ("repo", "idx", "path"),
+                          scope: str = "all") -> DataFrame:
     """Functions / constructors: name, parameter count (all nested ``parameter`` elements;
-    ``...`` anywhere in the list -> varargs and one fewer), start and end line."""
+    ``...`` anywhere in the list -> varargs and one fewer), start and end line.
+
+    Each unit is parsed once, tolerantly: a malformed one gives no row (``malformed_units`` counts them).
+    ``scope="types"`` keeps declarations that stand directly in a type: the unit's ``scope`` attribute, which the
+    listing gives the name of the enclosing element, must be a type element; "all" keeps every declaration.
+    """
+    if scope not in ("all", "types"):
+        raise ValueError("scope is 'all' or 'types'")
     keys = list(keys)
     u = _units(df, xml_col, keys)
-    root = "/*[name()='function' or name()='constructor' or name()='function_decl']"
-
-    def raw(x):
-        xs = lambda path: F.xpath_string(x, F.lit(path))
-        xb = lambda path: F.xpath_boolean(x, F.lit(path))
-        return F.struct(xb(f"{root}/name").alias("has_name"), xs(f"{root}/name").alias("name"),
-                        xb(f"{root}/parameter_list").alias("has_params"), xs(f"{root}/parameter_list").alias("plist"),
-                        F.xpath_int(x, F.lit(f"count({root}/parameter_list//parameter)")).alias("n_par"),
-                        xb("/constructor").alias("is_constructor"),
-                        xs(f"{root}/@*[name()='pos:start']").alias("start"), xs(f"{root}/@*[name()='pos:end']").alias("end"))
-
-    def fields(r):
-        varargs = r["plist"].contains("...")
+    element = "STRUCT<name: STRING, parameter_list: STRING, `_pos:start`: STRING, `_pos:end`: STRING>"
+    schema = ", ".join(f"{d} {element}" for d in DECLARATIONS)
+
+    def fields(doc):
+        d = F.coalesce(*[doc[x] for x in DECLARATIONS])
+        params = d["parameter_list"]
+        n = F.size(F.regexp_extract_all(params, F.lit(r"<parameter[\s/>]"), 0))
+        varargs = params.contains("...")
         return F.struct(
-            F.when(r["has_name"], r["name"]).alias("name"),
-            F.when(r["has_params"], F.when(varargs, r["n_par"] - 1).otherwise(r["n_par"])).alias("n_args"),
-            F.when(r["has_params"], varargs).alias("varargs"),
-            r["is_constructor"].alias("is_constructor"),
-            F.split(r["start"], ":").getItem(0).try_cast("int").alias("line_start"),
-            F.split(r["end"], ":").getItem(0).try_cast("int").alias("line_end"))
-    # bound once per unit inside a higher-order function and emitted by a generator, so pushed-down
-    # filters cannot re-run the XPath expressions
-    kept = F.filter(F.transform(F.transform(F.array(F.col("unit")), raw), fields),
+            F.regexp_replace(d["name"], "<[^>]*>", "").alias("name"),
+            F.when(varargs, n - 1).otherwise(n).alias("n_args"), varargs.alias("varargs"),
+            doc["constructor"].isNotNull().alias("is_constructor"),
+            F.split(d["_pos:start"], ":").getItem(0).try_cast("int").alias("line_start"),
+            F.split(d["_pos:end"], ":").getItem(0).try_cast("int").alias("line_end"))
+    # bound once per unit inside a higher-order function and emitted by a generator, so a pushed-down filter cannot
+    # parse the unit again
+    docs = F.transform(F.array(wrapped(F.col("unit"))), lambda x: parsed(x, schema))
+    kept = F.filter(F.transform(docs, fields),
                     lambda r: r["name"].isNotNull() & r["n_args"].isNotNull()
                     & r["line_start"].isNotNull() & r["line_end"].isNotNull())
+    if scope == "types":
+        u = u.filter(F.col("unit_scope").isin(*TYPE_ELEMENTS))
     cols = ["name", "n_args", "varargs", "is_constructor", "line_start", "line_end"]
     return (u.select(*keys, "unit_pos", F.explode(kept).alias("_r"))
             .select(*keys, "unit_pos", *[F.col("_r." + c).alias(c) for c in cols]))
 
 
 # ---------------------------------------------------------------- X4
-SPAN_START = r"<unit .*>start=\"(\d+):\d+\"</unit>"
-SPAN_END = r"<unit .*>end=\"(\d+):\d+\"</unit>"
-SPAN_NAME = r"<unit .*>([\$\w]*)</unit>"
+# A listing unit that holds plain text, and the position attributes among such texts.
+UNIT_TEXT = r"<unit\b[^<>]*>([^<>]*)</unit>"
+_POSITION = r'^{0}="(\d+):\d+"$'
+
+
+def _texts(x):
+    return F.regexp_extract_all(x, F.lit(UNIT_TEXT), 1)
+
+
+def _is(kind: str, text):
+    return text.rlike(_POSITION.format(kind))
+
+
+def _line(kind: str, text):
+    return F.regexp_extract(text, _POSITION.format(kind), 1)
 
 
 def declaration_spans_from_xml(df: DataFrame, xml_col: str = "spans_xml",
                                keys: Sequence[str] = ("repo", "idx", "path")) -> DataFrame:
-    """(start, end, name) lists of a file; nothing for the file if the three lists differ in length."""
+    """(start, end, name) lists of a file; nothing for the file if the three lists differ in length.
+
+    The texts of the listing's units are classified: a start position, an end position, else a name (of letters, digits,
+    ``_`` and ``$``, possibly empty).
+    """
     keys = list(keys)
 
-    def lists(x):
-        return F.struct(F.regexp_extract_all(x, F.lit(SPAN_START), 1).alias("s"),
-                        F.regexp_extract_all(x, F.lit(SPAN_END), 1).alias("e"),
-                        F.regexp_extract_all(x, F.lit(SPAN_NAME), 1).alias("n"))
-    kept = F.filter(F.transform(F.array(F.col(xml_col)), lists),
+    def lists(texts):
+        return F.struct(F.transform(F.filter(texts, lambda t: _is("start", t)), lambda t: _line("start", t)).alias("s"),
+                        F.transform(F.filter(texts, lambda t: _is("end", t)), lambda t: _line("end", t)).alias("e"),
+                        F.filter(texts, lambda t: t.rlike(r"^[\w$]*$")).alias("n"))
+    kept = F.filter(F.transform(F.array(_texts(F.col(xml_col))), lists),
                     lambda r: (F.size(r["s"]) == F.size(r["e"])) & (F.size(r["e"]) == F.size(r["n"])))
     t = drop_failed_parses(df, xml_col).select(*keys, F.explode(kept).alias("_r"))
     z = F.arrays_zip(F.col("_r.s").alias("s"), F.col("_r.e").alias("e"), F.col("_r.n").alias("n"))
@@ -150,31 +196,20 @@ def declaration_spans_from_xml(df: DataFrame, xml_col: str = "spans_xml",
 
 
 # ---------------------------------------------------------------- X5
-TYPE_TOKEN = r"<unit .*>(:?start=\"(\d+):\d+\"|end=\"(\d+):\d+\"|\w+)</unit>"
-
-_TYPE_FOLD = """aggregate(_tok, named_struct('ph', 0, 's', CAST(NULL AS STRING), 'e', CAST(NULL AS STRING),
-    'res', CAST(array() AS ARRAY<STRUCT<name: STRING, s: STRING, e: STRING>>)),
-  (st, t) -> CASE
-    WHEN st.ph = 0 THEN CASE WHEN t.g2 <> '' THEN named_struct('ph', 1, 's', t.g2, 'e', st.e, 'res', st.res) ELSE st END
-    WHEN st.ph = 1 THEN named_struct('ph', 2, 's', st.s, 'e', t.g3, 'res', st.res)
-    WHEN startswith(t.g1, 'start=') THEN named_struct('ph', 1, 's', t.g2, 'e', st.e, 'res', st.res)
-    ELSE named_struct('ph', 0, 's', st.s, 'e', st.e,
-                      'res', concat(st.res, array(named_struct('name', t.g1, 's', st.s, 'e', st.e)))) END).res"""
-
-
 def types_from_xml(df: DataFrame, xml_col: str = "types_xml", keys: Sequence[str] = ("repo", "idx", "path")) -> DataFrame:
-    """Class / enum / interface (name, start, end) from a start/end/name token list;
-    a start/end pair not followed by a name (anonymous class) is skipped."""
+    """Class / enum / interface (name, start, end): a start position, an end position and a name that stand side by
+    side in the listing; a pair of positions without a name (an anonymous class) is skipped."""
     keys = list(keys)
-    x = F.col(xml_col)
-    tok = F.arrays_zip(F.regexp_extract_all(x, F.lit(TYPE_TOKEN), 1).alias("g1"),
-                       F.regexp_extract_all(x, F.lit(TYPE_TOKEN), 2).alias("g2"),
-                       F.regexp_extract_all(x, F.lit(TYPE_TOKEN), 3).alias("g3"))
-    t = drop_failed_parses(df, xml_col).select(*keys, tok.alias("_tok"))
-    t = t.select(*keys, F.posexplode(F.expr(_TYPE_FOLD)).alias("k", "_c"))
-    return (t.select(*keys, "k", F.col("_c.name").alias("name"), F.col("_c.s").try_cast("int").alias("line_start"),
-                     F.col("_c.e").try_cast("int").alias("line_end"))
-            .filter(F.col("line_start").isNotNull() & F.col("line_end").isNotNull()))
+    t = drop_failed_parses(df, xml_col).select(*keys, F.filter(
+        _texts(F.col(xml_col)), lambda x: _is("start", x) | _is("end", x) | x.rlike(r"^\w+$")).alias("_x"))
+    # at each text, with the two texts before it
+    triple = F.transform("_x", lambda x, i: F.struct(
+        F.get(F.col("_x"), i - 2).alias("s"), F.get(F.col("_x"), i - 1).alias("e"), x.alias("n")))
+    kept = F.filter(triple, lambda r: F.coalesce(_is("start", r["s"]) & _is("end", r["e"]) & r["n"].rlike(r"^\w+$"),
+                                                 F.lit(False)))
+    return (t.select(*keys, F.posexplode(kept).alias("k", "_c"))
+            .select(*keys, "k", F.col("_c.n").alias("name"), _line("start", F.col("_c.s")).cast("int").alias("line_start"),
+                    _line("end", F.col("_c.e")).cast("int").alias("line_end")))
 
 
 # ---------------------------------------------------------------- X6
@@ -216,31 +251,20 @@ def declared_members(df: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- X11
-_VIS_FOLD = """aggregate(ancestors,
-  named_struct('pub', CASE WHEN modifier IN ('private', 'protected') THEN false ELSE true END,
-               'pending', coalesce(modifier, '') NOT IN ('private', 'protected', 'public'),
-               'done', modifier IN ('private', 'protected')),
-  (st, a) -> CASE
-    WHEN st.done THEN st
-    WHEN a.kind IN ('anonymous', 'local') THEN named_struct('pub', false, 'pending', st.pending, 'done', true)
-    WHEN a.modifier IN ('private', 'protected') THEN named_struct('pub', false, 'pending', st.pending, 'done', true)
-    WHEN a.modifier = 'public' AND NOT st.pending THEN named_struct('pub', true, 'pending', false, 'done', false)
-    WHEN a.modifier = 'public' AND a.kind IN ('interface', 'annotation')
-      THEN named_struct('pub', true, 'pending', false, 'done', false)
-    WHEN a.modifier = 'public' THEN named_struct('pub', false, 'pending', false, 'done', true)
-    ELSE named_struct('pub', false, 'pending', st.pending, 'done', true) END).pub"""
-
-
 def effective_visibility(df: DataFrame) -> DataFrame:
     """X11: ``is_public`` of a member given its ``modifier`` and ``ancestors`` (innermost first,
     ``kind`` in class / interface / enum / annotation / anonymous / local).
 
-    Private or protected anywhere -> not public; a type without modifier -> not
-    public; a member without modifier is decided by the nearest public type
-    (interface / annotation -> public, class / enum -> not); inside an
-    anonymous or local type -> not public.
+    Public is a member whose enclosing types are all public and neither anonymous nor local, and that is public itself
+    or has no modifier in an interface or annotation.  A member without an enclosing type is public unless it is private
+    or protected.
     """
-    return df.withColumn("is_public", F.expr(_VIS_FOLD))
+    modifier, around = F.coalesce(F.col("modifier"), F.lit("")), F.col("ancestors")
+    reachable = F.forall(around, lambda a: F.coalesce(a["modifier"] == "public", F.lit(False))
+                         & ~F.coalesce(a["kind"].isin("anonymous", "local"), F.lit(False)))
+    nearest = F.get(around, F.lit(0))["kind"]
+    implied = ~modifier.isin("private", "protected") & (nearest.isin("interface", "annotation") | (F.size(around) == 0))
+    return df.withColumn("is_public", reachable & ((modifier == "public") | F.coalesce(implied, F.lit(False))))
 
 
 # ---------------------------------------------------------------- X12
@@ -260,7 +284,7 @@ def qualified_type_name(types: DataFrame, packages: DataFrame | None = None,
     local = F.array_join(F.concat(outer, F.array(F.col("name"))), ".")
     t = types.withColumn("_local", local)
     if packages is not None:
-        p = packages.select(*keys, F.col("package").alias("_pkg")).dropDuplicates(keys)
+        p = packages.groupBy(*keys).agg(F.min("package").alias("_pkg"))
         t = t.join(p, keys, "left")
     else:
         t = t.withColumn("_pkg", F.lit(None).cast("string"))

@@ -214,18 +214,23 @@ def _build_files(L: Landed):
     c = _build_coords(L)
     line = F.when(F.col("call_form"), F.format_string('    implementation("%s", "%s", "%s")', "group", "artifact", "version")) \
         .otherwise(F.format_string("    testImplementation '%s:%s:%s'", "group", "artifact", "version"))
-    dep = F.format_string("<dependency><groupId>%s</groupId><artifactId>%s</artifactId><version>%s</version></dependency>",
-                          "group", "artifact", "version")
+    # a dependency in call form leaves its version to the parent
+    dep = F.when(F.col("call_form"), F.format_string("<dependency><groupId>%s</groupId><artifactId>%s</artifactId></dependency>",
+                                                     "group", "artifact")).otherwise(
+        F.format_string("<dependency><version>%s</version><groupId>%s</groupId><artifactId>%s</artifactId></dependency>",
+                        "version", "group", "artifact"))
     g = c.groupBy("repo").agg(F.array_sort(F.collect_list(F.struct("group", "artifact", "version", "call_form",
                                                                    line.alias("gl"), dep.alias("pl")))).alias("_d"))
-    gradle = g.filter(F.col("repo") % 2 == 0).select(
+    gradle = g.select(
         "repo", F.lit("build.gradle").alias("path"),
         F.concat(F.lit("plugins {\n    id 'java'\n}\ndependencies {\n"), F.array_join(F.transform("_d", lambda x: x["gl"]), "\n"),
                  F.lit("\n}\ntask extra {\n    implementation 'late.group:late:1'\n}")).alias("content"))
-    pom = g.filter(F.col("repo") % 3 == 0).select(
+    # two in three repositories have a Maven file too; in half of those the file breaks off
+    pom = g.filter(F.col("repo") % 3 != 2).select(
         "repo", F.lit("pom.xml").alias("path"),
-        F.concat(F.lit("<project><dependencies>\n"), F.array_join(F.transform("_d", lambda x: x["pl"]), "\n"),
-                 F.lit("\n</dependencies></project>")).alias("content"))
+        F.concat(F.lit("<?xml version='1.0'?><project><dependencies>\n<dependency><artifactId>no-group</artifactId></dependency>"),
+                 F.array_join(F.transform("_d", lambda x: x["pl"]), "\n"),
+                 F.when(F.col("repo") % 3 == 0, F.lit("\n</dependencies></project>")).otherwise(F.lit("\n<dep"))).alias("content"))
     return gradle.unionByName(pom)
 
 
@@ -250,35 +255,44 @@ def _build_sql(body: str) -> str:
 
 
 @query("r7_gradle_dependencies", _build_sql("""
-SELECT repo, 'build.gradle' AS path, CAST(4 + k AS INTEGER) AS pos, "group", artifact FROM coords_ranked WHERE repo % 2 = 0"""))
+SELECT repo, 'build.gradle' AS path, CAST(4 + k AS INTEGER) AS pos, "group", artifact FROM coords_ranked"""))
 def q_r7(spark, sf):
     b = _build_files(Landed.get(spark, sf))
     return R.gradle_dependencies(b.filter(F.col("path") == "build.gradle"))
 
 
 @query("r8_pom_dependencies", _build_sql("""
-SELECT repo, 'pom.xml' AS path, CAST(k AS INTEGER) AS k, "group", artifact, version FROM coords_ranked WHERE repo % 3 = 0"""))
+SELECT repo, 'pom.xml' AS path, CAST(k + 1 AS INTEGER) AS k, "group", artifact, CASE WHEN NOT p_even THEN version END AS version
+FROM coords_ranked WHERE repo % 3 = 0
+UNION ALL SELECT DISTINCT repo, 'pom.xml', 0, NULL, 'no-group', NULL FROM coords_ranked WHERE repo % 3 = 0"""))
 def q_r8(spark, sf):
     b = _build_files(Landed.get(spark, sf))
     return R.pom_dependencies(b.filter(F.col("path") == "pom.xml"))
 
 
+@query("r8_malformed_poms", _build_sql("SELECT DISTINCT repo, 'pom.xml' AS path FROM coords_ranked WHERE repo % 3 = 1"))
+def q_r8_malformed(spark, sf):
+    b = _build_files(Landed.get(spark, sf))
+    return R.malformed_poms(b.filter(F.col("path") == "pom.xml"))
+
+
 @query("r9_project_dependencies", _build_sql("""
 SELECT r.repo, c."group", c.artifact
-FROM (SELECT DISTINCT repo FROM coords WHERE repo % 2 = 0 OR repo % 3 = 0) r
+FROM (SELECT DISTINCT repo FROM coords) r
 LEFT JOIN (SELECT DISTINCT repo, "group", artifact FROM coords
-           WHERE "group" IN ('org.apache.commons', 'commons-io', 'commons-daemon')) c ON c.repo = r.repo"""))
+           WHERE repo % 3 <> 1 AND "group" IN ('org.apache.commons', 'commons-io', 'commons-daemon')) c ON c.repo = r.repo"""))
 def q_r9(spark, sf):
     return R.project_dependencies(_build_files(Landed.get(spark, sf)))
 
 
+# every library API against the repository that has its part's number
 @query("r10_restrict_to_dependencies", with_carriers(["api_catalog", "live_items"], """
-SELECT a.id, a.project, a.class, a.name FROM api_catalog a
-WHERE split_part(a.project, '|', 1) = 'org.lib'
-  AND split_part(a.project, '|', 2) IN (SELECT DISTINCT lower(p_type) FROM live_items)"""))
+SELECT a.id AS repo, a.id, a.project, a.class, a.name FROM api_catalog a
+WHERE EXISTS (SELECT 1 FROM live_items d WHERE d.repo = a.id AND lower(d.p_type) = split_part(a.project, '|', 2))"""))
 def q_r10(spark, sf):
     L = Landed.get(spark, sf)
-    return R.restrict_to_dependencies(L.api_catalog, _deps(L)).select("id", "project", "class", "name")
+    apis = L.api_catalog.withColumn("repo", F.col("id"))
+    return R.restrict_to_dependencies(apis, _deps(L)).select("repo", "id", "project", "class", "name")
 
 
 @query("r11_base_packages", with_carriers(["library_packages"], """

@@ -34,6 +34,13 @@ def q_x3(spark, sf):
     return X.declarations_from_xml(Landed.get(spark, sf).parsed_xml)
 
 
+@query("x3_malformed_units", with_carriers(["parsed_files"], """
+SELECT repo, idx, path, CAST(k + CASE WHEN k % 2 = 0 THEN 1 ELSE 0 END + 1 AS BIGINT) AS n_units,
+       CAST(1 AS BIGINT) AS n_malformed FROM parsed_files"""))
+def q_x3_malformed(spark, sf):
+    return X.malformed_units(Landed.get(spark, sf).parsed_xml, "decls_xml")
+
+
 @query("x4_declaration_spans_from_xml", with_carriers(["xml_units"], f"""
 SELECT repo, idx, {_PATH} AS path, CAST(rl - 1 AS INTEGER) AS k, name, line AS line_start, line_end
 FROM xml_units WHERE fno <> 0"""))

@@ -209,13 +209,15 @@ class Landed:
         k = F.col("k")
         fno = F.col("fno").cast("string")
         ln = lambda parts: F.array_join(parts, "\n")
-        calls = F.concat(F.lit(XML_HEAD + "\n"), ln(F.transform("_u", lambda x: x["call_u"])), F.lit("\n</unit>"))
+        # a unit that breaks off follows the good ones
+        broken = F.lit('\n<unit revision="1.0.0" language="Java" item="0"><call><name>cut</unit>\n</unit>')
+        calls = F.concat(F.lit(XML_HEAD + "\n"), ln(F.transform("_u", lambda x: x["call_u"])), broken)
         ctor = F.when(k % 2 == 0, F.concat(
             F.lit('\n<unit revision="1.0.0" language="Java" item="'), (k + 1).cast("string"),
             F.lit('"><constructor pos:start="'), (k + 1).cast("string"), F.lit(':5" pos:end="'), (k + 1).cast("string"),
             F.lit(':30"><name>F'), fno, F.lit('</name><parameter_list pos:start="'), (k + 1).cast("string"),
             F.lit(':20">()</parameter_list><block>{}</block></constructor></unit>'))).otherwise(F.lit(""))
-        decls = F.concat(F.lit(XML_HEAD + "\n"), ln(F.transform("_u", lambda x: x["decl_u"])), ctor, F.lit("\n</unit>"))
+        decls = F.concat(F.lit(XML_HEAD + "\n"), ln(F.transform("_u", lambda x: x["decl_u"])), ctor, broken)
         cls_units = F.concat(F.lit('<unit revision="1.0.0" item="1">start="'), (k + 1).cast("string"),
                              F.lit(':1"</unit>\n<unit revision="1.0.0" item="2">end="'), (2 * k + 2).cast("string"),
                              F.lit(':1"</unit>\n<unit revision="1.0.0" item="3">F'), fno, F.lit("</unit>"))
@@ -293,9 +295,8 @@ class Landed:
 
     @cached_property
     def mined(self):
-        from codetrail.plans.mining import import_changes_frame, write_replacements_frame
-        return (write_replacements_frame(self.mined_groups, self.mining),
-                import_changes_frame(self.mined_groups, self.mining))
+        from codetrail.plans.mining import mine_replacements
+        return mine_replacements(self.mining, materialize_inputs=False)
 
     # --- library knowledge ---------------------------------------------
     @cached_property
