@@ -1,98 +1,63 @@
-"""Join helpers with checked sizes.
+"""Points in intervals: equi-joins on bins of several widths.
 
-``exists_join`` answers EXISTS / NOT EXISTS between a (usually small) table of
-candidates and a large fact table.  When the distinct candidate keys are
-proven small (an actual row count against a limit, not an estimate) they are
-broadcast and the fact table is streamed through an inner hash join, so the
-fact side is never shuffled on a skewed key such as a very common method name.
-Above the limit the plain shuffled semi/anti join is used and AQE's skew-join
-splitting takes over.
+An equi-join of points with intervals on their keys compares every point of a key with every interval of it, which is
+quadratic for a hot key.  Here an interval is cut into as few aligned bins as possible: bins of ``WIDTH`` positions at its
+ends and bins of ``FAN`` times that, ``FAN`` squared, ... in between, so one that stays open through a million
+commits is a few dozen rows and a short one is one or two.  A point looks its bin up once per width.  The same plan
+serves every size; the bins also deal a hot key out over many partitions.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-from functools import reduce
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from codetrail.functions.lineage import materialize
 
-# About 500k narrow key rows stay well under 100 MB once broadcast.
-BROADCAST_ROW_LIMIT = 500_000
+WIDTH = 64
+FAN = 8
+#: Widths: 64, 512, ... positions; the widest bins hold 64 * 8 ** 7 positions.
+LEVELS = 8
 
+# The bins of each level that an interval of lowest-level bins _first.._last is cut into: what lies left of the next
+# level's first whole bin and right of its last one; at the widest level all that is left.
+_SPANS = f"""transform(sequence(0, {LEVELS - 1}), l -> named_struct('level', l,
+  'a', (_first + shiftleft(1L, 3 * l) - 1) div shiftleft(1L, 3 * l), 'b', (_last + 1) div shiftleft(1L, 3 * l)))"""
+_CUTS = f"""transform({_SPANS}, s -> named_struct('level', s.level, 'a', s.a, 'b', s.b,
+  'cut', CASE WHEN s.level = {LEVELS - 1} THEN s.b ELSE least((s.a + {FAN - 1}) div {FAN} * {FAN}, s.b) END))"""
+_BINS = f"""flatten(transform(filter({_CUTS}, s -> s.a < s.b), s -> transform(concat(
+  CASE WHEN s.cut > s.a THEN sequence(s.a, s.cut - 1) ELSE array() END,
+  CASE WHEN s.b > greatest(s.b div {FAN} * {FAN}, s.cut) THEN sequence(greatest(s.b div {FAN} * {FAN}, s.cut), s.b - 1)
+       ELSE array() END), x -> named_struct('level', s.level, 'bin', x))))"""
 
-def broadcast_row_limit(df: DataFrame, default: int = BROADCAST_ROW_LIMIT) -> int:
-    """Row limit for broadcasting a counted side (session conf ``codetrail.broadcast.rows`` overrides)."""
-    v = df.sparkSession.conf.get("codetrail.broadcast.rows", None)
-    return int(v) if v else default
 
+def interval_bins(df: DataFrame, first: Column, last: Column, out: str) -> DataFrame:
+    """A row per (level, bin) of the fewest aligned bins that cover the bins ``first`` to ``last`` of the lowest level."""
+    return (df.withColumn("_first", first.cast("long")).withColumn("_last", last.cast("long"))
+            .withColumn(out, F.explode(F.expr(_BINS))).drop("_first", "_last"))
 
-def row_count_at_most(df: DataFrame, limit: int) -> bool:
-    """True when ``df`` has at most ``limit`` rows (counts at most limit+1 rows)."""
-    return df.limit(limit + 1).count() <= limit
 
-
-def exists_join(left: DataFrame, right: DataFrame,
-                cond: Callable[[Callable[[str], Column], Callable[[str], Column]], Column],
-                key_cols: Sequence[str], anti: bool = False,
-                limit: int | None = None,
-                large_hits: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Rows of ``left`` for which some ``right`` row satisfies ``cond`` (or none, if ``anti``).
-
-    ``cond(l, r)`` builds the predicate from two accessors that map a column
-    name of each side to a Column; ``key_cols`` are the columns of ``left``
-    that identify a candidate (compared null-safe).  The right side is
-    re-projected under fresh names, so both sides may share lineage.
-    """
-    how = "left_anti" if anti else "left_semi"
-    limit = broadcast_row_limit(left) if limit is None else limit
-    rr = right.select(*[F.col(c).alias("_r_" + c) for c in right.columns])
-    r = lambda c: rr["_r_" + c]
-    # The candidates are materialised once in the reliable checkpoint folder:
-    # the size check and the final join then read them instead of recomputing.
-    left = materialize(left)
-    keyed = left.select(*[F.col(c).alias("_k_" + c) for c in key_cols]).distinct()
-    if row_count_at_most(left, limit):
-        hits = (F.broadcast(keyed).join(rr, cond(lambda c: keyed["_k_" + c], r), "inner")
-                .select(*[keyed["_k_" + c] for c in key_cols]).distinct())
-    elif large_hits is not None:
-        # many candidates: the caller supplies a join that avoids per-key pairs (e.g. binned ranges)
-        hits = large_hits(keyed).distinct()
-        match = reduce(lambda a, b: a & b, [left[c].eqNullSafe(hits["_k_" + c]) for c in key_cols])
-        return left.join(hits, match, how)
-    else:
-        ll = left.select(*[F.col(c).alias("_l_" + c) for c in left.columns])
-        out = ll.join(rr, cond(lambda c: ll["_l_" + c], r), how)
-        return out.select(*[F.col("_l_" + c).alias(c) for c in left.columns])
-    match = reduce(lambda a, b: a & b, [left[c].eqNullSafe(hits["_k_" + c]) for c in key_cols])
-    return left.join(F.broadcast(hits), match, how)
+def point_bins(at: Column) -> Column:
+    """(level, bin) that a point is in."""
+    return F.transform(F.sequence(F.lit(0), F.lit(LEVELS - 1)), lambda l: F.struct(
+        l.alias("level"), F.floor(at / (F.lit(WIDTH) * F.pow(F.lit(FAN), l))).alias("bin")))
 
 
 def binned_interval_join(points: DataFrame, intervals: DataFrame, point_keys: Sequence[str],
-                         interval_keys: Sequence[str], at: str, width: int = 64,
-                         valid_from: str = "valid_from", valid_to: str = "valid_to") -> DataFrame:
+                         interval_keys: Sequence[str], at: str, valid_from: str = "valid_from",
+                         valid_to: str = "valid_to") -> DataFrame:
     """Inner join of points ``at`` with intervals ``[valid_from, valid_to)`` on equal keys.
 
-    A plain equi-join on the keys compares every point of a key with every
-    interval of it, which is quadratic for a hot key.  Here both sides also
-    join on an index bin of ``width``: a point lands in one bin, an interval is
-    repeated for each bin it overlaps (open intervals stop at the largest point
-    bin of their key), and the exact interval test runs as a residual.  Columns
-    of the two sides must not clash; the result has all of them.
+    Positions are 0 or more; a null ``valid_to`` is an open end.  Columns of the two sides must not clash; the result has
+    all of them.
     """
-    pk, ik = list(point_keys), list(interval_keys)
-    p = points.withColumn("_bin", F.floor(F.col(at) / F.lit(width)))
-    top = points.groupBy(*[F.col(a).alias(b) for a, b in zip(pk, ik)]).agg(
-        F.floor(F.max(at) / F.lit(width)).alias("_maxbin"))
-    iv = intervals.join(top, ik)
-    last = F.when(F.col(valid_to).isNull(), F.col("_maxbin")).otherwise(
-        F.least(F.floor((F.col(valid_to) - 1) / F.lit(width)), F.col("_maxbin")))
-    first = F.floor(F.col(valid_from) / F.lit(width))
-    iv = (iv.filter(last >= first)
-          .withColumn("_bin", F.explode(F.sequence(first, last))).drop("_maxbin")
-          .withColumnRenamed("_bin", "_ibin"))
-    cond = [p[a] == iv[b] for a, b in zip(pk, ik)] + [p["_bin"] == iv["_ibin"]]
-    res = (p.join(iv, reduce(lambda x, y: x & y, cond))
-           .filter((F.col(valid_from) <= F.col(at)) & (F.col(valid_to).isNull() | (F.col(valid_to) > F.col(at)))))
-    return res.drop("_bin", "_ibin")
+    p = points.filter(F.col(at) >= 0).withColumn("_p", F.explode(point_bins(F.col(at))))
+    last = F.coalesce(F.col(valid_to) - 1, F.lit(WIDTH * FAN ** (LEVELS - 1) - 1))
+    iv = interval_bins(intervals.filter(last >= F.col(valid_from)), F.floor(F.col(valid_from) / WIDTH), F.floor(last / WIDTH), "_i")
+    on = [p[a] == iv[b] for a, b in zip(point_keys, interval_keys, strict=True)]
+    on += [p["_p.level"] == iv["_i.level"], p["_p.bin"] == iv["_i.bin"]]
+    cond = on[0]
+    for c in on[1:]:
+        cond = cond & c
+    inside = (F.col(valid_from) <= F.col(at)) & (F.col(valid_to).isNull() | (F.col(valid_to) > F.col(at)))
+    return p.join(iv, cond).filter(inside).drop("_p", "_i")

@@ -141,7 +141,7 @@ def file_intervals(events: DataFrame, repo: str = "repo", width: int = 4096) ->
 
 # ---------------------------------------------------------------- H6
 def files_at_commit(intervals: DataFrame, targets: DataFrame, suffix: str | None = None,
-                    repo: str = "repo", width: int = 64) -> DataFrame:
+                    repo: str = "repo") -> DataFrame:
     """H6: files alive at each target commit (targets: repo, idx), optional suffix filter.
 
     A range join: (repo, index bin) equality plus the exact interval test, so a
@@ -150,13 +150,13 @@ def files_at_commit(intervals: DataFrame, targets: DataFrame, suffix: str | None
     iv = intervals if suffix is None else intervals.filter(F.col("path").endswith(suffix))
     t = targets.select(F.col(repo).alias("_t_repo"), F.col("idx").alias("_t_idx")).distinct()
     v = iv.select(F.col(repo).alias("_v_repo"), "path", "valid_from", "valid_to")
-    j = binned_interval_join(t, v, ["_t_repo"], ["_v_repo"], "_t_idx", width=width)
+    j = binned_interval_join(t, v, ["_t_repo"], ["_v_repo"], "_t_idx")
     return j.select(F.col("_t_repo").alias(repo), F.col("_t_idx").alias("idx"), "path")
 
 
 # ---------------------------------------------------------------- H7
 def content_at_commit(snapshots: DataFrame, intervals: DataFrame, requests: DataFrame,
-                      repo: str = "repo", width: int = 64) -> DataFrame:
+                      repo: str = "repo") -> DataFrame:
     """H7: text of (repo, idx, path) requests; absent or deleted files give null content.
 
     ``snapshots`` hold the text stored at the commit that added/modified a path;
@@ -165,7 +165,7 @@ def content_at_commit(snapshots: DataFrame, intervals: DataFrame, requests: Data
     """
     req = requests.select(F.col(repo).alias("_q_repo"), F.col("idx").alias("_q_idx"), F.col("path").alias("_q_path")).distinct()
     iv = intervals.select(F.col(repo).alias("_v_repo"), F.col("path").alias("_v_path"), "valid_from", "valid_to")
-    hit = binned_interval_join(req, iv, ["_q_repo", "_q_path"], ["_v_repo", "_v_path"], "_q_idx", width=width)
+    hit = binned_interval_join(req, iv, ["_q_repo", "_q_path"], ["_v_repo", "_v_path"], "_q_idx")
     ver = hit.select("_q_repo", "_q_idx", "_q_path", F.col("valid_from").alias("_ver"))
     snaps = snapshots.select(F.col(repo).alias("_q_repo"), F.col("path").alias("_q_path"), F.col("idx").alias("_ver"), "content")
     located = ver.join(snaps, ["_q_repo", "_q_path", "_ver"])

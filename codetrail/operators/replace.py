@@ -7,24 +7,21 @@ nowhere at the commit, the new call is not declared in the project and is
 really called.  Survivors are grouped per commit (G11), given candidate
 library APIs (G13), the old method's body (G15-G17) and import changes (G18).
 
-All project-state checks are EXISTS / NOT EXISTS interval joins keyed on
-(repo, method name): candidates are few, so they are broadcast after a row
-count check and the large fact side is streamed, never shuffled on a hot name.
+All project-state checks ask whether a matching declaration or call is alive
+at a commit: the distinct (repo, name, arity, commit) points are joined with
+the state table on bins of several widths (``functions.joins``), one plan at
+every size, and the points found decide the semi and anti joins.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from codetrail.functions.lineage import materialize
-
-from codetrail.functions.joins import binned_interval_join, exists_join
-
 
-def _alive(d, at: Column) -> Column:
-    return (d("valid_from") <= at) & (d("valid_to").isNull() | (d("valid_to") > at))
+from codetrail.functions.joins import binned_interval_join
+from codetrail.functions.lineage import materialize
 
 
 def _arity(d, n: Column) -> Column:
@@ -32,69 +29,97 @@ def _arity(d, n: Column) -> Column:
     return F.when(d("varargs"), d("n_args") <= n).otherwise(d("n_args") == n)
 
 
-def _ident(c, d, pairs: Sequence[tuple[str, str]]) -> Column:
-    cond = F.lit(True)
-    for cc, dc in pairs:
-        cond = cond & c(cc).eqNullSafe(d(dc))
-    return cond
+# Column pairs (of the candidate, of the state table) that must agree besides name and arity.
+Identity = Sequence[tuple[str, str]]
+_POINT = ("_repo", "_name", "_n", "_at")
+
+
+def _points(cands: DataFrame, name: str, n_args: str, offset: int, repo: str, idx: str, ident: Identity) -> DataFrame:
+    """The candidates' distinct (repo, name, arity, commit + offset, identity columns)."""
+    return cands.select(F.col(repo).alias("_repo"), F.col(name).alias("_name"), F.col(n_args).alias("_n"),
+                        (F.col(idx) + offset).alias("_at"), *[F.col(c).alias(f"_i{k}") for k, (c, _) in enumerate(ident)]
+                        ).distinct()
+
+
+def declared_points(points: DataFrame, decl_versions: DataFrame, ident: Identity = ()) -> DataFrame:
+    """The points (repo, name, arity, commit) at which a matching declaration is alive; one pass over the state table."""
+    cols = ["repo", "name", "n_args", "varargs", "valid_from", "valid_to", *[d for _, d in ident]]
+    v = decl_versions.select(*[F.col(c).alias("_d_" + c) for c in dict.fromkeys(cols)])
+    hits = binned_interval_join(points, v, ["_repo", "_name"], ["_d_repo", "_d_name"], "_at", "_d_valid_from", "_d_valid_to")
+    cond = _arity(lambda c: F.col("_d_" + c), F.col("_n"))
+    for k, (_, d) in enumerate(ident):
+        cond = cond & F.col(f"_i{k}").eqNullSafe(F.col("_d_" + d))
+    return hits.filter(cond).select(*points.columns).distinct()
+
+
+def called_points(points: DataFrame, call_versions: DataFrame) -> DataFrame:
+    """The points at which a call of that name and exactly that arity is alive."""
+    v = call_versions.select(*[F.col(c).alias("_d_" + c) for c in ("repo", "name", "n_args", "valid_from", "valid_to")])
+    return (binned_interval_join(points, v, ["_repo", "_name", "_n"], ["_d_repo", "_d_name", "_d_n_args"], "_at",
+                                 "_d_valid_from", "_d_valid_to").select(*points.columns).distinct())
+
 
+def _restrict(cands: DataFrame, points: DataFrame, name: str, n_args: str, offset: int, repo: str, idx: str,
+              ident: Identity, how: str) -> DataFrame:
+    cond = ((F.col(repo) == F.col("_repo")) & (F.col(name) == F.col("_name")) & (F.col(n_args) == F.col("_n"))
+            & (F.col(idx) + offset == F.col("_at")))
+    for k, (c, _) in enumerate(ident):
+        cond = cond & F.col(c).eqNullSafe(F.col(f"_i{k}"))
+    return cands.join(points, cond, how)
 
-def _decl_exists(cands: DataFrame, decls: DataFrame, name: str, n_args: str, at_offset: int,
-                 anti: bool, ident: Sequence[tuple[str, str]], repo: str, idx: str) -> DataFrame:
-    def cond(c, d):
-        at = c(idx) + F.lit(at_offset)
-        return ((c(repo) == d("repo")) & (c(name) == d("name")) & _alive(d, at)
-                & _arity(d, c(n_args)) & _ident(c, d, ident))
-    keys = [repo, idx, name, n_args, *[p[0] for p in ident]]
 
-    def binned(keyed):
-        pts = keyed.withColumn("_at", F.col("_k_" + idx) + F.lit(at_offset))
-        dv = decls.select(*[F.col(c).alias("_d_" + c) for c in decls.columns])
-        pairs = binned_interval_join(pts, dv, ["_k_" + repo, "_k_" + name], ["_d_repo", "_d_name"], "_at",
-                                     valid_from="_d_valid_from", valid_to="_d_valid_to")
-        k = lambda c: F.col("_k_" + c)
-        d = lambda c: F.col("_d_" + c)
-        pairs = pairs.filter(_arity(d, k(n_args)) & _ident(k, d, ident))
-        return pairs.select(*[F.col("_k_" + c) for c in keys])
-    return exists_join(cands, decls, cond, keys, anti=anti, large_hits=binned)
+def _decl_exists(cands: DataFrame, decls: DataFrame, name: str, n_args: str, offset: int, how: str, ident: Identity,
+                 repo: str, idx: str) -> DataFrame:
+    hits = declared_points(_points(cands, name, n_args, offset, repo, idx, ident), decls, ident)
+    return _restrict(cands, hits, name, n_args, offset, repo, idx, ident, how)
 
 
 # ---------------------------------------------------------------- G6
 def was_local_before(cands: DataFrame, decl_versions: DataFrame, name: str = "name", n_args: str = "n_args",
-                     ident: Sequence[tuple[str, str]] = (), repo: str = "repo", idx: str = "idx") -> DataFrame:
+                     ident: Identity = (), repo: str = "repo", idx: str = "idx") -> DataFrame:
     """The call matches a declaration alive at the parent commit (idx - 1)."""
-    return _decl_exists(cands, decl_versions, name, n_args, -1, False, ident, repo, idx)
+    return _decl_exists(cands, decl_versions, name, n_args, -1, "left_semi", ident, repo, idx)
 
 
 # ---------------------------------------------------------------- G7
 def gone_after(cands: DataFrame, decl_versions: DataFrame, name: str = "name", n_args: str = "n_args",
-               ident: Sequence[tuple[str, str]] = (), repo: str = "repo", idx: str = "idx") -> DataFrame:
+               ident: Identity = (), repo: str = "repo", idx: str = "idx") -> DataFrame:
     """The call matches no declaration alive at the commit, in any file."""
-    return _decl_exists(cands, decl_versions, name, n_args, 0, True, ident, repo, idx)
+    return _decl_exists(cands, decl_versions, name, n_args, 0, "left_anti", ident, repo, idx)
 
 
 # ---------------------------------------------------------------- G8
 def new_not_local(cands: DataFrame, decl_versions: DataFrame, name: str = "new_name", n_args: str = "new_n_args",
-                  ident: Sequence[tuple[str, str]] = (), repo: str = "repo", idx: str = "idx") -> DataFrame:
+                  ident: Identity = (), repo: str = "repo", idx: str = "idx") -> DataFrame:
     """The new call matches no declaration alive at the commit."""
-    return _decl_exists(cands, decl_versions, name, n_args, 0, True, ident, repo, idx)
+    return _decl_exists(cands, decl_versions, name, n_args, 0, "left_anti", ident, repo, idx)
 
 
 # ---------------------------------------------------------------- G9
 def new_is_called(cands: DataFrame, call_versions: DataFrame, name: str = "new_name", n_args: str = "new_n_args",
                   repo: str = "repo", idx: str = "idx") -> DataFrame:
     """The new call occurs, with exactly its arity, among calls alive at the commit."""
-    def cond(c, v):
-        return ((c(repo) == v("repo")) & (c(name) == v("name")) & (c(n_args) == v("n_args"))
-                & _alive(v, c(idx)))
+    hits = called_points(_points(cands, name, n_args, 0, repo, idx, ()), call_versions)
+    return _restrict(cands, hits, name, n_args, 0, repo, idx, (), "left_semi")
 
-    def binned(keyed):
-        cv = call_versions.select(*[F.col(c).alias("_v_" + c) for c in call_versions.columns])
-        pairs = binned_interval_join(keyed, cv, ["_k_" + repo, "_k_" + name, "_k_" + n_args],
-                                     ["_v_repo", "_v_name", "_v_n_args"], "_k_" + idx,
-                                     valid_from="_v_valid_from", valid_to="_v_valid_to")
-        return pairs.select(*[F.col("_k_" + c) for c in (repo, idx, name, n_args)])
-    return exists_join(cands, call_versions, cond, [repo, idx, name, n_args], large_hits=binned)
+
+# ---------------------------------------------------------------- G6-G9
+def replaced_by_external(cands: DataFrame, decl_versions: DataFrame, call_versions: DataFrame | None = None) -> DataFrame:
+    """G6 to G9 together: the old call local before and gone after, the new one not local and really called.
+
+    The three questions about declarations are answered by one join: all their points, looked up once.  The candidates
+    are read six times, so they are materialised first.
+    """
+    cands = materialize(cands)
+    old = ("old_name", "old_n_args")
+    new = ("new_name", "new_n_args")
+    asked = (_points(cands, *old, -1, "repo", "idx", ()).unionByName(_points(cands, *old, 0, "repo", "idx", ()))
+             .unionByName(_points(cands, *new, 0, "repo", "idx", ())).distinct())
+    hits = materialize(declared_points(asked, decl_versions))
+    c = _restrict(cands, hits, *old, -1, "repo", "idx", (), "left_semi")
+    c = _restrict(c, hits, *old, 0, "repo", "idx", (), "left_anti")
+    c = _restrict(c, hits, *new, 0, "repo", "idx", (), "left_anti")
+    return c if call_versions is None else new_is_called(c, call_versions)
 
 
 # ---------------------------------------------------------------- G1
@@ -184,12 +209,14 @@ def drop_non_api_names(df: DataFrame, name: str = "new_name") -> DataFrame:
 
 
 # ---------------------------------------------------------------- G11
-_FOLD = """aggregate(_m, named_struct('heads', CAST(array() AS ARRAY<ARRAY<STRING>>), 'gids', CAST(array() AS ARRAY<INT>)),
-  (acc, x) -> CASE WHEN array_position(transform(acc.heads, h -> arrays_overlap(h, x.packages)), true) > 0
-    THEN named_struct('heads', acc.heads, 'gids',
-         concat(acc.gids, array(CAST(array_position(transform(acc.heads, h -> arrays_overlap(h, x.packages)), true) AS INT))))
-    ELSE named_struct('heads', concat(acc.heads, array(x.packages)), 'gids', concat(acc.gids, array(size(acc.heads) + 1)))
-  END).gids"""
+# Over a key's distinct package sets in order of first appearance: the number of the first group whose opener shares a
+# package with the set; a set that shares none opens a group.
+_GROUP_OF_SET = """aggregate(_sets,
+  named_struct('openers', CAST(array() AS ARRAY<ARRAY<STRING>>), 'gids', CAST(array() AS ARRAY<INT>)),
+  (acc, s) -> element_at(transform(array(
+      CAST(array_position(transform(acc.openers, o -> arrays_overlap(o, s.packages)), true) AS INT)), at ->
+    named_struct('openers', CASE WHEN at > 0 THEN acc.openers ELSE concat(acc.openers, array(s.packages)) END,
+                 'gids', concat(acc.gids, array(CASE WHEN at > 0 THEN at ELSE size(acc.openers) + 1 END)))), 1)).gids"""
 
 REPLACEMENT_KEY = ("repo", "idx", "old_name", "old_n_args", "new_name", "new_n_args")
 
@@ -198,27 +225,26 @@ def group_replacements(cands: DataFrame, order: Sequence[str] = ("edit_rank", "p
                        key: Sequence[str] = REPLACEMENT_KEY) -> DataFrame:
     """Merge equal (old, new) replacements of one commit when their imported packages overlap.
 
-    Members are folded in edited-file order (renames before modifications, then
-    path, then position in the diff); a member joins the first earlier group
-    whose *first* member's packages overlap its own, else it opens a new group
-    (not transitive).  One row per group with ``gid``, ``count``, the first
-    member's fields (``rep``) and the ordered occurrences.
+    In edited-file order (renames before modifications, then path, then position in the diff) a member joins the first
+    group whose *first* member's packages overlap its own, else it opens a group (not transitive).  Which group that is
+    depends on the member's package set alone, so only the distinct sets of a key are put in order; its members never
+    meet in one row.  One row per group with ``gid``, ``count``, the first member's fields (``rep``) and the ordered
+    occurrences (files and lines, no text).
     """
-    key = list(key)
+    key, at = list(key), [F.col(c) for c in order]
     payload = [c for c in cands.columns if c not in key and c not in order]
-    m = cands.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(*[F.col(c) for c in order],
-                                                                       *[F.col(c) for c in payload]))).alias("_m"))
-    m = m.withColumn("_g", F.expr(_FOLD))
-    e = m.select(*key, F.explode(F.arrays_zip("_m", "_g")).alias("_z"))
-    e = e.select(*key, F.col("_z._g").alias("gid"), F.col("_z._m").alias("_x"))
-    g = e.groupBy(*key, "gid").agg(
+    sets = cands.groupBy(*key, "packages").agg(F.min(F.struct(*at)).alias("_first"))
+    sets = sets.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("_first", "packages"))).alias("_sets"))
+    numbered = sets.select(*key, F.explode(F.arrays_zip(F.col("_sets.packages").alias("packages"),
+                                                        F.expr(_GROUP_OF_SET).alias("gid"))).alias("_s"))
+    numbered = numbered.select(*key, F.col("_s.packages").alias("packages"), F.col("_s.gid").alias("gid"))
+    return cands.join(numbered, [*key, "packages"]).groupBy(*key, "gid").agg(
         F.count(F.lit(1)).alias("count"),
-        F.min("_x").alias("rep"),
+        F.min(F.struct(*at, *[F.col(c) for c in payload])).alias("rep"),
         F.array_sort(F.collect_list(F.struct(
-            F.col("_x.edit_rank").alias("o1"), F.col("_x.path").alias("o2"), F.col("_x.pos").alias("o3"),
-            F.col("_x.k").alias("o4"), F.col("_x.old_path").alias("old_path"), F.col("_x.path").alias("path"),
-            F.col("_x.before").alias("before"), F.col("_x.after").alias("after")))).alias("occurrences"))
-    return g
+            F.col("edit_rank").alias("o1"), F.col("path").alias("o2"), F.col("pos").alias("o3"),
+            F.col("k").alias("o4"), F.col("old_path").alias("old_path"), F.col("path").alias("path"),
+            F.col("before").alias("before"), F.col("after").alias("after")))).alias("occurrences"))
 
 
 # ---------------------------------------------------------------- G12
@@ -235,69 +261,38 @@ def render_occurrences(occ: Column) -> Column:
 
 
 # ---------------------------------------------------------------- G13 / G14
-def candidate_apis(groups: DataFrame, catalog: DataFrame, k: int = 20,
-                   gkey: Sequence[str] = (*REPLACEMENT_KEY, "gid")) -> DataFrame:
-    """Public APIs with the new call's name and arity whose class contains one of the
-    group's imported packages; full count plus the first ``k`` ids (ascending) as CSV.
+GROUP_KEY = (*REPLACEMENT_KEY, "gid")
 
-    Groups are few: their keys are broadcast after a row-count check and the
-    catalog is streamed; the top-k ids come from a ranking over the matches.
-    """
+
+def candidate_apis(groups: DataFrame, catalog: DataFrame, gkey: Sequence[str] = GROUP_KEY) -> DataFrame:
+    """(group key, api_id): all public APIs with the new call's name and arity whose class contains one of the
+    group's imported packages."""
     gkey = list(gkey)
-    g = groups.select(*gkey, F.col("rep.packages").alias("_pk"))
-    cat = catalog.filter(F.col("is_public")).select(F.col("id").alias("_id"), F.col("class").alias("_cls"),
+    cat = catalog.filter(F.col("is_public")).select(F.col("id").alias("api_id"), F.col("class").alias("_cls"),
                                                     F.col("name").alias("_nm"), F.col("n_args").alias("_na"))
+    g = groups.select(*gkey, F.col("rep.packages").alias("_pk"))
+    return (g.join(cat, (F.col("new_name") == F.col("_nm")) & (F.col("new_n_args") == F.col("_na")))
+            .filter(F.exists("_pk", lambda p: F.contains(F.col("_cls"), p))).select(*gkey, "api_id"))
 
-    def cond(l, r):
-        return ((l("new_name") == r("_nm")) & (l("new_n_args") == r("_na"))
-                & F.exists(l("_pk"), lambda p: r("_cls").contains(p)))
-    hits = _small_left_inner(g, cat, cond, gkey, ["_id"])
-    counts = hits.groupBy(*gkey).agg(F.count(F.lit(1)).alias("n_candidates"))
-    top = (hits.withColumn("_rk", F.row_number().over(Window.partitionBy(*gkey).orderBy("_id")))
-           .filter(F.col("_rk") <= k).groupBy(*gkey)
-           .agg(F.array_join(F.array_sort(F.collect_list("_id")).cast("array<string>"), ",").alias("candidate_ids")))
-    return (groups.join(counts, gkey, "left").join(top, gkey, "left")
-            .fillna(0, ["n_candidates"]).fillna("", ["candidate_ids"]))
-
-
-def _small_left_inner(left: DataFrame, right: DataFrame, cond, left_keys: Sequence[str], right_cols: Sequence[str],
-                      large=None):
-    """Inner matches of ``left`` rows (few, broadcast after a row-count check) against a big ``right``.
 
-    ``large(ll, rr)`` may supply the join used when ``left`` is not small (e.g. a binned range join).
-    """
-    from codetrail.functions.joins import broadcast_row_limit, row_count_at_most
-    left = materialize(left)
-    ll = left.select(*[F.col(c).alias("_l_" + c) for c in left.columns])
-    rr = right.select(*[F.col(c).alias("_r_" + c) for c in right.columns])
-    small = row_count_at_most(left, broadcast_row_limit(left))
-    if small:
-        ll = F.broadcast(ll)
-    if not small and large is not None:
-        j = large(ll, rr)
-    else:
-        j = ll.join(rr, cond(lambda c: ll["_l_" + c], lambda c: rr["_r_" + c]), "inner")
-    return j.select(*[F.col("_l_" + c).alias(c) for c in left_keys], *[F.col("_r_" + c).alias(c) for c in right_cols])
+def with_candidate_count(groups: DataFrame, candidates: DataFrame, gkey: Sequence[str] = GROUP_KEY) -> DataFrame:
+    """The groups with ``n_candidates``; the ids stay rows of ``candidates``, however many there are."""
+    gkey = list(gkey)
+    n = candidates.groupBy(*gkey).agg(F.count(F.lit(1)).alias("n_candidates"))
+    return groups.join(n, gkey, "left").fillna(0, ["n_candidates"])
 
 
 # ---------------------------------------------------------------- G15
-def old_declaration(groups: DataFrame, decl_versions: DataFrame,
-                    gkey: Sequence[str] = (*REPLACEMENT_KEY, "gid")) -> DataFrame:
+def old_declaration(groups: DataFrame, decl_versions: DataFrame, gkey: Sequence[str] = GROUP_KEY) -> DataFrame:
     """The declaration that made G6 true, one per group: smallest (path, line_start)."""
     gkey = list(gkey)
-    g = groups.select(*gkey)
-
-    def cond(l, d):
-        at = l("idx") - 1
-        return ((l("repo") == d("repo")) & (l("old_name") == d("name")) & _alive(d, at) & _arity(d, l("old_n_args")))
-    def binned(ll, rr):
-        pts = ll.withColumn("_at", F.col("_l_idx") - 1)
-        j = binned_interval_join(pts, rr, ["_l_repo", "_l_old_name"], ["_r_repo", "_r_name"], "_at",
-                                 valid_from="_r_valid_from", valid_to="_r_valid_to")
-        return j.filter(_arity(lambda c: F.col("_r_" + c), F.col("_l_old_n_args")))
-    m = _small_left_inner(g, decl_versions, cond, gkey, ["path", "line_start", "line_end", "is_constructor"],
-                          large=binned)
-    best = m.groupBy(*gkey).agg(F.min(F.struct("path", "line_start", "line_end", "is_constructor")).alias("old_decl"))
+    points = groups.select(*gkey, (F.col("idx") - 1).alias("_at"))
+    v = decl_versions.select(*[F.col(c).alias("_d_" + c) for c in (
+        "repo", "name", "n_args", "varargs", "path", "line_start", "line_end", "is_constructor", "valid_from", "valid_to")])
+    m = binned_interval_join(points, v, ["repo", "old_name"], ["_d_repo", "_d_name"], "_at", "_d_valid_from", "_d_valid_to")
+    m = m.filter(_arity(lambda c: F.col("_d_" + c), F.col("old_n_args")))
+    best = m.groupBy(*gkey).agg(F.min(F.struct(*[F.col("_d_" + c).alias(c) for c in (
+        "path", "line_start", "line_end", "is_constructor")])).alias("old_decl"))
     return groups.join(best, gkey, "left")
 
 

@@ -49,8 +49,8 @@ def edited_files(file_changes: DataFrame) -> DataFrame:
             .select("repo", "idx", "old_path", "path", "edit_rank"))
 
 
-def candidate_pairs(inp: MiningInputs, max_files: int = 20, max_pairs: int = 1000) -> DataFrame:
-    """D7 -> R12 -> D1/D2 -> X2 -> G1..G5: first changed call pairs of edited files."""
+def candidate_pairs(inp: MiningInputs) -> DataFrame:
+    """R12 -> D1/D2 -> X2 -> G1..G5: first changed call pairs of all edited files, however many a commit has."""
     # both are read three times below: materialise them once
     edited = materialize(edited_files(inp.file_changes))
     # an edited file was re-added at its commit, so its text is the snapshot stored at that commit
@@ -58,7 +58,6 @@ def candidate_pairs(inp: MiningInputs, max_files: int = 20, max_pairs: int = 100
     pk = materialize(imported_targets(content.filter(F.col("content").isNotNull()), inp.base_packages))
     diffs = inp.diffs.join(pk.select("repo", "idx", "path"), ["repo", "idx", "path"], "left_semi")
     pairs = D.paired_replacements(D.diff_lines(diffs))
-    pairs = D.size_guard(pairs, edited, max_files=max_files, max_pairs=max_pairs)
     pairs = (pairs.withColumn("_c", calls_of_pair(F.col("removed"), F.col("added")))
              .withColumn("removed_calls", F.col("_c.removed_calls")).withColumn("added_calls", F.col("_c.added_calls"))
              .drop("_c"))
@@ -70,10 +69,7 @@ def candidate_pairs(inp: MiningInputs, max_files: int = 20, max_pairs: int = 100
 
 def checked_pairs(inp: MiningInputs, cands: DataFrame) -> DataFrame:
     """G6..G9: old call local before and gone after; new call not local and really called."""
-    c = G.was_local_before(cands, inp.decl_versions, name="old_name", n_args="old_n_args")
-    c = G.gone_after(c, inp.decl_versions, name="old_name", n_args="old_n_args")
-    c = G.new_not_local(c, inp.decl_versions)
-    return G.new_is_called(c, inp.call_versions)
+    return G.replaced_by_external(cands, inp.decl_versions, inp.call_versions)
 
 
 def replacement_groups(inp: MiningInputs, checked: DataFrame) -> DataFrame:
@@ -84,36 +80,47 @@ def replacement_groups(inp: MiningInputs, checked: DataFrame) -> DataFrame:
         render_call_list(F.col("added_calls")).alias("added_methods"),
         F.size("removed_calls").alias("n_removed"), F.size("added_calls").alias("n_added"))
     g = G.group_replacements(members)
-    g = G.candidate_apis(g, inp.api_catalog)
+    g = G.with_candidate_count(g, G.candidate_apis(g, inp.api_catalog))
     g = G.old_declaration(g, inp.decl_versions)
     g = G.declaration_body(g, inp.snapshots, inp.intervals)
     return G.drop_already_using(g)
 
 
-def mine_replacements(inp: MiningInputs, materialize_inputs: bool = True) -> tuple[DataFrame, DataFrame]:
-    """The ``APIReplacements`` rows (S11 layout) and the ``ImportsChanges`` rows.
+@dataclass
+class Mined:
+    """The result tables of a run: ``APIReplacements`` (S11), their candidate APIs and ``ImportsChanges``."""
+    replacements: DataFrame
+    candidates: DataFrame       # replacement_id, api_id
+    import_changes: DataFrame
+
+
+def mine_replacements(inp: MiningInputs, materialize_inputs: bool = True) -> Mined:
+    """The result tables of all commits of all repositories.
 
-    The declaration and call state tables are read by four interval joins, so
-    they are materialised once in the reliable checkpoint folder; so are the
-    surviving groups, which feed both result tables.
+    The state tables are read by several joins, so they are materialised once in the shared folder; so are the
+    surviving groups, which feed all result tables.
     """
     if materialize_inputs:
         inp = materialized(inp)
     groups = materialize(replacement_groups(inp, checked_pairs(inp, candidate_pairs(inp))))
-    return write_replacements_frame(groups, inp), import_changes_frame(groups, inp)
+    return results(groups, inp)
 
 
-def surviving_groups(inp: MiningInputs) -> DataFrame:
-    """G6..G17 on materialised inputs: the groups that become result rows (materialised)."""
-    return materialize(replacement_groups(inp, checked_pairs(inp, candidate_pairs(inp))))
+def results(groups: DataFrame, inp: MiningInputs) -> Mined:
+    ids = materialize(assign_ids(groups.select(*G.GROUP_KEY), ["repo", "idx", "old_name", "old_n_args", "new_name",
+                                                                "new_n_args", "gid"], base=1))
+    candidates = G.candidate_apis(groups, inp.api_catalog).join(ids, list(G.GROUP_KEY)).select(
+        F.col("id").alias("replacement_id"), "api_id")
+    return Mined(write_replacements_frame(groups.join(ids, list(G.GROUP_KEY)), inp), candidates,
+                 import_changes_frame(groups, inp))
 
 
 def write_replacements_frame(groups: DataFrame, inp: MiningInputs) -> DataFrame:
-    """The 22 result columns (ids dense from 1 in (repo, commit, old, new, group) order)."""
+    """The result columns (ids dense from 1 in (repo, commit, old, new, group) order); the ids of the candidate APIs
+    are a table of their own."""
     c = inp.commits.select("repo", "idx", "sha", "parent_sha", "subject")
     r = inp.repos.select("repo", "repo_name", "default_branch")
     x = groups.join(c, ["repo", "idx"]).join(r, "repo", "left")
-    x = assign_ids(x, ["repo", "idx", "old_name", "old_n_args", "new_name", "new_n_args", "gid"], base=1)
     return x.select(
         "id", "repo_name", "default_branch", F.col("parent_sha").alias("prev_commit"),
         F.col("sha").alias("cur_commit"), F.col("subject").alias("commit_message"),
@@ -128,7 +135,7 @@ def write_replacements_frame(groups: DataFrame, inp: MiningInputs) -> DataFrame:
         F.col("rep.removed").alias("diffRemovedText"), F.col("rep.added").alias("diffAddedText"),
         F.col("rep.removed_methods").alias("removedMethods"), F.col("rep.added_methods").alias("addedMethods"),
         F.col("rep.n_removed").alias("nRemovedMethods"), F.col("rep.n_added").alias("nAddedMethods"),
-        F.col("n_candidates").cast("long").alias("nCandidateAPIs"), F.col("candidate_ids").alias("candidateAPIs"))
+        F.col("n_candidates").cast("long").alias("nCandidateAPIs"))
 
 
 def import_changes_frame(groups: DataFrame, inp: MiningInputs) -> DataFrame:

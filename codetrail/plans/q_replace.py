@@ -104,13 +104,8 @@ cand_ids AS (
   SELECT DISTINCT g.repo, g.idx, g.old_name, g.old_n_args, g.new_name, g.new_n_args, a.id
   FROM groups g JOIN api_catalog a ON a.is_public AND a.name = g.new_name AND a.n_args = g.new_n_args
   JOIN file_pkgs fp ON fp.repo = g.repo AND fp.idx = g.idx AND fp.fno = g.fno AND contains(a.class, fp.pkg)),
-cands AS (
-  SELECT *, row_number() OVER (PARTITION BY repo, idx, old_name, old_n_args, new_name, new_n_args ORDER BY id) AS rk
-  FROM cand_ids),
 cand_agg AS (
-  SELECT repo, idx, old_name, old_n_args, new_name, new_n_args, count(*) AS n_candidates,
-         string_agg(CASE WHEN rk <= 20 THEN CAST(id AS VARCHAR) END, ',' ORDER BY id) AS candidate_ids
-  FROM cands GROUP BY ALL),
+  SELECT repo, idx, old_name, old_n_args, new_name, new_n_args, count(*) AS n_candidates FROM cand_ids GROUP BY ALL),
 old_decl AS (
   SELECT * FROM (
     SELECT g.repo, g.idx, g.old_name, g.old_n_args, g.new_name, g.new_n_args, d.path AS decl_path,
@@ -131,7 +126,7 @@ bodies AS (
        AND v.valid_from <= o.idx - 1 AND (v.valid_to IS NULL OR v.valid_to > o.idx - 1)
   LEFT JOIN snapshots s ON s.repo = v.repo AND s.path = v.path AND s.idx = v.valid_from),
 result AS (
-  SELECT g.*, coalesce(c.n_candidates, 0) AS n_candidates, coalesce(c.candidate_ids, '') AS candidate_ids,
+  SELECT g.*, coalesce(c.n_candidates, 0) AS n_candidates,
          b.decl_path, b.line_start, b.line_end, b.old_body
   FROM groups g
   LEFT JOIN cand_agg c USING (repo, idx, old_name, old_n_args, new_name, new_n_args)
@@ -167,14 +162,21 @@ def _groups(L: Landed):
     return G.group_replacements(members), inp
 
 
-@query("g13_g14_candidate_apis", _groups_sql("""
+@query("g13_candidate_apis", _groups_sql("""
+SELECT repo, idx, old_name, old_n_args, new_name, new_n_args, 1 AS gid, id AS api_id FROM cand_ids"""))
+def q_g13(spark, sf):
+    g, inp = _groups(Landed.get(spark, sf))
+    return G.candidate_apis(g, inp.api_catalog)
+
+
+@query("g14_candidate_count", _groups_sql("""
 SELECT g.repo, g.idx, g.old_name, g.old_n_args, g.new_name, g.new_n_args, g.gid,
-       CAST(coalesce(c.n_candidates, 0) AS BIGINT) AS n_candidates, coalesce(c.candidate_ids, '') AS candidate_ids
+       CAST(coalesce(c.n_candidates, 0) AS BIGINT) AS n_candidates
 FROM groups g LEFT JOIN cand_agg c USING (repo, idx, old_name, old_n_args, new_name, new_n_args)"""))
-def q_g13(spark, sf):
+def q_g14(spark, sf):
     g, inp = _groups(Landed.get(spark, sf))
-    c = G.candidate_apis(g, inp.api_catalog)
-    return c.select(*G.REPLACEMENT_KEY, "gid", F.col("n_candidates").cast("long").alias("n_candidates"), "candidate_ids")
+    c = G.with_candidate_count(g, G.candidate_apis(g, inp.api_catalog))
+    return c.select(*G.GROUP_KEY, F.col("n_candidates").cast("long").alias("n_candidates"))
 
 
 @query("g15_g17_old_declaration_body", _groups_sql("""
@@ -205,15 +207,22 @@ SELECT CAST(row_number() OVER (ORDER BY r.repo, r.idx, r.old_name, r.old_n_args,
        CASE WHEN r.l_linenumber % 2 = 0 THEN 'size(0),' ELSE '' END || r.new_name || '(' || CAST(r.new_n_args AS VARCHAR) || ')'
          AS "addedMethods",
        CAST(r.n_calls AS INTEGER) AS "nRemovedMethods", CAST(r.n_calls AS INTEGER) AS "nAddedMethods",
-       CAST(r.n_candidates AS BIGINT) AS "nCandidateAPIs", r.candidate_ids AS "candidateAPIs"
+       CAST(r.n_candidates AS BIGINT) AS "nCandidateAPIs"
 FROM result r JOIN commits cm ON cm.repo = r.repo AND cm.idx = r.idx
 LEFT JOIN customer cu ON cu.c_custkey = r.repo"""
 
 
 @query("g20_mine_replacements", _groups_sql(_FINAL))
 def q_g20(spark, sf):
-    rep, _ = Landed.get(spark, sf).mined
-    return rep
+    return Landed.get(spark, sf).mined.replacements
+
+
+@query("g20_candidate_apis", _groups_sql("""
+SELECT f.id AS replacement_id, c.id AS api_id FROM (
+  SELECT *, CAST(row_number() OVER (ORDER BY repo, idx, old_name, old_n_args, new_name, new_n_args, gid) AS BIGINT) AS id
+  FROM result) f JOIN cand_ids c USING (repo, idx, old_name, old_n_args, new_name, new_n_args)"""))
+def q_g20_candidates(spark, sf):
+    return Landed.get(spark, sf).mined.candidates
 
 
 @query("g18_s12_import_changes", _groups_sql("""
@@ -229,19 +238,15 @@ FROM (SELECT DISTINCT m.repo, m.idx, m.path FROM members m JOIN result r
 JOIN commits cm ON cm.repo = f.repo AND cm.idx = f.idx
 LEFT JOIN customer cu ON cu.c_custkey = f.repo"""))
 def q_g18(spark, sf):
-    _, imp = Landed.get(spark, sf).mined
-    return imp
+    return Landed.get(spark, sf).mined.import_changes
 
 
-@query("s11_write_replacements", _groups_sql("SELECT id, repo_name, old_method, new_method, CAST(count AS BIGINT) AS count "
-                                              "FROM (" + _FINAL.strip() + ") r".replace("\n", " ")))
+@query("s11_write_replacements", _groups_sql(_FINAL))
 def q_s11(spark, sf):
     from codetrail.plans.q_sources import scratch
     from codetrail.sources.writers import write_replacements
-    rep, _ = Landed.get(spark, sf).mined
-    path = write_replacements(rep, scratch(spark, "replacements"))
-    return spark.read.parquet(path).select("id", "repo_name", "old_method", "new_method",
-                                           F.col("count").cast("long").alias("count"))
+    path = write_replacements(Landed.get(spark, sf).mined.replacements, scratch(spark, "replacements"))
+    return spark.read.parquet(path).drop("repo_bucket")
 
 
 @query("g19_restrict_imports", _groups_sql("""
