@@ -1,158 +1,77 @@
 """Call extraction from code fragments (X2) and call rendering.
 
 The reference sends each fragment to an external parser.  A fragment is a
-short piece of one diff line, so a small tokenizer applied per row through an
-Arrow-batched pandas UDF is used here: names are taken left to right, a name
-followed (after optional generics) by ``(`` is a call, and its arity is the
-number of top-level commas up to the matching ``)`` or the end of the text
-(empty argument list -> 0).  Control keywords are not calls; ``super(`` and
-``this(`` are.  This is a documented approximation of a real Java parser.
+short piece of a diff, so built-in expressions read it: comments go and
+literals become empty ones, type arguments go, declarations and annotations
+lose their names, and one fold over the remaining tokens keeps the open
+brackets and counts each call's arguments.  A name followed by ``(`` is a
+call, its arity the number of top-level commas up to the matching ``)`` or the
+end of the text (empty argument list -> 0).  Control keywords are not calls;
+``super(`` and ``this(`` are.  This is a documented approximation of a Java
+parser: type arguments nest up to three deep, and a name after another word is
+declared there unless that word is one of ``BEFORE_CALLS``.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Java keywords that may be followed by "(" without being a call.
-NOT_CALLS = frozenset([
-    "if", "for", "while", "switch", "catch", "synchronized", "return", "throw", "try", "do",
-    "else", "case", "new", "instanceof", "assert", "default", "yield",
-])
-
-CALL_SCHEMA = T.ArrayType(T.StructType([
-    T.StructField("name", T.StringType()),
-    T.StructField("n_args", T.IntegerType()),
-]))
-
-
-def _ident_start(ch: str) -> bool:
-    return ch.isalpha() or ch in "_$"
-
-
-def _ident_part(ch: str) -> bool:
-    return ch.isalnum() or ch in "_$"
-
-
-def _skip_quote(s: str, i: int) -> int:
-    q = s[i]
-    i += 1
-    while i < len(s):
-        if s[i] == "\\":
-            i += 2
-            continue
-        if s[i] == q:
-            return i + 1
-        i += 1
-    return i
-
-
-def _skip_generics(s: str, i: int) -> int:
-    """At ``<`` right after a name: return the index after the matching ``>`` or ``i`` if none."""
-    depth, j = 0, i
-    while j < len(s):
-        ch = s[j]
-        if ch == "<":
-            depth += 1
-        elif ch == ">":
-            depth -= 1
-            if depth == 0:
-                return j + 1
-        elif ch in "();{}\"'":
-            return i
-        j += 1
-    return i
-
-
-def _arity(s: str, i: int) -> int:
-    """``s[i]`` is ``(``: count arguments up to the matching ``)`` or the end of the text."""
-    depth, commas, j, content = 0, 0, i, False
-    while j < len(s):
-        ch = s[j]
-        if ch in "\"'":
-            if depth >= 1:
-                content = True
-            j = _skip_quote(s, j)
-            continue
-        if ch in "([{":
-            depth += 1
-            if depth > 1:
-                content = True
-        elif ch in ")]}":
-            depth -= 1
-            if depth == 0:
-                break
-        elif ch == "<" and depth == 1 and j > 0 and _ident_part(s[j - 1]):
-            k = _skip_generics(s, j)
-            if k > j:
-                content = True
-                j = k
-                continue
-        elif ch == "," and depth == 1:
-            commas += 1
-        elif not ch.isspace() and depth >= 1:
-            content = True
-        j += 1
-    if commas:
-        return commas + 1
-    return 1 if content else 0
-
-
-def extract_calls(code: str | None) -> list[dict] | None:
-    """Ordered calls ``[{name, n_args}]`` of one fragment (None for null input)."""
-    if code is None:
-        return None
-    s, out, i, n = code, [], 0, len(code)
-    while i < n:
-        ch = s[i]
-        if ch in "\"'":
-            i = _skip_quote(s, i)
-            continue
-        if _ident_start(ch) and (i == 0 or not _ident_part(s[i - 1])):
-            j = i + 1
-            while j < n and _ident_part(s[j]):
-                j += 1
-            name = s[i:j]
-            k = j
-            while k < n and s[k].isspace():
-                k += 1
-            if k < n and s[k] == "<":
-                k2 = _skip_generics(s, k)
-                if k2 > k:
-                    k = k2
-                    while k < n and s[k].isspace():
-                        k += 1
-            if k < n and s[k] == "(" and name not in NOT_CALLS:
-                out.append({"name": name, "n_args": _arity(s, k)})
-            i = j
-            continue
-        i += 1
-    return out
-
-
-@F.pandas_udf(CALL_SCHEMA)
-def calls_udf(code: pd.Series) -> pd.Series:
-    return code.map(extract_calls)
+NOT_CALLS = ("if", "for", "while", "switch", "catch", "synchronized", "return", "throw", "try", "do",
+             "else", "case", "new", "instanceof", "assert", "default", "yield")
+# Words that a call, not a declaration, follows.
+BEFORE_CALLS = ("return", "throw", "new", "else", "case", "yield", "assert", "do", "instanceof", "default", "finally")
+
+_NAME = r"[\p{L}_$][\p{L}\p{N}_$]*"
+_COMMENT_OR_LITERAL = r"(?s)//[^\n]*|/\*.*?(?:\*/|\z)|([\"'])(?:\\.|(?!\1)[^\\])*+(?:\1|\\?\z)"
+_TYPE_ARGUMENTS = r"(?<=[\p{L}\p{N}_$])\s*<[^<>();{}\"']*>"
+_ANNOTATION = rf"@\s*{_NAME}(?:\.{_NAME})*"
+_DECLARED = rf"(?<![\p{{L}}\p{{N}}_$.])(?!(?:{'|'.join(BEFORE_CALLS)})\b){_NAME}(?:\.{_NAME})*(?:\s*\[\s*\])*(?:\.\.\.)?\s+{_NAME}\s*\("
+_TOKEN = rf"{_NAME}\s*\(|{_NAME}|[^\s]"
+
+def _calls(tokens: Column) -> Column:
+    """Fold over the tokens: the open brackets (0, or the number of the call that opened one) and the calls so far."""
+    start = F.struct(F.array().cast("array<int>").alias("open"),
+                     F.array().cast("array<struct<name:string,commas:int,any:boolean>>").alias("calls"))
+
+    def step(acc, t):
+        opened, calls = acc["open"], acc["calls"]
+        name = F.rtrim(F.regexp_replace(t, r"\($", ""))
+        is_call = t.endswith("(") & (name != "") & ~name.isin(*NOT_CALLS)
+        top = F.coalesce(F.try_element_at(opened, F.lit(-1)), F.lit(0))
+        inside = F.transform(calls, lambda c, i: F.when(i + 1 != top, c).otherwise(F.struct(
+            c["name"].alias("name"), (c["commas"] + F.when(t == ",", 1).otherwise(0)).alias("commas"),
+            (c["any"] | (t != ",")).alias("any"))))
+        fresh = F.array(F.struct(name.alias("name"), F.lit(0).alias("commas"), F.lit(False).alias("any")))
+        return F.when(t.isin(")", "]", "}"), F.struct(
+            F.slice(opened, F.lit(1), F.greatest(F.size(opened) - 1, F.lit(0))).alias("open"), calls.alias("calls"))
+        ).otherwise(F.struct(
+            F.when(is_call, F.concat(opened, F.array(F.size(calls) + 1)))
+            .when(t.isin("[", "{") | t.endswith("("), F.concat(opened, F.array(F.lit(0)))).otherwise(opened).alias("open"),
+            F.when(is_call, F.concat(inside, fresh)).otherwise(inside).alias("calls")))
+
+    done = F.aggregate(tokens, start, step, lambda acc: acc["calls"])
+    return F.transform(done, lambda c: F.struct(c["name"].alias("name"), F.when(c["commas"] > 0, c["commas"] + 1)
+                                                .otherwise(c["any"].cast("int")).alias("n_args")))
+
+
+def plain_code(code: Column) -> Column:
+    """The fragment without comments, literal contents, type arguments, annotation names and declared names."""
+    out = F.regexp_replace(code, _COMMENT_OR_LITERAL, " $1$1 ")
+    for _ in range(3):
+        out = F.regexp_replace(out, _TYPE_ARGUMENTS, "")
+    return F.regexp_replace(F.regexp_replace(out, _ANNOTATION, " "), _DECLARED, "; (")
 
 
 def calls_from_text(code: Column) -> Column:
-    """``array<struct<name, n_args>>`` of the calls in a code fragment, left to right."""
-    return calls_udf(code)
-
-
-PAIR_SCHEMA = T.StructType([T.StructField("removed_calls", CALL_SCHEMA), T.StructField("added_calls", CALL_SCHEMA)])
-
-
-@F.pandas_udf(PAIR_SCHEMA)
-def _pair_calls_udf(removed: pd.Series, added: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame({"removed_calls": removed.map(extract_calls), "added_calls": added.map(extract_calls)})
+    """``array<struct<name, n_args>>`` of the calls in a code fragment, left to right; null for null."""
+    return _calls(F.regexp_extract_all(plain_code(code), F.lit(_TOKEN), 0))
 
 
 def calls_of_pair(removed: Column, added: Column) -> Column:
-    """X2 for both sides of a diff pair in one Arrow round trip: struct<removed_calls, added_calls>."""
-    return _pair_calls_udf(removed, added)
+    """X2 for both sides of a diff pair: struct<removed_calls, added_calls>."""
+    return F.struct(calls_from_text(removed).alias("removed_calls"), calls_from_text(added).alias("added_calls"))
 
 
 def render_call(call: Column, with_class: bool = False, cls: Column | None = None) -> Column:

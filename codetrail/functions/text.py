@@ -12,8 +12,8 @@ def java_trim(c: Column) -> Column:
 
 
 def java_strip(c: Column) -> Column:
-    """``String.strip()``: drop leading/trailing whitespace."""
-    return F.regexp_replace(c, r"^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+$", "")
+    """``String.strip()``: drop leading/trailing whitespace, as Unicode and Java see it."""
+    return F.regexp_replace(c, r"^\p{javaWhitespace}+|\p{javaWhitespace}+$", "")
 
 
 def java_lines(c: Column) -> Column:

@@ -1,28 +1,28 @@
 """Diff text -> rows (word-diff pairs, line numbers, hunks, import changes).
 
-Diff text is a landed column (one row per edited file).  Lines are exploded
-with their position and numbered with window sums inside the file; all
-pattern work is ``regexp_extract_all`` with Java regexes, so it runs inside
-whole-stage code generation.
+Diff text is a landed column (one row per edited file).  Lines are numbered
+with running sums over arrays inside that row and exploded last, so no diff
+text is shuffled.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codetrail.functions.arrays import running_max, running_sum
 from codetrail.functions.text import java_strip, java_trim
 
-# Word-diff markers ([-removed-] / {+added+}) and hunk header shapes.
-RM_PATTERN = r"\[-((?:(?!\[-).)*?)-\]"
-ADD_PATTERN = r"\{\+((?:(?!\{\+).)*?)\+\}"
-PAIR_PATTERN = RM_PATTERN + ADD_PATTERN
-LONE_RM_PATTERN = RM_PATTERN + r"(?!\{)"
-LONE_ADD_PATTERN = r"(?<!\])" + ADD_PATTERN
-HUNK_HEADER = r"@@ \-(\d+)(?:,\d+)? \+(\d+)(?:,\d+)? @@"
-RANGE_HEADER = r"@@ \-(\d+)(,\d+)? \+(\d+)(,\d+)? @@"
+# Word-diff markers ([-removed-] / {+added+}); a marked text holds no further opening marker.
+REMOVED = r"\[-((?:[^\[]|\[(?!-))*?)-\]"
+ADDED = r"\{\+((?:[^{]|\{(?!\+))*?)\+\}"
+PAIR_PATTERN = REMOVED + ADDED
+LONE_RM_PATTERN = REMOVED + r"(?!\{)"
+LONE_ADD_PATTERN = r"(?<!\])" + ADDED
+# A hunk header: line before, line after, and how many lines after.
+HEADER = r"@@ -(\d+)(?:,\d+)? \+(\d+)(?:,(\d+))? @@"
 
 FILE_KEYS = ("repo", "idx", "old_path", "path")
 
@@ -38,38 +38,39 @@ def diff_lines(diffs: DataFrame, text_col: str = "word_diff", keys: Sequence[str
     other line both.  A line's numbers are the counters before it advances them.
     """
     keys = list(keys)
-    x = (diffs.select(*keys, F.posexplode(F.split(F.col(text_col), "\n")).alias("pos", "raw"))
-         .withColumn("line", java_strip(F.col("raw"))).drop("raw"))
-    line = F.col("line")
-    reset = line.startswith("diff --git") | line.startswith("---") | line.startswith("+++")
-    is_at = line.startswith("@@")
-    hb = F.regexp_extract(line, HUNK_HEADER, 1)
-    ha = F.regexp_extract(line, HUNK_HEADER, 2)
-    header_ok = is_at & (hb != "")
-    ctl = reset | header_ok
-    blank = line == ""
-    only_add = line.startswith("{+") & line.endswith("+}")
-    only_rm = line.startswith("[-") & line.endswith("-]")
-    # increments as if the line were code; lines outside hunks are dropped at the end
-    passive = ctl | is_at
-    ib = F.when(passive, 0).when(blank, 1).when(only_add, 0).otherwise(1)
-    ia = F.when(passive, 0).when(blank, 1).when(only_add, 1).when(only_rm, 0).otherwise(1)
-    w = Window.partitionBy(*keys).orderBy("pos")
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    # one partitioning and one sort: the latest control line (header or reset) and running increments
-    x = (x.withColumn("_ctl", ctl).withColumn("_at", is_at).withColumn("_ib", ib).withColumn("_ia", ia)
-         .withColumn("_seg", F.last(F.when(ctl, F.struct(F.when(header_ok, hb.try_cast("int")).alias("b"),
-                                                          F.when(header_ok, ha.try_cast("int")).alias("a"))),
-                                    ignorenulls=True).over(upto))
-         .withColumn("hunk", F.sum(header_ok.cast("int")).over(upto))
-         .withColumn("_cb", F.sum("_ib").over(upto)).withColumn("_ca", F.sum("_ia").over(upto)))
-    x = (x.withColumn("_cb0", F.last(F.when(F.col("_ctl"), F.col("_cb")), ignorenulls=True).over(upto))
-         .withColumn("_ca0", F.last(F.when(F.col("_ctl"), F.col("_ca")), ignorenulls=True).over(upto)))
-    code = F.col("_seg.b").isNotNull() & ~F.col("_ctl") & ~F.col("_at")
-    before = F.col("_seg.b") + F.col("_cb") - F.col("_ib") - F.col("_cb0")
-    after = F.col("_seg.a") + F.col("_ca") - F.col("_ia") - F.col("_ca0")
-    return x.filter(code).select(*keys, "pos", F.col("hunk").cast("int").alias("hunk"), "line",
-                                 before.cast("int").alias("before"), after.cast("int").alias("after"))
+
+    def described(line):
+        at = line.startswith("@@")
+        header = at & line.rlike(HEADER)
+        control = header | line.startswith("diff --git") | line.startswith("---") | line.startswith("+++")
+        only_add = line.startswith("{+") & line.endswith("+}")
+        only_rm = line.startswith("[-") & line.endswith("-]")
+        return F.struct(
+            header.alias("header"), control.alias("control"), (control | at).alias("passive"),
+            F.when(header, F.regexp_extract(line, HEADER, 1).try_cast("int")).alias("b"),
+            F.when(header, F.regexp_extract(line, HEADER, 2).try_cast("int")).alias("a"),
+            F.when(control | at | (only_add & (line != "")), 0).otherwise(1).alias("ib"),
+            F.when(control | at | (only_rm & ~only_add), 0).otherwise(1).alias("ia"))
+
+    x = diffs.select(*keys, F.transform(F.split(F.col(text_col), "\n"), java_strip).alias("_l"))
+    x = x.withColumn("_d", F.transform("_l", described))
+    x = (x.withColumn("_cb", running_sum(F.transform("_d", lambda d: d["ib"])))
+         .withColumn("_ca", running_sum(F.transform("_d", lambda d: d["ia"])))
+         .withColumn("_h", running_sum(F.transform("_d", lambda d: d["header"].cast("int"))))
+         # the latest control line (header or reset) at each line, -1 before the first
+         .withColumn("_c", running_max(F.transform("_d", lambda d, i: F.when(d["control"], i).otherwise(F.lit(-1))))))
+
+    def numbered(line, i):
+        c = F.element_at("_c", i + 1)
+        seg = F.get("_d", c)
+        before = seg["b"] + F.element_at("_cb", i + 1) - F.element_at("_d", i + 1)["ib"] - F.get("_cb", c)
+        after = seg["a"] + F.element_at("_ca", i + 1) - F.element_at("_d", i + 1)["ia"] - F.get("_ca", c)
+        code = (c >= 0) & seg["b"].isNotNull() & ~F.element_at("_d", i + 1)["passive"]
+        return F.when(code, F.struct(i.alias("pos"), F.element_at("_h", i + 1).alias("hunk"), line.alias("line"),
+                                     before.cast("int").alias("before"), after.cast("int").alias("after")))
+
+    kept = F.filter(F.transform("_l", numbered), lambda r: r.isNotNull())
+    return x.select(*keys, F.explode(kept).alias("_r")).select(*keys, "_r.*")
 
 
 def _extract_pairs(lines: DataFrame, pattern: str, removed_group: int | None, added_group: int | None) -> DataFrame:
@@ -123,29 +124,29 @@ def hunks(diffs: DataFrame, text_col: str = "line_diff", keys: Sequence[str] = F
     last one, is emitted (the reference drops its last hunk).
     """
     keys = list(keys)
-    x = diffs.select(*keys, F.posexplode(F.split(F.col(text_col), "\n")).alias("pos", "line"))
-    is_at = F.col("line").startswith("@@")
-    x = x.withColumn("hunk", F.sum(is_at.cast("int")).over(
-        Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)))
-    x = x.filter(F.col("hunk") > 0)
-    rng = F.split(F.get(F.split(F.col("line"), " "), 2), ",")
-    start = F.expr("try_cast(get(split(get(split(line, ' '), 2), ','), 0) AS INT)")
-    n = F.coalesce(F.get(rng, 1).try_cast("int"), F.lit(1))
-    heads = x.filter(is_at).select(*keys, "hunk", start.alias("start"),
-                                   F.when(F.size(rng) > 1, start + n - 1).otherwise(start).alias("end"))
-    body = (x.filter(~is_at).groupBy(*keys, "hunk")
-            .agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("_l")))
-    body = body.select(*keys, "hunk", F.concat_ws("", F.transform("_l", lambda s: F.concat(s["line"], F.lit("\n")))).alias("text"))
-    return heads.join(body, [*keys, "hunk"], "left").fillna("", ["text"]).withColumn("hunk", F.col("hunk").cast("int"))
+    x = diffs.select(*keys, F.split(F.col(text_col), "\n").alias("_l"))
+    x = x.withColumn("_at", F.filter(F.transform("_l", lambda t, i: F.when(t.startswith("@@"), i)), lambda i: i.isNotNull()))
+
+    def hunk(at, k):
+        # lines after the header up to the next one, or to the end
+        stop = F.coalesce(F.get("_at", k + 1), F.size("_l"))
+        range_ = F.split(F.get(F.split(F.element_at("_l", at + 1), " "), F.lit(2)), ",")
+        start, n = F.get(range_, F.lit(0)).try_cast("int"), F.coalesce(F.get(range_, F.lit(1)).try_cast("int"), F.lit(1))
+        body = F.transform(F.slice("_l", at + 2, stop - at - 1), lambda t: F.concat(t, F.lit("\n")))
+        return F.struct((k + 1).alias("hunk"), start.alias("start"),
+                        F.when(F.size(range_) > 1, start + n - 1).otherwise(start).alias("end"),
+                        F.array_join(body, "").alias("text"))
+
+    return x.select(*keys, F.explode(F.transform("_at", hunk)).alias("_h")).select(*keys, "_h.*")
 
 
 # ---------------------------------------------------------------- D6
 def modified_line_ranges(diffs: DataFrame, text_col: str = "line_diff", keys: Sequence[str] = FILE_KEYS) -> DataFrame:
     """New-file ``[start, start + n - 1]`` of each ``@@`` header; n defaults to 1."""
     x = diffs.select(*keys, F.posexplode(F.split(F.col(text_col), "\n")).alias("pos", "line"))
-    x = x.filter(F.col("line").startswith("@@") & F.col("line").rlike(RANGE_HEADER))
-    start = F.regexp_extract("line", RANGE_HEADER, 3).cast("int")
-    n = F.coalesce(F.regexp_extract("line", RANGE_HEADER, 4).substr(F.lit(2), F.lit(20)).try_cast("int"), F.lit(1))
+    x = x.filter(F.col("line").startswith("@@") & F.col("line").rlike(HEADER))
+    start = F.regexp_extract("line", HEADER, 2).cast("int")
+    n = F.coalesce(F.regexp_extract("line", HEADER, 3).try_cast("int"), F.lit(1))
     return x.select(*keys, "pos", start.alias("start"), (start + n - 1).alias("end"))
 
 
@@ -153,17 +154,15 @@ def modified_line_ranges(diffs: DataFrame, text_col: str = "line_diff", keys: Se
 def size_guard(pairs: DataFrame, edited_files: DataFrame, max_files: int = 20, max_pairs: int = 1000,
                warn_pairs: int = 250, commit_keys: Sequence[str] = ("repo", "idx"),
                file_keys: Sequence[str] = FILE_KEYS) -> DataFrame:
-    """Drop commits with more than ``max_files`` edited files and files with more than
-    ``max_pairs`` replacements; flag files above ``warn_pairs``.
+    """Size flags; no pair is dropped.
 
-    The per-file count is a window over the file's own partitioning (the one the
-    diff lines were numbered in, so no new shuffle); the per-commit count of
-    edited files is a partial aggregate joined back.  Project state
-    (intervals) is computed separately and is not affected by the guard.
+    ``n_edited`` files of the commit, ``n_pairs`` of the file, ``many_files`` (more than ``max_files``), ``many_pairs``
+    (more than ``max_pairs``) and ``many_changes`` (more than ``warn_pairs``).  Both counts are aggregates
+    (combined before the shuffle) joined back.
     """
     n_files = edited_files.groupBy(*commit_keys).agg(F.count(F.lit(1)).alias("n_edited"))
-    out = (pairs.withColumn("n_pairs", F.count(F.lit(1)).over(Window.partitionBy(*file_keys)))
-           .join(n_files, list(commit_keys))
-           .filter((F.col("n_edited") <= max_files) & (F.col("n_pairs") <= max_pairs))
-           .withColumn("many_changes", F.col("n_pairs") > warn_pairs))
-    return out
+    n_pairs = pairs.groupBy(*file_keys).agg(F.count(F.lit(1)).alias("n_pairs"))
+    return (pairs.join(n_pairs, list(file_keys)).join(n_files, list(commit_keys))
+            .withColumn("many_files", F.col("n_edited") > max_files)
+            .withColumn("many_pairs", F.col("n_pairs") > max_pairs)
+            .withColumn("many_changes", F.col("n_pairs") > warn_pairs))

@@ -87,16 +87,19 @@ def q_d6(spark, sf):
 
 @query("d7_size_guard", _word_sql("""
 SELECT n.repo, n.idx, n.path, n.before, n.after, trim(n.old_text) AS removed, trim(n.new_text) AS added,
-       CAST(e.n_edited AS BIGINT) AS n_edited, CAST(p.n_pairs AS BIGINT) AS n_pairs, p.n_pairs > 250 AS many_changes
+       CAST(e.n_edited AS BIGINT) AS n_edited, CAST(p.n_pairs AS BIGINT) AS n_pairs, e.n_edited > 2 AS many_files,
+       p.n_pairs > 3 AS many_pairs, p.n_pairs > 1 AS many_changes
 FROM numbered n
 JOIN (SELECT repo, idx, count(*) AS n_edited FROM file_changes WHERE kind IN ('M', 'R') GROUP BY repo, idx) e
   ON n.repo = e.repo AND n.idx = e.idx
 JOIN (SELECT repo, idx, path, count(*) AS n_pairs FROM numbered WHERE l_returnflag = 'N' GROUP BY repo, idx, path) p
   ON n.repo = p.repo AND n.idx = p.idx AND n.path = p.path
-WHERE n.l_returnflag = 'N' AND e.n_edited <= 20 AND p.n_pairs <= 1000"""))
+WHERE n.l_returnflag = 'N'"""))
 def q_d7(spark, sf):
     L = Landed.get(spark, sf)
     pairs = D.paired_replacements(D.diff_lines(L.diffs))
     edited = L.file_changes.filter(F.col("kind").isin("M", "R"))
-    g = D.size_guard(pairs, edited)
-    return g.select("repo", "idx", "path", "before", "after", "removed", "added", "n_edited", "n_pairs", "many_changes")
+    # limits that this data crosses, so the flags take both values
+    g = D.size_guard(pairs, edited, max_files=2, max_pairs=3, warn_pairs=1)
+    return g.select("repo", "idx", "path", "before", "after", "removed", "added", "n_edited", "n_pairs", "many_files",
+                    "many_pairs", "many_changes")
