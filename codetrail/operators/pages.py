@@ -1,46 +1,90 @@
 """Library pages (L1-L5): a table of already fetched pages replaces the crawler.
 
-Input rows are (group, page_no, url, html); links are pulled out of the HTML
-with ``regexp_extract_all`` (href and anchor text), so everything stays
-JVM-side and partitioned by page.
+Input rows are (group, page_no, url, html).  Anchors are pulled out of the HTML with regular expressions that take
+either quote style, any attribute order and texts over several lines, so everything stays JVM-side and
+partitioned by page.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Anchor element shape and the sources-archive suffixes.
-ANCHOR = r"<a\s[^>]*?href=\"([^\"]*)\"[^>]*>(.*?)</a>"
+# The sources-archive suffixes, the move notice, the id and class names of the pages' parts.
 SOURCES_SUFFIX = "-sources.jar"
 TEST_SOURCES_SUFFIX = "test-sources.jar"
+MOVED_NOTICE = "This artifact was moved to"
+MAIN_CONTENT = "maincontent"
+LISTING_CLASS = "im"
+RELEASE_CLASSES = ("vbtn", "release")
+ANCHOR = r"(?is)<a\b([^>]*)>(.*?)</a\s*>"
 
 
-def page_links(pages: DataFrame, keys: Sequence[str] = ("page_id",)) -> DataFrame:
-    """All anchors of each page in document order: (keys, pos, href, text)."""
+def _attribute(attributes: Column, name: str) -> Column:
+    """An attribute's value in double, single or no quotes; '' where it is missing."""
+    shape = r"""(?is)(?:^|\s)%s\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""" % name
+    return F.concat(*[F.coalesce(F.regexp_extract(attributes, shape, k), F.lit("")) for k in (1, 2, 3)])
+
+
+def page_text(html: Column) -> Column:
+    """Text without tags, white space as single blanks."""
+    return F.trim(F.regexp_replace(F.regexp_replace(html, r"<[^>]*>", " "), r"\s+", " "))
+
+
+def _anchors(html: Column) -> Column:
+    """array<struct<href, text, title, classes>> of the anchors, in document order."""
+    parts = F.arrays_zip(F.regexp_extract_all(html, F.lit(ANCHOR), 1).alias("a"),
+                         F.regexp_extract_all(html, F.lit(ANCHOR), 2).alias("t"))
+    return F.transform(parts, lambda x: F.struct(
+        _attribute(x["a"], "href").alias("href"), page_text(x["t"]).alias("text"), _attribute(x["a"], "title").alias("title"),
+        F.split(F.trim(_attribute(x["a"], "class")), r"\s+").alias("classes")))
+
+
+def _main_content(html: Column) -> Column:
+    """The page from the element with the main content's id on; '' if there is none."""
+    return F.regexp_extract(html, r"""(?is)<[a-z]+\b[^>]*\sid\s*=\s*["']?%s\b.*$""" % MAIN_CONTENT, 0)
+
+
+def page_links(pages: DataFrame, keys: Sequence[str] = ("page_id",), listing: bool = False) -> DataFrame:
+    """All anchors of each page in document order: (keys, pos, href, text, title, classes).
+
+    ``listing``: only the first anchor of each element of class ``im`` in the main content, which is how a listing page
+    names its entries.
+    """
     keys = list(keys)
-    hrefs = F.regexp_extract_all("html", F.lit(ANCHOR), 1)
-    texts = F.regexp_extract_all("html", F.lit(ANCHOR), 2)
-    return (pages.select(*keys, F.posexplode(F.arrays_zip(hrefs.alias("href"), texts.alias("text"))).alias("pos", "_a"))
-            .select(*keys, "pos", F.col("_a.href").alias("href"), F.col("_a.text").alias("text")))
+    if listing:
+        entry = (r"""(?is)<[a-z]+\b[^>]*\sclass\s*=\s*["']?(?:[^"'>]*\s)?%s(?:\s[^"'>]*)?["'\s>][^<]*(<a\b.*?</a\s*>)"""
+                 % LISTING_CLASS)
+        entries = F.regexp_extract_all(_main_content(F.col("html")), F.lit(entry), 1)
+        found = F.transform(entries, lambda e: F.get(_anchors(e), F.lit(0)))
+    else:
+        found = _anchors(F.col("html"))
+    return (pages.select(*keys, F.posexplode(found).alias("pos", "_a"))
+            .select(*keys, "pos", "_a.href", "_a.text", "_a.title", "_a.classes"))
 
 
 # ---------------------------------------------------------------- L1
 def artifact_links(pages: DataFrame, group: str | None = None, prefix: str | None = None,
-                   keys: Sequence[str] = ("page_id",)) -> DataFrame:
-    """L1: links whose href starts with ``/artifact/<group>/`` (or ``prefix``); artifact = last path segment."""
+                   keys: Sequence[str] = ("page_id",), listing: bool = False) -> DataFrame:
+    """L1: links whose href starts with ``/artifact/<group>/`` (or ``prefix``); artifact = last path segment.
+
+    ``listing`` looks at the entries of listing pages only, else every link of a page counts.
+    """
     pre = prefix if prefix is not None else f"/artifact/{group}/"
-    links = page_links(pages, keys)
-    return (links.filter(F.col("href").startswith(pre))
+    links = page_links(pages, keys, listing)
+    return (links.filter(F.col("href").startswith(pre)).drop("classes")
             .withColumn("artifact", F.substring_index("href", "/", -1)))
 
 
 # ---------------------------------------------------------------- L2
 def pages_before_empty(pages: DataFrame, links: DataFrame, listing: str = "group",
                        page_no: str = "page_no", keys: Sequence[str] = ("page_id",)) -> DataFrame:
-    """L2: keep the pages of each listing before its first page without links."""
+    """L2: keep the pages of each listing before its first page without links.
+
+    ``links`` are all entries of the pages, of whatever group: a page that names other groups only doesn't end a listing.
+    """
     keys = list(keys)
     n = links.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_links"))
     p = pages.join(n, keys, "left").fillna(0, ["n_links"])
@@ -50,12 +94,28 @@ def pages_before_empty(pages: DataFrame, links: DataFrame, listing: str = "group
 
 
 # ---------------------------------------------------------------- L3
+def moves_of_pages(pages: DataFrame) -> DataFrame:
+    """L3: (group, artifact, new_group, new_artifact) of the artifact pages (group, artifact, html) with a move notice.
+
+    The first table row after the notice names the new group and artifact in its first two links; a notice without
+    them gives nulls.
+    """
+    main = _main_content(F.col("html"))
+    notice = F.instr(page_text(main), MOVED_NOTICE) > 0
+    row = F.regexp_extract(main, r"(?is)%s.*?<table\b.*?(<tr\b.*?</tr\s*>)" % MOVED_NOTICE, 1)
+    x = pages.filter(notice).select("group", "artifact", _anchors(row).alias("_a"))
+    new_group = F.regexp_extract(F.get("_a", F.lit(0))["href"], "^/artifact/([^/]+)/?$", 1)
+    new_artifact = F.regexp_extract(F.get("_a", F.lit(1))["href"], "^/artifact/[^/]+/([^/]+)/?$", 1)
+    return x.select("group", "artifact", F.nullif(new_group, F.lit("")).alias("new_group"),
+                    F.nullif(new_artifact, F.lit("")).alias("new_artifact"))
+
+
 def resolve_moved(artifacts: DataFrame, moves: DataFrame) -> DataFrame:
     """L3: an artifact moved within its group takes the new name; one moved to another group is
     dropped; a move notice without target keeps the artifact as is."""
     m = moves.select(F.col("group").alias("_g"), F.col("artifact").alias("_a"), "new_group", "new_artifact")
     j = artifacts.join(m, (artifacts["group"] == m["_g"]) & (artifacts["artifact"] == m["_a"]), "left")
-    other_group = F.col("new_artifact").isNotNull() & (F.col("new_group") != F.col("group"))
+    other_group = F.coalesce(F.col("new_group") != F.col("group"), F.lit(False)) & F.col("new_artifact").isNotNull()
     return (j.filter(~other_group)
             .withColumn("resolved_artifact", F.coalesce("new_artifact", "artifact"))
             .withColumn("moved", F.col("new_artifact").isNotNull())
@@ -64,25 +124,24 @@ def resolve_moved(artifacts: DataFrame, moves: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- L4
 def latest_release(pages: DataFrame, keys: Sequence[str] = ("page_id",)) -> DataFrame:
-    """L4: the first link of an artifact page (its latest release)."""
-    keys = list(keys)
-    links = page_links(pages, keys)
-    first = links.groupBy(*keys).agg(F.min(F.struct("pos", "href"))["href"].alias("latest_release"))
-    return pages.select(*keys).join(first, keys, "left")
+    """L4: the first link of an artifact page that is marked as a release (classes ``vbtn`` and ``release``), else null."""
+    marked = F.filter(_anchors(F.col("html")), lambda a: F.array_contains(a["classes"], RELEASE_CLASSES[0])
+                      & F.array_contains(a["classes"], RELEASE_CLASSES[1]))
+    return pages.select(*keys, F.get(marked, F.lit(0))["href"].alias("latest_release"))
 
 
 def download_listing(pages: DataFrame, text: str = "View All", keys: Sequence[str] = ("page_id",)) -> tuple[DataFrame, DataFrame]:
-    """L4: the first link whose text is ``View All``; and the pages that have none (report)."""
-    keys = list(keys)
-    links = page_links(pages, keys).filter(F.trim(F.col("text")) == text)
-    first = links.groupBy(*keys).agg(F.min(F.struct("pos", "href"))["href"].alias("download_listing"))
-    return first, pages.select(*keys).join(first, keys, "left_anti")
+    """L4: the first link in a table row of the main content whose text is ``View All``; and the pages without one."""
+    rows = F.array_join(F.regexp_extract_all(_main_content(F.col("html")), F.lit(r"(?is)<tr\b.*?</tr\s*>"), 0), "\n")
+    found = F.get(F.filter(_anchors(rows), lambda a: a["text"] == text), F.lit(0))["href"]
+    x = pages.select(*keys, found.alias("download_listing"))
+    return x.filter(F.col("download_listing").isNotNull()), x.filter(F.col("download_listing").isNull()).select(*keys)
 
 
 # ---------------------------------------------------------------- L5
 def source_archives(links: DataFrame, held: DataFrame | None = None, override: bool = False) -> DataFrame:
-    """Links titled ``*-sources.jar`` but not ``*test-sources.jar``; file name = last URL
-    segment; files already held are skipped unless ``override``."""
+    """Links whose ``title`` attribute ends in ``-sources.jar`` but not in ``test-sources.jar``; file name = last URL
+    segment; files already held are skipped unless ``override``.  ``links`` are those of ``page_links`` with a ``url``."""
     t = F.col("title")
     x = (links.filter(t.endswith(SOURCES_SUFFIX) & ~t.endswith(TEST_SOURCES_SUFFIX))
          .withColumn("file_name", F.substring_index("url", "/", -1)))

@@ -23,16 +23,19 @@ def select_replacements(df: DataFrame, min_count: int, method_col: str = "old_me
 
 
 # ---------------------------------------------------------------- P2
-def adjudicate_labels(labels: DataFrame, item: str = "artifact_id") -> DataFrame:
-    """Per item, number of taggers, valid votes, majority verdict and whether the first two agreed."""
-    return (labels.groupBy(item).agg(
-        F.count(F.lit(1)).alias("n_taggers"),
-        F.sum("is_valid").alias("n_valid"),
-        F.max(F.when(F.col("tagger") == "t1", F.col("is_valid"))).alias("_t1"),
-        F.max(F.when(F.col("tagger") == "t2", F.col("is_valid"))).alias("_t2"))
-        .withColumn("is_valid", F.col("n_valid") * 2 > F.col("n_taggers"))
-        .withColumn("agreed", F.col("_t1") == F.col("_t2"))
-        .drop("_t1", "_t2"))
+def adjudicate_labels(labels: DataFrame, item: str = "artifact_id", tagger: str = "tagger") -> DataFrame:
+    """Per item, number of taggers, valid votes, majority verdict and whether the first two taggers agreed.
+
+    The first two votes are those of the two taggers that come first by name (a third one only settles a conflict);
+    ``agreed`` is null with fewer than two.  The verdict is null where votes tie.
+    """
+    first = F.slice(F.array_sort(F.collect_list(F.struct(F.col(tagger).alias("t"), F.col("is_valid").alias("v")))), 1, 2)
+    votes = labels.groupBy(item).agg(F.count(F.lit(1)).alias("n_taggers"), F.sum("is_valid").alias("n_valid"),
+                                     first.alias("_first"))
+    tie = F.col("n_valid") * 2 == F.col("n_taggers")
+    return (votes.withColumn("is_valid", F.when(~tie, F.col("n_valid") * 2 > F.col("n_taggers")))
+            .withColumn("agreed", F.when(F.size("_first") == 2, F.col("_first")[0]["v"] == F.col("_first")[1]["v"]))
+            .drop("_first"))
 
 
 # ---------------------------------------------------------------- P3

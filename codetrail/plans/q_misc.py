@@ -12,19 +12,28 @@ from codetrail.plans.registry import query
 from codetrail.sources.carriers import Landed
 from codetrail.streaming.hook import analyze_history
 
-_ANCHOR_SQL = r"""'<a\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>'"""
+def _attr_sql(attributes: str, name: str) -> str:
+    shape = r"(?:^|\s)" + name + r'''\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))'''
+    return "concat(" + ", ".join(f"regexp_extract({attributes}, '{shape}', {k}, 'is')" for k in (1, 2, 3)) + ")"
 
-_PAGES = f"""
+
+def _links_sql(table: str, name: str) -> str:
+    anchor = r"'(?is)<a\b([^>]*)>(.*?)</a\s*>'"
+    text = r"trim(regexp_replace(regexp_replace(t[i], '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))"
+    return f'''
+{name} AS (
+  SELECT page_id, CAST(i - 1 AS INTEGER) AS pos, {_attr_sql('a[i]', 'href')} AS href, {text} AS text,
+         {_attr_sql('a[i]', 'title')} AS title
+  FROM (SELECT page_id, regexp_extract_all(html, {anchor}, 1) AS a, regexp_extract_all(html, {anchor}, 2) AS t
+        FROM {table}) x, range(1, len(a) + 1) r(i))'''
+
+
+_PAGES = f'''
 WITH pg AS (
   SELECT page_id, url, html, regexp_extract(url, '//([^/]+)', 1) AS "group",
          CAST(row_number() OVER (PARTITION BY regexp_extract(url, '//([^/]+)', 1) ORDER BY page_id) AS INTEGER) AS page_no
-  FROM pages),
-links AS (
-  SELECT page_id, CAST(i - 1 AS INTEGER) AS pos, hrefs[i] AS href, texts[i] AS text
-  FROM (SELECT page_id, regexp_extract_all(html, {_ANCHOR_SQL}, 1) AS hrefs,
-               regexp_extract_all(html, {_ANCHOR_SQL}, 2) AS texts FROM pages) t,
-       range(1, len(hrefs) + 1) r(i))
-"""
+  FROM pages),{_links_sql("pages", "links")}
+'''
 
 
 def _pages(L: Landed):
@@ -37,97 +46,104 @@ def _pages(L: Landed):
 
 
 @query("l1_artifact_links", _PAGES + """
-SELECT page_id, pos, href, text, split_part(href, '/', -1) AS artifact FROM links WHERE starts_with(href, '/')""")
+SELECT page_id, pos, href, text, title, split_part(href, '/', -1) AS artifact FROM links WHERE starts_with(href, '/')""")
 def q_l1(spark, sf):
     return Lp.artifact_links(_pages(Landed.get(spark, sf)), prefix="/")
 
 
-@query("l2_pages_before_empty", _PAGES + """,
-n AS (SELECT p.page_id, p."group", p.page_no,
-             CAST((SELECT count(*) FROM links l WHERE l.page_id = p.page_id AND starts_with(l.href, '/t')) AS BIGINT)
-               AS n_links FROM pg p),
-stop AS (SELECT "group", min(page_no) AS s FROM n WHERE n_links = 0 GROUP BY ALL)
-SELECT n.page_id, n."group", n.page_no, n.n_links FROM n LEFT JOIN stop USING ("group")
-WHERE stop.s IS NULL OR n.page_no < stop.s""")
+def _repo_pages(L: Landed):
+    """Repository pages made of the given ones: a navigation link, a listing entry, a move notice, a release link and a
+    download row, each present or not by the page's own length."""
+    n, page, group = F.length("html"), F.col("page_id").cast("string"), F.col("group")
+    other = F.when(n % 2 == 0, group).otherwise(F.lit("other"))
+    none = F.lit("")
+    html = F.concat(
+        F.lit('<a href="/">Home</a><a class="vbtn" href="/none">x</a><div id="maincontent">'),
+        F.when(n % 7 != 0, F.concat(F.lit('<div class="im"><a href="/artifact/'), other, F.lit("/e"), page,
+                                    F.lit('">e</a></div>'))).otherwise(none),
+        F.when(n % 5 == 0, F.concat(
+            F.lit("<div>This artifact was moved to:<table><tbody><tr>"),
+            F.when(n % 3 == 0, none).otherwise(F.concat(
+                F.lit('<td><a href="/artifact/'), other, F.lit('">g</a> <a href="/artifact/'), other, F.lit("/b"), page,
+                F.lit('">b</a></td>'))), F.lit("</tr></tbody></table></div>"))).otherwise(none),
+        F.when(n % 4 != 0, F.concat(F.lit("<a title='r' class='vbtn release' href='v"), page, F.lit("'>1.0</a>"))).otherwise(none),
+        F.when(n % 3 != 1, F.concat(F.lit('<table><tr><td><a href="/files/'), page,
+                                    F.lit('">View\n All</a></td></tr></table>')))
+        .otherwise(F.lit('<p><a href="/no">View All</a></p>')), F.lit("</div>"))
+    return _pages(L).select("page_id", "group", "page_no", F.concat(F.lit("a"), page).alias("artifact"), html.alias("html"))
+
+
+# the same pages in SQL: what their parts say
+_REPO = _PAGES + """,
+rp AS (SELECT page_id, "group", page_no, 'a' || CAST(page_id AS VARCHAR) AS artifact, length(html) AS n FROM pg)"""
+
+
+@query("l2_pages_before_empty", _REPO + """,
+stop AS (SELECT "group", min(page_no) AS s FROM rp WHERE n % 7 = 0 GROUP BY ALL)
+SELECT rp.page_id, rp."group", rp.page_no, CAST(CASE WHEN n % 7 <> 0 THEN 1 ELSE 0 END AS BIGINT) AS n_links
+FROM rp LEFT JOIN stop USING ("group") WHERE stop.s IS NULL OR rp.page_no < stop.s""")
 def q_l2(spark, sf):
-    pg = _pages(Landed.get(spark, sf))
-    links = Lp.artifact_links(pg, prefix="/t")
-    return Lp.pages_before_empty(pg, links).select("page_id", "group", "page_no", "n_links")
-
-
-_MOVES = """
-WITH arts AS (SELECT DISTINCT lower(p_type) AS "group", p_brand AS artifact FROM part),
-moves AS (SELECT DISTINCT lower(p_type) AS "group", p_brand AS artifact,
-                 CASE WHEN p_size % 2 = 0 THEN lower(p_type) ELSE 'other' END AS new_group,
-                 CASE WHEN p_size % 3 = 0 THEN NULL ELSE p_brand || '-new' END AS new_artifact
-          FROM part WHERE p_size = 7 OR p_size = 14 OR p_size = 21)"""
+    pg = _repo_pages(Landed.get(spark, sf))
+    return Lp.pages_before_empty(pg, Lp.page_links(pg, listing=True)).select("page_id", "group", "page_no", "n_links")
 
 
-def _moves(L: Landed):
-    p = L.t("part")
-    arts = p.select(F.lower("p_type").alias("group"), F.col("p_brand").alias("artifact")).distinct()
-    mv = p.filter(F.col("p_size").isin(7, 14, 21)).select(
-        F.lower("p_type").alias("group"), F.col("p_brand").alias("artifact"),
-        F.when(F.col("p_size") % 2 == 0, F.lower("p_type")).otherwise(F.lit("other")).alias("new_group"),
-        F.when(F.col("p_size") % 3 == 0, F.lit(None).cast("string")).otherwise(F.concat("p_brand", F.lit("-new")))
-        .alias("new_artifact")).distinct()
-    return arts, mv
-
-
-@query("l3_resolve_moved", _MOVES + """,
-m1 AS (SELECT "group", artifact, min(new_group) AS ng, min(new_artifact) AS na, count(*) AS n FROM moves GROUP BY ALL)
-SELECT a."group", a.artifact, m.new_group, m.new_artifact FROM arts a LEFT JOIN moves m USING ("group", artifact)""")
+@query("l3_resolve_moved", _REPO + """
+SELECT "group", artifact, CASE WHEN n % 3 <> 0 THEN CASE WHEN n % 2 = 0 THEN "group" ELSE 'other' END END AS new_group,
+       CASE WHEN n % 3 <> 0 THEN 'b' || CAST(page_id AS VARCHAR) END AS new_artifact FROM rp WHERE n % 5 = 0""")
 def q_l3(spark, sf):
-    arts, mv = _moves(Landed.get(spark, sf))
-    m = mv.select(F.col("group").alias("_g"), F.col("artifact").alias("_a"), "new_group", "new_artifact")
-    return arts.join(m, (arts["group"] == m["_g"]) & (arts["artifact"] == m["_a"]), "left").select(
-        "group", "artifact", "new_group", "new_artifact")
+    return Lp.moves_of_pages(_repo_pages(Landed.get(spark, sf)))
 
 
-@query("l3_resolved_artifacts", _MOVES + """
-SELECT a."group", a.artifact, coalesce(m.new_artifact, a.artifact) AS resolved_artifact,
-       m.new_artifact IS NOT NULL AS moved
-FROM arts a LEFT JOIN moves m USING ("group", artifact)
-WHERE NOT (m.new_artifact IS NOT NULL AND m.new_group <> a."group")""")
+@query("l3_resolved_artifacts", _REPO + """
+SELECT "group", artifact, CASE WHEN n % 5 = 0 AND n % 3 <> 0 THEN 'b' || CAST(page_id AS VARCHAR) ELSE artifact END
+         AS resolved_artifact, n % 5 = 0 AND n % 3 <> 0 AS moved
+FROM rp WHERE NOT (n % 5 = 0 AND n % 3 <> 0 AND n % 2 <> 0)""")
 def q_l3b(spark, sf):
-    arts, mv = _moves(Landed.get(spark, sf))
-    return Lp.resolve_moved(arts, mv).select("group", "artifact", "resolved_artifact", "moved")
+    pg = _repo_pages(Landed.get(spark, sf))
+    return Lp.resolve_moved(pg.select("group", "artifact"), Lp.moves_of_pages(pg)).select(
+        "group", "artifact", "resolved_artifact", "moved")
 
 
-@query("l4_latest_release", _PAGES + """
-SELECT p.page_id, (SELECT href FROM links l WHERE l.page_id = p.page_id ORDER BY pos LIMIT 1) AS latest_release
-FROM pages p""")
+@query("l4_latest_release", _REPO + """
+SELECT page_id, CASE WHEN n % 4 <> 0 THEN 'v' || CAST(page_id AS VARCHAR) END AS latest_release FROM rp""")
 def q_l4(spark, sf):
-    return Lp.latest_release(_pages(Landed.get(spark, sf)))
+    return Lp.latest_release(_repo_pages(Landed.get(spark, sf)))
+
+
+@query("l4_download_listing", _REPO + """
+SELECT page_id, '/files/' || CAST(page_id AS VARCHAR) AS download_listing FROM rp WHERE n % 3 <> 1""")
+def q_l4a(spark, sf):
+    return Lp.download_listing(_repo_pages(Landed.get(spark, sf)))[0]
 
 
-@query("l4_download_listing_missing", _PAGES + """
-SELECT page_id FROM pages p
-WHERE NOT EXISTS (SELECT 1 FROM links l WHERE l.page_id = p.page_id AND trim(l.text) = 'View All')""")
+@query("l4_download_listing_missing", _REPO + " SELECT page_id FROM rp WHERE n % 3 = 1")
 def q_l4b(spark, sf):
-    return Lp.download_listing(_pages(Landed.get(spark, sf)))[1]
+    return Lp.download_listing(_repo_pages(Landed.get(spark, sf)))[1]
 
 
-def _archive_links(L: Landed):
+def _archive_pages(L: Landed):
+    """Download listings: each link of a page as a file, whose title attribute ends in one of three suffixes."""
     links = Lp.page_links(_pages(L))
     sfx = F.element_at(F.array(F.lit("-sources.jar"), F.lit("-test-sources.jar"), F.lit(".jar")),
-                       ((F.col("page_id") + F.col("pos")) % 3 + 1).cast("int"))
-    x = links.select("page_id", "pos", F.concat("text", sfx).alias("title"),
-                     F.concat(F.lit("https://repo.example.org/files"), F.col("href"), sfx).alias("url"))
-    held = x.filter(F.col("page_id") % 4 == 0).select(F.substring_index("url", "/", -1).alias("file_name"))
-    return x, held
+                       (F.length("href") % 3 + 1).cast("int"))
+    a = F.concat(F.lit('<a title="f'), F.col("pos").cast("string"), sfx, F.lit('" href="'), F.col("href"), sfx, F.lit('">f</a>'))
+    return links.groupBy("page_id").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("pos", a.alias("a")))), lambda x: x["a"]), "\n").alias("html"))
 
 
 @query("l5_source_archives", _PAGES + """,
-al AS (SELECT page_id, pos, text || sfx AS title, 'https://repo.example.org/files' || href || sfx AS url
-       FROM (SELECT *, (['-sources.jar', '-test-sources.jar', '.jar'])[CAST((page_id + pos) % 3 + 1 AS INTEGER)] AS sfx
-             FROM links) t),
-held AS (SELECT DISTINCT split_part(url, '/', -1) AS file_name FROM al WHERE page_id % 4 = 0)
-SELECT page_id, pos, title, url, split_part(url, '/', -1) AS file_name FROM al
+al AS (SELECT page_id, pos, href, (['-sources.jar', '-test-sources.jar', '.jar'])[CAST(length(href) % 3 + 1 AS INTEGER)] AS sfx
+       FROM links),
+x AS (SELECT page_id, pos, 'f' || CAST(pos AS VARCHAR) || sfx AS title, 'https://repo.example.org/files' || href || sfx AS url
+      FROM al),
+held AS (SELECT DISTINCT split_part(url, '/', -1) AS file_name FROM x WHERE length(url) % 4 = 0)
+SELECT page_id, pos, title, url, split_part(url, '/', -1) AS file_name FROM x
 WHERE ends_with(title, '-sources.jar') AND NOT ends_with(title, 'test-sources.jar')
   AND split_part(url, '/', -1) NOT IN (SELECT file_name FROM held)""")
 def q_l5(spark, sf):
-    x, held = _archive_links(Landed.get(spark, sf))
+    links = Lp.page_links(_archive_pages(Landed.get(spark, sf)))
+    x = links.select("page_id", "pos", "title", F.concat(F.lit("https://repo.example.org/files"), "href").alias("url"))
+    held = x.filter(F.length("url") % 4 == 0).select(F.substring_index("url", "/", -1).alias("file_name"))
     return Lp.source_archives(x, held).select("page_id", "pos", "title", "url", "file_name")
 
 
@@ -148,7 +164,8 @@ lbl AS (SELECT doc_id AS artifact_id, quality AS t1, 1 - toxic AS t2,
                CASE WHEN quality <> 1 - toxic THEN quality END AS t3 FROM labels),
 verd AS (SELECT artifact_id, CAST(CASE WHEN t3 IS NULL THEN 2 ELSE 3 END AS BIGINT) AS n_taggers,
                 CAST(t1 + t2 + coalesce(t3, 0) AS BIGINT) AS n_valid,
-                (t1 + t2 + coalesce(t3, 0)) * 2 > (CASE WHEN t3 IS NULL THEN 2 ELSE 3 END) AS is_valid,
+                CASE WHEN (t1 + t2 + coalesce(t3, 0)) * 2 <> (CASE WHEN t3 IS NULL THEN 2 ELSE 3 END)
+                     THEN (t1 + t2 + coalesce(t3, 0)) * 2 > (CASE WHEN t3 IS NULL THEN 2 ELSE 3 END) END AS is_valid,
                 t1 = t2 AS agreed FROM lbl)"""
 
 
@@ -167,7 +184,7 @@ SELECT * FROM ({_P1_SQL}) r
 WHERE NOT regexp_matches(split_part(old_method, '(', 1), '^(get|set|is)[A-Z_].*') AND split_part(old_method, '(', 1) <> 'main'
   AND count >= 1""")
 def q_p1(spark, sf):
-    rep, _ = Landed.get(spark, sf).mined
+    rep = Landed.get(spark, sf).mined.replacements
     return P.select_replacements(rep, min_count=1)
 
 
@@ -180,7 +197,7 @@ UNION ALL SELECT 'valid', CAST(count(*) AS BIGINT) FROM r WHERE count >= 2
   AND id IN (SELECT artifact_id FROM verd WHERE is_valid)""")
 def q_p3(spark, sf):
     L = Landed.get(spark, sf)
-    rep, _ = L.mined
+    rep = L.mined.replacements
     sel = P.select_replacements(rep, min_count=2)
     out = P.funnel(rep, sel, P.adjudicate_labels(_label_rows(L)))
     return out.select("stage", F.col("n").cast("long").alias("n"))

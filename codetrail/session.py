@@ -1,8 +1,9 @@
 """Spark session set-up shared by tests, the bench and the entry points.
 
 On a cluster the session already exists and names a shared checkpoint folder
-in ``spark.checkpoint.dir``; we only read it.  A private folder is created
-only when the setting is missing (local tests).
+in ``spark.checkpoint.dir``; we only read it, and without one nothing is
+written.  A private folder is created only where the setting is missing and
+driver and executors are one process (``local[...]``: tests and the bench).
 """
 
 from __future__ import annotations
@@ -35,13 +36,15 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the reliable checkpoint folder, creating a local one only if unset."""
+    """Return the reliable checkpoint folder; one is made only in local mode, elsewhere an unset one is an error."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="codetrail-ckpt-", dir="/tmp")
     sc.setCheckpointDir(configured)
     return configured

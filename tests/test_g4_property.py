@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from codetrail.functions.calls import calls_from_text, extract_calls
+from codetrail.functions.calls import calls_from_text
 from codetrail.operators import replace as G
 
 NAMES = ["f", "fo", "foo", "bar", "log", "logger", "get", "x"]
@@ -23,10 +23,8 @@ def _index(text, needle, start):
     return text.find(needle, max(start, 0))
 
 
-def _walk(removed, added):
+def _walk(removed, added, rc, ac):
     """Direct walk over both call lists with character cursors (expected semantics of G4)."""
-    rc = [(c["name"], c["n_args"]) for c in extract_calls(removed)]
-    ac = [(c["name"], c["n_args"]) for c in extract_calls(added)]
     if not rc or not ac or rc == ac:
         return None
     common = set(rc) & set(ac)
@@ -65,6 +63,7 @@ def test_g4_matches_walk(spark):
     p = df.withColumn("removed_calls", calls_from_text(F.col("removed"))).withColumn("added_calls", calls_from_text(F.col("added")))
     c = G.drop_pure_add_remove(G.common_calls(G.comparable_pairs(p)))
     got = {r.k: (r.old_name, r.new_name) for r in G.first_changed_call(c).collect()}
-    want = {k: w for k, r, a in rows if (w := _walk(r, a)) is not None}
+    calls = {r.k: [[(c.name, c.n_args) for c in x] for x in (r.removed_calls, r.added_calls)] for r in p.collect()}
+    want = {k: w for k, r, a in rows if (w := _walk(r, a, *calls[k])) is not None}
     assert got == want
     assert len(want) > 50

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from codetrail.functions.calls import extract_calls
+from codetrail.functions.calls import calls_from_text
 from codetrail.operators import deps as R
 from codetrail.operators import diffs as D
 from codetrail.operators import facts as X
@@ -81,20 +81,58 @@ def test_d6_ranges(spark):
     assert got == [(7, 9), (7, 7)]
 
 
-def test_d7_size_guard(spark):
-    pairs = spark.createDataFrame([("r", 1, "a", "a", i) for i in range(5)] + [("r", 1, "b", "b", 0)],
+def test_d7_size_flags_drop_nothing(spark):
+    pairs = spark.createDataFrame([("r", 1, "a", "a", i) for i in range(5)] + [("r", 1, "b", "b", 0), ("r", 2, "a", "a", 0)],
                                   "repo string, idx int, old_path string, path string, k int")
-    edited = spark.createDataFrame([("r", 1, "a"), ("r", 1, "b")], "repo string, idx int, path string")
-    got = D.size_guard(pairs, edited, max_files=20, max_pairs=3, warn_pairs=0)
-    assert {r.path for r in got.collect()} == {"b"}
-    assert D.size_guard(pairs, edited, max_files=1).count() == 0
-
-
-def test_x2_calls_from_text():
-    for code in ["Function(12)", "Function<A>(12)", "BBB.CCC<ct>.Function<Generic.Type>(12)"]:
-        assert extract_calls(code) == [{"name": "Function", "n_args": 1}]
-    assert [c["name"] for c in extract_calls("obj.X().X().obj.Y().foo().Z()")] == ["X", "X", "Y", "foo", "Z"]
-    assert extract_calls("(line.getWords().size()") == [{"name": "getWords", "n_args": 0}, {"name": "size", "n_args": 0}]
+    edited = spark.createDataFrame([("r", 1, f"f{i}") for i in range(21)] + [("r", 2, "a")], "repo string, idx int, path string")
+    got = D.size_guard(pairs, edited, max_pairs=3, warn_pairs=0)
+    assert got.count() == 7
+    flags = {(r.idx, r.path): (r.n_edited, r.n_pairs, r.many_files, r.many_pairs, r.many_changes) for r in got.collect()}
+    assert flags == {(1, "a"): (21, 5, True, True, True), (1, "b"): (21, 1, True, False, True), (2, "a"): (1, 1, False, False, True)}
+
+
+def _calls(spark, *codes):
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(codes)], "i int, c string")
+    rows = df.select("i", calls_from_text(F.col("c")).alias("k")).orderBy("i").collect()
+    return [None if r.k is None else [(c.name, c.n_args) for c in r.k] for r in rows]
+
+
+def test_x2_calls_from_text(spark):
+    same = ["Function(12)", "Function<A>(12)", "BBB.CCC<ct>.Function<Generic.Type>(12)"]
+    got = _calls(spark, *same, "obj.X().X().obj.Y().foo().Z()", "(line.getWords().size()")
+    assert got[:3] == [[("Function", 1)]] * 3
+    assert [n for n, _ in got[3]] == ["X", "X", "Y", "foo", "Z"]
+    assert got[4] == [("getWords", 0), ("size", 0)]
+
+
+def test_x2_comments_literals_declarations_annotations(spark):
+    got = _calls(spark, "a(); // b()", "/* old(1) */ z()", "public void foo(int a) {", "@Anno(value=1) void m()",
+                 'foo("a,b(", \'c\')', "if (a(b)) return c(d, e)", "Map<String, List<A>> m = f(x<y>(1), 2)",
+                 "foo(a, (b, c), {1,2}, d[e(1,2)])", "open(a, b", 'String s = "unterminated (', "super(a); this()", "", None)
+    assert got == [[("a", 0)], [("z", 0)], [], [], [("foo", 2)], [("a", 1), ("c", 2)], [("f", 2), ("x", 1)],
+                   [("foo", 4), ("e", 2)], [("open", 2)], [], [("super", 1), ("this", 0)], [], None]
+
+
+def test_d1_strips_unicode_white_space(spark):
+    text = "@@ -1 +1 @@\n\u3000{+a+}\u2003\n\u2028b"
+    got = [(r.line, r.before, r.after) for r in D.diff_lines(_diff(spark, text)).orderBy("pos").collect()]
+    assert got == [("{+a+}", 1, 1), ("b", 1, 2)]
+
+
+def test_d1_long_file_crosses_blocks(spark):
+    """More lines than a block of the running sums, several hunks and a reset."""
+    lines, want, b, a = [], [], 0, 0
+    for h in range(4):
+        b, a = 1000 * h + 5, 1000 * h + 9
+        lines += ["diff --git a/f b/f", "ignored"] if h == 2 else []
+        lines.append(f"@@ -{b},9 +{a},9 @@")
+        for k in range(170):
+            lines.append(["x", "{+n+}", "[-o-]", "[-o-]{+n+}"][k % 4])
+            want.append((len(lines) - 1, h + 1, b, a))
+            b, a = b + (k % 4 != 1), a + (k % 4 not in (2,))
+    got = [(r.pos, r.hunk, r.before, r.after) for r in D.diff_lines(_diff(spark, "\n".join(lines))).orderBy("pos").collect()]
+    # a replaced line starts with [- and ends with +}, so it counts on both sides
+    assert got == want
 
 
 def _xml(spark, col, body):

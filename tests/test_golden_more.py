@@ -46,14 +46,56 @@ def test_l3_moves(spark):
     assert got == [("a", "a2"), ("c", "c"), ("d", "d")]
 
 
-def test_l4_first_links(spark):
-    html = '<a href="/r/1.2">1.2</a> <a href="/r/1.1">1.1</a> <a href="/all">View All</a>'
-    pages = spark.createDataFrame([(1, html), (2, "<p>none</p>")], "page_id int, html string")
+def test_l4_release_and_listing_past_navigation(spark):
+    html = ("<a href='/'>Home</a> <a class=\"vbtn\" href=\"/old\">0.9</a><p><a href='/no'>View All</a></p>"
+            "<div class=\"x\" id='maincontent'><a title='r' class='big vbtn release'\n href='a/1.2'>1.2</a>"
+            "<a class=\"vbtn release\" href=\"a/1.1\">1.1</a><table><tr><td><a href=\"/all\">View\n  <b>All</b></a></td></tr></table></div>")
+    pages = spark.createDataFrame([(1, html), (2, "<p>none</p>"), (3, None)], "page_id int, html string")
     latest = {r.page_id: r.latest_release for r in Lp.latest_release(pages).collect()}
     first, missing = Lp.download_listing(pages)
-    assert latest == {1: "/r/1.2", 2: None}
+    assert latest == {1: "a/1.2", 2: None, 3: None}
     assert [r.download_listing for r in first.collect()] == ["/all"]
-    assert [r.page_id for r in missing.collect()] == [2]
+    assert sorted(r.page_id for r in missing.collect()) == [2, 3]
+
+
+def test_l1_listing_entries_and_l2_unfiltered(spark):
+    entry = '<div class="im"><a href="/artifact/{}/x"><img></a><h2><a href="/artifact/{}/x">x</a></h2></div>'
+    pages = spark.createDataFrame([
+        ("g", 1, 1, f'<a href="/artifact/g/nav">n</a><div id="maincontent">{entry.format("g", "g")}</div>'),
+        ("g", 2, 2, f'<div id="maincontent">{entry.format("other", "other")}</div>'),
+        ("g", 3, 3, '<a href="/artifact/g/nav">n</a><div id="maincontent"></div>'),
+        ("g", 4, 4, f'<div id="maincontent">{entry.format("g", "g")}</div>')], "group string, page_no int, page_id int, html string")
+    assert [(r.page_id, r.artifact) for r in Lp.artifact_links(pages, group="g", listing=True).orderBy("page_id").collect()] == [
+        (1, "x"), (4, "x")]
+    kept = Lp.pages_before_empty(pages, Lp.page_links(pages, listing=True))
+    assert sorted(r.page_no for r in kept.collect()) == [1, 2]
+
+
+def test_l3_move_read_from_the_page(spark):
+    def page(row):
+        return f'<div id="maincontent"><div>This artifact was moved to:<table><tbody><tr>{row}</tr></tbody></table></div></div>'
+    pages = spark.createDataFrame([
+        ("g", "a", page('<td><a href="/artifact/g">g</a> » <a href="/artifact/g/a2">a2</a></td>')),
+        ("g", "b", page('<td><a href="/artifact/h">h</a> » <a href="/artifact/h/b2">b2</a></td>')),
+        ("g", "c", page("")), ("g", "d", '<div id="maincontent">fine</div>')], "group string, artifact string, html string")
+    moves = Lp.moves_of_pages(pages)
+    assert sorted((r.artifact, r.new_group, r.new_artifact) for r in moves.collect()) == [
+        ("a", "g", "a2"), ("b", "h", "b2"), ("c", None, None)]
+    got = sorted((r.artifact, r.resolved_artifact) for r in Lp.resolve_moved(pages.select("group", "artifact"), moves).collect())
+    assert got == [("a", "a2"), ("c", "c"), ("d", "d")]
+
+
+def test_l5_title_attribute(spark):
+    html = '<a title="x-sources.jar" href="x-sources.jar">s</a><a href=\'t\' title=\'x-test-sources.jar\'>t</a><a href="j">-sources.jar</a>'
+    links = Lp.page_links(spark.createDataFrame([(1, html)], "page_id int, html string")).withColumnRenamed("href", "url")
+    assert [r.file_name for r in Lp.source_archives(links).collect()] == ["x-sources.jar"]
+
+
+def test_p2_any_tagger_names_and_ties(spark):
+    labels = spark.createDataFrame([(1, "alice", 1), (1, "bob", 1), (2, "alice", 1), (2, "bob", 0), (3, "zoe", 1),
+                                    (4, "a", 0), (4, "b", 1), (4, "c", 0)], "artifact_id long, tagger string, is_valid int")
+    v = {r.artifact_id: (r.n_taggers, r.is_valid, r.agreed) for r in P.adjudicate_labels(labels).collect()}
+    assert v == {1: (2, True, True), 2: (2, None, False), 3: (1, True, None), 4: (3, False, False)}
 
 
 def test_p1_p2_p3(spark):
@@ -153,3 +195,61 @@ def test_l1_artifact_links_and_s2(spark, tmp_path):
     f.write_text("commons-io|commons-io|2.11.0\norg.apache.commons|commons-jcs3-*|*\n")
     rows = sorted(tuple(r) for r in read_library_list(spark, str(f)).collect())
     assert rows == [("commons-io", "commons-io", "2.11.0"), ("org.apache.commons", "commons-jcs3-*", "*")]
+
+
+def test_r8_pairs_by_element_and_skips_broken_files(spark):
+    from codetrail.operators import deps as R
+    pom = ("<?xml version='1.0'?><project xmlns='http://maven.apache.org/POM/4.0.0'><dependencies>"
+           "<dependency><artifactId>a1</artifactId></dependency>"
+           "<dependency><groupId>g2</groupId><artifactId>a2</artifactId><version>2</version></dependency>"
+           "<dependency><version>3</version><artifactId>a3</artifactId><groupId>g3</groupId></dependency></dependencies></project>")
+    df = spark.createDataFrame([("r", "pom.xml", pom), ("s", "pom.xml", pom[:-20]), ("t", "pom.xml", None)],
+                               "repo string, path string, content string")
+    got = [(r.repo, r.group, r.artifact, r.version) for r in R.pom_dependencies(df).orderBy("k").collect()]
+    assert got == [("r", None, "a1", None), ("r", "g2", "a2", "2"), ("r", "g3", "a3", "3")]
+    assert sorted(r.repo for r in R.malformed_poms(df).collect()) == ["s", "t"]
+
+
+def test_r10_is_per_repository(spark):
+    from codetrail.operators import deps as R
+    apis = spark.createDataFrame([("r", 1, "g|a|1"), ("s", 1, "g|a|1"), ("t", 1, "g|a|1")], "repo string, id int, project string")
+    deps = spark.createDataFrame([("r", "g", "a"), ("s", "g", "b"), ("t", None, None)], "repo string, group string, artifact string")
+    assert [r.repo for r in R.restrict_to_dependencies(apis, deps).collect()] == ["r"]
+
+
+def test_r7_blocks_by_brace_balance(spark):
+    from codetrail.operators import deps as R
+    text = "\n".join(["a 'x:x:1'", "dependencies {", "  api 'g:a:1'", "  impl(\"g\", \"b\", \"2\") {", "    exclude 'g:c:3'", "  }",
+                      "}", "t 'l:l:1'", "dependencies {", "  api 'g:d:4'", "} // 'g:e:5'", "z 'n:n:1'"])
+    df = spark.createDataFrame([("r", "build.gradle", text)], "repo string, path string, content string")
+    got = [(r.group, r.artifact) for r in R.gradle_dependencies(df).orderBy("pos").collect()]
+    assert got == [("g", "a"), ("g", "b"), ("g", "c"), ("g", "d"), ("g", "e")]
+
+
+def test_x1_x3_skip_and_count_broken_units(spark):
+    from codetrail.operators import facts as X
+    head = '<unit xmlns="x">\n'
+    good = '<unit revision="1" item="1"><call><name>f</name><argument_list pos:start="3:1">(<argument>a</argument>)</argument_list></call></unit>'
+    bad = '<unit revision="1" item="2"><call><name>cut</unit>'
+    decl = ('<unit item="{}" scope="{}"><function pos:start="1:1" pos:end="2:1"><name>m{}</name><parameter_list>(<parameter>int... a'
+            '</parameter>)</parameter_list></function></unit>')
+    df = spark.createDataFrame([("r", 1, "p", head + good + "\n" + bad + "\n</unit>",
+                                 head + decl.format(1, "class", 1) + "\n" + decl.format(2, "block", 2) + "\n" + bad + "\n</unit>")],
+                               "repo string, idx int, path string, calls_xml string, decls_xml string")
+    assert [(r.name, r.n_args, r.line) for r in X.calls_from_xml(df).collect()] == [("f", 1, 3)]
+    assert [(r.name, r.n_args, r.varargs) for r in X.declarations_from_xml(df).orderBy("unit_pos").collect()] == [
+        ("m1", 0, True), ("m2", 0, True)]
+    assert [r.name for r in X.declarations_from_xml(df, scope="types").collect()] == ["m1"]
+    assert [(r.n_units, r.n_malformed) for r in X.malformed_units(df, "decls_xml").collect()] == [(3, 1)]
+
+
+def test_g11_groups_follow_package_sets(spark):
+    rows = [("r", 1, "o", 0, "n", 0, 0, f"p{i}", 0, 0, f"p{i}", 1, 1, pk) for i, pk in enumerate(
+        [["a", "b"], ["c"], ["b", "c"], ["c", "d"], ["d"], ["a", "b"], ["d"]])]
+    df = spark.createDataFrame(rows, "repo string, idx int, old_name string, old_n_args int, new_name string, new_n_args int, "
+                                     "edit_rank int, path string, pos int, k int, old_path string, before int, after int, "
+                                     "packages array<string>")
+    from codetrail.operators import replace as G
+    got = {r.gid: [o.path for o in r.occurrences] for r in G.group_replacements(df).collect()}
+    # p2 overlaps the first opener; p3 the second; p4 shares nothing with an opener and opens the third
+    assert got == {1: ["p0", "p2", "p5"], 2: ["p1", "p3"], 3: ["p4", "p6"]}
