@@ -20,13 +20,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from codetrail.llm.common import slices, strings
+from codetrail.llm.common import map_arrow, slices, strings
 from codetrail.llm.words import hash_spans
 
 #: Text that is encoded together, and the words that a task remembers.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 BLOCK_ROWS = 16_384
-REMEMBER = 600_000
+REMEMBER = 300_000
 
 OTHER, LETTER, NUMBER, SPACE, BREAK = range(5)
 #: Letters and numbers that Unicode 16.0 added (first and last code point of each range).
@@ -319,7 +319,7 @@ def encode(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
                 [batch.column("doc_id"), pa.ListArray.from_arrays(first.astype(np.int32), ids.astype(np.int32))],
                 names=["doc_id", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, ids array<int>")
+    return docs.select("doc_id", "text").transform(map_arrow, run, f"doc_id {dict(docs.dtypes)['doc_id']}, ids array<int>")
 
 
 def decode(encoded: DataFrame, tokenizer: str | None = None) -> DataFrame:
@@ -335,7 +335,7 @@ def decode(encoded: DataFrame, tokenizer: str | None = None) -> DataFrame:
                          for ids in part.column("ids").to_pylist()]
                 yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "text": pa.array(texts, pa.string())})
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {dict(encoded.dtypes)['doc_id']}, text string")
+    return encoded.select("doc_id", "ids").transform(map_arrow, run, f"doc_id {dict(encoded.dtypes)['doc_id']}, text string")
 
 
 def round_trip(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
@@ -358,5 +358,5 @@ def round_trip(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
                 "decoded_sha256": pa.array([hashlib.sha256(codec.decode(i).encode()).hexdigest() for i in own],
                                            pa.string())})
 
-    return docs.select("doc_id", "text").mapInArrow(
+    return docs.select("doc_id", "text").transform(map_arrow, 
         run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens long, ids_sha256 string, decoded_sha256 string")

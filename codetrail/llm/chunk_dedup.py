@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from codetrail.llm.common import by_slice, is_empty, landed, strings
+from codetrail.llm.common import by_slice, is_empty, landed, map_arrow, set_aside, strings
 
 WINDOW = 32
 CUT_BITS = 10
@@ -79,7 +79,7 @@ def recipes(docs: DataFrame, hash_bits: int = 64) -> DataFrame:
 
     kind = dict(docs.dtypes)["doc_id"]
     return (docs.select("doc_id", "text")
-            .mapInArrow(by_slice(run), f"doc_id {kind}, n_points long, text_sha256 string, hashes array<long>, "
+            .transform(map_arrow, by_slice(run), f"doc_id {kind}, n_points long, text_sha256 string, hashes array<long>, "
                                        "digests array<binary>")
             .withColumn("row", F.monotonically_increasing_id()))
 
@@ -127,10 +127,11 @@ def keep_distinct(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     chosen = exact_duplicates(docs).where("kept").select(key("doc_id", F.col("text_sha256")).alias("__key")).distinct()
     sha = F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]", "").cast("binary"), 256)
-    marked = docs.withColumn("__key", key("doc_id", sha)).join(chosen, "__key", "left_semi")
+    plain, restored = set_aside(docs)
+    marked = plain.withColumn("__key", key("doc_id", sha)).join(chosen, "__key", "left_semi")
     numbered = marked.withColumn("__n", F.row_number().over(
         Window.partitionBy("__key").orderBy(F.length("text").desc_nulls_last())))
-    return numbered.where("__n = 1").select(*docs.columns)
+    return restored(numbered.where("__n = 1"))
 
 
 ORACLE_SQL = """

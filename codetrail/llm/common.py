@@ -42,8 +42,23 @@ def is_empty(df: DataFrame) -> bool:
 
 def in_training(doc_id: str | Column = "doc_id") -> Column:
     """False on the held-out third: crc32 of the id as text, modulo 3, is 1.  A null id counts as the text ''."""
-    return F.crc32(F.coalesce(F.col(doc_id) if isinstance(doc_id, str) else doc_id, F.lit("")).cast("string")
-                   .cast("binary")) % 3 != 1
+    text = (F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("string")
+    return F.crc32(F.coalesce(text, F.lit("")).cast("binary")) % 3 != 1
+
+
+#: Rows of the Arrow batches between the JVM and Python.  Texts are much longer than the rows that Spark's default of
+#: 10,000 is meant for.
+BATCH_ROWS = 1000
+_BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def map_arrow(df: DataFrame, fn: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``df.mapInArrow`` with batches of at most BATCH_ROWS rows, unless the session asks for fewer: the setting is one of
+    the session's, read when the plan runs."""
+    conf = df.sparkSession.conf
+    if int(conf.get(_BATCH_CONF)) > BATCH_ROWS:
+        conf.set(_BATCH_CONF, BATCH_ROWS)
+    return df.mapInArrow(fn, schema)
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES,
@@ -88,3 +103,11 @@ def mix(x: np.ndarray) -> np.ndarray:
 def private(df: DataFrame, columns: dict[str, str | Column]) -> DataFrame:
     """Only the named columns, renamed: {new name: old name or expression}."""
     return df.select(*[(df[c] if isinstance(c, str) else c).alias(n) for n, c in columns.items()])
+
+
+def set_aside(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` with only doc_id, text and lang under their own names, the other columns under names that clash with
+    nothing; and a function that gives a result of that table its columns back."""
+    names = docs.columns
+    plain = [n if n in ("doc_id", "text", "lang") else f"c{i}" for i, n in enumerate(names)]
+    return docs.toDF(*plain), lambda df: df.select(*plain).toDF(*names)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codetrail.llm.common import by_slice, landed, mix, strings
+from codetrail.llm.common import by_slice, landed, map_arrow, mix, set_aside, strings
 from codetrail.llm.components import components
 from codetrail.llm.words import shingles_of, words_of
 
@@ -115,7 +115,7 @@ def sketches(docs: DataFrame, k: int = K, rows: int = ROWS, weighted: bool = Fal
             "bands": pa.array([b if f else [] for b, f in zip(bands, full, strict=True)], pa.list_(pa.int64()))})
 
     return (docs.select("doc_id", "text")
-            .mapInArrow(by_slice(run, rows=SKETCH_ROWS), f"doc_id {kind}, key binary, n double, sketch binary, bands array<long>")
+            .transform(map_arrow, by_slice(run, rows=SKETCH_ROWS), f"doc_id {kind}, key binary, n double, sketch binary, bands array<long>")
             .withColumn("node", F.monotonically_increasing_id()))
 
 
@@ -178,7 +178,7 @@ def shingle_sets(nodes: DataFrame, reps: DataFrame, docs: DataFrame, weighted: b
         out = pa.RecordBatch.from_pydict({"node": batch.column("node"), "set": pa.array(blobs, pa.binary())})
         return out.filter(pa.array(right))
 
-    return landed(texts.select("node", "__key", "text").mapInArrow(by_slice(pack), "node long, set binary")
+    return landed(texts.select("node", "__key", "text").transform(map_arrow, by_slice(pack), "node long, set binary")
                   .dropDuplicates(["node"]), "sets")
 
 
@@ -195,7 +195,7 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, similar: float,
                 [similarity(_unpack(x.as_py(), weighted), _unpack(y.as_py(), weighted)) >= similar
                  for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True)], pa.bool_()))
 
-    return both.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long")
+    return both.select("a", "b", "sa", "sb").transform(map_arrow, check, "a long, b long")
 
 
 def agreement(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -284,7 +284,7 @@ def cross_links(buckets: DataFrame, similar: float, likely: float, block: int, w
         if rest is not None and rest.num_rows:
             yield compared(rest, [rest.num_rows])
 
-    return ordered.mapInArrow(run, "a long, b long")
+    return ordered.transform(map_arrow, run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, similar: float = SIMILAR, k: int = K, rows: int = ROWS, weighted: bool = False,
@@ -327,4 +327,5 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, k: int = K, rows:
 def keep_one_of_class(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each class of near duplicates."""
     chosen = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").select(*docs.columns)
+    plain, restored = set_aside(docs)
+    return restored(plain.join(chosen, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi"))

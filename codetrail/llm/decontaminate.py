@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codetrail.llm.common import by_slice, mix, strings
+from codetrail.llm.common import by_slice, map_arrow, mix, set_aside, strings
 from codetrail.llm.words import Words, words_of
 
 #: 1: the word counts, 0: it is ignored.
@@ -153,7 +153,7 @@ def _marked(docs: DataFrame, benchmark: DataFrame, overlap: int, share: float, b
             return pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in kept),
                                                *more.values()], names=[*kept, *more])
 
-        out = out.mapInArrow(by_slice(run), schema)
+        out = out.transform(map_arrow, by_slice(run), schema)
     return out
 
 
@@ -163,7 +163,5 @@ def _list_type(kind: str) -> pa.DataType:
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents that hold a passage of the benchmark."""
-    names = docs.columns
-    plain = docs.select(*[F.col(c).alias(f"c{i}") if c != "text" else F.col(c) for i, c in enumerate(names)])
-    return (_marked(plain, benchmark, OVERLAP, SHARE, BLOCK_CHARS).where(F.size("items") == 0)
-            .select(*[F.col(f"c{i}" if c != "text" else c).alias(c) for i, c in enumerate(names)]))
+    plain, restored = set_aside(docs)
+    return restored(_marked(plain, benchmark, OVERLAP, SHARE, BLOCK_CHARS).where(F.size("items") == 0))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codetrail.llm.common import by_slice, in_training, landed, mix, strings
+from codetrail.llm.common import by_slice, in_training, landed, map_arrow, mix, strings
 from codetrail.llm.words import hash_spans, words_of
 
 BITS = 18
@@ -161,7 +161,7 @@ def learn(docs: DataFrame, labels: DataFrame, models: int = MODELS, positives: i
         return pa.table({"model": pa.array([model]), "bias": pa.array([bias]),
                          "weights": pa.array([weights.astype("<f4").tobytes()], pa.binary())})
 
-    rows = landed(sample.mapInArrow(by_slice(featured), "model long, pos boolean, numbers array<int>"), "toxicity")
+    rows = landed(sample.transform(map_arrow, by_slice(featured), "model long, pos boolean, numbers array<int>"), "toxicity")
     fitted = rows.groupBy("model").applyInArrow(fit, "model long, bias double, weights binary").collect()
     return [(np.frombuffer(r["weights"], "<f4").astype(np.float64), r["bias"]) for r in sorted(fitted)], prior
 
@@ -183,6 +183,6 @@ def score(docs: DataFrame, labels: DataFrame, models: int = MODELS, positives: i
                  else np.full(batch.num_rows, prior))
         return pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "score": pa.array(value)})
 
-    scored = own.mapInArrow(by_slice(run), f"doc_id {dict(docs.dtypes)['doc_id']}, score double")
+    scored = own.transform(map_arrow, by_slice(run), f"doc_id {dict(docs.dtypes)['doc_id']}, score double")
     return scored.select("doc_id", (~in_training()).alias("held_out"), "score",
                          (F.col("score") >= threshold).cast("int").alias("predicted"))
