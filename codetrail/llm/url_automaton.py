@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codetrail.llm.common import map_arrow
+
 #: Verdict and rule (host and the beginning of the path).
 HOST_RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 #: URLs without a fitting rule are blocked if one of these globs matches.
@@ -140,7 +142,7 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = HOST_RULES,
                     [*batch.columns, pa.array(rule, pa.string()), pa.array(verdict, pa.string())],
                     names=["page_id", "host", "path", "rule", "verdict"])
 
-    return own.mapInArrow(run, f"page_id {dict(pages.dtypes)['page_id']}, host string, path string, rule string, "
+    return own.transform(map_arrow, run, f"page_id {dict(pages.dtypes)['page_id']}, host string, path string, rule string, "
                                "verdict string")
 
 
