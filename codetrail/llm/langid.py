@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codetrail.llm.common import by_slice, in_training, landed, strings
+from codetrail.llm.common import by_slice, in_training, landed, map_arrow, set_aside, strings
 from codetrail.llm.words import Words, words_of
 
 MAX_PIECE = 8
@@ -29,8 +29,10 @@ MAX_WORD = 28
 #: Labelled documents per language that the model is fitted on (about so many: a document is in by the hash of its id).
 SAMPLE_DOCS = 1500
 ROUNDS = 3
+#: Distinct words whose expected counts are worked out together.
+EXPECT_WORDS = 10_000
 #: Words whose probabilities a Python worker remembers.
-REMEMBER = 400_000
+REMEMBER = 200_000
 UNDETERMINED = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -98,16 +100,30 @@ def expected(cells: list[list[np.ndarray]], prob: np.ndarray, weight: np.ndarray
     """Expected piece counts (pieces + 1, languages) of words that occur ``weight`` (words, languages) times."""
     alpha, n_cells = forward(cells, prob), len(cells)
     beta = [np.zeros_like(alpha[0]) for _ in range(n_cells)] + [np.ones_like(alpha[0])]
-    out = np.zeros_like(prob)
     scale = weight / np.maximum(alpha[-1], 1e-300)
+    ids, gains = [], []
     for j in range(n_cells, 0, -1):
-        for n, ids in enumerate(cells[j - 1], 1):
-            step = prob[ids] * beta[j]
+        for n, own in enumerate(cells[j - 1], 1):
+            step = prob[own] * beta[j]
             beta[j - n] += step
-            gain = alpha[j - n] * step * scale
-            for k in range(prob.shape[1]):
-                out[:, k] += np.bincount(ids, gain[:, k], minlength=len(prob))
-    return out
+            found = np.flatnonzero(own < len(prob) - 1)
+            ids.append(own[found])
+            gains.append((alpha[j - n] * step * scale)[found])
+    ids, gains = np.concatenate(ids), np.concatenate(gains)
+    return np.stack([np.bincount(ids, gains[:, k], minlength=len(prob)) for k in range(prob.shape[1])], axis=1)
+
+
+def _gathered(batches, rows: int):
+    """The same rows in batches of about ``rows`` rows."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, n = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
 def learn(docs: DataFrame, vocabulary: str | None = None, sample_docs: int = SAMPLE_DOCS,
@@ -140,7 +156,7 @@ def learn(docs: DataFrame, vocabulary: str | None = None, sample_docs: int = SAM
             "word": pa.array([raw[a:b] for a, b in zip(words.start[first], words.end[first], strict=True)], pa.binary()),
             "lang": pa.array(pairs[1].astype(np.int64)), "n": pa.array(n.astype(np.int64))})
 
-    counts = landed(sample.mapInArrow(by_slice(count), "word binary, lang long, n long")
+    counts = landed(sample.transform(map_arrow, by_slice(count), "word binary, lang long, n long")
                     .groupBy("word", "lang").agg(F.sum("n").alias("n"))
                     .groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("n")), "langid")
     for _ in range(rounds):
@@ -148,7 +164,7 @@ def learn(docs: DataFrame, vocabulary: str | None = None, sample_docs: int = SAM
 
         def expect(batches, model=model):
             total = np.zeros_like(model)
-            for batch in batches:
+            for batch in _gathered(batches, EXPECT_WORDS):
                 weight = np.zeros((batch.num_rows, len(langs)))
                 for i, m in enumerate(batch.column("n").to_pylist()):
                     for k, v in m:
@@ -164,7 +180,7 @@ def learn(docs: DataFrame, vocabulary: str | None = None, sample_docs: int = SAM
             yield pa.RecordBatch.from_pydict({"piece": pa.array(piece), "lang": pa.array(lang),
                                               "n": pa.array(total[piece, lang])})
 
-        sums = (counts.mapInArrow(expect, "piece long, lang long, n double").groupBy("piece", "lang")
+        sums = (counts.transform(map_arrow, expect, "piece long, lang long, n double").groupBy("piece", "lang")
                 .agg(F.sum("n").alias("n")).toArrow())
         total = np.zeros_like(prob)
         total[np.asarray(sums["piece"]), np.asarray(sums["lang"])] = np.asarray(sums["n"])
@@ -243,7 +259,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], vocabulary: s
 
         return by_slice(score)(batches)
 
-    return docs.mapInArrow(run, schema)
+    return docs.transform(map_arrow, run, schema)
 
 
 def _ddl(df: DataFrame) -> str:
@@ -264,6 +280,6 @@ def predict_languages(docs: DataFrame, vocabulary: str | None = None, sample_doc
 
 def keep_identified(spark: SparkSession, docs: DataFrame, least: float = 0.5) -> DataFrame:
     """``docs`` without the documents that have no language: ``und``, or a score under ``least``."""
-    names = docs.columns
-    scored = identify(docs, learn(docs), lang_column="__lang", score_column="__score")
-    return scored.where((F.col("__lang") != UNDETERMINED) & (F.col("__score") >= least)).select(*names)
+    plain, restored = set_aside(docs)
+    scored = identify(plain, learn(docs), lang_column="__lang", score_column="__score")
+    return restored(scored.where((F.col("__lang") != UNDETERMINED) & (F.col("__score") >= least)))
