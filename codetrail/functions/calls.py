@@ -94,3 +94,9 @@ def render_declaration(name: Column, n_args: Column, varargs: Column, cls: Colum
 def render_call_list(calls: Column) -> Column:
     """A call list joined by ``,``."""
     return F.array_join(F.transform(calls, lambda c: F.format_string("%s(%d)", c["name"], c["n_args"])), ",")
+
+
+def render_signature(cls: Column, name: Column, args_types: Column, return_type: Column) -> Column:
+    """The full form ``[package.Class] name (types) -> type`` of a call or declaration; a missing part is ``null``."""
+    shown = [F.coalesce(c, F.lit("null")) for c in (cls, name, args_types, return_type)]
+    return F.format_string("[%s] %s (%s) -> %s", *shown)

@@ -38,8 +38,8 @@ def ordered_index(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     Rows are range-partitioned on (keys, order) so a hot key spans many tasks.
     Inside a range partition the rows are sorted, hence consecutive, so the
     position is ``mid - first_mid_of(key, partition) + rows of the key in
-    earlier partitions``.  The ordered frame is checkpointed to the reliable
-    checkpoint folder so that a lost executor cannot renumber rows.
+    earlier partitions``.  The ordered frame is written to the shared folder,
+    so that a lost executor cannot renumber rows.
     """
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))

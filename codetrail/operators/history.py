@@ -62,12 +62,12 @@ def first_parent_chain(log: DataFrame, order: Sequence[str] | None = None, pos_c
 
 
 # ---------------------------------------------------------------- H3
-def parse_name_status(lines: DataFrame, line_col: str = "line") -> DataFrame:
+def parse_name_status(lines: DataFrame, line_col: str = "line", extension: str | None = None) -> DataFrame:
     """H3: ``git diff --name-status`` lines -> (kind, old_path, path).
 
     Kinds: A, D, M, R (prefix test, e.g. R100), C (copy = add of the third
     field), 'other' for every remaining status (counted in totals only).
-    Lines starting with ``warning`` are skipped.
+    Lines starting with ``warning`` are skipped; with ``extension`` (such as ``.java``) only files that end in it count.
     """
     f = F.split(F.col(line_col), "\t")
     action = F.get(f, 0)
@@ -75,7 +75,10 @@ def parse_name_status(lines: DataFrame, line_col: str = "line") -> DataFrame:
             .when(action.startswith("R"), "R").when(action.startswith("C"), "C").otherwise("other"))
     path = F.when(kind.isin("R", "C"), F.get(f, 2)).otherwise(F.get(f, 1))
     old_path = F.when(kind.isin("R", "C", "D", "M"), F.get(f, 1))
-    return (lines.filter(~action.startswith("warning"))
+    wanted = ~action.startswith("warning")
+    if extension is not None:
+        wanted = wanted & path.endswith(extension)
+    return (lines.filter(wanted)
             .withColumn("kind", kind).withColumn("old_path", old_path).withColumn("path", path)
             .drop(line_col))
 

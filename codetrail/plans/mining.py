@@ -34,6 +34,7 @@ class MiningInputs:
     call_versions: DataFrame    # repo, path, name, n_args, valid_from, valid_to
     api_catalog: DataFrame      # id, project, class, name, n_args, is_public
     base_packages: DataFrame    # project, package
+    extension: str = ".java"    # changes of other files aren't edits of code
 
 
 def materialized(inp: MiningInputs) -> MiningInputs:
@@ -44,15 +45,15 @@ def materialized(inp: MiningInputs) -> MiningInputs:
                    intervals=materialize(inp.intervals))
 
 
-def edited_files(file_changes: DataFrame) -> DataFrame:
-    return (expand_changes(file_changes).filter(F.col("event") == "edit")
+def edited_files(file_changes: DataFrame, extension: str = ".java") -> DataFrame:
+    return (expand_changes(file_changes).filter((F.col("event") == "edit") & F.col("path").endswith(extension))
             .select("repo", "idx", "old_path", "path", "edit_rank"))
 
 
 def candidate_pairs(inp: MiningInputs) -> DataFrame:
     """R12 -> D1/D2 -> X2 -> G1..G5: first changed call pairs of all edited files, however many a commit has."""
     # both are read three times below: materialise them once
-    edited = materialize(edited_files(inp.file_changes))
+    edited = materialize(edited_files(inp.file_changes, inp.extension))
     # an edited file was re-added at its commit, so its text is the snapshot stored at that commit
     content = inp.snapshots.join(edited.select("repo", "idx", "path").distinct(), ["repo", "idx", "path"], "left_semi")
     pk = materialize(imported_targets(content.filter(F.col("content").isNotNull()), inp.base_packages))

@@ -121,8 +121,14 @@ SELECT i.*, f.old_path, f.path FROM items i JOIN file_changes f
 WHERE f.kind IN ('M', 'R')""")
 
 _PRE = "CASE WHEN l_linenumber % 2 = 0 THEN 'x.size().' ELSE '' END"
-_OLD = f"{_PRE} || old_name || '(' || {ARGS.format(n='old_n_args')} || ')'"
-_NEW = f"{_PRE} || 'lib.' || api || '(' || {ARGS.format(n='n_args')} || ')'"
+# the same variants as the Spark side's diff_variant
+_V = "CASE WHEN l_suppkey % 5 = 4 AND l_linenumber % 2 = 0 AND l_partkey % 3 = 0 THEN 5 ELSE l_suppkey % 5 END"
+_OLD0 = f"{_PRE} || old_name || '(' || {ARGS.format(n='old_n_args')} || ')'"
+_OLD = f"({_OLD0} || CASE WHEN {_V} = 0 THEN ' /* ' || name || '(1) */' ELSE '' END)"
+_NEW = f"""(CASE {_V} WHEN 1 THEN {_PRE} || 'lib.' || old_name || '(' || {ARGS.format(n='old_n_args')} || ')'
+  WHEN 2 THEN {_OLD0} || '.then()' WHEN 3 THEN {_PRE} || 'assertOf(' || {ARGS.format(n='n_args')} || ')'
+  WHEN 5 THEN {_PRE} || api || '(' || {ARGS.format(n='n_args')} || ')'
+  ELSE {_PRE} || 'lib.' || api || '(' || {ARGS.format(n='n_args')} || ')' END)"""
 _B = "(l_linenumber * 10 + l_suppkey % 7)"
 _A = f"({_B} + l_partkey % 5)"
 
@@ -144,7 +150,7 @@ SELECT *,
                                   || '+    v' || CAST(l_linenumber AS VARCHAR) || ' = ' || {_NEW} || ';'
                     WHEN 'A' THEN '+import ' || cls || ';'
                     ELSE '-import org.old.' || name || ';' END AS unified_lines,
-  {_OLD} AS old_text, {_NEW} AS new_text
+  {_OLD} AS old_text, {_NEW} AS new_text, {_V} AS variant
 FROM edited_items""")
 
 _cte("diffs", ["diff_items"], """
@@ -183,11 +189,11 @@ FROM word_items""")
 _cte("word_code", ["word_items2"], """
 SELECT repo, idx, old_path, path, fno, start_pos + pre_n AS pos, hunk, ltrim(word_line) AS line,
        CASE l_returnflag WHEN 'A' THEN 0 ELSE 1 END AS ib, CASE l_returnflag WHEN 'R' THEN 0 ELSE 1 END AS ia,
-       l_returnflag, old_text, new_text, name, cls, l_linenumber, old_name, old_n_args, api, n_args
+       l_returnflag, old_text, new_text, name, cls, l_linenumber, old_name, old_n_args, api, n_args, variant
 FROM word_items2
 UNION ALL
 SELECT repo, idx, old_path, path, fno, start_pos + pre_n + 1, hunk, '', 1, 1, 'blank', NULL, NULL, NULL, NULL,
-       l_linenumber, NULL, NULL, NULL, NULL
+       l_linenumber, NULL, NULL, NULL, NULL, NULL
 FROM word_items2 WHERE l_linenumber = 4""")
 
 _cte("word_heads", ["word_items2"], """
@@ -203,7 +209,7 @@ _cte("pairs", ["numbered"], """
 SELECT repo, idx, old_path, path, fno, CAST(pos AS INTEGER) AS pos, CAST(hunk AS INTEGER) AS hunk, before, after,
        0 AS k, trim(old_text) AS removed, trim(new_text) AS added, l_linenumber,
        old_name, old_n_args, api AS new_name, n_args AS new_n_args,
-       CASE WHEN l_linenumber % 2 = 0 THEN 2 ELSE 1 END AS n_calls
+       CASE WHEN l_linenumber % 2 = 0 THEN 2 ELSE 1 END AS n_calls, variant
 FROM numbered WHERE l_returnflag = 'N'""")
 
 _ALIVE = "{d}.valid_from <= {at} AND ({d}.valid_to IS NULL OR {d}.valid_to > {at})"
@@ -211,7 +217,7 @@ _ARITY = "CASE WHEN {d}.varargs THEN {d}.n_args <= {n} ELSE {d}.n_args = {n} END
 
 _cte("checked", ["pairs", "decl_versions", "call_versions"], f"""
 SELECT p.* FROM pairs p
-WHERE EXISTS (SELECT 1 FROM decl_versions d WHERE d.repo = p.repo AND d.name = p.old_name
+WHERE p.variant IN (0, 4) AND EXISTS (SELECT 1 FROM decl_versions d WHERE d.repo = p.repo AND d.name = p.old_name
               AND {_ARITY.format(d='d', n='p.old_n_args')} AND {_ALIVE.format(d='d', at='p.idx - 1')})
   AND NOT EXISTS (SELECT 1 FROM decl_versions d WHERE d.repo = p.repo AND d.name = p.old_name
               AND {_ARITY.format(d='d', n='p.old_n_args')} AND {_ALIVE.format(d='d', at='p.idx')})

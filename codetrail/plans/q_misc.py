@@ -180,12 +180,14 @@ _P1_SQL = _groups_sql(_FINAL)
 
 
 @query("p1_select_replacements", f"""
-SELECT * FROM ({_P1_SQL}) r
-WHERE NOT regexp_matches(split_part(old_method, '(', 1), '^(get|set|is)[A-Z_].*') AND split_part(old_method, '(', 1) <> 'main'
-  AND count >= 1""")
+SELECT id, CASE id % 4 WHEN 1 THEN 'getName(0)' WHEN 2 THEN 'main(1)' ELSE old_method END AS old_method, new_method, count
+FROM (SELECT * REPLACE (1 + id % 3 AS count) FROM ({_P1_SQL}) q) r WHERE id % 4 NOT IN (1, 2) AND count >= 2""")
 def q_p1(spark, sf):
-    rep = Landed.get(spark, sf).mined.replacements
-    return P.select_replacements(rep, min_count=1)
+    # the mined replacements with some methods renamed to a getter and to main, and counts from 1 to 3
+    rep, four = Landed.get(spark, sf).mined.replacements, F.col("id") % 4
+    rep = rep.withColumn("count", 1 + F.col("id") % 3).withColumn("old_method", F.when(
+        four == 1, F.lit("getName(0)")).when(four == 2, F.lit("main(1)")).otherwise(F.col("old_method")))
+    return P.select_replacements(rep, min_count=2).select("id", "old_method", "new_method", "count")
 
 
 @query("p3_funnel", f"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from codetrail.functions.calls import calls_of_pair, render_call_list, render_declaration
+from codetrail.functions.calls import calls_of_pair, render_call_list, render_declaration, render_signature
 from codetrail.operators import diffs as D
 from codetrail.operators import replace as G
 from codetrail.plans import mining as M
@@ -28,12 +28,14 @@ def _first_changed(L: Landed):
 
 
 _RM = "CASE WHEN l_linenumber % 2 = 0 THEN 'size(0),' ELSE '' END || old_name || '(' || CAST(old_n_args AS VARCHAR) || ')'"
-_AD = "CASE WHEN l_linenumber % 2 = 0 THEN 'size(0),' ELSE '' END || new_name || '(' || CAST(new_n_args AS VARCHAR) || ')'"
+_AD = f"""CASE variant WHEN 1 THEN {_RM} WHEN 2 THEN {_RM} || ',then(0)'
+  WHEN 3 THEN CASE WHEN l_linenumber % 2 = 0 THEN 'size(0),' ELSE '' END || 'assertOf(' || CAST(new_n_args AS VARCHAR) || ')'
+  ELSE CASE WHEN l_linenumber % 2 = 0 THEN 'size(0),' ELSE '' END || new_name || '(' || CAST(new_n_args AS VARCHAR) || ')' END"""
 
 
 @query("x2_calls_from_text", with_carriers(["pairs"], f"""
 SELECT repo, idx, path, pos, k, {_RM} AS removed_methods, {_AD} AS added_methods,
-       n_calls AS n_removed, n_calls AS n_added FROM pairs"""))
+       n_calls AS n_removed, n_calls + CASE WHEN variant = 2 THEN 1 ELSE 0 END AS n_added FROM pairs"""))
 def q_x2(spark, sf):
     p = _pairs(Landed.get(spark, sf))
     return p.select(*PAIR_COLS, render_call_list(F.col("removed_calls")).alias("removed_methods"),
@@ -41,17 +43,19 @@ def q_x2(spark, sf):
                     F.size("removed_calls").alias("n_removed"), F.size("added_calls").alias("n_added"))
 
 
+# G1 rejects the pairs with the same calls, G3 those that only add one
 @query("g1_g3_comparable_pairs", with_carriers(["pairs"], """
 SELECT repo, idx, path, pos, k, CASE WHEN l_linenumber % 2 = 0 THEN 'size(0)' ELSE '' END AS common
-FROM pairs"""))
+FROM pairs WHERE variant NOT IN (1, 2)"""))
 def q_g1_g3(spark, sf):
     c = G.drop_pure_add_remove(G.common_calls(G.comparable_pairs(_pairs(Landed.get(spark, sf)))))
     return c.select(*PAIR_COLS, render_call_list(F.col("common")).alias("common"))
 
 
+# G4 skips the pairs with equal left texts, G5 rejects assertions
 @query("g4_g5_first_changed_call", with_carriers(["pairs"], """
 SELECT repo, idx, path, pos, k, old_name, old_n_args, new_name, new_n_args FROM pairs
-WHERE new_name NOT IN ('super', 'this') AND NOT starts_with(new_name, 'assert')"""))
+WHERE variant IN (0, 4) AND new_name NOT IN ('super', 'this') AND NOT starts_with(new_name, 'assert')"""))
 def q_g4(spark, sf):
     return _first_changed(Landed.get(spark, sf)).select(*PAIR_COLS, "old_name", "old_n_args", "new_name", "new_n_args")
 
@@ -64,6 +68,17 @@ def q_g6_g9(spark, sf):
     return M.checked_pairs(inp, _first_changed(L)).select(*PAIR_COLS, "old_name", "old_n_args", "new_name", "new_n_args")
 
 
+@query("g10_render_signatures", with_carriers(["call_facts"], """
+SELECT repo, idx, path, line, '[org.lib.' || name || '] ' || name || ' (' ||
+       CASE n_args WHEN 0 THEN '' WHEN 1 THEN 'int' ELSE 'int, int' END || ') -> null' AS rendered
+FROM call_facts"""))
+def q_g10_signatures(spark, sf):
+    c, n = Landed.get(spark, sf).call_facts, F.col("n_args")
+    types = F.when(n == 0, "").when(n == 1, "int").otherwise("int, int")
+    return c.select("repo", "idx", "path", "line", render_signature(
+        F.concat(F.lit("org.lib."), "name"), F.col("name"), types, F.lit(None).cast("string")).alias("rendered"))
+
+
 @query("g10_render_declarations", with_carriers(["decl_versions"], """
 SELECT repo, path, valid_from, name || '(' || CAST(n_args AS VARCHAR) || CASE WHEN varargs THEN '+' ELSE '' END || ')'
        AS rendered

@@ -246,6 +246,14 @@ class Landed:
         pre = F.when(ln % 2 == 0, F.lit("x.size().")).otherwise(F.lit(""))
         old_call = F.concat(pre, F.col("old_name"), F.lit("("), args_text(F.col("old_n_args")), F.lit(")"))
         new_call = F.concat(pre, F.lit("lib."), F.col("api"), F.lit("("), args_text(F.col("n_args")), F.lit(")"))
+        # variants: 0 an old call in a comment, 1 the same calls, 2 only an added call, 3 an assertion, 5 equal left texts
+        v = diff_variant()
+        old_args, new_args = args_text(F.col("old_n_args")), args_text(F.col("n_args"))
+        new_call = (F.when(v == 1, F.concat(pre, F.lit("lib."), F.col("old_name"), F.lit("("), old_args, F.lit(")")))
+                    .when(v == 2, F.concat(old_call, F.lit(".then()")))
+                    .when(v == 3, F.concat(pre, F.lit("assertOf("), new_args, F.lit(")")))
+                    .when(v == 5, F.concat(pre, F.col("api"), F.lit("("), new_args, F.lit(")"))).otherwise(new_call))
+        old_call = F.when(v == 0, F.concat(old_call, F.lit(" /* "), F.col("name"), F.lit("(1) */"))).otherwise(old_call)
         flag = F.col("l_returnflag")
         head = F.when(F.col("r") == 1, F.concat(
             F.lit("diff --git a/"), F.col("old_path"), F.lit(" b/"), F.col("path"), F.lit("\n--- a/"),
@@ -370,5 +378,11 @@ def xml_units(li: DataFrame) -> DataFrame:
                      type_u.alias("type_u"), span_u.alias("span_u"))
 
 
+def diff_variant() -> F.Column:
+    """How the replaced text of an item differs from a plain replacement (see ``Landed.diffs``); 4 is plain."""
+    skipped = (F.col("l_suppkey") % 5 == 4) & (F.col("l_linenumber") % 2 == 0) & (F.col("l_partkey") % 3 == 0)
+    return F.when(skipped, 5).otherwise((F.col("l_suppkey") % 5).cast("int"))
+
+
 def args_text(n: F.Column) -> F.Column:
     return F.when(n == 0, F.lit("")).when(n == 1, F.lit("a")).otherwise(F.lit("a, b"))

@@ -20,4 +20,23 @@ def assign_ids(df: DataFrame, order_by: Sequence[str], base: int = 0, out: str =
     """
     if reuse_col is not None:
         return df.withColumn(out, F.col(reuse_col).cast("long"))
-    return ordered_index(df, [], list(order_by), out=out, base=base)
+    order = list(order_by)
+    if len(order) == len(df.columns):
+        return ordered_index(df, [], order, out=out, base=base)
+    # only the distinct keys are sorted and numbered; the other columns (file text, bodies) move once, to their key's id
+    keys = df.groupBy(*order).agg(F.count(F.lit(1)).alias("_rows"))
+    numbered = ordered_index(keys, [], order, out="_place")
+    return _with_positions(df, numbered, order, out, base)
+
+
+def _with_positions(df: DataFrame, numbered: DataFrame, order: list[str], out: str, base: int) -> DataFrame:
+    """Ids of ``df`` from the places of its distinct keys.  Rows that share a key take the ids after each other, which row
+    gets which is left open, as with any sort on a key that isn't unique."""
+    same = None
+    for c in order:
+        test = F.col(f"_k.{c}").eqNullSafe(F.col(f"_d.{c}"))
+        same = test if same is None else same & test
+    if numbered.agg(F.max("_rows")).first()[0] in (None, 1):
+        k = numbered.select(*order, "_place").alias("_k")
+        return (df.alias("_d").join(k, same).select("_d.*", (F.col("_k._place") + F.lit(base - 1)).cast("long").alias(out)))
+    return ordered_index(df, [], order, out=out, base=base)
