@@ -27,12 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codetrail.llm.common import shared_path
+from codetrail.llm.common import landed, map_arrow, shared_path
 
 REVISIT_BYTES = 100
 FILE_RECORDS = 2000
+#: Revisits (some 300 bytes each) up to which their list is broadcast.
+BROADCAST_ROWS = 100_000
 #: Bytes of a gzip member's content: its length then ends with a zero byte.
 MEMBER_BYTES = (16 << 20) - 1
+LEVEL = 4
 #: Bytes of records in an Arrow batch.
 BATCH_BYTES = 4 << 20
 #: The fields of a record header by version.
@@ -48,7 +51,7 @@ def members(record: bytes) -> bytes:
     """The record as gzip members, without the last one's last byte (which is zero)."""
     out = []
     for at in range(0, max(len(record), 1), MEMBER_BYTES):
-        squeeze = zlib.compressobj(1, zlib.DEFLATED, 31)
+        squeeze = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
         out.append(squeeze.compress(record[at:at + MEMBER_BYTES]) + squeeze.flush())
     return b"".join(out)[:-1]
 
@@ -109,7 +112,7 @@ def pages_to_arc(pages: DataFrame, version: int | None = None) -> DataFrame:
 
         yield from _batches(({"value": v} for v in rows()), pa.schema([("value", pa.binary())]), "value")
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, "value binary")
+    return pages.select("page_id", "url", "html").transform(map_arrow, run, "value binary")
 
 
 def _batches(rows: Iterator[dict], schema: pa.Schema, sized: str) -> Iterator[pa.RecordBatch]:
@@ -167,12 +170,12 @@ def warc_date(date: str | None) -> str:
     digits = (date or "")[:14]
     full = digits + "00000101000000"[len(digits):]
     ok = re.fullmatch(r"\d{4}(0[1-9]|1[0-2])(0[1-9]|[12]\d|3[01])([01]\d|2[0-3])([0-5]\d){2}", full)
-    y = full if ok else "19700101000000"
+    y = full if ok and len(digits) >= 4 else "19700101000000"
     return f"{y[:4]}-{y[4:6]}-{y[6:8]}T{y[8:10]}:{y[10:12]}:{y[12:14]}Z"
 
 
-def identifier(path: str, offset: int) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{path}#{offset}')}>"
+def identifier(file: str, offset: int) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{file}#{offset}')}>"
 
 
 def warc_record(kind: str, fields: dict[str, str | None], block: bytes) -> bytes:
@@ -201,13 +204,13 @@ def _kind(record: dict) -> str:
     return "response" if record["block"].startswith(b"HTTP/") else "resource"
 
 
-def _described(path: str, record: dict) -> tuple[str, dict, bytes, bytes, int | None]:
+def _described(file: str, record: dict) -> tuple[str, dict, bytes, bytes, int | None]:
     """Type, header fields, head and payload, and page id of the WARC record of an ARC record."""
     kind = _kind(record)
     head, payload = split_message(record["block"]) if kind == "response" else (b"", record["block"])
     page = _PAGE.search(head)
     fields = {
-        "WARC-Record-ID": identifier(path, record["offset"]), "WARC-Date": warc_date(record["date"]),
+        "WARC-Record-ID": identifier(file, record["offset"]), "WARC-Date": warc_date(record["date"]),
         "WARC-Target-URI": record["uri"] if kind in ("response", "resource") and record["uri"] != "-" else None,
         "WARC-IP-Address": record["ip"] if kind == "response" else None,
         "Content-Type": {"response": "application/http; msgtype=response", "metadata": "application/octet-stream",
@@ -218,57 +221,54 @@ def _described(path: str, record: dict) -> tuple[str, dict, bytes, bytes, int |
 
 
 def arc_index(archives: DataFrame) -> DataFrame:
-    """path, offset, page_id, uri, date, id, digest, payload_bytes of the response records of ARC files (path, content)."""
-    schema = pa.schema([("path", pa.string()), ("offset", pa.int64()), ("page_id", pa.int64()), ("uri", pa.string()),
-                        ("date", pa.string()), ("id", pa.string()), ("digest", pa.string()), ("payload_bytes", pa.int64())])
+    """file, offset, page_id, uri, date, digest (bytes), payload_bytes of the response records of ARC files (path, content)."""
+    schema = pa.schema([("file", pa.string()), ("offset", pa.int64()), ("page_id", pa.int64()), ("uri", pa.string()),
+                        ("date", pa.string()), ("digest", pa.binary()), ("payload_bytes", pa.int64())])
 
     def run(batches):
-        for path, content in _files(batches):
-            def rows(path=path, content=content):
+        for file, content in _files(batches):
+            def rows(file=file, content=content):
                 for record in arc_records(opened(content)):
-                    kind, fields, _, payload, page = _described(path, record)
+                    kind, fields, _, payload, page = _described(file, record)
                     if kind == "response":
-                        yield {"path": path, "offset": record["offset"], "page_id": page, "uri": record["uri"],
-                               "date": fields["WARC-Date"], "id": fields["WARC-Record-ID"],
-                               "digest": fields["WARC-Payload-Digest"], "payload_bytes": len(payload)}
+                        yield {"file": file, "offset": record["offset"], "page_id": page, "uri": record["uri"],
+                               "date": fields["WARC-Date"], "payload_bytes": len(payload),
+                               "digest": bytes.fromhex(fields["WARC-Payload-Digest"].removeprefix("sha256:"))}
             yield from _batches(rows(), schema, "digest")
 
-    return archives.mapInArrow(run, "path string, offset long, page_id long, uri string, date string, id string, "
-                                    "digest string, payload_bytes long")
+    return archives.transform(map_arrow, run, "file string, offset long, page_id long, uri string, date string, "
+                                              "digest binary, payload_bytes long")
 
 
 def _files(batches) -> Iterator[tuple[str, bytes]]:
+    """Name (without the folder) and content of each file."""
     for batch in batches:
         for path, content in zip(batch.column("path"), batch.column("content"), strict=True):
-            yield path.as_py(), content.as_py()
+            yield path.as_py().rpartition("/")[2], content.as_py()
 
 
 def revisits(index: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
-    """path, offset and the original (id, uri, date, page_id) of the records whose payload an earlier record has."""
-    who = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "date", "uri", "path", "offset", "id")
+    """file, offset and the original (file, offset, uri, date, page id) of the records whose payload an earlier record has."""
+    who = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "date", "uri", "file", "offset")
     long = index.where(F.col("payload_bytes") >= least)
     firsts = long.groupBy("digest").agg(F.min(who).alias("original"), F.count("*").alias("n")).where("n > 1")
-    return (long.join(firsts, "digest").where(F.col("id") != F.col("original.id"))
-            .select("path", "offset", F.col("original.id").alias("refers_id"), F.col("original.uri").alias("refers_uri"),
-                    F.col("original.date").alias("refers_date"), F.col("original.page_id").alias("refers_page"),
-                    F.lit(True).alias("again")))
+    again = (F.col("file") != F.col("original.file")) | (F.col("offset") != F.col("original.offset"))
+    return long.select("file", "offset", "digest").join(firsts, "digest").where(again).select("file", "offset", "original")
 
 
 def convert(archives: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
     """value: WARC records (members without the last byte) of ARC files (path, content), a warcinfo in front of each
-    file's.  A payload moves once, compressed; what decides about revisits are digests."""
-    schema = pa.schema([("path", pa.string()), ("offset", pa.int64()), ("record", pa.binary()), ("head", pa.binary()),
-                        ("id", pa.string()), ("uri", pa.string()), ("date", pa.string()), ("digest", pa.string())])
+    file's.  Digests decide about revisits; the list of those is sent to the records if it has at most BROADCAST_ROWS
+    rows (counted first), else the records move once, compressed."""
+    schema = pa.schema([("file", pa.string()), ("offset", pa.int64()), ("record", pa.binary())])
 
     def built(batches):
-        for path, content in _files(batches):
-            def rows(path=path, content=content):
+        for file, content in _files(batches):
+            def rows(file=file, content=content):
                 for record in arc_records(opened(content)):
-                    kind, fields, head, _, _ = _described(path, record)
-                    yield {"path": path, "offset": record["offset"], "head": head,
-                           "record": members(warc_record(kind, fields, record["block"])), "id": fields["WARC-Record-ID"],
-                           "uri": fields["WARC-Target-URI"], "date": fields["WARC-Date"],
-                           "digest": fields["WARC-Payload-Digest"]}
+                    kind, fields, _, _, _ = _described(file, record)
+                    yield {"file": file, "offset": record["offset"],
+                           "record": members(warc_record(kind, fields, record["block"]))}
             yield from _batches(rows(), schema, "record")
 
     def final(batches):
@@ -280,23 +280,30 @@ def convert(archives: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
                         yield {"value": members(warcinfo())}
                         n += 1
                     n += 1
-                    if not r["again"]:
+                    original = r["original"]
+                    if original is None:
                         yield {"value": r["record"]}
                         continue
+                    fields, block = next(warc_records(opened(r["record"] + b"\0")))
+                    head = split_message(block)[0]
                     yield {"value": members(warc_record("revisit", {
-                        "WARC-Record-ID": r["id"], "WARC-Date": r["date"], "WARC-Target-URI": r["uri"],
-                        "Content-Type": "application/http; msgtype=response", "WARC-Payload-Digest": r["digest"],
+                        "WARC-Record-ID": fields["warc-record-id"], "WARC-Date": fields["warc-date"],
+                        "WARC-Target-URI": fields.get("warc-target-uri"),
+                        "Content-Type": "application/http; msgtype=response",
+                        "WARC-Payload-Digest": fields["warc-payload-digest"],
                         "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
-                        "WARC-Refers-To": r["refers_id"],
-                        "WARC-Refers-To-Target-URI": None if r["refers_uri"] == "-" else r["refers_uri"],
-                        "WARC-Refers-To-Date": r["refers_date"],
-                        "X-Refers-To-Page-Id": None if r["refers_page"] is None else str(r["refers_page"])}, r["head"]))}
+                        "WARC-Refers-To": identifier(original["file"], original["offset"]),
+                        "WARC-Refers-To-Target-URI": None if original["uri"] == "-" else original["uri"],
+                        "WARC-Refers-To-Date": original["date"],
+                        "X-Refers-To-Page-Id": None if original["page_id"] is None else str(original["page_id"])}, head))}
 
         yield from _batches(rows(), pa.schema([("value", pa.binary())]), "value")
 
-    records = archives.mapInArrow(built, "path string, offset long, record binary, head binary, id string, uri string, "
-                                         "date string, digest string")
-    return records.join(revisits(arc_index(archives), least), ["path", "offset"], "left").mapInArrow(final, "value binary")
+    records = archives.transform(map_arrow, built, "file string, offset long, record binary")
+    again = landed(revisits(arc_index(archives), least), "revisits")
+    if again.count() <= BROADCAST_ROWS:
+        again = F.broadcast(again)
+    return records.join(again, ["file", "offset"], "left").transform(map_arrow, final, "value binary")
 
 
 def warc_records(stream: io.BufferedReader) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -334,7 +341,7 @@ def read_warc(archives: DataFrame) -> DataFrame:
                            "record_type": kind, "refers_to": int(refers) if refers else None}
             yield from _batches(rows(), schema, "payload_digest")
 
-    return archives.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, "
+    return archives.transform(map_arrow, run, "page_id long, payload_bytes long, payload_digest string, record_type string, "
                                     "refers_to long")
 
 
