@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCK = 128
@@ -19,6 +19,12 @@ def bound(value: Column, fn: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), fn), 1)
 
 
+def with_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with ``value`` as a column that is worked out once per row: it comes out of a generator, so the optimizer
+    can't copy an expensive expression into the filters and projections above."""
+    return df.withColumn(name, F.explode(F.array(value)))
+
+
 def _fold(values: Column, step: Callable[[Column, Column], Column], start: Column) -> Column:
     """start, step(start, v1), step(step(start, v1), v2), ...: one element more than ``values``."""
     return F.aggregate(values, F.array(start), lambda acc, v: F.concat(acc, F.array(step(F.element_at(acc, -1), v))))

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from codetrail.functions.joins import binned_interval_join
 from codetrail.functions.lineage import materialize
+from codetrail.functions.text import java_trim
 
 
 def _arity(d, n: Column) -> Column:
@@ -143,21 +144,27 @@ def drop_pure_add_remove(pairs: DataFrame) -> DataFrame:
                         & (F.size(F.array_except("added_calls", "common")) > 0))
 
 
-_TRIM = r"regexp_replace({x}, '^[\\x00-\\x20]+|[\\x00-\\x20]+$', '')"
+def _index_of(text: Column, needle: Column, cursor: Column) -> Column:
+    """0-based position of ``needle`` at or after a 0-based cursor, -1 if there is none."""
+    return F.call_function("locate", needle, text, cursor + 1) - 1
 
 
-def _find(text: str, name: str, cursor: str) -> str:
-    """Java ``indexOf`` of ``name(``, else ``name<``, else ``name`` from a 0-based cursor (-1 if absent)."""
-    p1 = f"locate(concat({name}, '('), {text}, {cursor} + 1)"
-    p2 = f"locate(concat({name}, '<'), {text}, {cursor} + 1)"
-    p3 = f"locate({name}, {text}, {cursor} + 1)"
-    return f"(CASE WHEN {p1} > 0 THEN {p1} WHEN {p2} > 0 THEN {p2} ELSE {p3} END - 1)"
+def _call_position(text: Column, name: Column, cursor: Column) -> Column:
+    """Where ``name(``, else ``name<``, else ``name`` stands from the cursor on."""
+    exact, generic = (_index_of(text, F.concat(name, F.lit(c)), cursor) for c in "(<")
+    return F.when(exact >= 0, exact).when(generic >= 0, generic).otherwise(_index_of(text, name, cursor))
 
 
-def _cursor(text: str, calls: str, upto: str) -> str:
-    """Cursor after passing the first ``upto - 1`` calls: fold of indexOf(name) + length(name)."""
-    return (f"aggregate(slice(transform({calls}, c -> c.name), 1, {upto} - 1), 0, "
-            f"(acc, nm) -> locate(nm, {text}, acc + 1) - 1 + length(nm))")
+def _other_calls(text: Column, calls: Column, common: Column) -> Column:
+    """The calls that aren't common, each with the cursor after all calls before it: one pass over the calls."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<name:string,n_args:int,cursor:int>>").alias("seen"))
+
+    def step(acc, c):
+        past = _index_of(text, c["name"], acc["at"]) + F.length(c["name"])
+        here = F.array(F.struct(c["name"].alias("name"), c["n_args"].alias("n_args"), acc["at"].alias("cursor")))
+        return F.struct(past.alias("at"), F.when(F.array_contains(common, c), acc["seen"])
+                        .otherwise(F.concat(acc["seen"], here)).alias("seen"))
+    return F.aggregate(calls, start, step, lambda acc: acc["seen"])
 
 
 # ---------------------------------------------------------------- G4
@@ -170,35 +177,33 @@ def first_changed_call(pairs: DataFrame) -> DataFrame:
     be found from the side's cursor the walk stops with no result.  Keeps rows
     with a result and adds ``old_name, old_n_args, new_name, new_n_args``.
     """
-    x = (pairs
-         .withColumn("_ri", F.expr("filter(sequence(1, size(removed_calls)), i -> NOT array_contains(common, element_at(removed_calls, i)))"))
-         .withColumn("_ai", F.expr("filter(sequence(1, size(added_calls)), i -> NOT array_contains(common, element_at(added_calls, i)))"))
-         .withColumn("_n", F.least(F.size("_ri"), F.size("_ai"))))
-    steps = F.expr(
-        "transform(filter(sequence(1, greatest(_n, 1)), k -> k <= _n), "
-        "k -> named_struct('ri', element_at(_ri, k), 'ai', element_at(_ai, k)))")
-    x = x.withColumn("_s", steps)
-    rname = "element_at(removed_calls, s.ri).name"
-    aname = "element_at(added_calls, s.ai).name"
-    pos = F.expr(
-        "transform(_s, s -> named_struct('ri', s.ri, 'ai', s.ai, "
-        f"'oi', {_find('removed', rname, _cursor('removed', 'removed_calls', 's.ri'))}, "
-        f"'ni', {_find('added', aname, _cursor('added', 'added_calls', 's.ai'))}))")
-    x = x.withColumn("_p", pos)
-    left_r = "substring(removed, 1, p.oi)"
-    left_a = "substring(added, 1, p.ni)"
-    status = F.expr(
-        "transform(_p, p -> named_struct('ri', p.ri, 'ai', p.ai, 'st', "
-        "CASE WHEN p.oi < 0 OR p.ni < 0 THEN 'stop' "
-        f"WHEN {left_r} = {left_a} AND {_TRIM.format(x=left_r)} <> '' AND {_TRIM.format(x=left_r)} <> '.' THEN 'skip' "
-        "ELSE 'hit' END))")
-    x = x.withColumn("_first", F.try_element_at(F.filter(status, lambda s: s["st"] != "skip"), F.lit(1)))
-    x = x.filter(F.col("_first.st") == "hit")
-    old = F.element_at("removed_calls", F.col("_first.ri").cast("int"))
-    new = F.element_at("added_calls", F.col("_first.ai").cast("int"))
-    return (x.withColumn("old_name", old["name"]).withColumn("old_n_args", old["n_args"])
-            .withColumn("new_name", new["name"]).withColumn("new_n_args", new["n_args"])
-            .drop("_ri", "_ai", "_n", "_s", "_p", "_first"))
+    def sides(p):
+        return F.struct(p["removed"].alias("removed"), p["added"].alias("added"), F.arrays_zip(
+            _other_calls(p["removed"], p["removed_calls"], p["common"]).alias("old"),
+            _other_calls(p["added"], p["added_calls"], p["common"]).alias("new")).alias("steps"))
+
+    def located(p):
+        both = F.filter(p["steps"], lambda s: s["old"].isNotNull() & s["new"].isNotNull())
+        return F.struct(p["removed"].alias("removed"), p["added"].alias("added"), F.transform(both, lambda s: F.struct(
+            s["old"].alias("old"), s["new"].alias("new"),
+            _call_position(p["removed"], s["old"]["name"], s["old"]["cursor"]).alias("old_at"),
+            _call_position(p["added"], s["new"]["name"], s["new"]["cursor"]).alias("new_at"))).alias("steps"))
+
+    def first(p):
+        def differs(s):
+            left = F.substring(p["removed"], F.lit(1), s["old_at"])
+            same = left == F.substring(p["added"], F.lit(1), s["new_at"])
+            found = (s["old_at"] >= 0) & (s["new_at"] >= 0)
+            return ~found | ~same | java_trim(left).isin("", ".")
+        return F.get(F.filter(p["steps"], differs), F.lit(0))
+
+    given = F.array(F.struct("removed", "added", "removed_calls", "added_calls", "common"))
+    firsts = F.transform(F.transform(F.transform(given, sides), located), first)
+    hits = F.filter(firsts, lambda s: s.isNotNull() & (s["old_at"] >= 0) & (s["new_at"] >= 0))
+    # a generator emits the kept pairs, so the walk isn't copied into a filter
+    x = pairs.withColumn("_hit", F.explode(hits))
+    return (x.withColumn("old_name", F.col("_hit.old.name")).withColumn("old_n_args", F.col("_hit.old.n_args"))
+            .withColumn("new_name", F.col("_hit.new.name")).withColumn("new_n_args", F.col("_hit.new.n_args")).drop("_hit"))
 
 
 # ---------------------------------------------------------------- G5

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from codetrail.functions.lineage import materialize
 
+from codetrail.functions.arrays import with_once
 from codetrail.functions.calls import calls_of_pair, render_call_list
 from codetrail.operators import diffs as D
 from codetrail.operators import replace as G
@@ -59,7 +60,7 @@ def candidate_pairs(inp: MiningInputs) -> DataFrame:
     pk = materialize(imported_targets(content.filter(F.col("content").isNotNull()), inp.base_packages))
     diffs = inp.diffs.join(pk.select("repo", "idx", "path"), ["repo", "idx", "path"], "left_semi")
     pairs = D.paired_replacements(D.diff_lines(diffs))
-    pairs = (pairs.withColumn("_c", calls_of_pair(F.col("removed"), F.col("added")))
+    pairs = (with_once(pairs, "_c", calls_of_pair(F.col("removed"), F.col("added")))
              .withColumn("removed_calls", F.col("_c.removed_calls")).withColumn("added_calls", F.col("_c.added_calls"))
              .drop("_c"))
     c = G.drop_pure_add_remove(G.common_calls(G.comparable_pairs(pairs)))

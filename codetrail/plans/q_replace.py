@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from codetrail.functions.arrays import with_once
 from codetrail.functions.calls import calls_of_pair, render_call_list, render_declaration, render_signature
 from codetrail.operators import diffs as D
 from codetrail.operators import replace as G
@@ -17,7 +18,7 @@ PAIR_COLS = ["repo", "idx", "path", "pos", "k"]
 
 def _pairs(L: Landed):
     p = D.paired_replacements(D.diff_lines(L.diffs))
-    return (p.withColumn("_c", calls_of_pair(F.col("removed"), F.col("added")))
+    return (with_once(p, "_c", calls_of_pair(F.col("removed"), F.col("added")))
             .withColumn("removed_calls", F.col("_c.removed_calls")).withColumn("added_calls", F.col("_c.added_calls"))
             .drop("_c"))
 
