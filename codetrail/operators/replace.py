@@ -104,6 +104,16 @@ def new_is_called(cands: DataFrame, call_versions: DataFrame, name: str = "new_n
     return _restrict(cands, hits, name, n_args, 0, repo, idx, (), "left_semi")
 
 
+# ---------------------------------------------------------------- G6 and G7
+def removed_local_calls(cands: DataFrame, decl_versions: DataFrame, name: str = "name", n_args: str = "n_args") -> DataFrame:
+    """G6 and G7 together: the call local before the commit and gone after it; one lookup answers both."""
+    asked = (_points(cands, name, n_args, -1, "repo", "idx", ()).unionByName(_points(cands, name, n_args, 0, "repo", "idx", ()))
+             .distinct())
+    hits = materialize(declared_points(asked, decl_versions))
+    before = _restrict(cands, hits, name, n_args, -1, "repo", "idx", (), "left_semi")
+    return _restrict(before, hits, name, n_args, 0, "repo", "idx", (), "left_anti")
+
+
 # ---------------------------------------------------------------- G6-G9
 def replaced_by_external(cands: DataFrame, decl_versions: DataFrame, call_versions: DataFrame | None = None) -> DataFrame:
     """G6 to G9 together: the old call local before and gone after, the new one not local and really called.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from codetrail.operators import history as H
-from codetrail.operators.replace import gone_after, was_local_before
+from codetrail.operators import replace as G
 from codetrail.plans.oracle_carriers import with_carriers
 from codetrail.plans.registry import query
 from codetrail.sources.carriers import Landed
@@ -14,8 +14,7 @@ from codetrail.sources.carriers import Landed
 def removed_local_calls(spark, sf):
     """Flagship: calls whose method was declared in the project before the commit and nowhere after it."""
     L = Landed.get(spark, sf)
-    before = was_local_before(L.calls, L.decl_versions)
-    return gone_after(before, L.decl_versions).select("repo", "idx", "name", "n_args")
+    return G.removed_local_calls(L.calls, L.decl_versions).select("repo", "idx", "name", "n_args")
 
 
 _MATCH = """dv.repo = c.repo AND dv.name = c.name
