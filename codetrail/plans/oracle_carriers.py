@@ -283,8 +283,3 @@ def with_carriers(names: list[str], body: str) -> str:
         return body
     ctes = ",\n".join(f"{n} AS ({_CTES[n][0]})" for n in order)
     return f"WITH {ctes}\n{body}"
-
-
-def register(name: str, deps: list[str], sql: str) -> None:
-    """Add a further carrier CTE (used by operator families with their own carriers)."""
-    _cte(name, deps, sql)
