@@ -75,11 +75,11 @@ def read_packages(src: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- S6
 def read_source_files(src: DataFrame) -> DataFrame:
-    """One source file per (project, path); the row with the larger id wins."""
-    payload = [c for c in src.columns if c not in ("project_name", "relative_path")]
-    best = F.max(F.struct(F.col("java_file_id").alias("_k"), *[F.col(c) for c in payload])).alias("_b")
-    return (src.groupBy("project_name", "relative_path").agg(best)
-            .select("project_name", "relative_path", *[F.col("_b." + c).alias(c) for c in payload]))
+    """One source file per (project, path); the row with the larger id wins (ids are unique)."""
+    key = ["project_name", "relative_path", "java_file_id"]
+    # the keys are aggregated without the text, which then moves once
+    latest = src.groupBy(*key[:2]).agg(F.max("java_file_id").alias("java_file_id"))
+    return src.join(latest, key, "left_semi")
 
 
 # ---------------------------------------------------------------- S7

@@ -22,7 +22,11 @@ def analyze_history(commits: DataFrame, on_commit: Callable[[Any, dict], tuple[A
                     on_end: Callable[[Any, Any], list[dict]], schema: str, init: Callable[[], Any],
                     repo: str = "repo", order: str = "idx") -> DataFrame:
     """Fold ``on_commit(state, row) -> (state, rows)`` over each repository's commits in
-    ``order``; ``on_end((repo,), state) -> rows`` closes the repository.  Output rows follow ``schema``."""
+    ``order``; ``on_end((repo,), state) -> rows`` closes the repository.  Output rows follow ``schema``.
+
+    The callback sees a repository's commits one after another, so a repository is one task: its memory is bounded by an
+    Arrow batch and the callback's state, its time grows with the longest history.
+    """
     cols = [f.split()[0] for f in schema.split(",")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
