@@ -15,6 +15,7 @@ ordinary text and contaminate nothing.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -100,7 +101,7 @@ class Benchmark:
         return int(same.sum()), float(same.sum() / (b - a))
 
 
-def _blocks(benchmark: DataFrame, block_chars: int) -> list[tuple[list, list[str]]]:
+def _blocks(benchmark: DataFrame, block_chars: int) -> Iterator[tuple[list, list[str]]]:
     """Item ids and texts by block; the number of blocks follows the counted size."""
     own = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text"))
     total = own.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
