@@ -26,7 +26,9 @@ from codetrail.llm.words import hash_spans
 #: Text that is encoded together, and the words that a task remembers.
 BLOCK_BYTES = 4 << 20
 BLOCK_ROWS = 16_384
-REMEMBER = 300_000
+#: Characters that are cut into words at a time.
+PART_CHARS = 1 << 19
+REMEMBER = 200_000
 
 OTHER, LETTER, NUMBER, SPACE, BREAK = range(5)
 #: Letters and numbers that Unicode 16.0 added (first and last code point of each range).
@@ -235,7 +237,7 @@ class Codec:
         at, size = 0, 0
         while at < len(texts):
             stop, size = at, 0
-            while stop < len(texts) and (stop == at or size + len(texts[stop]) <= 1 << 20):
+            while stop < len(texts) and (stop == at or size + len(texts[stop]) <= PART_CHARS):
                 size += len(texts[stop])
                 stop += 1
             data, begin, end, hashes, part, owner, inserted = self._words(texts[at:stop])

@@ -28,7 +28,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from codetrail.llm.common import by_slice, landed, map_arrow, mix, set_aside, strings
 from codetrail.llm.components import components
@@ -41,7 +40,7 @@ SIMILAR = 0.8
 LIKELY = 0.7
 BLOCK = 256
 #: Documents whose darts are thrown together (about 1,400 for each, whatever its length).
-SKETCH_ROWS = 256
+SKETCH_ROWS = 128
 WORDS = 5
 
 
