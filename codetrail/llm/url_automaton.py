@@ -31,7 +31,8 @@ def host_of(url: Column) -> Column:
 
 
 def path_of(url: Column) -> Column:
-    return F.regexp_extract(F.coalesce(url, F.lit("")), "(?s)^.*?://[^/?#]*(/[^?#]*)", 1)
+    # the first :// is kept once found: a URL in the query or fragment has no say
+    return F.regexp_extract(F.coalesce(url, F.lit("")), "(?s)^(?>.*?://)[^/?#]*(/[^?#]*)", 1)
 
 
 def rule_glob(rule: str) -> str:

@@ -69,3 +69,20 @@ def test_empty_table_and_repeated_rows(spark):
     twice = _pages(spark, ["http://net/"]).unionAll(_pages(spark, ["http://net/"]))
     assert [tuple(r) for r in m.judge(twice).collect()] == [(0, "net", "/", "net/", "block")] * 2
     assert [r["verdict"] for r in m.judge(_pages(spark, URLS), (), ()).collect()] == ["allow"] * len(URLS)
+
+
+def _host_and_path(url):
+    _, found, rest = (url or "").partition("://")
+    front = re.split("[?#]", rest, maxsplit=1)[0] if found else ""
+    host, slash, path = front.partition("/")
+    return re.sub("[A-Z]+", lambda x: x[0].lower(), host), slash + path
+
+
+def test_urls_within_a_query_or_fragment_have_no_say(spark):
+    urls = ["http://a.net?u=http://b.org/fr/x", "http://a.net#http://b.org/fr/x", "http://a.net?http://b.org", "http://?u=x://net/",
+            "http://a.net/?u=http://b.org/fr/x", "http://b.org/fr/?u=http://a.net/", "http://xcasino.com?u=http://b.com/a",
+            "http://example.com#a?b://c/de/", "x?u=http://a.net?v=http://b.net/"] + URLS
+    got = m.judge(_pages(spark, urls)).orderBy("page_id").collect()
+    assert [(r["host"], r["path"]) for r in got] == [_host_and_path(u) for u in urls]
+    assert [tuple(r)[1:] for r in got[:3]] == [("a.net", "", None, "allow")] * 3
+    assert [(r["rule"], r["verdict"]) for r in got[4:7]] == [("net/", "block"), ("org/fr/", "allow"), (None, "allow")]
