@@ -15,7 +15,9 @@ covers, is a segment.  All steps are one plan over documents dealt into blocks o
 4. the blocks mark the covered bytes of their documents.
 
 A block sends an anchor or a segment once, however many of its documents share it, so a passage that a third of all
-documents hold costs one entry per block.  Anchors that occur in one distinct segment need no sorting: its documents
+documents hold costs one entry per block.  A common string of 24 to 49 bytes in varied surroundings makes a segment per
+occurrence instead.  The blocks count the segments of an anchor (as a power of two); an anchor that has more than
+``MOST_SEGMENTS`` isn't sorted: its windows, distinct within a block, go to ranges by the hash of all their 50 bytes.  Anchors that occur in one distinct segment need no sorting: its documents
 share all its windows.  The text is shuffled once; later steps use the same exchange again.
 """
 
@@ -38,6 +40,8 @@ LENGTH = 50
 GRAM = 24
 BLOCK_BYTES = 4 << 20
 RANGE_BYTES = 8 << 20
+#: Distinct segments of an anchor, added up over the blocks, above which its windows are compared one by one.
+MOST_SEGMENTS = 1 << 14
 _LAST = np.iinfo(np.int64).max
 _GEAR = np.random.default_rng(20240310).integers(0, 1 << 32, 256, dtype=np.uint32)
 
@@ -99,6 +103,23 @@ class Block:
     def text_hashes(self, chosen: np.ndarray) -> np.ndarray:
         return hash_spans(self.data, self.first[chosen], self.last[chosen] + LENGTH)
 
+    def texts_by_anchor(self, hashes: np.ndarray, by: np.ndarray, edge: np.ndarray) -> np.ndarray:
+        """How many distinct segments each anchor has.  ``by``: segments in the order of their anchors' ``hashes``;
+        ``edge``: where in that order an anchor begins."""
+        size = np.diff(np.append(edge, len(by)))
+        several = np.repeat(size > 1, size)
+        text, group = self.text_hashes(by[several]), np.repeat(np.arange(len(edge)), size)[several]
+        order = np.lexsort((text, group))
+        text, group = text[order], group[order]
+        new = np.append(True, (text[1:] != text[:-1]) | (group[1:] != group[:-1]))[:len(text)]
+        return np.maximum(np.bincount(group[new], minlength=len(edge)), 1)
+
+    def windows(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The windows of segments: where in ``chosen`` their segment is, and their position."""
+        n = self.last[chosen] + 1 - self.first[chosen]
+        segment = np.repeat(np.arange(len(chosen)), n)
+        return segment, np.arange(len(segment)) - (np.cumsum(n) - n)[segment] + self.first[chosen][segment]
+
     def chosen(self, anchors: np.ndarray, wanted: np.ndarray) -> np.ndarray:
         """Segments whose anchor hash is in the sorted ``wanted``."""
         if not len(wanted) or not len(anchors):
@@ -106,14 +127,14 @@ class Block:
         return np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, anchors), len(wanted) - 1)] == anchors)
 
 
-def gram_hashes(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """64-bit hash of the 24 bytes at each position."""
+def gram_hashes(data: np.ndarray, at: np.ndarray, length: int = GRAM) -> np.ndarray:
+    """64-bit hash of the 24 bytes (or ``length``, at least 8) at each position."""
     if not len(at):
         return np.zeros(0, np.uint64)
     wide = np.ndarray((len(data) - 7,), dtype="<u8", buffer=np.ascontiguousarray(data), strides=(1,))
     h = np.full(len(at), 0x243F6A8885A308D3, dtype=np.uint64)
-    for k in range(0, GRAM, 8):
-        h = mix(h ^ wide[at + k])
+    for k in range(0, length, 8):
+        h = mix(h ^ wide[at + min(k, length - 8)])
     return h
 
 
@@ -141,15 +162,31 @@ def _unsqueeze(blob: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
+def _columns(blobs: pa.ChunkedArray, **kinds: str) -> dict[str, np.ndarray]:
+    """The arrays of all blobs that aren't null, by name."""
+    parts = [_unsqueeze(b, *kinds.values()) for b in blobs.to_pylist() if b]
+    return {name: np.concatenate([np.zeros(0, kind), *(p[k] for p in parts)]) for k, (name, kind) in enumerate(kinds.items())}
+
+
 def _table(**columns) -> pa.Table:
-    return pa.table({k: pa.array(v, pa.binary() if k == "blob" else pa.int64()) for k, v in columns.items()})
+    return pa.table({k: pa.array(v, pa.binary() if k in ("blob", "windows") else pa.int64()) for k, v in columns.items()})
 
 
-def removed_mask(block: Block, found: dict[str, np.ndarray]) -> np.ndarray:
+def removed_mask(block: Block, found: dict[str, np.ndarray], windows: dict[str, np.ndarray]) -> np.ndarray:
     """A flag per byte of the block.  ``found``: anchor and text hash of segments, with the number of their runs; runs of
-    windows (first one, how many) and the smallest document that holds them."""
+    windows (first one, how many) and the smallest document that holds them.  ``windows``: anchor and text hash of single
+    windows, and that document."""
     cover = np.zeros(len(block.data) + 1, dtype=np.int32)
     anchors = block.anchor_hashes()
+    own = block.chosen(anchors, np.unique(windows["anchor"]))
+    if len(own):
+        key, first = np.unique(_pair_key(windows["anchor"], windows["text"]), return_index=True)
+        segment, start = block.windows(own)
+        mine = _pair_key(anchors[own][segment], gram_hashes(block.data, start, LENGTH))
+        at = np.minimum(np.searchsorted(key, mine), len(key) - 1)
+        start = start[(key[at] == mine) & (block.ids[block.doc[own[segment]]] > windows["least"][first[at]])]
+        np.add.at(cover, start, 1)
+        np.add.at(cover, start + LENGTH, -1)
     own = block.chosen(anchors, np.unique(found["anchor"]))
     if len(own):
         by = np.lexsort((found["text"], found["anchor"]))
@@ -236,7 +273,9 @@ def repeated_strings(docs: DataFrame, block_bytes: int = BLOCK_BYTES, range_byte
         edge = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1])) if len(hashes) else np.zeros(0, np.int64)
         if not len(edge):
             return _table(range=[], block=[], blob=[])
-        several = np.minimum.reduceat(doc, edge) != np.maximum.reduceat(doc, edge)
+        # in a byte: whether several documents have the anchor, and the power of two of its segments
+        several = (np.minimum.reduceat(doc, edge) != np.maximum.reduceat(doc, edge)).astype(np.uint8)
+        several |= ((np.frexp(block.texts_by_anchor(hashes, by, edge))[1] - 1) << 1).astype(np.uint8)
         hashes = hashes[edge]
         own = _range_of(hashes, ranges)
         cut = np.flatnonzero(np.diff(own)) + 1
@@ -248,44 +287,60 @@ def repeated_strings(docs: DataFrame, block_bytes: int = BLOCK_BYTES, range_byte
         blobs = table["blob"].to_pylist()
         n = np.array([len(b) // 9 for b in blobs])
         hashes = np.frombuffer(b"".join(b[:8 * k] for b, k in zip(blobs, n, strict=True)), "<u8")
-        several = np.frombuffer(b"".join(b[8 * k:] for b, k in zip(blobs, n, strict=True)), bool)
+        flags = np.frombuffer(b"".join(b[8 * k:] for b, k in zip(blobs, n, strict=True)), np.uint8)
         distinct, which, count = np.unique(hashes, return_inverse=True, return_counts=True)
         shared = count > 1
-        shared[which[several]] = True
-        keep = shared[which]
-        parts = [h[k] for h, k in zip(np.split(hashes, np.cumsum(n)[:-1]), np.split(keep, np.cumsum(n)[:-1]), strict=True)]
-        full = [i for i, p in enumerate(parts) if len(p)]
+        shared[which[(flags & 1) > 0]] = True
+        hot = np.bincount(which, weights=np.exp2(flags >> 1), minlength=len(distinct)) > MOST_SEGMENTS
+        cut = np.cumsum(n)[:-1]
+        parts, hot_parts = ([h[k].tobytes() for h, k in zip(np.split(hashes, cut), np.split(keep[which], cut), strict=True)]
+                            for keep in (shared & ~hot, shared & hot))
+        full = [i for i in range(len(parts)) if parts[i] or hot_parts[i]]
         block = table["block"].to_pylist()
-        return _table(block=[block[i] for i in full], blob=[parts[i].tobytes() for i in full])
+        return _table(block=[block[i] for i in full], blob=[parts[i] for i in full], windows=[hot_parts[i] for i in full])
 
     def send_segments(docs_: pa.Table, shared: pa.Table) -> pa.Table:
         if not docs_.num_rows or not shared.num_rows:
-            return _table(range=[], block=[], blob=[])
+            return _table(range=[], block=[], blob=[], windows=[])
         block = Block(docs_)
-        wanted = np.sort(np.frombuffer(b"".join(shared["blob"].to_pylist()), "<u8"))
         anchors = block.anchor_hashes()
-        own = block.chosen(anchors, wanted)
-        text = block.text_hashes(own)
-        by = np.lexsort((block.ids[block.doc[own]], text, anchors[own]))
-        own, text = own[by], text[by]
-        anchor = anchors[own]
-        edge = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])))
-        doc = block.ids[block.doc[own]]
-        most, own, doc = np.maximum.reduceat(doc, edge), own[edge], doc[edge]
-        where = _range_of(anchor[edge], ranges)
-        cut = np.append(np.flatnonzero(np.append(True, where[1:] != where[:-1])), len(own))
-        out = {"range": [], "block": [], "blob": []}
-        for a, b in zip(cut, cut[1:], strict=False):
-            mine = own[a:b]
+
+        def wanted(column: str) -> np.ndarray:
+            return block.chosen(anchors, np.sort(np.frombuffer(b"".join(shared[column].to_pylist()), "<u8")))
+
+        def distinct(anchor: np.ndarray, text: np.ndarray, doc: np.ndarray, by_text: bool) -> list[tuple]:
+            """Range, first of equals, smallest and largest document, for each range."""
+            by = np.lexsort((doc, anchor, text) if by_text else (doc, text, anchor))
+            anchor, text, doc = anchor[by], text[by], doc[by]
+            edge = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1]))[:len(by)])
+            if not len(edge):
+                return []
+            most = np.maximum.reduceat(doc, edge)
+            where = _range_of((text if by_text else anchor)[edge], ranges)
+            cut = np.append(np.flatnonzero(np.append(True, where[1:] != where[:-1])), len(edge))
+            return [(int(where[x]), by[edge[x:y]], doc[edge[x:y]], most[x:y]) for x, y in zip(cut, cut[1:], strict=False)]
+
+        blobs, windows = {}, {}
+        own = wanted("blob")
+        for k, one, doc, most in distinct(anchors[own], block.text_hashes(own), block.ids[block.doc[own]], False):
+            mine = own[one]
             length = block.last[mine] + LENGTH - block.first[mine]
-            out["range"].append(int(where[a]))
-            out["block"].append(docs_["block"][0].as_py())
-            out["blob"].append(_squeeze(_gather(block.data, block.first[mine], length), length.astype("u1"),
-                                        (block.anchor[mine] - block.first[mine]).astype("u1"), doc[a:b], most[a:b]))
-        return _table(**out)
+            blobs[k] = _squeeze(_gather(block.data, block.first[mine], length), length.astype("u1"),
+                                (block.anchor[mine] - block.first[mine]).astype("u1"), doc, most)
+        own = wanted("windows")
+        segment, start = block.windows(own)
+        anchor, text = anchors[own][segment], gram_hashes(block.data, start, LENGTH)
+        for k, one, doc, most in distinct(anchor, text, block.ids[block.doc[own[segment]]], True):
+            windows[k] = _squeeze(anchor[one], text[one], doc, most)
+        at = sorted(blobs.keys() | windows.keys())
+        return _table(range=at, block=[docs_["block"][0].as_py()] * len(at), blob=[blobs.get(k) for k in at],
+                      windows=[windows.get(k) for k in at])
 
     def compare_segments(table: pa.Table) -> pa.Table:
-        parts = [_unsqueeze(b, "u1", "u1", "u1", "<i8", "<i8") for b in table["blob"].to_pylist()]
+        sent_ = [(k, b) for k, b in zip(table["block"].to_pylist(), table["blob"].to_pylist(), strict=True) if b]
+        if not sent_:
+            return _table(block=[], blob=[], windows=[])
+        parts = [_unsqueeze(b, "u1", "u1", "u1", "<i8", "<i8") for _, b in sent_]
         data, length, offset, least, most = (np.concatenate([p[k] for p in parts]) for k in range(5))
         length = length.astype(np.int64)
         start = np.cumsum(length) - length
@@ -309,7 +364,6 @@ def repeated_strings(docs: DataFrame, block_bytes: int = BLOCK_BYTES, range_byte
         lowest = np.minimum.reduceat(doc, at)
         matters = most > lowest[which]
         out = {"block": [], "blob": []}
-        blocks_ = table["block"].to_pylist()
         order = np.flatnonzero(matters)
         cut = np.searchsorted(sender[order], np.arange(len(parts) + 1))
         for k in range(len(parts)):
@@ -317,19 +371,40 @@ def repeated_strings(docs: DataFrame, block_bytes: int = BLOCK_BYTES, range_byte
             if len(mine):
                 n = runs[mine]
                 run = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(at[mine], n)
-                out["block"].append(blocks_[k])
+                out["block"].append(sent_[k][0])
                 out["blob"].append(_squeeze(anchor[one[mine]], text[one[mine]], n.astype("u1"), begin[run].astype("u1"),
                                             count[run].astype("u1"), doc[run]))
-        return _table(**out)
+        return _table(**out, windows=[None] * len(out["block"]))
+
+    def compare_windows(table: pa.Table) -> pa.Table:
+        sent_ = [(k, b) for k, b in zip(table["block"].to_pylist(), table["windows"].to_pylist(), strict=True) if b]
+        if not sent_:
+            return _table(block=[], blob=[], windows=[])
+        parts = [_unsqueeze(b, "<u8", "<u8", "<i8", "<i8") for _, b in sent_]
+        anchor, text, least, most = (np.concatenate([p[k] for p in parts]) for k in range(4))
+        by = np.lexsort((anchor, text))
+        new = np.append(True, (text[by][1:] != text[by][:-1]) | (anchor[by][1:] != anchor[by][:-1]))
+        lowest = np.empty(len(by), np.int64)
+        lowest[by] = np.minimum.reduceat(least[by], np.flatnonzero(new))[np.cumsum(new) - 1]
+        matters, out, stop = most > lowest, {"block": [], "windows": []}, 0
+        for (block, _), p in zip(sent_, parts, strict=True):
+            start, stop = stop, stop + len(p[0])
+            mine = start + np.flatnonzero(matters[start:stop])
+            if len(mine):
+                out["block"].append(block)
+                out["windows"].append(_squeeze(anchor[mine], text[mine], lowest[mine]))
+        return _table(**out, blob=[None] * len(out["block"])).select(["block", "blob", "windows"])
+
+    def compare(table: pa.Table) -> pa.Table:
+        return pa.concat_tables([compare_segments(table), compare_windows(table)])
 
     def remove(docs_: pa.Table, found: pa.Table) -> pa.Table:
         block = Block(docs_)
-        parts = [_unsqueeze(b, "<u8", "<u8", "u1", "u1", "u1", "<i8") for b in found["blob"].to_pylist()]
         mask = np.zeros(len(block.data), bool)
-        if parts:
-            columns = dict(zip(("anchor", "text", "runs", "from", "count", "least"),
-                               (np.concatenate([p[k] for p in parts]) for k in range(6)), strict=True))
-            mask = removed_mask(block, {k: v.astype(np.int64) if v.dtype == np.uint8 else v for k, v in columns.items()})
+        if found.num_rows:
+            columns = _columns(found["blob"], anchor="<u8", text="<u8", runs="u1", **{"from": "u1"}, count="u1", least="<i8")
+            mask = removed_mask(block, {k: v.astype(np.int64) if v.dtype == np.uint8 else v for k, v in columns.items()},
+                                _columns(found["windows"], anchor="<u8", text="<u8", least="<i8"))
         gone = np.append(0, np.cumsum(mask))
         starts = np.append(0, np.cumsum(mask & ~np.append(False, mask[:-1])))
         a, b = block.start[:-1], block.start[1:]
@@ -343,9 +418,9 @@ def repeated_strings(docs: DataFrame, block_bytes: int = BLOCK_BYTES, range_byte
                          "kept_sha256": pa.array(kept, pa.string())})
 
     listed = own.groupBy("block").applyInArrow(list_anchors, "range long, block long, blob binary")
-    shared = listed.groupBy("range").applyInArrow(share_anchors, "block long, blob binary")
+    shared = listed.groupBy("range").applyInArrow(share_anchors, "block long, blob binary, windows binary")
     sent = own.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(
-        send_segments, "range long, block long, blob binary")
-    found = sent.groupBy("range").applyInArrow(compare_segments, "block long, blob binary")
+        send_segments, "range long, block long, blob binary, windows binary")
+    found = sent.groupBy("range").applyInArrow(compare, "block long, blob binary, windows binary")
     return own.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(
         remove, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -90,3 +90,36 @@ def test_odd_rows(spark):
     got = sorted((tuple(r) for r in m.repeated_strings(df).collect()), key=str)
     assert got == _brute([(r["doc_id"], r["text"]) for r in df.collect()])
     assert m.repeated_strings(docs(spark, [])).collect() == []
+
+
+def _short_line_rows(rng):
+    """A line of 40 bytes in varied surroundings in a third of the rows; some surroundings come again."""
+    rows = [(i, "".join(rng.choice("uvwxyz é") for _ in range(150))) for i in rng.sample(range(5000), 900)]
+    for k in range(0, 900, 3):
+        i, t = rows[k]
+        rows[k] = (i, t[:60] + "Permission is granted free of any charge" + t[60:])
+        if k % 30 == 0:
+            rows[k + 1] = (rows[k + 1][0], rows[k][1][30:130] + rows[k + 1][1])
+    return rows + [(9000, None), (None, rows[0][1]), (rows[3][0], rows[0][1]), (9001, "x" * 500), (9002, "x" * 500)]
+
+
+@pytest.mark.parametrize("sizes, most", [((1 << 22, 1 << 23), 20_000), ((9000, 1 << 23), 20_000), ((9000, 15_000), 5_000)])
+def test_a_short_line_in_varied_surroundings_is_not_sorted_at_once(spark, monkeypatch, sizes, most):
+    real = m.smallest_documents
+
+    def bounded(data, length, least, sort_us):
+        assert int(length[sort_us].sum()) < most
+        return real(data, length, least, sort_us)
+
+    monkeypatch.setattr(m, "smallest_documents", bounded)
+    monkeypatch.setattr(m, "MOST_SEGMENTS", 20, raising=False)
+    rows = _short_line_rows(random.Random(8))
+    got = m.repeated_strings(docs(spark, rows), *sizes)
+    assert sorted((tuple(r) for r in got.collect()), key=str) == _brute(rows)
+
+
+def test_all_windows_one_by_one_give_the_same(spark, monkeypatch):
+    monkeypatch.setattr(m, "MOST_SEGMENTS", 0, raising=False)
+    rows = _rows(random.Random(4), 60) + [(3000, "a" * 300), (3001, "a" * 60), (3002, "b" + "a" * 49), (3003, "ab" * 80)]
+    got = m.repeated_strings(docs(spark, rows), 900, 700)
+    assert sorted((tuple(r) for r in got.collect()), key=str) == _brute(rows)
