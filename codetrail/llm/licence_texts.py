@@ -1,4 +1,10 @@
-"""Public licence texts and notices that the licence scan knows (fixed values)."""
+"""Public licence texts and notices that the licence scan knows (fixed values).
+
+The long licences are files of the folder ``licences``, named by SPDX identifier.
+"""
+
+import re
+from importlib.resources import files
 
 _MIT_BODY = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
 documentation files (the "Software"), to deal in the Software without restriction, including without limitation the
@@ -72,6 +78,20 @@ language governing permissions and limitations under the License."""
 _MPL_NOTICE = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL
 was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."""
 
+#: Ends of the terms; what follows (how to apply the licence) is often left out.
+_END_OF_TERMS = re.compile(r"(?<=END OF TERMS AND CONDITIONS)\n|\n(?=ADDENDUM: )")
+
+
+def _long_texts() -> tuple[tuple[str, str], ...]:
+    """The texts of the folder, each whole and, where something follows the terms, up to their end."""
+    out = []
+    for file in sorted(files("codetrail.llm").joinpath("licences").iterdir(), key=lambda f: f.name):
+        if file.name.endswith(".txt"):
+            text = file.read_text(encoding="utf-8")
+            out += [(file.name.removesuffix(".txt"), t) for t in dict.fromkeys((text, _END_OF_TERMS.split(text)[0]))]
+    return tuple(out)
+
+
 #: SPDX identifier and text; one licence may have several texts (with a title, without, a short notice).
 KNOWN = (
     ("MIT", _MIT_BODY), ("MIT", "MIT License\n\n" + _MIT_BODY), ("MIT", "The MIT License (MIT)\n\n" + _MIT_BODY),
@@ -85,5 +105,5 @@ KNOWN = (
     ("MPL-2.0", _MPL_NOTICE),
     ("GPL-3.0-only", "This work is licensed under the GNU General Public License, version 3."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."), ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC0-1.0", "Released under CC0 1.0 Universal."),
+    ("CC0-1.0", "Released under CC0 1.0 Universal."), *_long_texts(),
 )

@@ -63,3 +63,23 @@ def test_rows_match_sql(spark, extra):
 def test_no_python_in_the_plan(spark):
     plan = m.scan(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert not any(w in plan for w in ("Python", "Pandas", "Arrow"))
+
+
+ENTIRE = ("Apache-2.0", "CC0-1.0", "GFDL-1.2-only", "GFDL-1.3-only", "GPL-1.0-only", "GPL-2.0-only", "GPL-3.0-only",
+          "LGPL-2.0-only", "LGPL-2.1-only", "LGPL-3.0-only", "MPL-1.1", "MPL-2.0")
+
+
+def test_entire_long_licences_are_recognised(spark):
+    text = {i: max((t for k, t in KNOWN if k == i), key=len, default="") for i in ENTIRE}
+    rows = [(i, text[i]) for i in ENTIRE]
+    rows += [(i, "# " + text[i].replace("\n", "\r\n# ")) for i in ENTIRE]
+    rows += [("Apache-2.0", text["Apache-2.0"].split("   APPENDIX")[0]), ("GPL-3.0-only", text["GPL-3.0-only"].split("           How to Apply")[0]),
+             ("GFDL-1.3-only", text["GFDL-1.3-only"].split("ADDENDUM")[0]), ("GPL-2.0-only", text["GPL-2.0-only"].upper())]
+    rows += [(None, text[i].replace(" not ", " ", 1)) for i in ENTIRE]
+    assert all(len(t) > 5000 for _, t in rows)
+    got = {r["doc_id"]: r["license"] for r in m.scan(docs(spark, [(k, t) for k, (_, t) in enumerate(rows)])).collect()}
+    assert got == {k: want for k, (want, _) in enumerate(rows)}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [(k, t) for k, (_, t) in enumerate(rows)])
+    assert {r[0]: r[1] for r in con.execute(m.ORACLE_SQL).fetchall()} == got
