@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codetrail.llm import bpe, chunk_dedup, dart_minhash, decontaminate, langid, licence_scan, suffix_dedup, toxicity, url_automaton, warc
+from codetrail.llm import (bpe, chunk_dedup, dart_minhash, decontaminate, langid, licence_scan, phrases, simhash, suffix_dedup,
+                           toxicity, url_automaton, vector_codes, warc)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,10 +54,24 @@ def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeated_strings(_table(spark, sf_dir, "documents"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.coded_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_bpe, op2_toxicity, op3_exact_dedup, op4_minhash, op5_language, op6_url_filter,
-                            op7_licence_scan, op8_decontamination, op9_warc, op10_suffix_array)}
+                            op7_licence_scan, op8_decontamination, op9_warc, op10_suffix_array, op11_phrases,
+                            op12_simhash, op13_vector_codes)}
 
 ORACLE_SQL: dict[str, str] = {
     "op3_exact_dedup": chunk_dedup.ORACLE_SQL, "op6_url_filter": url_automaton.ORACLE_SQL,
-    "op7_licence_scan": licence_scan.ORACLE_SQL, "op9_warc": warc.ORACLE_SQL}
+    "op7_licence_scan": licence_scan.ORACLE_SQL, "op9_warc": warc.ORACLE_SQL,
+    "op11_phrases": phrases.ORACLE_SQL, "op13_vector_codes": vector_codes.ORACLE_SQL}
