@@ -30,9 +30,10 @@ def _fold(values: Column, step: Callable[[Column, Column], Column], start: Colum
     return F.aggregate(values, F.array(start), lambda acc, v: F.concat(acc, F.array(step(F.element_at(acc, -1), v))))
 
 
-def running(values: Column, step: Callable[[Column, Column], Column], zero: int) -> Column:
-    """The running value of an associative ``step`` up to and with each element (ints; no nulls)."""
-    start = F.lit(zero)
+def running(values: Column, step: Callable[[Column, Column], Column], zero: int | Column) -> Column:
+    """The running value of an associative ``step`` up to and with each element (no nulls): of ints, or of any values of
+    the type of ``zero``, the neutral element."""
+    start = zero if isinstance(zero, Column) else F.lit(zero)
     n_blocks = F.ceil(F.size(values) / F.lit(BLOCK)).cast("int")
     blocks = F.transform(F.filter(F.sequence(F.lit(0), F.greatest(n_blocks - 1, F.lit(0))), lambda b: b < n_blocks),
                          lambda b: F.slice(values, b * BLOCK + 1, F.lit(BLOCK)))
@@ -52,3 +53,48 @@ def running_sum(values: Column) -> Column:
 
 def running_max(values: Column, zero: int = -1) -> Column:
     return running(values, lambda a, b: F.greatest(a, b), zero)
+
+
+#: No block is open.
+NONE_OPEN = 2**31 - 1
+
+
+def open_blocks(balance: Column, opens: Column) -> Column:
+    """The lowest balance at which a block that is still open was opened, before each element; ``NONE_OPEN`` where none is.
+
+    ``balance`` (ints) and ``opens`` (booleans) have one value per element; a block ends with the first element whose balance
+    is below that of its opening.  A stretch of elements does one of two things to what was open before it: its lowest
+    balance ends it, and only what the stretch itself leaves open remains, or it stays open, below everything newer.  Two
+    stretches make one of the same kind, so this is a running value: one pass, whatever the number of blocks.
+    """
+    def stretch(low: Column, left: Column) -> Column:
+        return F.struct(low.cast("int").alias("low"), left.cast("int").alias("left"))
+
+    def both(a: Column, b: Column) -> Column:
+        return stretch(F.least(a["low"], b["low"]),
+                       F.when(b["low"] < a["left"], b["left"]).otherwise(F.least(a["left"], b["left"])))
+
+    none = F.lit(NONE_OPEN)
+    each = F.transform(F.arrays_zip(balance.alias("b"), opens.alias("o")),
+                       lambda x: stretch(x["b"], F.when(x["o"], x["b"]).otherwise(none)))
+    after = F.transform(running(each, both, stretch(none, none)), lambda x: x["left"])
+    return F.slice(F.concat(F.array(none), after), F.lit(1), F.size(balance))
+
+
+def scan(values: Column, step: Callable[[Column, Column], Column], start: Column,
+         emit: Callable[[Column], Column], empty: Column) -> Column:
+    """``emit(state)`` after each element, where a state follows from the one before it and the element; the step needn't be
+    associative.  ``empty`` is an empty array of the type of the result.  Blocks are walked one after the other, and only
+    what ``emit`` keeps of their states is put together, so the cost stays close to the array's length.
+    """
+    n_blocks = F.ceil(F.size(values) / F.lit(BLOCK)).cast("int")
+    blocks = F.transform(F.filter(F.sequence(F.lit(0), F.greatest(n_blocks - 1, F.lit(0))), lambda b: b < n_blocks),
+                         lambda b: F.slice(values, b * BLOCK + 1, F.lit(BLOCK)))
+
+    def walk(acc: Column, block: Column) -> Column:
+        return bound(_fold(block, step, acc["state"]), lambda states: F.struct(
+            F.element_at(states, -1).alias("state"),
+            F.concat(acc["out"], F.array(F.transform(F.slice(states, F.lit(2), F.size(block)), emit))).alias("out")))
+
+    return F.aggregate(blocks, F.struct(start.alias("state"), F.slice(F.array(empty), F.lit(1), F.lit(0)).alias("out")), walk,
+                       lambda acc: F.flatten(acc["out"]))

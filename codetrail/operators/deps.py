@@ -9,18 +9,23 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codetrail.functions.arrays import bound, running_sum
+from codetrail.functions.arrays import NONE_OPEN, bound, open_blocks, running_sum
 from codetrail.functions.text import glob_to_regex, java_lines
-from codetrail.functions.xml import parsed
+from codetrail.functions.windows import ordered_index
+from codetrail.functions.xml import parsed, root_name
 
 # Library groups kept as targets when reading project dependencies.
 TARGET_GROUPS = ("org.apache.commons", "commons-io", "commons-daemon")
 
-# R12 looks import lines up by the last characters of a package name, this many.
-TAIL = 6
+# The names that build files end in.
+MAVEN_FILE = "pom.xml"
+GRADLE_FILES = ("build.gradle", "build.gradle.kts")
+
+# R12 looks import lines up by substrings of a package name of this length.
+GRAM = 6
 
 
 # ---------------------------------------------------------------- R1
@@ -55,20 +60,29 @@ def resolve_external(invocations: DataFrame, deps: DataFrame, classes: DataFrame
     asked = (invocations.filter(~F.col("is_local") & ~F.col("is_java") & F.col(cls).isNotNull())
              .select(F.col(repo).alias("_repo"), F.col(cls).alias("_cls")).distinct())
     d = deps.select(F.col(repo).alias("_d_repo"), "group", "artifact", "version",
-                    F.concat_ws(":", "group", "artifact", "version").alias("_d_lib")).distinct()
-    lib_cls = classes.select(F.col("library").alias("_c_lib"), F.col("class").alias("_c"))
-    # class first (fan-out = libraries holding the class), then the repository's dependency on that library:
-    # two equi-joins, never every class of a repository against every dependency of it
-    hits = (asked.join(lib_cls, F.col("_cls") == F.col("_c"))
-            .join(d, (F.col("_repo") == F.col("_d_repo")) & (F.col("_c_lib") == F.col("_d_lib"))))
+                    F.concat_ws(":", "group", "artifact", "version").alias("_lib")).distinct()
+    holds = classes.select(F.col("library").alias("_lib"), F.col("class").alias("_c")).distinct()
+    # Libraries that somebody depends on are numbered in the order of their coordinates; what a class is in and what a
+    # repository depends on are sets of numbers.  A popular class is one row with a long set, never a row per version.
+    known = ordered_index(d.select("_lib", "group", "artifact", "version").distinct(), [],
+                          ["group", "artifact", "version", "_lib"], out="_code").withColumn("_code", F.col("_code").cast("int"))
+    numbers = known.select("_lib", "_code")
+    of_class = holds.join(numbers, "_lib").groupBy("_c").agg(F.collect_set("_code").alias("_in"))
+    of_repo = d.join(numbers, "_lib").groupBy("_d_repo").agg(F.collect_set("_code").alias("_on"))
+    both = (asked.join(of_class, F.col("_cls") == F.col("_c")).join(of_repo, F.col("_repo") == F.col("_d_repo"))
+            .select("_repo", "_cls", F.array_intersect("_on", "_in").alias("_hits")).filter(F.size("_hits") > 0)
+            .select("_repo", "_cls", F.array_min("_hits").alias("_first"), F.array_max("_hits").alias("_last")))
+    coordinates = F.struct("group", "artifact", "version")
+    first = known.select(F.col("_code").alias("_first"), coordinates.alias("_lib"))
+    last = known.select(F.col("_code").alias("_last"), coordinates.alias("_max"))
     # one library <=> smallest and largest matching coordinate agree (no distinct aggregation needed)
-    lib = F.struct("group", "artifact", "version")
-    per = hits.groupBy("_repo", "_cls").agg(F.min(lib).alias("_lib"), F.max(lib).alias("_max"))
+    per = both.join(first, "_first").join(last, "_last").select("_repo", "_cls", "_lib", "_max")
     if fallback:
-        parts = F.split(F.min("_c_lib"), ":")
-        any_lib = (asked.join(lib_cls, F.col("_cls") == F.col("_c")).groupBy("_repo", "_cls").agg(
-            F.struct(F.get(parts, 0).alias("group"), F.get(parts, 1).alias("artifact"),
-                     F.get(parts, 2).alias("version")).alias("_fb")))
+        smallest = holds.groupBy("_c").agg(F.min("_lib").alias("_any"))
+        parts = F.split("_any", ":")
+        any_lib = asked.join(smallest, F.col("_cls") == F.col("_c")).select(
+            "_repo", "_cls", F.struct(F.get(parts, 0).alias("group"), F.get(parts, 1).alias("artifact"),
+                                      F.get(parts, 2).alias("version")).alias("_fb"))
         per = any_lib.join(per, ["_repo", "_cls"], "left")
     else:
         per = per.withColumn("_fb", F.lit(None).cast("struct<group:string,artifact:string,version:string>"))
@@ -136,28 +150,42 @@ def available_dependencies(deps: DataFrame, catalog: DataFrame, keys: Sequence[s
 
 
 # ---------------------------------------------------------------- R7
-# A coordinate as three quoted arguments of a call, and as one text with colons.
-_PART = r"([\w.-]+)"
-CALL_FORM = r"[A-Za-z0-9_]\([ \t]*" + r"[ \t]*,[ \t]*".join(['"' + _PART + '"'] * 3) + r"[ \t]*\)"
-COLON_FORM = ":".join([_PART] * 3)
+# A coordinate is written as three quoted names in the brackets of a call, or as names with colons between them.
 BLOCK_OPENS = "dependencies {"
+NAME = r"[\w.-]+"
+BRACKETS = r"\w\(([^()]*)\)"
+NAMES_AND_COLONS = r"[\w.:-]+"
+
+
+def _pairs(parts: Column) -> Column:
+    """group and artifact of a list of three names."""
+    return F.transform(parts, lambda t: F.struct(t[0].alias("group"), t[1].alias("artifact")))
+
+
+def _in_brackets(line: Column) -> Column:
+    """Bracketed lists of exactly three names in double quotes."""
+    def unquoted(arg: Column) -> Column:
+        return F.regexp_extract(arg, rf'^\s*"({NAME})"\s*$', 1)
 
+    lists = F.transform(F.regexp_extract_all(line, F.lit(BRACKETS), 1), lambda x: F.transform(F.split(x, ","), unquoted))
+    return _pairs(F.filter(lists, lambda x: (F.size(x) == 3) & ~F.array_contains(x, "")))
 
-def _in_block(lines):
+
+def _with_colons(line: Column) -> Column:
+    """Each stretch of names with single colons between them, three names at a time."""
+    stretches = F.flatten(F.transform(F.regexp_extract_all(line, F.lit(NAMES_AND_COLONS), 0), lambda x: F.split(x, "::+")))
+    names = F.transform(stretches, lambda x: F.filter(F.split(x, ":"), lambda n: n != ""))
+    threes = F.transform(F.filter(names, lambda x: F.size(x) >= 3), lambda x: F.transform(
+        F.sequence(F.lit(0), F.floor(F.size(x) / 3).cast("int") - 1), lambda i: F.slice(x, i * 3 + 1, F.lit(3))))
+    return _pairs(F.flatten(threes))
+
+
+def _in_block(lines: Column) -> Column:
     """Per line, whether it stands in a block: after a line that opens one, up to the first line after which the brace
     balance is lower than it was at the opening."""
     change = F.transform(lines, lambda x: F.when(F.contains(x, F.lit("{")), 1).when(F.contains(x, F.lit("}")), -1).otherwise(0))
-
-    def spans(balance):
-        def closes(at):
-            below = F.filter(F.transform(F.sequence(at, F.size(lines) - 1), lambda j: F.when(
-                F.element_at(balance, j + 1) < F.element_at(balance, at + 1), j)), lambda j: j.isNotNull())
-            return F.struct(at.alias("opens"), F.coalesce(F.get(below, F.lit(0)), F.size(lines)).alias("closes"))
-        opening = F.filter(F.transform(lines, lambda x, i: F.when(F.contains(x, F.lit(BLOCK_OPENS)), i)), lambda i: i.isNotNull())
-        return F.transform(opening, closes)
-
-    return bound(bound(running_sum(change), spans), lambda found: F.transform(
-        lines, lambda x, i: F.exists(found, lambda b: (i > b["opens"]) & (i <= b["closes"]))))
+    opens = F.transform(lines, lambda x: F.contains(x, F.lit(BLOCK_OPENS)))
+    return F.transform(open_blocks(running_sum(change), opens), lambda x: x != NONE_OPEN)
 
 
 def gradle_dependencies(files: DataFrame, content: str = "content", keys: Sequence[str] = ("repo", "path")) -> DataFrame:
@@ -165,19 +193,15 @@ def gradle_dependencies(files: DataFrame, content: str = "content", keys: Sequen
 
     A line that contains ``dependencies {`` opens a block and isn't scanned itself; a line with ``{`` raises the brace
     balance by one, otherwise one with ``}`` lowers it, and the block reaches up to the line that brings the balance
-    below its opening's.  Per line the call form ``f("g", "a", "v")`` is used if it matches, else the ``g:a:v`` form.
-    The balance is a running sum inside the file's row.
+    below its opening's.  Per line the call form ``f("g", "a", "v")`` is used if there is one, else the ``g:a:v`` form.
+    Balance and open blocks are running values inside the file's row, so a file takes one pass.
     """
     keys = list(keys)
     x = files.select(*keys, java_lines(F.col(content)).alias("_lines"))
     x = x.select(*keys, F.posexplode(F.arrays_zip(F.col("_lines").alias("line"), _in_block(F.col("_lines")).alias("scan")))
                  .alias("pos", "_z")).filter(F.col("_z.scan"))
     line = F.col("_z.line")
-
-    def found(pattern):
-        return F.arrays_zip(F.regexp_extract_all(line, F.lit(pattern), 1).alias("group"),
-                            F.regexp_extract_all(line, F.lit(pattern), 2).alias("artifact"))
-    pairs = F.when(line.rlike(CALL_FORM), found(CALL_FORM)).otherwise(found(COLON_FORM))
+    pairs = bound(_in_brackets(line), lambda found: F.when(F.size(found) > 0, found).otherwise(_with_colons(line)))
     return (x.select(*keys, "pos", F.explode(pairs).alias("_d"))
             .select(*keys, "pos", F.col("_d.group").alias("group"), F.col("_d.artifact").alias("artifact")))
 
@@ -190,10 +214,10 @@ def pom_dependencies(files: DataFrame, content: str = "content", keys: Sequence[
     """(group, artifact, version) of each ``/project/dependencies/dependency`` of a Maven file.
 
     Each element is read as one record, so what one lacks is null and doesn't shift the others; a file that isn't
-    well-formed XML has no rows (``malformed_poms`` lists those).
+    well-formed XML has no rows (``malformed_poms`` lists those), nor has one whose root isn't ``project``.
     """
     deps = parsed(F.col(content), _POM)["dependencies"]["dependency"]
-    return (files.select(*keys, F.posexplode(deps).alias("k", "_d"))
+    return (files.filter(root_name(F.col(content)) == "project").select(*keys, F.posexplode(deps).alias("k", "_d"))
             .select(*keys, "k", F.col("_d.groupId").alias("group"), F.col("_d.artifactId").alias("artifact"),
                     F.col("_d.version").alias("version")))
 
@@ -205,30 +229,72 @@ def malformed_poms(files: DataFrame, content: str = "content", keys: Sequence[st
 
 
 # ---------------------------------------------------------------- R9
-def project_dependencies(build_files: DataFrame, targets: Sequence[str] = TARGET_GROUPS, repo: str = "repo") -> DataFrame:
-    """Maven files win, else Gradle, else unknown (a null row); keep target groups only."""
+UNKNOWN, EMPTY, KNOWN = "unknown", "empty", "known"
+
+
+def build_systems(build_files: DataFrame, repos: DataFrame | None = None, repo: str = "repo") -> DataFrame:
+    """Which build files decide about each repository: (repo, build) with ``maven``, ``gradle`` or null.
+
+    A repository with a Maven file is read by its Maven files alone, else by its Gradle files of either language.  Files
+    of other names count for nothing; ``repos`` adds repositories that have no row in ``build_files``.
+    """
     path = F.col("path")
-    poms = build_files.filter(path.endswith("pom.xml"))
-    gradle = build_files.filter(path.endswith("build.gradle"))
-    has_pom = poms.select(repo).distinct()
+    gradle = path.endswith(GRADLE_FILES[0])
+    for name in GRADLE_FILES[1:]:
+        gradle = gradle | path.endswith(name)
+    names = build_files.select(repo, "path")
+    if repos is not None:
+        names = names.unionByName(repos.select(repo, F.lit(None).cast("string").alias("path")))
+    return names.groupBy(repo).agg(F.when(F.max(path.endswith(MAVEN_FILE)), F.lit("maven"))
+                                   .when(F.max(gradle), F.lit("gradle")).alias("build"))
+
+
+def dependency_rows(build_files: DataFrame, builds: DataFrame, targets: Sequence[str] = TARGET_GROUPS,
+                    repo: str = "repo") -> DataFrame:
+    """The child table: distinct (repo, group, artifact) of the target groups, from the files that decide."""
+    path = F.col("path")
+    chosen = build_files.join(builds, repo)
+    poms = chosen.filter((F.col("build") == "maven") & path.endswith(MAVEN_FILE))
+    gradle = chosen.filter(F.col("build") == "gradle")
+    either = path.endswith(GRADLE_FILES[0])
+    for name in GRADLE_FILES[1:]:
+        either = either | path.endswith(name)
     from_pom = pom_dependencies(poms, keys=(repo, "path")).select(repo, "group", "artifact")
-    from_gradle = (gradle_dependencies(gradle.join(has_pom, repo, "left_anti"), keys=(repo, "path"))
-                   .select(repo, "group", "artifact"))
-    found = from_pom.unionByName(from_gradle).filter(F.col("group").isin(*targets)).distinct()
-    repos = build_files.select(repo).distinct()
-    return repos.join(found, repo, "left")
+    from_gradle = gradle_dependencies(gradle.filter(either), keys=(repo, "path")).select(repo, "group", "artifact")
+    return from_pom.unionByName(from_gradle).filter(F.col("group").isin(*targets)).distinct()
+
+
+def project_dependencies(build_files: DataFrame, targets: Sequence[str] = TARGET_GROUPS, repo: str = "repo",
+                         repos: DataFrame | None = None) -> DataFrame:
+    """(repo, build, state, group, artifact): what is known about the dependencies of each repository.
+
+    ``state``: ``unknown`` (no build file: the question has no answer), ``empty`` (build files without a target
+    dependency) or ``known``.  A repository of the first two kinds is one row without group and artifact.
+    """
+    builds = build_systems(build_files, repos, repo)
+    found = dependency_rows(build_files, builds, targets, repo)
+    state = (F.when(F.col("build").isNull(), F.lit(UNKNOWN)).when(F.col("group").isNull(), F.lit(EMPTY)).otherwise(F.lit(KNOWN)))
+    return builds.join(found, repo, "left").select(repo, "build", state.alias("state"), "group", "artifact")
 
 
 # ---------------------------------------------------------------- R10
-def restrict_to_dependencies(apis: DataFrame, deps: DataFrame, project: str = "project", repo: str = "repo") -> DataFrame:
+def restrict_to_dependencies(apis: DataFrame, deps: DataFrame, project: str = "project", repo: str = "repo",
+                             keep_unknown: bool = False) -> DataFrame:
     """Keep the (repository, API) rows whose library (``group|artifact|...``) the repository depends on.
 
-    A repository with unknown dependencies (R9 gives it one row of nulls) keeps nothing.
+    ``deps`` are plain (repo, group, artifact) rows or those of R9 with their ``state``.  A repository with no dependency
+    keeps nothing; one of unknown dependencies has no answer, and keeps nothing either unless ``keep_unknown`` asks for
+    all its rows.  A repository that ``deps`` doesn't name is unknown too.
     """
     parts = F.split(F.col(project), r"\|")
-    d = deps.select(F.col(repo).alias("_r"), F.col("group").alias("_g"), F.col("artifact").alias("_a")).distinct()
-    return apis.join(d, (F.col(repo) == F.col("_r")) & (F.get(parts, F.lit(0)) == F.col("_g"))
+    held = deps.filter(F.col("group").isNotNull())
+    d = held.select(F.col(repo).alias("_r"), F.col("group").alias("_g"), F.col("artifact").alias("_a")).distinct()
+    kept = apis.join(d, (F.col(repo) == F.col("_r")) & (F.get(parts, F.lit(0)) == F.col("_g"))
                      & (F.get(parts, F.lit(1)) == F.col("_a")), "left_semi")
+    if not keep_unknown:
+        return kept
+    answered = (deps.filter(F.col("state") != UNKNOWN) if "state" in deps.columns else held).select(repo).distinct()
+    return kept.unionByName(apis.join(answered, repo, "left_anti").select(apis.columns))
 
 
 # ---------------------------------------------------------------- R11
@@ -247,8 +313,9 @@ def imported_targets(files: DataFrame, packages: DataFrame, content: str = "cont
     (located in the whole text; only the section's ``import`` lines are
     exploded); a line counts if it contains ``import``; it names at most one package, the
     first in list order (longest, then alphabetical) that it contains as plain
-    text.  Import lines repeat across files and versions, so each distinct line is matched once: its substrings
-    of ``TAIL`` characters are equi-joined with the ends of the package names and the pairs found are tested.
+    text.  Import lines repeat across files and versions, so each distinct line is matched once: a package is looked up
+    by that of its substrings of ``GRAM`` characters which the fewest lines hold (none does: no line names it), so that
+    what all names share is nobody's key, and the pairs found are tested.
     """
     keys = list(keys)
     text = F.col(content)
@@ -263,17 +330,24 @@ def imported_targets(files: DataFrame, packages: DataFrame, content: str = "cont
     imp = (files.select(*keys, F.posexplode(lines).alias("pos", "line"))
            .filter(F.col("line").contains("import")))
     pk = packages.select(F.col(package).alias("_pkg")).distinct().filter(F.col("_pkg") != "")
-    pk = pk.withColumn("_tail", F.right("_pkg", F.lit(TAIL)))
-
-    def substrings(n: int):
-        starts = F.filter(F.sequence(F.lit(1), F.greatest(F.length("line") - n + 1, F.lit(1))),
-                          lambda i: i + n - 1 <= F.length("line"))
-        return F.transform(starts, lambda i: F.substring(F.col("line"), i, F.lit(n)))
-    # names shorter than TAIL are looked up whole
-    grams = F.array_distinct(F.flatten(F.array(*[substrings(n) for n in range(1, TAIL + 1)])))
-    lines_ = imp.select("line").distinct()
-    first = (lines_.select("line", F.explode(grams).alias("_gram")).join(pk, F.col("_gram") == F.col("_tail"))
-             .filter(F.contains(F.col("line"), F.col("_pkg")))
+    # a name shorter than GRAM is looked up whole; the lengths in use are five at most
+    short = sorted(r[0] for r in pk.filter(F.length("_pkg") < GRAM).select(F.length("_pkg")).distinct().collect())
+
+    def substrings(of: str, n: int) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.greatest(F.length(of) - n + 1, F.lit(1))), lambda i: i + n - 1 <= F.length(of))
+        return F.array_distinct(F.transform(starts, lambda i: F.substring(F.col(of), i, F.lit(n))))
+
+    distinct_lines = imp.select("line").distinct()
+    grams = distinct_lines.select("line", F.explode(F.flatten(F.array(*[substrings("line", n) for n in [*short, GRAM]]))).alias("_gram"))
+    possible = pk.select("_pkg", F.explode(F.when(F.length("_pkg") < GRAM, F.array("_pkg"))
+                                           .otherwise(substrings("_pkg", GRAM))).alias("_gram"))
+    in_lines = (grams.join(possible.select("_gram").distinct(), "_gram", "left_semi").groupBy("_gram")
+                .agg(F.count(F.lit(1)).alias("_n")))
+    # a package with a substring that no line holds can't be in one: it must find all its substrings
+    keyed = (possible.join(in_lines, "_gram", "left").groupBy("_pkg")
+             .agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_gram").alias("g"))).alias("_k"))
+             .filter(F.col("_k.n") > 0).select("_pkg", F.col("_k.g").alias("_gram")))
+    first = (grams.join(keyed, "_gram").filter(F.contains(F.col("line"), F.col("_pkg")))
              .groupBy("line").agg(F.min(F.struct((-F.length("_pkg")).alias("_l"), F.col("_pkg").alias("_p")))["_p"].alias("_pkg")))
     return imp.join(first, "line").groupBy(*keys).agg(F.array_sort(F.collect_set("_pkg")).alias("packages"))
 

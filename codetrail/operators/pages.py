@@ -1,17 +1,18 @@
 """Library pages (L1-L5): a table of already fetched pages replaces the crawler.
 
-Input rows are (group, page_no, url, html).  Anchors are pulled out of the HTML with regular expressions that take
-either quote style, any attribute order and texts over several lines, so everything stays JVM-side and
-partitioned by page.
+Input rows are (group, page_no, url, html).  Pages are read as a parser reads them (``functions/html.py``): tokens, open
+elements and entities, all in one pass over the page's row, so comments, scripts and unclosed elements are no links.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codetrail.functions.html import rows_after, with_links
+
 # The sources-archive suffixes, the move notice, the id and class names of the pages' parts.
 SOURCES_SUFFIX = "-sources.jar"
 TEST_SOURCES_SUFFIX = "test-sources.jar"
@@ -19,49 +20,21 @@ MOVED_NOTICE = "This artifact was moved to"
 MAIN_CONTENT = "maincontent"
 LISTING_CLASS = "im"
 RELEASE_CLASSES = ("vbtn", "release")
-ANCHOR = r"(?is)<a\b([^>]*)>(.*?)</a\s*>"
-
-
-def _attribute(attributes: Column, name: str) -> Column:
-    """An attribute's value in double, single or no quotes; '' where it is missing."""
-    shape = r"""(?is)(?:^|\s)%s\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""" % name
-    return F.concat(*[F.coalesce(F.regexp_extract(attributes, shape, k), F.lit("")) for k in (1, 2, 3)])
-
-
-def page_text(html: Column) -> Column:
-    """Text without tags, white space as single blanks."""
-    return F.trim(F.regexp_replace(F.regexp_replace(html, r"<[^>]*>", " "), r"\s+", " "))
-
-
-def _anchors(html: Column) -> Column:
-    """array<struct<href, text, title, classes>> of the anchors, in document order."""
-    parts = F.arrays_zip(F.regexp_extract_all(html, F.lit(ANCHOR), 1).alias("a"),
-                         F.regexp_extract_all(html, F.lit(ANCHOR), 2).alias("t"))
-    return F.transform(parts, lambda x: F.struct(
-        _attribute(x["a"], "href").alias("href"), page_text(x["t"]).alias("text"), _attribute(x["a"], "title").alias("title"),
-        F.split(F.trim(_attribute(x["a"], "class")), r"\s+").alias("classes")))
 
 
-def _main_content(html: Column) -> Column:
-    """The page from the element with the main content's id on; '' if there is none."""
-    return F.regexp_extract(html, r"""(?is)<[a-z]+\b[^>]*\sid\s*=\s*["']?%s\b.*$""" % MAIN_CONTENT, 0)
+def _read(pages: DataFrame) -> DataFrame:
+    return with_links(pages, MAIN_CONTENT, LISTING_CLASS)
 
 
 def page_links(pages: DataFrame, keys: Sequence[str] = ("page_id",), listing: bool = False) -> DataFrame:
-    """All anchors of each page in document order: (keys, pos, href, text, title, classes).
+    """All links of each page in document order: (keys, pos, href, text, title, classes).
 
-    ``listing``: only the first anchor of each element of class ``im`` in the main content, which is how a listing page
-    names its entries.
+    ``listing``: only the links that are direct children of an element of class ``im`` in the main content, which is how a
+    listing page names its entries; ``pos`` then counts those.
     """
     keys = list(keys)
-    if listing:
-        entry = (r"""(?is)<[a-z]+\b[^>]*\sclass\s*=\s*["']?(?:[^"'>]*\s)?%s(?:\s[^"'>]*)?["'\s>][^<]*(<a\b.*?</a\s*>)"""
-                 % LISTING_CLASS)
-        entries = F.regexp_extract_all(_main_content(F.col("html")), F.lit(entry), 1)
-        found = F.transform(entries, lambda e: F.get(_anchors(e), F.lit(0)))
-    else:
-        found = _anchors(F.col("html"))
-    return (pages.select(*keys, F.posexplode(found).alias("pos", "_a"))
+    found = F.filter("_links", lambda a: a["child"]) if listing else F.col("_links")
+    return (_read(pages).select(*keys, F.posexplode(found).alias("pos", "_a"))
             .select(*keys, "pos", "_a.href", "_a.text", "_a.title", "_a.classes"))
 
 
@@ -100,10 +73,13 @@ def moves_of_pages(pages: DataFrame) -> DataFrame:
     The first table row after the notice names the new group and artifact in its first two links; a notice without
     them gives nulls.
     """
-    main = _main_content(F.col("html"))
-    notice = F.instr(page_text(main), MOVED_NOTICE) > 0
-    row = F.regexp_extract(main, r"(?is)%s.*?<table\b.*?(<tr\b.*?</tr\s*>)" % MOVED_NOTICE, 1)
-    x = pages.filter(notice).select("group", "artifact", _anchors(row).alias("_a"))
+    x = _read(pages)
+    # the notice as one text; else the main content's texts one after the other, from the top
+    said = F.filter("_main", lambda t: F.contains(t["text"], F.lit(MOVED_NOTICE)))
+    together = F.array_join(F.transform("_main", lambda t: t["text"]), " ")
+    at = F.when(F.size(said) > 0, F.get(said, F.lit(0))["at"]).when(F.contains(together, F.lit(MOVED_NOTICE)), F.lit(0))
+    x = x.withColumn("_at", at).filter(F.col("_at").isNotNull()).withColumn("_row", rows_after("_states", F.col("_at")))
+    x = x.withColumn("_a", F.filter("_links", lambda a: a["row"] == F.col("_row")))
     new_group = F.regexp_extract(F.get("_a", F.lit(0))["href"], "^/artifact/([^/]+)/?$", 1)
     new_artifact = F.regexp_extract(F.get("_a", F.lit(1))["href"], "^/artifact/[^/]+/([^/]+)/?$", 1)
     return x.select("group", "artifact", F.nullif(new_group, F.lit("")).alias("new_group"),
@@ -125,16 +101,15 @@ def resolve_moved(artifacts: DataFrame, moves: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- L4
 def latest_release(pages: DataFrame, keys: Sequence[str] = ("page_id",)) -> DataFrame:
     """L4: the first link of an artifact page that is marked as a release (classes ``vbtn`` and ``release``), else null."""
-    marked = F.filter(_anchors(F.col("html")), lambda a: F.array_contains(a["classes"], RELEASE_CLASSES[0])
+    marked = F.filter("_links", lambda a: F.array_contains(a["classes"], RELEASE_CLASSES[0])
                       & F.array_contains(a["classes"], RELEASE_CLASSES[1]))
-    return pages.select(*keys, F.get(marked, F.lit(0))["href"].alias("latest_release"))
+    return _read(pages).select(*keys, F.get(marked, F.lit(0))["href"].alias("latest_release"))
 
 
 def download_listing(pages: DataFrame, text: str = "View All", keys: Sequence[str] = ("page_id",)) -> tuple[DataFrame, DataFrame]:
     """L4: the first link in a table row of the main content whose text is ``View All``; and the pages without one."""
-    rows = F.array_join(F.regexp_extract_all(_main_content(F.col("html")), F.lit(r"(?is)<tr\b.*?</tr\s*>"), 0), "\n")
-    found = F.get(F.filter(_anchors(rows), lambda a: a["text"] == text), F.lit(0))["href"]
-    x = pages.select(*keys, found.alias("download_listing"))
+    found = F.filter("_links", lambda a: a["main"] & (a["row"] >= 0) & (a["text"] == text))
+    x = _read(pages).select(*keys, F.get(found, F.lit(0))["href"].alias("download_listing"))
     return x.filter(F.col("download_listing").isNotNull()), x.filter(F.col("download_listing").isNull()).select(*keys)
 
 

@@ -29,17 +29,18 @@ def _invocations(L: Landed):
 
 
 def _project_types(L: Landed):
-    li = L.live_items.filter(F.col("k") % 2 == 0)
-    return li.select(F.col("repo").alias("project"),
-                     F.concat(F.lit("bound.F"), F.col("fno").cast("string")).alias("qualified_name")).distinct()
+    # every line declares a type, some of them the one that calls name
+    package = F.when(F.col("k") % 2 == 0, F.lit("bound.F")).otherwise(F.lit("apart.F"))
+    return L.live_items.select(F.col("repo").alias("project"),
+                               F.concat(package, F.col("fno").cast("string")).alias("qualified_name")).distinct()
 
 
 def _deps(L: Landed):
     li = L.live_items
     main = li.select("repo", F.lit("org.lib").alias("group"), F.lower("p_type").alias("artifact"),
                      F.concat(F.lit("1."), (F.col("p_size") % 3).cast("string")).alias("version"))
-    mirror = li.filter((F.col("repo") % 3 == 0) & (F.col("p_size") % 11 == 0)).select(
-        "repo", F.lit("org.mirror").alias("group"), F.lower("p_type").alias("artifact"), F.lit("1.0").alias("version"))
+    group = F.when((F.col("repo") % 3 == 0) & (F.col("p_size") % 11 == 0), F.lit("org.mirror")).otherwise(F.lit("org.spare"))
+    mirror = li.select("repo", group.alias("group"), F.lower("p_type").alias("artifact"), F.lit("1.0").alias("version"))
     return main.unionByName(mirror).distinct()
 
 
@@ -48,8 +49,9 @@ def _classes(L: Landed):
     cls = F.concat(F.lit("org.lib."), F.lower("p_type"), F.lit("."), F.regexp_replace("p_brand", "#", ""))
     a = p.select(F.concat(F.lit("org.lib:"), F.lower("p_type"), F.lit(":1."), (F.col("p_size") % 3).cast("string"))
                  .alias("library"), cls.alias("class"))
-    b = p.filter(F.col("p_size") % 11 == 0).select(
-        F.concat(F.lit("org.mirror:"), F.lower("p_type"), F.lit(":1.0")).alias("library"), cls.alias("class"))
+    mirrored = F.col("p_size") % 11 == 0
+    b = p.select(F.concat(F.when(mirrored, F.lit("org.mirror:")).otherwise(F.lit("org.spare:")), F.lower("p_type"), F.lit(":1.0"))
+                 .alias("library"), F.when(mirrored, cls).otherwise(F.concat(F.lit("spare."), cls)).alias("class"))
     return a.union(b).distinct()
 
 
@@ -61,18 +63,21 @@ inv_r AS (
               WHEN 2 THEN 'org.lib.' || lower(p_type) || '.' || replace(p_brand, '#', '')
               ELSE 'javax.swing.X' || CAST(fno AS VARCHAR) END AS cls
   FROM live_items),
-ptypes AS (SELECT DISTINCT repo AS project, 'bound.F' || CAST(fno AS VARCHAR) AS qualified_name FROM live_items WHERE k % 2 = 0),
+ptypes AS (SELECT DISTINCT repo AS project, CASE WHEN k % 2 = 0 THEN 'bound.F' ELSE 'apart.F' END || CAST(fno AS VARCHAR)
+                  AS qualified_name FROM live_items),
 deps AS (
   SELECT DISTINCT repo, 'org.lib' AS "group", lower(p_type) AS artifact, '1.' || CAST(p_size % 3 AS VARCHAR) AS version
   FROM live_items
   UNION
-  SELECT DISTINCT repo, 'org.mirror', lower(p_type), '1.0' FROM live_items WHERE repo % 3 = 0 AND p_size % 11 = 0),
+  SELECT DISTINCT repo, CASE WHEN repo % 3 = 0 AND p_size % 11 = 0 THEN 'org.mirror' ELSE 'org.spare' END, lower(p_type), '1.0'
+  FROM live_items),
 lib_classes AS (
   SELECT DISTINCT 'org.lib:' || lower(p_type) || ':1.' || CAST(p_size % 3 AS VARCHAR) AS library,
          'org.lib.' || lower(p_type) || '.' || replace(p_brand, '#', '') AS class FROM part
   UNION
-  SELECT DISTINCT 'org.mirror:' || lower(p_type) || ':1.0', 'org.lib.' || lower(p_type) || '.' || replace(p_brand, '#', '')
-  FROM part WHERE p_size % 11 = 0),
+  SELECT DISTINCT CASE WHEN p_size % 11 = 0 THEN 'org.mirror:' ELSE 'org.spare:' END || lower(p_type) || ':1.0',
+         CASE WHEN p_size % 11 = 0 THEN '' ELSE 'spare.' END || 'org.lib.' || lower(p_type) || '.' || replace(p_brand, '#', '')
+  FROM part),
 local_flag AS (
   SELECT i.*, EXISTS (SELECT 1 FROM ptypes t WHERE t.project = i.project AND t.qualified_name = i.cls) AS is_local,
          starts_with(i.cls, 'java.') AS is_java
@@ -225,12 +230,16 @@ def _build_files(L: Landed):
         "repo", F.lit("build.gradle").alias("path"),
         F.concat(F.lit("plugins {\n    id 'java'\n}\ndependencies {\n"), F.array_join(F.transform("_d", lambda x: x["gl"]), "\n"),
                  F.lit("\n}\ntask extra {\n    implementation 'late.group:late:1'\n}")).alias("content"))
-    # two in three repositories have a Maven file too; in half of those the file breaks off
-    pom = g.filter(F.col("repo") % 3 != 2).select(
+    # and a Maven file; one in three breaks off, one has another root element
+    kind = F.col("repo") % 3
+    root = F.when(kind == 2, F.lit("notproject")).otherwise(F.lit("project"))
+    pom = g.select(
         "repo", F.lit("pom.xml").alias("path"),
-        F.concat(F.lit("<?xml version='1.0'?><project><dependencies>\n<dependency><artifactId>no-group</artifactId></dependency>"),
+        F.concat(F.lit("<?xml version='1.0'?><!-- <other> --><"), root,
+                 F.lit("><dependencies>\n<dependency><artifactId>no-group</artifactId></dependency>"),
                  F.array_join(F.transform("_d", lambda x: x["pl"]), "\n"),
-                 F.when(F.col("repo") % 3 == 0, F.lit("\n</dependencies></project>")).otherwise(F.lit("\n<dep"))).alias("content"))
+                 F.when(kind == 1, F.lit("\n<dep")).otherwise(F.concat(F.lit("\n</dependencies></"), root, F.lit(">"))))
+        .alias("content"))
     return gradle.unionByName(pom)
 
 
@@ -276,13 +285,46 @@ def q_r8_malformed(spark, sf):
     return R.malformed_poms(b.filter(F.col("path") == "pom.xml"))
 
 
-@query("r9_project_dependencies", _build_sql("""
-SELECT r.repo, c."group", c.artifact
-FROM (SELECT DISTINCT repo FROM coords) r
-LEFT JOIN (SELECT DISTINCT repo, "group", artifact FROM coords
-           WHERE repo % 3 <> 1 AND "group" IN ('org.apache.commons', 'commons-io', 'commons-daemon')) c ON c.repo = r.repo"""))
+# the files' names say which of them count: Gradle files of either language, settings and backups among them
+_R9 = """
+, repo_build AS (
+  SELECT DISTINCT repo, CASE WHEN repo % 6 < 3 THEN 'maven' WHEN repo % 4 <> 2 THEN 'gradle' END AS build FROM coords),
+found AS (
+  SELECT DISTINCT repo, "group", artifact FROM coords JOIN repo_build USING (repo)
+  WHERE "group" IN ('org.apache.commons', 'commons-io', 'commons-daemon') AND (build = 'gradle' OR (build = 'maven' AND repo % 3 = 0)))"""
+
+
+def _named_build_files(L: Landed):
+    gradle = F.when(F.col("repo") % 4 == 1, F.lit("app/build.gradle.kts")).when(
+        F.col("repo") % 4 == 2, F.lit("settings.gradle.kts")).otherwise(F.lit("build.gradle"))
+    pom = F.when(F.col("repo") % 6 < 3, F.lit("pom.xml")).otherwise(F.lit("pom.xml.orig"))
+    return _build_files(L).withColumn("path", F.when(F.col("path") == "pom.xml", pom).otherwise(gradle))
+
+
+@query("r9_project_dependencies", _build_sql("SELECT 1")[:-len("\nSELECT 1")] + _R9 + """
+SELECT b.repo, build, CASE WHEN build IS NULL THEN 'unknown' WHEN f.repo IS NULL THEN 'empty' ELSE 'known' END AS state,
+       f."group", f.artifact
+FROM repo_build b LEFT JOIN found f ON f.repo = b.repo""")
 def q_r9(spark, sf):
-    return R.project_dependencies(_build_files(Landed.get(spark, sf)))
+    return R.project_dependencies(_named_build_files(Landed.get(spark, sf)))
+
+
+@query("r10_restrict_by_state", with_carriers(["api_catalog", "live_items"], "SELECT 1")[:-len("\nSELECT 1")] + "," + _BUILD + _R9 + """,
+apis AS (
+  SELECT id, name, split_part(project, '|', 2) AS t FROM api_catalog),
+asked AS (
+  SELECT id AS repo, id, name, CASE t WHEN 'small' THEN 'commons-io' WHEN 'large' THEN 'org.apache.commons' ELSE 'org.lib' END
+           AS "group", 'lib-' || t AS artifact
+  FROM apis)
+SELECT repo, id, name FROM asked a
+WHERE EXISTS (SELECT 1 FROM found f WHERE f.repo = a.repo AND f."group" = a."group" AND f.artifact = a.artifact)
+   OR NOT EXISTS (SELECT 1 FROM repo_build b WHERE b.repo = a.repo AND b.build IS NOT NULL)""")
+def q_r10_state(spark, sf):
+    L = Landed.get(spark, sf)
+    t = F.get(F.split("project", r"\|"), F.lit(1))
+    group = F.when(t == "small", F.lit("commons-io")).when(t == "large", F.lit("org.apache.commons")).otherwise(F.lit("org.lib"))
+    apis = L.api_catalog.select(F.col("id").alias("repo"), "id", "name", F.concat(group, F.lit("|lib-"), t).alias("project"))
+    return R.restrict_to_dependencies(apis, R.project_dependencies(_named_build_files(L)), keep_unknown=True).select("repo", "id", "name")
 
 
 # every library API against the repository that has its part's number

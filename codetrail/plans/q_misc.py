@@ -59,8 +59,15 @@ def _repo_pages(L: Landed):
     none = F.lit("")
     html = F.concat(
         F.lit('<a href="/">Home</a><a class="vbtn" href="/none">x</a><div id="maincontent">'),
-        F.when(n % 7 != 0, F.concat(F.lit('<div class="im"><a href="/artifact/'), other, F.lit("/e"), page,
-                                    F.lit('">e</a></div>'))).otherwise(none),
+        # an entry whose image comes first and whose second link is no child of it, one with two links, one over unclosed
+        # list entries; and what only looks like one: in a comment, in a script, in an attribute
+        F.lit('<!-- <div class="im"><a href="/artifact/c">c</a></div> --><script>w("<div class=im><a href=/artifact/s>")</script>'),
+        F.lit('<img title=\'<div class="im"><a href="/artifact/t">\'>'),
+        F.when(n % 7 != 0, F.concat(
+            F.lit('<div class="x im"><img src=i><a href="/artifact/'), other, F.lit("/e"), page,
+            F.lit('?a=1&amp;b=&#50;">e &lt;1&gt;</a><p><a href="/artifact/x/y">p</a></div>'),
+            F.when(n % 2 == 0, F.concat(F.lit("<ul><li class='im'><a href='/artifact/f"), page, F.lit("'>f</a> <a href=/artifact/g"), page,
+                                        F.lit(">g</a><li><a href='/artifact/no'>h</a></ul>"))).otherwise(none))).otherwise(none),
         F.when(n % 5 == 0, F.concat(
             F.lit("<div>This artifact was moved to:<table><tbody><tr>"),
             F.when(n % 3 == 0, none).otherwise(F.concat(
@@ -80,13 +87,24 @@ rp AS (SELECT page_id, "group", page_no, 'a' || CAST(page_id AS VARCHAR) AS arti
 
 @query("l2_pages_before_empty", _REPO + """,
 stop AS (SELECT "group", min(page_no) AS s FROM rp WHERE n % 7 = 0 GROUP BY ALL)
-SELECT rp.page_id, rp."group", rp.page_no, CAST(CASE WHEN n % 7 <> 0 THEN 1 ELSE 0 END AS BIGINT) AS n_links
+SELECT rp.page_id, rp."group", rp.page_no, CAST(CASE WHEN n % 7 = 0 THEN 0 WHEN n % 2 = 0 THEN 3 ELSE 1 END AS BIGINT) AS n_links
 FROM rp LEFT JOIN stop USING ("group") WHERE stop.s IS NULL OR rp.page_no < stop.s""")
 def q_l2(spark, sf):
     pg = _repo_pages(Landed.get(spark, sf))
     return Lp.pages_before_empty(pg, Lp.page_links(pg, listing=True)).select("page_id", "group", "page_no", "n_links")
 
 
+@query("l1_listing_links", _REPO + """
+SELECT page_id, 0 AS pos, '/artifact/' || CASE WHEN n % 2 = 0 THEN "group" ELSE 'other' END || '/e' || CAST(page_id AS VARCHAR)
+       || '?a=1&b=2' AS href, 'e <1>' AS text, '' AS title, 'e' || CAST(page_id AS VARCHAR) || '?a=1&b=2' AS artifact
+FROM rp WHERE n % 7 <> 0
+UNION ALL
+SELECT page_id, k + 1, '/artifact/' || c || CAST(page_id AS VARCHAR), c, '', c || CAST(page_id AS VARCHAR)
+FROM rp, (VALUES (0, 'f'), (1, 'g')) v(k, c) WHERE n % 7 <> 0 AND n % 2 = 0""")
+def q_l1_listing(spark, sf):
+    return Lp.artifact_links(_repo_pages(Landed.get(spark, sf)), prefix="/artifact/", listing=True)
+
+
 @query("l3_resolve_moved", _REPO + """
 SELECT "group", artifact, CASE WHEN n % 3 <> 0 THEN CASE WHEN n % 2 = 0 THEN "group" ELSE 'other' END END AS new_group,
        CASE WHEN n % 3 <> 0 THEN 'b' || CAST(page_id AS VARCHAR) END AS new_artifact FROM rp WHERE n % 5 = 0""")

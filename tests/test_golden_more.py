@@ -66,7 +66,7 @@ def test_l1_listing_entries_and_l2_unfiltered(spark):
         ("g", 3, 3, '<a href="/artifact/g/nav">n</a><div id="maincontent"></div>'),
         ("g", 4, 4, f'<div id="maincontent">{entry.format("g", "g")}</div>')], "group string, page_no int, page_id int, html string")
     assert [(r.page_id, r.artifact) for r in Lp.artifact_links(pages, group="g", listing=True).orderBy("page_id").collect()] == [
-        (1, "x"), (4, "x")]
+        (1, "x"), (4, "x")]  # the link in the heading is no direct child
     kept = Lp.pages_before_empty(pages, Lp.page_links(pages, listing=True))
     assert sorted(r.page_no for r in kept.collect()) == [1, 2]
 
@@ -123,8 +123,9 @@ def test_r5_r9(spark):
     files = spark.createDataFrame([("r1", "pom.xml", pom), ("r1", "build.gradle", "dependencies {\n  a 'org.apache.commons:lang:1'\n}"),
                                    ("r2", "build.gradle", "dependencies {\n  a 'org.apache.commons:lang:1'\n}"),
                                    ("r3", "build.gradle", "nothing")], "repo string, path string, content string")
-    got = sorted((r.repo, r.group, r.artifact) for r in R.project_dependencies(files).collect())
-    assert got == [("r1", "commons-io", "commons-io"), ("r2", "org.apache.commons", "lang"), ("r3", None, None)]
+    got = sorted((r.repo, r.state, r.group, r.artifact) for r in R.project_dependencies(files).collect())
+    assert got == [("r1", "known", "commons-io", "commons-io"), ("r2", "known", "org.apache.commons", "lang"),
+                   ("r3", "empty", None, None)]
 
 
 def test_x13_x14_x15(spark):
