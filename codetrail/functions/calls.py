@@ -3,8 +3,8 @@
 The reference sends each fragment to an external parser.  A fragment is a
 short piece of a diff, so built-in expressions read it: comments go and
 literals become empty ones, type arguments go, declarations and annotations
-lose their names, and one fold over the remaining tokens keeps the open
-brackets and counts each call's arguments.  A name followed by ``(`` is a
+lose their names, and one walk over the remaining tokens keeps the open
+brackets and says which call each token stands in.  A name followed by ``(`` is a
 call, its arity the number of top-level commas up to the matching ``)`` or the
 end of the text (empty argument list -> 0).  Control keywords are not calls;
 ``super(`` and ``this(`` are.  This is a documented approximation of a Java
@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from codetrail.functions.arrays import bound, scan
+
 # Java keywords that may be followed by "(" without being a call.
 NOT_CALLS = ("if", "for", "while", "switch", "catch", "synchronized", "return", "throw", "try", "do",
              "else", "case", "new", "instanceof", "assert", "default", "yield")
@@ -30,30 +32,54 @@ _ANNOTATION = rf"@\s*{_NAME}(?:\.{_NAME})*"
 _DECLARED = rf"(?<![\p{{L}}\p{{N}}_$.])(?!(?:{'|'.join(BEFORE_CALLS)})\b){_NAME}(?:\.{_NAME})*(?:\s*\[\s*\])*(?:\.\.\.)?\s+{_NAME}\s*\("
 _TOKEN = rf"{_NAME}\s*\(|{_NAME}|[^\s]"
 
-def _calls(tokens: Column) -> Column:
-    """Fold over the tokens: the open brackets (0, or the number of the call that opened one) and the calls so far."""
-    start = F.struct(F.array().cast("array<int>").alias("open"),
-                     F.array().cast("array<struct<name:string,commas:int,any:boolean>>").alias("calls"))
+def _counts(owners: Column, n: Column) -> Column:
+    """How often each of 1..n occurs in ``owners``: one run of the sorted values each, as every number is put in once."""
+    every = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: i <= n)
+
+    def runs(values: Column) -> Column:
+        starts = F.filter(F.transform(values, lambda v, i: F.when(
+            (i == 0) | (v != F.get(values, i - 1)), i)), lambda i: i.isNotNull())
+        return bound(F.concat(starts, F.array(F.size(values))), lambda at: F.transform(
+            F.slice(at, F.lit(1), F.size(at) - 1), lambda x, k: F.get(at, k + 1) - x - 1))
+
+    return bound(F.array_sort(F.concat(F.filter(owners, lambda o: o > 0), every)), runs)
 
-    def step(acc, t):
-        opened, calls = acc["open"], acc["calls"]
+
+_OPEN = "struct<open:array<int>,n:int,owner:int>"
+
+
+def _calls(tokens: Column) -> Column:
+    """The calls among the tokens: a walk that keeps the open brackets (0, or the number of the call that opened one) says
+    which call each token stands directly in; commas and other tokens are then counted for all calls at once."""
+    def is_call(t):
         name = F.rtrim(F.regexp_replace(t, r"\($", ""))
-        is_call = t.endswith("(") & (name != "") & ~name.isin(*NOT_CALLS)
-        top = F.coalesce(F.try_element_at(opened, F.lit(-1)), F.lit(0))
-        inside = F.transform(calls, lambda c, i: F.when(i + 1 != top, c).otherwise(F.struct(
-            c["name"].alias("name"), (c["commas"] + F.when(t == ",", 1).otherwise(0)).alias("commas"),
-            (c["any"] | (t != ",")).alias("any"))))
-        fresh = F.array(F.struct(name.alias("name"), F.lit(0).alias("commas"), F.lit(False).alias("any")))
-        return F.when(t.isin(")", "]", "}"), F.struct(
-            F.slice(opened, F.lit(1), F.greatest(F.size(opened) - 1, F.lit(0))).alias("open"), calls.alias("calls"))
-        ).otherwise(F.struct(
-            F.when(is_call, F.concat(opened, F.array(F.size(calls) + 1)))
-            .when(t.isin("[", "{") | t.endswith("("), F.concat(opened, F.array(F.lit(0)))).otherwise(opened).alias("open"),
-            F.when(is_call, F.concat(inside, fresh)).otherwise(inside).alias("calls")))
-
-    done = F.aggregate(tokens, start, step, lambda acc: acc["calls"])
-    return F.transform(done, lambda c: F.struct(c["name"].alias("name"), F.when(c["commas"] > 0, c["commas"] + 1)
-                                                .otherwise(c["any"].cast("int")).alias("n_args")))
+        return t.endswith("(") & (name != "") & ~name.isin(*NOT_CALLS)
+
+    def step(state, t):
+        closes = t.isin(")", "]", "}")
+        owner = F.when(closes, F.lit(0)).otherwise(F.coalesce(F.try_element_at(state["open"], F.lit(-1)), F.lit(0)))
+        return (F.when(closes, F.struct(F.slice(state["open"], F.lit(1), F.greatest(F.size(state["open"]) - 1, F.lit(0))).alias("open"),
+                                        state["n"].alias("n"), owner.alias("owner")))
+                .when(is_call(t), F.struct(F.concat(state["open"], F.array(state["n"] + 1)).alias("open"),
+                                           (state["n"] + 1).alias("n"), owner.alias("owner")))
+                .when(t.isin("[", "{") | t.endswith("("), F.struct(F.concat(state["open"], F.array(F.lit(0))).alias("open"),
+                                                                   state["n"].alias("n"), owner.alias("owner")))
+                .otherwise(F.struct(state["open"].alias("open"), state["n"].alias("n"), owner.alias("owner")))).cast(_OPEN)
+
+    start = F.struct(F.array().cast("array<int>").alias("open"), F.lit(0).alias("n"), F.lit(0).alias("owner")).cast(_OPEN)
+    owners = scan(tokens, step, start, lambda st: st["owner"], F.array().cast("array<int>"))
+    names = F.transform(F.filter(tokens, is_call), lambda t: F.rtrim(F.regexp_replace(t, r"\($", "")))
+
+    def counted(z):
+        """z: the calls' names, and owner and token of all tokens."""
+        n = F.size(z["names"])
+        commas = F.transform(z["tokens"], lambda t, i: F.when(t == ",", F.get(z["owners"], i)).otherwise(0))
+        others = F.transform(z["tokens"], lambda t, i: F.when(t != ",", F.get(z["owners"], i)).otherwise(0))
+        per_call = F.arrays_zip(z["names"].alias("name"), _counts(commas, n).alias("c"), _counts(others, n).alias("o"))
+        return F.transform(per_call, lambda x: F.struct(x["name"].alias("name"), F.when(x["c"] > 0, x["c"] + 1)
+                                                        .otherwise((x["o"] > 0).cast("int")).alias("n_args")))
+
+    return bound(F.struct(names.alias("names"), owners.alias("owners"), tokens.alias("tokens")), counted)
 
 
 def plain_code(code: Column) -> Column:
@@ -66,7 +92,7 @@ def plain_code(code: Column) -> Column:
 
 def calls_from_text(code: Column) -> Column:
     """``array<struct<name, n_args>>`` of the calls in a code fragment, left to right; null for null."""
-    return _calls(F.regexp_extract_all(plain_code(code), F.lit(_TOKEN), 0))
+    return F.when(code.isNotNull(), bound(F.regexp_extract_all(plain_code(code), F.lit(_TOKEN), 0), _calls))
 
 
 def calls_of_pair(removed: Column, added: Column) -> Column:

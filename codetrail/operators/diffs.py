@@ -9,18 +9,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codetrail.functions.arrays import running_max, running_sum
+from codetrail.functions.arrays import bound, running_max, running_sum
 from codetrail.functions.text import java_strip, java_trim
 
-# Word-diff markers ([-removed-] / {+added+}); a marked text holds no further opening marker.
-REMOVED = r"\[-((?:[^\[]|\[(?!-))*?)-\]"
-ADDED = r"\{\+((?:[^{]|\{(?!\+))*?)\+\}"
-PAIR_PATTERN = REMOVED + ADDED
-LONE_RM_PATTERN = REMOVED + r"(?!\{)"
-LONE_ADD_PATTERN = r"(?<!\])" + ADDED
+# The marks of a word diff, [-removed-] and {+added+}; and where a removed text meets the added one.
+RM_OPENS, RM_CLOSES, ADD_OPENS, ADD_CLOSES = "[-", "-]", "{+", "+}"
+MEETING = RM_CLOSES + ADD_OPENS
 # A hunk header: line before, line after, and how many lines after.
 HEADER = r"@@ -(\d+)(?:,\d+)? \+(\d+)(?:,(\d+))? @@"
 
@@ -73,26 +70,70 @@ def diff_lines(diffs: DataFrame, text_col: str = "word_diff", keys: Sequence[str
     return x.select(*keys, F.explode(kept).alias("_r")).select(*keys, "_r.*")
 
 
-def _extract_pairs(lines: DataFrame, pattern: str, removed_group: int | None, added_group: int | None) -> DataFrame:
-    rm = F.regexp_extract_all(F.col("line"), F.lit(pattern), removed_group) if removed_group else None
-    ad = F.regexp_extract_all(F.col("line"), F.lit(pattern), added_group) if added_group else None
-    if rm is not None and ad is not None:
-        z = F.arrays_zip(rm.alias("removed"), ad.alias("added"))
-    elif rm is not None:
-        z = F.transform(rm, lambda r: F.struct(r.alias("removed"), F.lit(None).cast("string").alias("added")))
-    else:
-        z = F.transform(ad, lambda a: F.struct(F.lit(None).cast("string").alias("removed"), a.alias("added")))
+_PAIRS = "array<struct<removed:string,added:string>>"
+
+
+def _pieces(line: Column, mark: str) -> Column:
+    return F.split(line, "\\Q" + mark + "\\E")
+
+
+def _met(line: Column) -> Column:
+    """The (removed, added) pairs of a line, read from the places where one meets the other.
+
+    ``left`` is what stands before such a place, from the end of the last pair on.  What follows is an added text if it
+    closes before another one opens, and what stands before is a removed text from its last opening on; else the place was
+    part of a text, and joins what is left of the next one.
+    """
+    def step(acc: Column, after: Column) -> Column:
+        closes, opens = F.instr(after, ADD_CLOSES), F.instr(after, ADD_OPENS)
+        pair = ((closes > 0) & ((opens == 0) | (opens > closes)) & F.contains(acc["left"], F.lit(RM_OPENS))
+                & ~acc["left"].endswith(RM_OPENS[0]))  # there the place's first character is part of an opening
+        found = F.struct(F.substring_index(acc["left"], RM_OPENS, -1).alias("removed"),
+                         F.substring(after, F.lit(1), closes - 1).alias("added"))
+        return F.struct(F.when(pair, F.substring(after, closes + 2, F.length(after))).otherwise(
+            F.concat(acc["left"], F.lit(MEETING), after)).alias("left"),
+            F.when(pair, F.concat(acc["out"], F.array(found))).otherwise(acc["out"]).alias("out"))
+
+    def walked(parts: Column) -> Column:
+        return F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), F.struct(parts[0].alias("left"), F.array().cast(_PAIRS).alias("out")),
+                           step, lambda acc: acc["out"])
+
+    return bound(_pieces(line, MEETING), walked)
+
+
+def _lone_removed(line: Column) -> Column:
+    """Texts that open, hold no other opening, and close at the first close that no ``{`` follows."""
+    bodies = bound(_pieces(line, RM_OPENS), lambda x: F.slice(x, F.lit(2), F.size(x)))
+
+    def body(text: Column) -> Column:
+        ends = bound(_pieces(text, RM_CLOSES), lambda x: F.filter(F.transform(x, lambda _, i: F.when(
+            (i + 1 < F.size(x)) & ~F.get(x, i + 1).startswith("{"), F.array_join(F.slice(x, F.lit(1), i + 1), RM_CLOSES))),
+            lambda t: t.isNotNull()))
+        return F.struct(F.get(ends, F.lit(0)).alias("removed"), F.lit(None).cast("string").alias("added"))
+
+    return F.filter(F.transform(bodies, body), lambda p: p["removed"].isNotNull())
+
+
+def _lone_added(line: Column) -> Column:
+    """Texts whose opening doesn't stand after a ``]``, up to their first close; they hold no other opening."""
+    def texts(x: Column) -> Column:
+        return F.transform(x, lambda text, i: F.when(
+            (i > 0) & F.contains(text, F.lit(ADD_CLOSES)) & ~F.get(x, i - 1).endswith("]"),
+            F.struct(F.lit(None).cast("string").alias("removed"), F.substring_index(text, ADD_CLOSES, 1).alias("added"))))
+
+    return F.filter(bound(_pieces(line, ADD_OPENS), texts), lambda p: p.isNotNull())
+
+
+def _as_rows(lines: DataFrame, found: Column) -> DataFrame:
     cols = [c for c in lines.columns if c != "line"]
-    return (lines.filter(F.col("line") != "")
-            .select(*cols, F.posexplode(z).alias("k", "_p"))
-            .select(*cols, "k", java_trim(F.col("_p.removed")).alias("removed"),
-                    java_trim(F.col("_p.added")).alias("added")))
+    return (lines.filter(F.col("line") != "").select(*cols, F.posexplode(found).alias("k", "_p"))
+            .select(*cols, "k", java_trim(F.col("_p.removed")).alias("removed"), java_trim(F.col("_p.added")).alias("added")))
 
 
 # ---------------------------------------------------------------- D2
 def paired_replacements(lines: DataFrame) -> DataFrame:
     """Every ``[-X-]{+Y+}`` of a code line -> (trim X, trim Y) with the line's before/after numbers."""
-    return _extract_pairs(lines, PAIR_PATTERN, 1, 2)
+    return _as_rows(lines, _met(F.col("line")))
 
 
 # ---------------------------------------------------------------- D3
@@ -101,8 +142,8 @@ def unpaired_changes(lines: DataFrame) -> DataFrame:
 
     The other side is null (null-safe, unlike the reference's unused branch).
     """
-    r = _extract_pairs(lines, LONE_RM_PATTERN, 1, None).withColumn("side", F.lit("removed"))
-    a = _extract_pairs(lines, LONE_ADD_PATTERN, None, 1).withColumn("side", F.lit("added"))
+    r = _as_rows(lines, _lone_removed(F.col("line"))).withColumn("side", F.lit("removed"))
+    a = _as_rows(lines, _lone_added(F.col("line"))).withColumn("side", F.lit("added"))
     return r.unionByName(a)
 
 

@@ -236,58 +236,98 @@ _GROUP_OF_SET = """aggregate(_sets,
 REPLACEMENT_KEY = ("repo", "idx", "old_name", "old_n_args", "new_name", "new_n_args")
 
 
-def group_replacements(cands: DataFrame, order: Sequence[str] = ("edit_rank", "path", "pos", "k"),
-                       key: Sequence[str] = REPLACEMENT_KEY) -> DataFrame:
-    """Merge equal (old, new) replacements of one commit when their imported packages overlap.
+def group_members(cands: DataFrame, order: Sequence[str] = ("edit_rank", "path", "pos", "k"),
+                  key: Sequence[str] = REPLACEMENT_KEY) -> DataFrame:
+    """The candidates with ``gid``, the number of their group among those of an equal (old, new) in a commit.
 
     In edited-file order (renames before modifications, then path, then position in the diff) a member joins the first
     group whose *first* member's packages overlap its own, else it opens a group (not transitive).  Which group that is
     depends on the member's package set alone, so only the distinct sets of a key are put in order; its members never
-    meet in one row.  One row per group with ``gid``, ``count``, the first member's fields (``rep``) and the ordered
-    occurrences (files and lines, no text).
+    meet in one row.
     """
     key, at = list(key), [F.col(c) for c in order]
-    payload = [c for c in cands.columns if c not in key and c not in order]
     sets = cands.groupBy(*key, "packages").agg(F.min(F.struct(*at)).alias("_first"))
     sets = sets.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("_first", "packages"))).alias("_sets"))
     numbered = sets.select(*key, F.explode(F.arrays_zip(F.col("_sets.packages").alias("packages"),
                                                         F.expr(_GROUP_OF_SET).alias("gid"))).alias("_s"))
     numbered = numbered.select(*key, F.col("_s.packages").alias("packages"), F.col("_s.gid").alias("gid"))
-    return cands.join(numbered, [*key, "packages"]).groupBy(*key, "gid").agg(
-        F.count(F.lit(1)).alias("count"),
-        F.min(F.struct(*at, *[F.col(c) for c in payload])).alias("rep"),
-        F.array_sort(F.collect_list(F.struct(
-            F.col("edit_rank").alias("o1"), F.col("path").alias("o2"), F.col("pos").alias("o3"),
-            F.col("k").alias("o4"), F.col("old_path").alias("old_path"), F.col("path").alias("path"),
-            F.col("before").alias("before"), F.col("after").alias("after")))).alias("occurrences"))
+    return cands.join(numbered, [*key, "packages"])
+
+
+def group_replacements(members: DataFrame, order: Sequence[str] = ("edit_rank", "path", "pos", "k"),
+                       key: Sequence[str] = REPLACEMENT_KEY) -> DataFrame:
+    """One row per group of ``group_members`` with ``count`` and the first member's fields (``rep``).
+
+    Where a group occurs is a table of its own (``group_occurrences``): a group of any size is one small row here.
+    """
+    key, at = list(key), [F.col(c) for c in order]
+    payload = [F.col(c) for c in members.columns if c not in (*key, "gid", *order)]
+    return members.groupBy(*key, "gid").agg(F.count(F.lit(1)).alias("count"), F.min(F.struct(*at, *payload)).alias("rep"))
+
+
+def group_occurrences(members: DataFrame, key: Sequence[str] = REPLACEMENT_KEY) -> DataFrame:
+    """The child table of the groups: a row per occurrence with its files and lines, no text."""
+    return members.select(*key, "gid", "edit_rank", "old_path", "path", "pos", "k", "before", "after")
 
 
 # ---------------------------------------------------------------- G12
-def render_occurrences(occ: Column) -> Column:
-    """``("old"->"new"|[b,a][b,a]), (...)`` per file in first-appearance order."""
-    files = F.array_distinct(F.transform(occ, lambda o: F.struct(o["old_path"].alias("op"), o["path"].alias("np"))))
+GROUP_KEY = (*REPLACEMENT_KEY, "gid")
+
+# Occurrences of a file that are put into text at once.
+SEGMENT = 4096
 
-    def one(f):
-        mine = F.filter(occ, lambda o: o["old_path"].eqNullSafe(f["op"]) & o["path"].eqNullSafe(f["np"]))
-        lines = F.array_join(F.transform(mine, lambda o: F.format_string("[%d,%d]", o["before"], o["after"])), "")
-        return F.format_string('("%s"->"%s"|%s)', F.coalesce(f["op"], F.lit("null")), f["np"], lines)
 
-    return F.array_join(F.transform(files, one), ", ")
+def _in_order(df: DataFrame, keys: Sequence[str], first: Column, text: Column, separator: str) -> DataFrame:
+    """(keys, first, text): the texts of a key one after the other."""
+    at = F.struct(first.alias("f"), text.alias("t"))
+    return df.groupBy(*keys).agg(F.min(first).alias("first"), F.array_join(
+        F.transform(F.array_sort(F.collect_list(at)), lambda x: x["t"]), separator).alias("text"))
+
+
+def render_occurrences(occurrences: DataFrame, gkey: Sequence[str] = GROUP_KEY) -> DataFrame:
+    """(group key, replacement_paths) with ``("old"->"new"|[b,a][b,a]), (...)`` per file in first-appearance order.
+
+    The text grows in three steps, each a group of its own: the lines of a stretch of a file's diff, a file, a group.  Only
+    texts meet in the last one, one for each file.
+    """
+    gkey, file = list(gkey), [*gkey, "old_path", "path"]
+    place = F.struct("edit_rank", "path", "pos", "k")
+    lines = F.format_string("[%d,%d]", "before", "after")
+    stretches = _in_order(occurrences.withColumn("_part", F.floor(F.col("pos") / SEGMENT)), [*file, "_part"], place, lines, "")
+    files = _in_order(stretches, file, F.col("first"), F.col("text"), "")
+    shown = F.format_string('("%s"->"%s"|%s)', F.coalesce("old_path", F.lit("null")), F.col("path"), F.col("text"))
+    return _in_order(files, gkey, F.struct("first", "old_path"), shown, ", ").select(*gkey, F.col("text").alias("replacement_paths"))
 
 
 # ---------------------------------------------------------------- G13 / G14
-GROUP_KEY = (*REPLACEMENT_KEY, "gid")
+# Classes of one (name, arity) that meet its package sets in one task.
+CLASSES_AT_ONCE = 1024
 
 
-def candidate_apis(groups: DataFrame, catalog: DataFrame, gkey: Sequence[str] = GROUP_KEY) -> DataFrame:
+def candidate_apis(groups: DataFrame, catalog: DataFrame, gkey: Sequence[str] = GROUP_KEY,
+                   at_once: int = CLASSES_AT_ONCE) -> DataFrame:
     """(group key, api_id): all public APIs with the new call's name and arity whose class contains one of the
-    group's imported packages."""
-    gkey = list(gkey)
-    cat = catalog.filter(F.col("is_public")).select(F.col("id").alias("api_id"), F.col("class").alias("_cls"),
-                                                    F.col("name").alias("_nm"), F.col("n_args").alias("_na"))
+    group's imported packages.
+
+    A class is tested once against each distinct package set that asks for its (name, arity), whatever the number of
+    groups.  How many classes a (name, arity) has is counted first: one with more than ``at_once`` is dealt over as many
+    salts as that takes, and the few sets that ask for it are repeated; all others stay as they are.
+    """
+    gkey, call = list(gkey), ["_nm", "_na"]
+    classes = (catalog.filter(F.col("is_public")).groupBy(F.col("name").alias("_nm"), F.col("n_args").alias("_na"),
+                                                          F.col("class").alias("_cls"))
+               .agg(F.collect_list("id").alias("_ids")))
     g = groups.select(*gkey, F.col("rep.packages").alias("_pk"))
-    return (g.join(cat, (F.col("new_name") == F.col("_nm")) & (F.col("new_n_args") == F.col("_na")))
-            .filter(F.exists("_pk", lambda p: F.contains(F.col("_cls"), p))).select(*gkey, "api_id"))
+    sets = g.select(F.col("new_name").alias("_nm"), F.col("new_n_args").alias("_na"), "_pk").distinct()
+    salts = (classes.groupBy(*call).agg(F.ceil(F.count(F.lit(1)) / at_once).cast("int").alias("_salts"))
+             .join(sets.select(*call).distinct(), call, "left_semi"))
+    dealt = (classes.join(salts, call).withColumn("_salt", F.pmod(F.hash("_cls"), F.col("_salts"))))
+    asked = sets.join(salts, call).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)))
+    hits = (asked.select(*call, "_pk", "_salt").join(dealt.select(*call, "_salt", "_cls", "_ids"), [*call, "_salt"])
+            .filter(F.exists("_pk", lambda p: F.contains(F.col("_cls"), p)))
+            .select(*call, F.col("_pk").alias("_asked"), "_ids"))
+    return (g.join(hits, (F.col("new_name") == F.col("_nm")) & (F.col("new_n_args") == F.col("_na"))
+                   & (F.col("_pk") == F.col("_asked"))).select(*gkey, F.explode("_ids").alias("api_id")))
 
 
 def with_candidate_count(groups: DataFrame, candidates: DataFrame, gkey: Sequence[str] = GROUP_KEY) -> DataFrame:
@@ -349,17 +389,22 @@ def drop_already_using(groups: DataFrame, body: str = "old_body", name: str = "n
 
 
 # ---------------------------------------------------------------- G18 / G19
-def result_files(groups: DataFrame) -> DataFrame:
-    return (groups.select("repo", "idx", F.explode("occurrences").alias("_o"))
-            .select("repo", "idx", F.col("_o.old_path").alias("old_path"), F.col("_o.path").alias("path")).distinct())
+def result_files(occurrences: DataFrame) -> DataFrame:
+    """The files of a result, from the occurrences of its groups."""
+    return occurrences.select("repo", "idx", "old_path", "path").distinct()
+
+
+def occurrences_of(members: DataFrame, groups: DataFrame, gkey: Sequence[str] = GROUP_KEY) -> DataFrame:
+    """The occurrences of the groups that are left."""
+    return group_occurrences(members).join(groups.select(*gkey), list(gkey), "left_semi")
 
 
-def imports_of_result_files(groups: DataFrame, import_changes: DataFrame) -> DataFrame:
+def imports_of_result_files(occurrences: DataFrame, import_changes: DataFrame) -> DataFrame:
     """Import changes of each file that holds a surviving replacement."""
-    f = result_files(groups)
+    f = result_files(occurrences)
     return import_changes.join(f, [c for c in ("repo", "idx", "path") if c in import_changes.columns], "left_semi")
 
 
-def restrict_imports(imports: DataFrame, groups: DataFrame) -> DataFrame:
+def restrict_imports(imports: DataFrame, occurrences: DataFrame) -> DataFrame:
     """Keep import changes of the result's key files only (by new path)."""
-    return imports.join(result_files(groups).select("repo", "idx", "path"), ["repo", "idx", "path"], "left_semi")
+    return imports.join(result_files(occurrences).select("repo", "idx", "path"), ["repo", "idx", "path"], "left_semi")

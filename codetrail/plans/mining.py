@@ -2,8 +2,8 @@
 
 Order matters for cost: the cheap import-section test (R12) prunes edited
 files before any diff text is exploded, file text is joined last and only for
-surviving groups, and every project-state check is a broadcast-candidates
-interval join.
+surviving groups, and every project-state check is an interval join over bins.
+Groups, their occurrences and their candidate APIs are tables of their own.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ class MiningInputs:
 
 
 def materialized(inp: MiningInputs) -> MiningInputs:
-    """Checkpoint the state tables that several joins of the plan read."""
+    """The state tables that several joins of the plan read, written to the shared folder."""
     from dataclasses import replace
     return replace(inp, decl_versions=materialize(inp.decl_versions),
                    call_versions=materialize(inp.call_versions),
@@ -74,18 +74,19 @@ def checked_pairs(inp: MiningInputs, cands: DataFrame) -> DataFrame:
     return G.replaced_by_external(cands, inp.decl_versions, inp.call_versions)
 
 
-def replacement_groups(inp: MiningInputs, checked: DataFrame) -> DataFrame:
-    """G11 -> G13 -> G15 -> G16 -> G17."""
-    members = checked.select(
+def members_of(checked: DataFrame) -> DataFrame:
+    """The members of all groups, with the texts that the result shows."""
+    return G.group_members(checked.select(
         *G.REPLACEMENT_KEY, "edit_rank", "path", "pos", "k", "old_path", "before", "after", "packages",
         "removed", "added", render_call_list(F.col("removed_calls")).alias("removed_methods"),
         render_call_list(F.col("added_calls")).alias("added_methods"),
-        F.size("removed_calls").alias("n_removed"), F.size("added_calls").alias("n_added"))
-    g = G.group_replacements(members)
-    g = G.with_candidate_count(g, G.candidate_apis(g, inp.api_catalog))
-    g = G.old_declaration(g, inp.decl_versions)
-    g = G.declaration_body(g, inp.snapshots, inp.intervals)
-    return G.drop_already_using(g)
+        F.size("removed_calls").alias("n_removed"), F.size("added_calls").alias("n_added")))
+
+
+def replacement_groups(inp: MiningInputs, members: DataFrame) -> DataFrame:
+    """G11 -> G15 -> G16 -> G17."""
+    g = G.old_declaration(G.group_replacements(members), inp.decl_versions)
+    return G.drop_already_using(G.declaration_body(g, inp.snapshots, inp.intervals))
 
 
 @dataclass
@@ -104,17 +105,19 @@ def mine_replacements(inp: MiningInputs, materialize_inputs: bool = True) -> Min
     """
     if materialize_inputs:
         inp = materialized(inp)
-    groups = materialize(replacement_groups(inp, checked_pairs(inp, candidate_pairs(inp))))
-    return results(groups, inp)
+    members = materialize(members_of(checked_pairs(inp, candidate_pairs(inp))))
+    return results(materialize(replacement_groups(inp, members)), members, inp)
 
 
-def results(groups: DataFrame, inp: MiningInputs) -> Mined:
+def results(groups: DataFrame, members: DataFrame, inp: MiningInputs) -> Mined:
     ids = materialize(assign_ids(groups.select(*G.GROUP_KEY), ["repo", "idx", "old_name", "old_n_args", "new_name",
                                                                 "new_n_args", "gid"], base=1))
-    candidates = G.candidate_apis(groups, inp.api_catalog).join(ids, list(G.GROUP_KEY)).select(
-        F.col("id").alias("replacement_id"), "api_id")
-    return Mined(write_replacements_frame(groups.join(ids, list(G.GROUP_KEY)), inp), candidates,
-                 import_changes_frame(groups, inp))
+    found = materialize(G.candidate_apis(groups, inp.api_catalog))
+    occurrences = G.occurrences_of(members, groups)
+    counted = G.with_candidate_count(groups, found).join(G.render_occurrences(occurrences), list(G.GROUP_KEY))
+    candidates = found.join(ids, list(G.GROUP_KEY)).select(F.col("id").alias("replacement_id"), "api_id")
+    return Mined(write_replacements_frame(counted.join(ids, list(G.GROUP_KEY)), inp), candidates,
+                 import_changes_frame(occurrences, inp))
 
 
 def write_replacements_frame(groups: DataFrame, inp: MiningInputs) -> DataFrame:
@@ -129,7 +132,7 @@ def write_replacements_frame(groups: DataFrame, inp: MiningInputs) -> DataFrame:
         F.format_string("%s(%d)", "old_name", "old_n_args").alias("old_method"),
         F.format_string("%s(%d)", "new_name", "new_n_args").alias("new_method"),
         F.col("count").cast("long").alias("count"),
-        G.render_occurrences(F.col("occurrences")).alias("replacement_paths"),
+        "replacement_paths",
         F.col("old_decl.path").alias("old_method_decl_path"),
         F.col("old_decl.line_start").alias("old_method_decl_line_start"),
         F.col("old_decl.line_end").alias("old_method_decl_line_end"),
@@ -140,9 +143,9 @@ def write_replacements_frame(groups: DataFrame, inp: MiningInputs) -> DataFrame:
         F.col("n_candidates").cast("long").alias("nCandidateAPIs"))
 
 
-def import_changes_frame(groups: DataFrame, inp: MiningInputs) -> DataFrame:
+def import_changes_frame(occurrences: DataFrame, inp: MiningInputs) -> DataFrame:
     """Import changes of the result files (added / removed joined by newlines)."""
-    files = G.result_files(groups)
+    files = G.result_files(occurrences)
     imp = D.import_changes(inp.diffs.join(files, ["repo", "idx", "old_path", "path"], "left_semi"))
     c = inp.commits.select("repo", "idx", "sha", "parent_sha")
     r = inp.repos.select("repo", "repo_name", "default_branch")

@@ -164,18 +164,30 @@ def _groups_sql(body: str) -> str:
 SELECT repo, idx, old_name, old_n_args, new_name, new_n_args, gid, CAST(count AS BIGINT) AS count, replacement_paths
 FROM groups"""))
 def q_g11(spark, sf):
-    g, _ = _groups(Landed.get(spark, sf))
-    return g.select(*G.REPLACEMENT_KEY, "gid", F.col("count").cast("long").alias("count"),
-                    G.render_occurrences(F.col("occurrences")).alias("replacement_paths"))
+    m = Landed.get(spark, sf).members
+    g = G.group_replacements(m).join(G.render_occurrences(G.group_occurrences(m)), list(G.GROUP_KEY))
+    return g.select(*G.GROUP_KEY, F.col("count").cast("long").alias("count"), "replacement_paths")
+
+
+# the members of all commits by their numbers of arguments, with one of three packages by their place in the diff: a key has
+# a group for each package, numbered by first appearance
+@query("g11_split_groups", _groups_sql("""
+SELECT old_n_args, new_n_args, CAST(gid AS INTEGER) AS gid, CAST(count(*) AS BIGINT) AS count,
+       arg_min(path, (repo, idx, edit_rank, path, pos, k)) AS first_path
+FROM (SELECT *, dense_rank() OVER (PARTITION BY old_n_args, new_n_args ORDER BY first_place) AS gid
+      FROM (SELECT *, min((repo, idx, edit_rank, path, pos, k)) OVER (PARTITION BY old_n_args, new_n_args, pos % 3) AS first_place
+            FROM members) f) n
+GROUP BY old_n_args, new_n_args, gid"""))
+def q_g11_split(spark, sf):
+    m = Landed.get(spark, sf).members.drop("gid").withColumn(
+        "packages", F.array(F.concat(F.lit("p.q"), (F.col("pos") % 3).cast("string"))))
+    how = dict(key=("old_n_args", "new_n_args"), order=("repo", "idx", "edit_rank", "path", "pos", "k"))
+    g = G.group_replacements(G.group_members(m, **how), **how)
+    return g.select("old_n_args", "new_n_args", "gid", F.col("count").cast("long").alias("count"), F.col("rep.path").alias("first_path"))
 
 
 def _groups(L: Landed):
-    inp = L.mining
-    checked = L.checked
-    members = checked.select(
-        *G.REPLACEMENT_KEY, "edit_rank", "path", "pos", "k", "old_path", "before", "after", "packages",
-        "removed", "added")
-    return G.group_replacements(members), inp
+    return G.group_replacements(L.members), L.mining
 
 
 @query("g13_candidate_apis", _groups_sql("""
@@ -272,5 +284,4 @@ WHERE EXISTS (SELECT 1 FROM members m JOIN result r USING (repo, idx, old_name,
 def q_g19(spark, sf):
     L = Landed.get(spark, sf)
     imp = D.import_changes(L.diffs)
-    groups = L.mined_groups
-    return G.restrict_imports(imp, groups).select("repo", "idx", "path").distinct()
+    return G.restrict_imports(imp, G.occurrences_of(L.members, L.mined_groups)).select("repo", "idx", "path").distinct()

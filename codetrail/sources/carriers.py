@@ -296,10 +296,16 @@ class Landed:
         from codetrail.plans.mining import candidate_pairs, checked_pairs
         return materialize(checked_pairs(self.mining, candidate_pairs(self.mining)))
 
+    @cached_property
+    def members(self):
+        """The checked candidates with their groups' numbers, materialised."""
+        from codetrail.plans.mining import members_of
+        return materialize(members_of(self.checked))
+
     @cached_property
     def mined_groups(self):
         from codetrail.plans.mining import replacement_groups
-        return materialize(replacement_groups(self.mining, self.checked))
+        return materialize(replacement_groups(self.mining, self.members))
 
     @cached_property
     def mined(self):

@@ -237,14 +237,16 @@ def test_g11_overlap_fold_not_transitive(spark):
     df = spark.createDataFrame(rows, "repo string, idx int, old_name string, old_n_args int, new_name string, new_n_args int, "
                                      "edit_rank int, path string, pos int, k int, old_path string, before int, after int, "
                                      "packages array<string>")
-    got = sorted((r["gid"], r["count"]) for r in G.group_replacements(df).collect())
+    got = sorted((r["gid"], r["count"]) for r in G.group_replacements(G.group_members(df)).collect())
     assert got == [(1, 2), (2, 1)]
 
 
 def test_g12_render_occurrences(spark):
-    occ = spark.createDataFrame([([("a", "a", 1, 2), ("a", "a", 5, 6)],)],
-                                "occ array<struct<old_path:string,path:string,before:int,after:int>>")
-    assert occ.select(G.render_occurrences(F.col("occ"))).first()[0] == '("a"->"a"|[1,2][5,6])'
+    rows = [("g", 0, "a", "a", 9, 0, 5, 6), ("g", 0, "a", "a", 4, 0, 1, 2), ("g", 0, None, "b", 1, 0, 3, 4),
+            ("g", 1, "0", "0", 0, 1, 7, 8), ("g", 1, "0", "0", 0, 0, 9, 9), ("h", 1, "x", "y", 20000, 0, 1, 1), ("h", 1, "x", "y", 3, 0, 2, 2)]
+    occ = spark.createDataFrame(rows, "gid string, edit_rank int, old_path string, path string, pos int, k int, before int, after int")
+    got = {r.gid: r.replacement_paths for r in G.render_occurrences(occ, ["gid"]).collect()}
+    assert got == {"g": '("a"->"a"|[1,2][5,6]), ("null"->"b"|[3,4]), ("0"->"0"|[9,9][7,8])', "h": '("x"->"y"|[2,2][1,1])'}
 
 
 def test_g16_g17_body(spark):
