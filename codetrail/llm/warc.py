@@ -199,9 +199,9 @@ def split_message(block: bytes) -> tuple[bytes, bytes]:
 def _kind(record: dict) -> str:
     if record["uri"] is None:
         return "metadata"
-    if record["uri"].startswith("filedesc:"):
-        return "warcinfo"
-    return "response" if record["block"].startswith(b"HTTP/") else "resource"
+    if record["block"].startswith(b"HTTP/"):  # whatever its address: a page may be called filedesc: too
+        return "response"
+    return "warcinfo" if record["uri"].startswith("filedesc:") else "resource"
 
 
 def _described(file: str, record: dict) -> tuple[str, dict, bytes, bytes, int | None]:

@@ -60,7 +60,8 @@ def test_records_of_other_kinds(spark):
 
 ODD = [(1, "http://a/", "x" * 100), (2, None, "x" * 100), (3, "u r l\n", "y" * 99), (4, "http://a/", "y" * 99), (5, "", None), (6, "z", ""),
        (7, "http://é/", "é" * 50), (8, "q", "é" * 50), (9, "r", "WARC/1.1\r\n\r\nHTTP/1.1\r\n\r\n" * 9), (10, "r", "z" * 300_000),
-       (11, "s", "z" * 300_000), (0, "t", "x" * 100)]
+       (11, "s", "z" * 300_000), (0, "t", "x" * 100), (12, "filedesc://x", "k" * 150), (13, "http://a/", "k" * 150),
+       (14, "filedesc://", "1 0 k"), (15, "filedesc:y", None)]
 
 
 @pytest.mark.parametrize(("records", "rows"), [(3, 0), (3, 100), (2000, 100)])
