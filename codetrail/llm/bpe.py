@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from codetrail.llm.common import map_arrow, slices, strings
-from codetrail.llm.words import hash_spans
+from codetrail.llm.words import keyed_hash_spans
 
 #: Text that is encoded together, and the words that a task remembers.
 BLOCK_BYTES = 4 << 20
@@ -229,7 +229,7 @@ class Codec:
         own = ~is_break[starts]
         begin, end = offset[starts[own]], offset[np.append(starts[1:], len(points))[own]]
         part = np.searchsorted(breaks, starts[own])
-        return data, begin, end, hash_spans(data, begin, end), part, np.array(owner), inserted
+        return data, begin, end, keyed_hash_spans(data, begin, end), part, np.array(owner), inserted
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and where each text's begin (and the end)."""

@@ -80,6 +80,26 @@ def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, block: int
     return out
 
 
+def keyed_hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, block: int = 1 << 20) -> np.ndarray:
+    """As ``hash_spans``, but every byte is mixed with its place before the sum, so that no pattern of bytes cancels out:
+    words with a hash in common are as rare as among random numbers, whatever the texts."""
+    out = np.empty(len(start), dtype=np.uint64)
+    ends = np.cumsum(end - start)
+    at = 0
+    while at < len(start):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + block, side="right")))
+        length = end[at:stop] - start[at:stop]
+        first = np.cumsum(length) - length
+        within = np.arange(int(length.sum()), dtype=np.int64) - np.repeat(first, length)
+        value = data[np.repeat(start[at:stop], length) + within].astype(np.uint64)
+        with np.errstate(over="ignore"):
+            keys = mix(np.arange(int(length.max()), dtype=np.uint64) * np.uint64(_BASE) + np.uint64(_BASE))
+            total = np.add.reduceat(mix(keys[within] + (value + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)), first)
+            out[at:stop] = mix(total + length.astype(np.uint64) * np.uint64(_BASE))
+        at = stop
+    return out
+
+
 def shingles_of(words: Words, n: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingles of ``n`` successive words: hashes sorted in each text, and for each text its first one (and the
     end).  A text of fewer words has one shingle of all its words; a text without words has none."""

@@ -73,3 +73,16 @@ def test_encode_and_decode_operators(spark):
     df = docs(spark, [(i, t) for i, t in enumerate(ODD_TEXTS)])
     back = {r["doc_id"]: r["text"] for r in bpe.decode(bpe.encode(df)).collect()}
     assert back == {i: t or "" for i, t in enumerate(ODD_TEXTS)}
+
+
+def test_words_whose_patterns_cancel_out(library):
+    """The Thue-Morse word over two letters and its mirror have equal polynomial hashes modulo 2^64."""
+    bits = [bin(i).count("1") % 2 for i in range(4096)]
+    texts = []
+    for n in (1024, 2048, 4096):
+        for a, b in ("ab", "xy", "ba", "yx"):
+            texts.append("".join(b if bit else a for bit in bits[:n]))
+    codec = bpe.Codec(bpe.default_tokenizer())
+    ids, first = codec.encode(texts)
+    for text, a, b in zip(texts, first, first[1:]):
+        assert ids[a:b].tolist() == library.encode(text, add_special_tokens=False).ids
