@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import re
+import unicodedata
 from functools import lru_cache
 
 import numpy as np
@@ -34,9 +35,14 @@ EXPECT_WORDS = 10_000
 #: Words whose probabilities a Python worker remembers.
 REMEMBER = 200_000
 UNDETERMINED = "und"
+#: Letters and the number signs that aren't decimal digits; what is a letter is up to its category.
 _LETTER = re.compile(r"[^\W\d_]")
 
 
+def has_letter(text: str) -> bool:
+    return any(unicodedata.category(m.group())[0] == "L" for m in _LETTER.finditer(text))
+
+
 def default_vocabulary() -> str:
     import public_tokenizers
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -246,7 +252,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], vocabulary: s
 
         def score(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = strings(batch)
-            lettered = np.array([bool(_LETTER.search(t)) for t in texts])
+            lettered = np.array([has_letter(t) for t in texts])
             if langs:
                 logs = scorer.text_logs(texts)
                 best = logs.argmax(axis=1)
@@ -278,8 +284,8 @@ def predict_languages(docs: DataFrame, vocabulary: str | None = None, sample_doc
             .select("doc_id", (~in_training()).alias("held_out"), "lang_pred", "score"))
 
 
-def keep_identified(spark: SparkSession, docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """``docs`` without the documents that have no language: ``und``, or a score under ``least``."""
+def keep_identified(spark: SparkSession, docs: DataFrame, least: float = 0.0) -> DataFrame:
+    """``docs`` without the documents that have no language (``und``), nor a score under ``least`` where that is asked for."""
     plain, restored = set_aside(docs)
     scored = identify(plain, learn(docs), lang_column="__lang", score_column="__score")
     return restored(scored.where((F.col("__lang") != UNDETERMINED) & (F.col("__score") >= least)))

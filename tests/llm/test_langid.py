@@ -98,3 +98,13 @@ def test_odd_rows(spark):
     assert [(r["lang_pred"], r["score"]) for r in unlabelled] == [("und", 0.0)]
     kept = m.keep_identified(spark, df)
     assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == {4, 5, 6, 7, 8, 11, None}
+
+
+def test_number_signs_are_no_letters(spark):
+    from codetrail.llm import langid
+    from .helpers import docs
+    rows = [(i, f"the quick brown fox number {i}", "en") for i in range(60)] + [(100, "½ ² ①", None), (101, "Ⅷ", None), (102, "Ⅷ ª", None)]
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.predict_languages(docs(spark, rows)).collect()}
+    assert got[100] == got[101] == "und" and got[102] == "en"
+    kept = langid.keep_identified(spark, docs(spark, rows))
+    assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] > 99) == [102]
