@@ -148,9 +148,9 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = HOST_RULES,
 
 
 ORACLE_SQL = f"""
-WITH p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's'),
-                                     '{_UPPER}', '{_LOWER}') AS host,
-                  regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*(/[^?#]*)', 1, 's') AS path FROM pages),
+WITH a AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{_UPPER}', '{_LOWER}') AS host,
+             regexp_extract(rest, '^[^/?#]*(/[^?#]*)', 1) AS path FROM a),
 r AS (SELECT *, CASE WHEN '.' || host LIKE '%.example.net' AND path LIKE '/en/%' THEN 'example.net/en/'
                      WHEN '.' || host LIKE '%.example.com' AND path LIKE '/de/%' THEN 'example.com/de/'
                      WHEN '.' || host LIKE '%.org' AND path LIKE '/fr/%' THEN 'org/fr/'

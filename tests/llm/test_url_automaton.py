@@ -86,3 +86,14 @@ def test_urls_within_a_query_or_fragment_have_no_say(spark):
     assert [(r["host"], r["path"]) for r in got] == [_host_and_path(u) for u in urls]
     assert [tuple(r)[1:] for r in got[:3]] == [("a.net", "", None, "allow")] * 3
     assert [(r["rule"], r["verdict"]) for r in got[4:7]] == [("net/", "block"), ("org/fr/", "allow"), (None, "allow")]
+
+
+def test_sql_keeps_to_the_first_scheme(spark):
+    urls = ["http://a.net?u=http://b.org/fr/x", "http://a.net#http://b.org/fr/x", "http://?u=x://net/", "x?u=http://a.net?v=http://b.net/",
+            "http://line\nbreak.net/a?u=x://b/c"] + URLS
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?)", list(enumerate(urls)))
+    got = sorted(tuple(r) for r in m.judge(_pages(spark, urls)).select("page_id", "host", "path", "rule", "verdict").collect())
+    assert [r[1:3] for r in got] == [tuple(r) for r in con.execute(
+        "SELECT host, path FROM (" + m.ORACLE_SQL + ") ORDER BY page_id").fetchall()]
