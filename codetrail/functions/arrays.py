@@ -30,21 +30,24 @@ def _fold(values: Column, step: Callable[[Column, Column], Column], start: Colum
     return F.aggregate(values, F.array(start), lambda acc, v: F.concat(acc, F.array(step(F.element_at(acc, -1), v))))
 
 
+def _blocks(values: Column) -> Column:
+    """``values`` (a name or a lambda's variable: it is looked at for each block) cut into blocks."""
+    n_blocks = F.ceil(F.size(values) / F.lit(BLOCK)).cast("int")
+    return F.transform(F.filter(F.sequence(F.lit(0), F.greatest(n_blocks - 1, F.lit(0))), lambda b: b < n_blocks),
+                       lambda b: F.slice(values, b * BLOCK + 1, F.lit(BLOCK)))
+
+
 def running(values: Column, step: Callable[[Column, Column], Column], zero: int | Column) -> Column:
     """The running value of an associative ``step`` up to and with each element (no nulls): of ints, or of any values of
     the type of ``zero``, the neutral element."""
     start = zero if isinstance(zero, Column) else F.lit(zero)
-    n_blocks = F.ceil(F.size(values) / F.lit(BLOCK)).cast("int")
-    blocks = F.transform(F.filter(F.sequence(F.lit(0), F.greatest(n_blocks - 1, F.lit(0))), lambda b: b < n_blocks),
-                         lambda b: F.slice(values, b * BLOCK + 1, F.lit(BLOCK)))
-    inner = F.transform(blocks, lambda b: _fold(b, step, start))
 
     def joined(parts: Column) -> Column:
         before = _fold(F.transform(parts, lambda p: F.element_at(p, -1)), step, start)
         return bound(before, lambda offsets: F.flatten(F.transform(parts, lambda p, i: F.transform(
             F.slice(p, F.lit(2), F.size(p) - 1), lambda v: step(F.element_at(offsets, i + 1), v)))))
 
-    return bound(inner, joined)
+    return bound(values, lambda known: bound(F.transform(_blocks(known), lambda b: _fold(b, step, start)), joined))
 
 
 def running_sum(values: Column) -> Column:
@@ -75,10 +78,13 @@ def open_blocks(balance: Column, opens: Column) -> Column:
                        F.when(b["low"] < a["left"], b["left"]).otherwise(F.least(a["left"], b["left"])))
 
     none = F.lit(NONE_OPEN)
-    each = F.transform(F.arrays_zip(balance.alias("b"), opens.alias("o")),
-                       lambda x: stretch(x["b"], F.when(x["o"], x["b"]).otherwise(none)))
-    after = F.transform(running(each, both, stretch(none, none)), lambda x: x["left"])
-    return F.slice(F.concat(F.array(none), after), F.lit(1), F.size(balance))
+
+    def walked(each: Column) -> Column:
+        after = F.transform(running(each, both, stretch(none, none)), lambda x: x["left"])
+        return F.slice(F.concat(F.array(none), after), F.lit(1), F.size(each))
+
+    return bound(F.transform(F.arrays_zip(balance.alias("b"), opens.alias("o")),
+                             lambda x: stretch(x["b"], F.when(x["o"], x["b"]).otherwise(none))), walked)
 
 
 def scan(values: Column, step: Callable[[Column, Column], Column], start: Column,
@@ -87,14 +93,10 @@ def scan(values: Column, step: Callable[[Column, Column], Column], start: Column
     associative.  ``empty`` is an empty array of the type of the result.  Blocks are walked one after the other, and only
     what ``emit`` keeps of their states is put together, so the cost stays close to the array's length.
     """
-    n_blocks = F.ceil(F.size(values) / F.lit(BLOCK)).cast("int")
-    blocks = F.transform(F.filter(F.sequence(F.lit(0), F.greatest(n_blocks - 1, F.lit(0))), lambda b: b < n_blocks),
-                         lambda b: F.slice(values, b * BLOCK + 1, F.lit(BLOCK)))
-
     def walk(acc: Column, block: Column) -> Column:
         return bound(_fold(block, step, acc["state"]), lambda states: F.struct(
             F.element_at(states, -1).alias("state"),
             F.concat(acc["out"], F.array(F.transform(F.slice(states, F.lit(2), F.size(block)), emit))).alias("out")))
 
-    return F.aggregate(blocks, F.struct(start.alias("state"), F.slice(F.array(empty), F.lit(1), F.lit(0)).alias("out")), walk,
-                       lambda acc: F.flatten(acc["out"]))
+    return bound(values, lambda known: F.aggregate(_blocks(known), F.struct(start.alias("state"), F.slice(F.array(empty), F.lit(1), F.lit(0)).alias("out")), walk,
+                       lambda acc: F.flatten(acc["out"])))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from codetrail.functions.windows import ordered_index
+from codetrail.functions.windows import ordered_index, running_total
 
 
 def assign_ids(df: DataFrame, order_by: Sequence[str], base: int = 0, out: str = "id",
@@ -15,28 +16,27 @@ def assign_ids(df: DataFrame, order_by: Sequence[str], base: int = 0, out: str =
     """Dense ids in ``order_by`` order starting at ``base`` (0 for calls/declarations,
     1 for packages, types and files), or the stored ids of ``reuse_col`` when given.
 
-    Rows are range-partitioned and numbered per range plus the sizes of the
-    earlier ranges, so numbering never funnels through one task.
+    Rows that share a key are put in the order of a hash of the whole row, so the ids don't depend on how the rows arrive.
+    Only keys and hashes are range-partitioned, sorted and numbered, with the rows of each; the other columns (file text,
+    bodies) move once, to the place of their key, where equal rows take the ids after each other.
     """
     if reuse_col is not None:
         return df.withColumn(out, F.col(reuse_col).cast("long"))
-    order = list(order_by)
-    if len(order) == len(df.columns):
-        return ordered_index(df, [], order, out=out, base=base)
-    # only the distinct keys are sorted and numbered; the other columns (file text, bodies) move once, to their key's id
-    keys = df.groupBy(*order).agg(F.count(F.lit(1)).alias("_rows"))
-    numbered = ordered_index(keys, [], order, out="_place")
-    return _with_positions(df, numbered, order, out, base)
-
-
-def _with_positions(df: DataFrame, numbered: DataFrame, order: list[str], out: str, base: int) -> DataFrame:
-    """Ids of ``df`` from the places of its distinct keys.  Rows that share a key take the ids after each other, which row
-    gets which is left open, as with any sort on a key that isn't unique."""
+    key = [*order_by, "_hash"]
+    rows = df.withColumn("_hash", F.xxhash64(*[_hashable(df, c) for c in df.columns]))
+    keys = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_rows"))
+    numbered = running_total(ordered_index(keys, [], key, out="_place"), [], "_place", "_rows", "_upto")
+    first = numbered.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(key)], (F.col("_upto") - F.col("_rows")).alias("_first"))
     same = None
-    for c in order:
-        test = F.col(f"_k.{c}").eqNullSafe(F.col(f"_d.{c}"))
+    for i, c in enumerate(key):
+        test = F.col(c).eqNullSafe(F.col(f"_k{i}"))
         same = test if same is None else same & test
-    if numbered.agg(F.max("_rows")).first()[0] in (None, 1):
-        k = numbered.select(*order, "_place").alias("_k")
-        return (df.alias("_d").join(k, same).select("_d.*", (F.col("_k._place") + F.lit(base - 1)).cast("long").alias(out)))
-    return ordered_index(df, [], order, out=out, base=base)
+    among = Window.partitionBy(*key).orderBy("_hash")
+    return (rows.withColumn("_nth", F.row_number().over(among)).join(first, same)
+            .select(*df.columns, (F.col("_first") + F.col("_nth") + F.lit(base - 1)).cast("long").alias(out)))
+
+
+def _hashable(df: DataFrame, name: str) -> Column:
+    """A column as something that can be hashed: a map as its entries in order."""
+    column, kind = F.col(name), df.schema[name].dataType
+    return F.array_sort(F.map_entries(column)) if isinstance(kind, T.MapType) else column
