@@ -1,13 +1,14 @@
 """Operator 5: language ID by unigram pieces, summed over all segmentations.
 
-Every language has a probability for each piece of a fixed public vocabulary (byte strings of up to
-``MAX_PIECE`` bytes; all single bytes belong to it, so every text has a segmentation).  The probability of a word in a
+Every language has a probability for each piece of a fixed public vocabulary that can occur in a word, however long the
+piece is (all single bytes belong to it, so every text has a segmentation).  The probability of a word in a
 language is the sum, over all ways to cut it into pieces, of the product of their probabilities (forward algorithm).
 A text's log-likelihood adds up over its words; its score is the softmax over the languages.  Probabilities are
 learnt by expectation maximisation, whose expected counts come from the same lattice (forward-backward).
 
-Words are longest runs of letters in lower case with a leading space; runs of more than ``MAX_WORD`` bytes are cut
-into words of that length (segmentations then don't cross the cuts, but the whole text counts).
+Words are longest runs of letters in lower case with a leading space, of any length: sums are rescaled on the way, so
+that long words don't vanish, and only the positions that a piece can bridge are held.  Time grows with the length of
+a run.  Only for learning, runs of more than ``LEARN_WORD`` bytes are cut at character limits.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from __future__ import annotations
 import base64
 import re
 import unicodedata
+from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -23,15 +26,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codetrail.llm.common import by_slice, in_training, landed, map_arrow, set_aside, strings
-from codetrail.llm.words import Words, words_of
-
-MAX_PIECE = 8
-MAX_WORD = 28
+from codetrail.llm.words import Words, keyed_hash_spans, words_of
+
+#: Bytes of the words that the model is fitted on.
+LEARN_WORD = 256
+#: Words up to this length meet others of their length, longer ones others up to twice as long.
+SHORT_WORD = 32
+#: Cells (words x bytes) that are worked out together, and numbers held for them.
+CELLS = 1 << 19
+HELD = 1 << 22
 #: Labelled documents per language that the model is fitted on (about so many: a document is in by the hash of its id).
 SAMPLE_DOCS = 1500
 ROUNDS = 3
-#: Distinct words whose expected counts are worked out together.
+#: Distinct words whose expected counts are worked out together, and bytes of them.
 EXPECT_WORDS = 10_000
+EXPECT_CELLS = 1 << 18
 #: Words whose probabilities a Python worker remembers.
 REMEMBER = 200_000
 UNDETERMINED = "und"
@@ -48,75 +57,136 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+@dataclass
+class Pieces:
+    step: np.ndarray    #: (states, kinds of bytes): the state after one more byte; state 0 has left the vocabulary, 1 is the start
+    number: np.ndarray  #: for each state the piece that ends there, or ``size``
+    kind: np.ndarray    #: for each byte its kind; bytes that no word holds are kind 0
+    size: int           #: how many pieces there are
+    longest: int        #: bytes of the longest
+
+
 @lru_cache(maxsize=2)
-def pieces(path: str) -> tuple[list[np.ndarray], list[np.ndarray], int]:
-    """For each piece length 1..MAX_PIECE the sorted packed pieces and their numbers; and how many pieces there are."""
+def pieces(path: str) -> Pieces:
+    """The pieces that can occur in a word (letters and bytes beyond ASCII, after a space at most) as a table of prefixes;
+    their numbers are in the order of their bytes."""
+    inside = frozenset([*range(97, 123), *range(128, 256)])
     with open(path, "rb") as lines:
         found = {base64.b64decode(line.split()[0]) for line in lines if line.strip()}
-    found |= {bytes([b]) for b in range(256)}
-    found = sorted(p for p in found if len(p) <= MAX_PIECE)
-    keys, ids = [], []
-    for n in range(1, MAX_PIECE + 1):
-        own = [(int.from_bytes(p, "big"), i) for i, p in enumerate(found) if len(p) == n]
-        own.sort()
-        keys.append(np.array([k for k, _ in own], dtype=np.uint64))
-        ids.append(np.array([i for _, i in own], dtype=np.int64))
-    return keys, ids, len(found)
-
-
-def word_matrix(words: Words, chosen: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The chosen words by length: (positions in ``chosen``, byte matrix with a leading space)."""
+    found |= {bytes([b]) for b in (32, *inside)}
+    found = sorted(p for p in found if p and (p[0] == 32 or p[0] in inside) and inside.issuperset(p[1:]))
+    kind = np.zeros(256, np.int64)
+    kind[[32, *sorted(inside)]] = np.arange(1, len(inside) + 2)
+    states: dict[bytes, int] = {b"": 1}
+    for p in found:
+        for n in range(1, len(p) + 1):
+            states.setdefault(p[:n], len(states) + 1)
+    step = np.zeros((len(states) + 1, len(inside) + 2), np.int32)
+    number = np.full(len(states) + 1, len(found), np.int64)
+    for prefix, state in states.items():
+        if prefix:
+            step[states[prefix[:-1]], kind[prefix[-1]]] = state
+    number[[states[p] for p in found]] = np.arange(len(found))
+    return Pieces(step, number, kind, len(found), max(map(len, found)))
+
+
+def word_matrix(words: Words, chosen: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The chosen words in blocks of similar length: (positions in ``chosen``, byte matrix with a leading space, zeros past
+    each word's end, and lengths with the space)."""
     start, length = words.start[chosen], (words.end - words.start)[chosen]
-    out = []
-    for n in np.unique(length):
-        at = np.flatnonzero(length == n)
-        body = words.data[start[at][:, None] + np.arange(n)]
-        out.append((at, np.concatenate([np.full((len(at), 1), 32, np.uint8), body], axis=1)))
-    return out
-
-
-def lattice(matrix: np.ndarray, path: str) -> list[list[np.ndarray]]:
-    """piece numbers by end position j = 1..n and length; the number of pieces stands for "no piece"."""
-    keys, ids, none = pieces(path)
-    wide = matrix.astype(np.uint64)
-    out = []
-    for j in range(1, matrix.shape[1] + 1):
-        packed, row = np.zeros(len(matrix), np.uint64), []
-        for n in range(1, min(j, MAX_PIECE) + 1):
-            packed = packed | (wide[:, j - n] << np.uint64(8 * (n - 1)))
-            at = np.minimum(np.searchsorted(keys[n - 1], packed), len(keys[n - 1]) - 1) if len(keys[n - 1]) else None
-            row.append(np.full(len(matrix), none) if at is None
-                       else np.where(keys[n - 1][at] == packed, ids[n - 1][at], none))
-        out.append(row)
+    group = np.where(length <= SHORT_WORD, length, SHORT_WORD + np.ceil(np.log2(np.maximum(length, 1))).astype(np.int64))
+    for g in np.unique(group):
+        own = np.flatnonzero(group == g)
+        for at in np.array_split(own, -(-len(own) * int(length[own].max()) // CELLS)):
+            body = np.zeros((len(at), int(length[at].max()) + 1), np.uint8)
+            body[:, 0] = 32
+            column = np.arange(body.shape[1] - 1)
+            for rows in np.array_split(np.arange(len(at)), -(-body.size // CELLS)):
+                place = start[at[rows]][:, None] + column
+                fits = column < length[at[rows]][:, None]
+                body[rows, 1:] = np.where(fits, words.data[np.minimum(place, len(words.data) - 1)], 0)
+            yield at, body, length[at] + 1
+
+
+def edges(matrix: np.ndarray, known: Pieces) -> Iterator[list[tuple[int, np.ndarray, np.ndarray]]]:
+    """For each position in turn the pieces that start there: (length, the words that hold one, its numbers)."""
+    width = matrix.shape[1]
+    kinds = np.ascontiguousarray(known.kind[matrix].T)
+    for i in range(width):
+        state = known.step[1, kinds[i]]
+        rows = np.flatnonzero(state)
+        state, out, n = state[rows], [], 1
+        while len(rows):
+            ids = known.number[state]
+            ends = np.flatnonzero(ids < known.size)
+            if len(ends):
+                out.append((n, rows[ends], ids[ends]))
+            if i + n >= width:
+                break
+            state = known.step[state, kinds[i + n][rows]]
+            alive = np.flatnonzero(state)
+            rows, state, n = rows[alive], state[alive], n + 1
+        yield out
+
+
+def forward_logs(matrix: np.ndarray, length: np.ndarray, prob: np.ndarray, known: Pieces) -> np.ndarray:
+    """Log probabilities (words, languages): the logarithm of the sum over all segmentations.  prob: (pieces + 1,
+    languages).  Only the sums of the positions that one piece can reach are held."""
+    n_words, width, n_langs = len(matrix), matrix.shape[1], prob.shape[1]
+    round_ = min(known.longest, width) + 1
+    if n_words > 1 and n_words * round_ * n_langs > HELD:
+        parts = np.array_split(np.arange(n_words), min(n_words, -(-n_words * round_ * n_langs // HELD)))
+        return np.concatenate([forward_logs(matrix[p], length[p], prob, known) for p in parts])
+    held = np.zeros((round_, n_words, n_langs))
+    held[0] = 1.0
+    scale = np.zeros((n_words, n_langs))
+    out = np.full((n_words, n_langs), -np.inf)
+    with np.errstate(divide="ignore"):
+        for i, own in enumerate(edges(matrix, known)):
+            now = held[i % round_]
+            ended = np.flatnonzero(length == i)
+            if len(ended):
+                out[ended] = np.log(now[ended]) + scale[ended]
+            for n, rows, ids in own:
+                held[(i + n) % round_][rows] += now[rows] * prob[ids]
+            now[:] = 0.0
+            if i % 8 == 7:
+                peak = held.max(axis=0)
+                low = (peak < 1e-100) & (peak > 0)
+                if low.any():
+                    held *= np.where(low, 1e100, 1.0)
+                    scale -= np.where(low, np.log(1e100), 0.0)
+        ended = np.flatnonzero(length == width)
+        out[ended] = np.log(held[width % round_][ended]) + scale[ended]
     return out
 
 
-def forward(cells: list[list[np.ndarray]], prob: np.ndarray) -> list[np.ndarray]:
-    """alpha by position: (words, languages); prob: (pieces + 1, languages), its last row 0."""
-    alpha = [np.ones((len(cells[0][0]), prob.shape[1]))]
-    for j, row in enumerate(cells, 1):
-        total = np.zeros_like(alpha[0])
-        for n, ids in enumerate(row, 1):
-            total += alpha[j - n] * prob[ids]
-        alpha.append(total)
-    return alpha
-
-
-def expected(cells: list[list[np.ndarray]], prob: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Expected piece counts (pieces + 1, languages) of words that occur ``weight`` (words, languages) times."""
-    alpha, n_cells = forward(cells, prob), len(cells)
-    beta = [np.zeros_like(alpha[0]) for _ in range(n_cells)] + [np.ones_like(alpha[0])]
-    scale = weight / np.maximum(alpha[-1], 1e-300)
-    ids, gains = [], []
-    for j in range(n_cells, 0, -1):
-        for n, own in enumerate(cells[j - 1], 1):
-            step = prob[own] * beta[j]
-            beta[j - n] += step
-            found = np.flatnonzero(own < len(prob) - 1)
-            ids.append(own[found])
-            gains.append((alpha[j - n] * step * scale)[found])
-    ids, gains = np.concatenate(ids), np.concatenate(gains)
-    return np.stack([np.bincount(ids, gains[:, k], minlength=len(prob)) for k in range(prob.shape[1])], axis=1)
+def expected(matrix: np.ndarray, prob: np.ndarray, weight: np.ndarray, known: Pieces) -> np.ndarray:
+    """Expected piece counts (pieces + 1, languages) of words of one length that occur ``weight`` (words, languages) times."""
+    n_words, width = matrix.shape
+    logs = forward_logs(matrix, np.full(n_words, width), prob, known)
+    # every byte of a word counts as its mean, so that sums of parts stay near 1; the whole sum becomes 1
+    tilt = np.exp(-logs / width)
+    power = [np.ones_like(tilt)]
+    for _ in range(min(known.longest, width)):
+        power.append(power[-1] * tilt)
+    lattice = list(edges(matrix, known))
+    alpha = [np.zeros((n_words, prob.shape[1])) for _ in range(width + 1)]
+    beta = [np.zeros_like(alpha[0]) for _ in range(width + 1)]
+    alpha[0] += 1.0
+    beta[width] += 1.0
+    for i, own in enumerate(lattice):
+        for n, rows, ids in own:
+            alpha[i + n][rows] += alpha[i][rows] * prob[ids] * power[n][rows]
+    numbers, gains = [np.zeros(0, np.int64)], [np.zeros((0, prob.shape[1]))]
+    for i in range(width - 1, -1, -1):
+        for n, rows, ids in lattice[i]:
+            step = prob[ids] * power[n][rows] * beta[i + n][rows]
+            beta[i][rows] += step
+            numbers.append(ids)
+            gains.append(alpha[i][rows] * step * weight[rows])
+    numbers, gains = np.concatenate(numbers), np.concatenate(gains)
+    return np.stack([np.bincount(numbers, gains[:, k], minlength=len(prob)) for k in range(prob.shape[1])], axis=1)
 
 
 def _gathered(batches, rows: int):
@@ -143,7 +213,7 @@ def learn(docs: DataFrame, vocabulary: str | None = None, sample_docs: int = SAM
     own = docs.select("doc_id", "text", "lang").where(in_training() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = {r["lang"]: r["n"] for r in own.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(sizes)
-    none = pieces(vocabulary)[2]
+    none = pieces(vocabulary).size
     prob = np.zeros((none + 1, len(langs)))
     prob[:none] = 1.0 / none
     if not langs:
@@ -153,7 +223,7 @@ def learn(docs: DataFrame, vocabulary: str | None = None, sample_docs: int = SAM
     sample = own.where(chance < F.element_at(rate, F.col("lang"))).select("text", "lang")
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
-        words = words_of(strings(batch), letters_only=True, longest=MAX_WORD)
+        words = words_of(strings(batch), letters_only=True, longest=LEARN_WORD)
         lang = np.repeat(np.searchsorted(langs, batch.column("lang").to_pylist()), words.counts())
         pairs, first, n = np.unique(np.stack([words.hash, lang.astype(np.uint64)]), axis=1, return_index=True,
                                     return_counts=True)
@@ -178,10 +248,11 @@ def learn(docs: DataFrame, vocabulary: str | None = None, sample_docs: int = SAM
                 raw = batch.column("word").to_pylist()
                 size = np.array([len(w) for w in raw])
                 for n in np.unique(size):
-                    at = np.flatnonzero(size == n)
-                    body = np.frombuffer(b"".join(raw[i] for i in at), np.uint8).reshape(len(at), n)
-                    matrix = np.concatenate([np.full((len(at), 1), 32, np.uint8), body], axis=1)
-                    total += expected(lattice(matrix, vocabulary), model, weight[at])
+                    own = np.flatnonzero(size == n)
+                    for at in np.array_split(own, -(-len(own) * int(n) // EXPECT_CELLS)):
+                        body = np.frombuffer(b"".join(raw[i] for i in at), np.uint8).reshape(len(at), n)
+                        matrix = np.concatenate([np.full((len(at), 1), 32, np.uint8), body], axis=1)
+                        total += expected(matrix, model, weight[at], pieces(vocabulary))
             piece, lang = np.nonzero(total)
             yield pa.RecordBatch.from_pydict({"piece": pa.array(piece), "lang": pa.array(lang),
                                               "n": pa.array(total[piece, lang])})
@@ -214,9 +285,8 @@ class Scorer:
         logs[have] = self.logs[at[have]]
         new = np.flatnonzero(~have)
         if len(new):
-            for chosen in np.array_split(new, -(-len(new) // 20_000)):
-                for rows, matrix in word_matrix(words, first[chosen]):
-                    logs[chosen[rows]] = np.log(np.maximum(forward(lattice(matrix, self.vocabulary), self.prob)[-1], 1e-300))
+            for rows, matrix, length in word_matrix(words, first[new]):
+                logs[new[rows]] = forward_logs(matrix, length, self.prob, pieces(self.vocabulary))
             if len(self.known) + len(new) > REMEMBER:
                 self.known, self.logs = self.known[:0], self.logs[:0]
             place = np.searchsorted(self.known, own[new])
@@ -225,7 +295,9 @@ class Scorer:
         return logs, which
 
     def text_logs(self, texts: list[str]) -> np.ndarray:
-        words = words_of(texts, letters_only=True, longest=MAX_WORD)
+        words = words_of(texts, letters_only=True)
+        long = np.flatnonzero(words.end - words.start > SHORT_WORD)
+        words.hash[long] = keyed_hash_spans(words.data, words.start[long], words.end[long])
         out = np.zeros((len(texts), self.prob.shape[1]))
         full = np.flatnonzero(words.counts())
         if len(full):

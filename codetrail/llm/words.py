@@ -45,7 +45,8 @@ class Words:
 
 
 def words_of(texts: list[str], letters_only: bool = False, longest: int | None = None) -> Words:
-    """Words of ``texts``.  ``letters_only``: digits separate too.  ``longest``: cut words into pieces of so many bytes."""
+    """Words of ``texts``.  ``letters_only``: digits separate too.  ``longest``: cut words into parts of about so many bytes,
+    at character limits (a part has at most three bytes more)."""
     encoded = [t.lower().encode("utf-8", "replace") for t in texts]
     sizes = np.fromiter((len(e) + 1 for e in encoded), dtype=np.int64, count=len(encoded))
     text_start = np.concatenate([[0], np.cumsum(sizes)])
@@ -57,7 +58,12 @@ def words_of(texts: list[str], letters_only: bool = False, longest: int | None =
         pieces = -(-(end - start) // longest)
         within = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         new = np.repeat(start, pieces) + within * longest
-        end, start = np.minimum(new + longest, np.repeat(end, pieces)), new
+        for _ in range(3):
+            new -= (within > 0) & ((data[new] & 0xC0) == 0x80)
+        last = np.cumsum(pieces) - 1
+        stop = np.append(new[1:], 0)
+        stop[last] = end
+        end, start = stop, new
     return Words(data, text_start, start, end, hash_spans(data, start, end),
                  np.searchsorted(start, text_start).astype(np.int64))
 

@@ -1,6 +1,7 @@
 import base64
 import itertools
 import math
+from decimal import Decimal
 
 import numpy as np
 import pytest
@@ -15,7 +16,8 @@ from .helpers import docs, odd_docs
 @pytest.fixture
 def vocabulary(tmp_path):
     path = tmp_path / "pieces"
-    pieces = [b" a", b"ab", b"b", b"abc", b" ab", b"c", b"bc"]
+    pieces = [b" a", b"ab", b"b", b"abc", b" ab", b"c", b"bc", b"abcabcabcabc", b"cabcabcabca", b"A", b"a b", "é".encode(),
+              "aé".encode(), "é".encode()[1:] + b"a", b"1"]
     path.write_bytes(b"\n".join(base64.b64encode(p) + b" 0" for p in pieces))
     return str(path)
 
@@ -28,33 +30,66 @@ def _segmentations(word):
 
 def _known(path):
     with open(path, "rb") as f:
-        found = {base64.b64decode(x.split()[0]) for x in f} | {bytes([b]) for b in range(256)}
-    return sorted(p for p in found if len(p) <= m.MAX_PIECE)
+        found = {base64.b64decode(x.split()[0]) for x in f} | {bytes([b]) for b in (32, *range(97, 123), *range(128, 256))}
+    letters = lambda p: all(b >= 128 or 97 <= b <= 122 for b in p)
+    return sorted(p for p in found if letters(p) or p[:1] == b" " and letters(p[1:]))
 
 
-def test_forward_sums_all_segmentations_and_counts_are_expectations(vocabulary):
-    pieces = _known(vocabulary)
-    rng = np.random.default_rng(1)
-    prob = np.concatenate([rng.random((len(pieces), 2)), np.zeros((1, 2))])
-    number = {p: i for i, p in enumerate(pieces)}
-    word = b" abcab"
-    matrix = np.frombuffer(word, np.uint8)[None]
-    cells = m.lattice(matrix, vocabulary)
-    total, counts = np.zeros(2), np.zeros_like(prob)
+def _brute(word, number, prob):
+    total, counts = np.zeros(prob.shape[1]), np.zeros_like(prob)
     for parts in _segmentations(word):
         if all(p in number for p in parts):
             p = np.prod([prob[number[x]] for x in parts], axis=0)
             total += p
             for x in parts:
                 counts[number[x]] += p
-    assert np.allclose(m.forward(cells, prob)[-1][0], total)
-    assert np.allclose(m.expected(cells, prob, np.array([[3.0, 5.0]])), counts / total * [3, 5])
+    return total, counts / total
+
+
+def test_forward_sums_all_segmentations_and_counts_are_expectations(vocabulary):
+    found = _known(vocabulary)
+    known = m.pieces(vocabulary)
+    assert known.size == len(found) and known.longest == 12
+    rng = np.random.default_rng(1)
+    prob = np.concatenate([rng.random((len(found), 3)), np.zeros((1, 3))])
+    number = {p: i for i, p in enumerate(found)}
+    for word in (" abcab", " abcabcabcabcabc", " é", " aéaéb", " a"):
+        word = word.encode()
+        total, counts = _brute(word, number, prob)
+        matrix = np.frombuffer(word, np.uint8)[None]
+        assert np.allclose(m.forward_logs(matrix, np.array([len(word)]), prob, known), np.log(total))
+        assert np.allclose(m.expected(matrix, prob, np.array([[3.0, 5.0, 0.0]]), known), counts * [3, 5, 0])
+
+
+def test_texts_sum_over_words_of_any_length(vocabulary):
+    found = _known(vocabulary)
+    rng = np.random.default_rng(3)
+    prob = np.concatenate([rng.random((len(found), 4)) * 1e-7, np.zeros((1, 4))])
+    number = {p: i for i, p in enumerate(found)}
+
+    def word_log(word):
+        word = b" " + word.encode()
+        logs = []
+        for k in range(4):
+            alpha = [Decimal(1)]
+            for j in range(1, len(word) + 1):
+                alpha.append(sum(alpha[i] * Decimal(prob[number[word[i:j]], k])
+                                 for i in range(max(0, j - known.longest), j) if word[i:j] in number))
+            logs.append(float(alpha[-1].ln()))
+        return np.array(logs)
+
+    known = m.pieces(vocabulary)
+    texts = ["abcab 12 Cab", "abc" * 700, "", "é" * 150 + " a", "abcabcabcabc" * 3 + "c", "abc" * 11, "b"]
+    got = m.Scorer(prob, vocabulary).text_logs(texts)
+    for text, logs in zip(texts, got, strict=True):
+        words = "".join(c if c.isalpha() else " " for c in text.lower()).split()
+        assert np.allclose(logs, sum(map(word_log, words), np.zeros(4)))
 
 
 def test_remembering_changes_no_score(monkeypatch):
     rng = np.random.default_rng(2)
     path = m.default_vocabulary()
-    n = m.pieces(path)[2]
+    n = m.pieces(path).size
     prob = np.concatenate([rng.random((n, 3)) / n, np.zeros((1, 3))])
     texts = ["the cat and the dog", "le chat et le chien", "", "x" * 300, "a"]
     whole = m.Scorer(prob, path).text_logs(texts)
@@ -64,9 +99,12 @@ def test_remembering_changes_no_score(monkeypatch):
     assert (whole[2] == 0).all() and np.isfinite(whole).all()
 
 
-def test_long_words_are_cut_and_count_whole():
-    w = words_of(["x" * 100], letters_only=True, longest=m.MAX_WORD)
-    assert (w.end - w.start).sum() == 100 and (w.end - w.start).max() <= m.MAX_WORD
+def test_words_to_learn_from_are_cut_between_characters():
+    text = "x" * 300 + " a" + "é" * 300 + " " + "x€" * 200 + " short"
+    w = words_of([text], letters_only=True, longest=50)
+    raw = w.data.tobytes()
+    parts = [raw[a:b].decode() for a, b in zip(w.start, w.end)]
+    assert "".join(parts) == text.replace(" ", "") and max(len(p.encode()) for p in parts) <= 53
 
 
 def test_held_out_accuracy(spark):
