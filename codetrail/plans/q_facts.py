@@ -267,14 +267,13 @@ def q_x15b(spark, sf):
 SELECT DISTINCT project, 'org.app.F' || CAST(fno AS VARCHAR) AS cls, name, 'method' AS kind FROM vis WHERE is_public
 UNION ALL
 SELECT DISTINCT repo, 'org.app.F' || CAST(fno AS VARCHAR), 'field_' || CAST(l_linenumber AS VARCHAR), 'field'
-FROM live_items WHERE l_linenumber % 2 = 0 AND p_size % 2 = 0
+FROM live_items WHERE p_size % 2 = 0
 UNION ALL
 SELECT DISTINCT project, cls, name, 'call' FROM raw_calls""")
 def q_x16(spark, sf):
     L = Landed.get(spark, sf)
     m = X.effective_visibility(_members(L)).select("project", F.col("qualified_class").alias("cls"), "name", "is_public")
-    li = L.live_items
-    fields = li.filter(F.col("l_linenumber") % 2 == 0).select(
+    fields = L.live_items.select(
         F.col("repo").alias("project"), F.concat(F.lit("org.app.F"), F.col("fno").cast("string")).alias("cls"),
         F.concat(F.lit("field_"), F.col("l_linenumber").cast("string")).alias("name"),
         (F.col("p_size") % 2 == 0).alias("is_public"))
