@@ -9,7 +9,7 @@ import corpus_pipeline as pipeline
 from codetrail.llm import bpe
 from codetrail.llm.common import landed
 
-from .helpers import SF, docs
+from .helpers import SF, docs, odd_docs
 from .test_dart_minhash import _classes
 
 
@@ -56,3 +56,17 @@ def test_empty_documents_pass_every_stage(spark):
     for name, stage in pipeline.STAGES:
         own = landed(stage(spark, own, SF), name)
     assert own.collect() == []
+
+
+def test_odd_and_repeated_rows_pass_every_stage(spark):
+    own = odd_docs(spark)
+    columns = own.columns
+    kept = []
+    for name, stage in pipeline.STAGES:
+        own = landed(stage(spark, own, SF), name)
+        kept.append(sorted((r["doc_id"] for r in own.collect()), key=lambda i: (i is None, i)))
+        assert name == "bpe_tokens" or own.columns == columns
+    # 6 and two rows without an id are repeated, 11 is 6 in capitals
+    assert kept[0] == [4, 5, 6, 6, 7, 8, 11, None, None]
+    assert kept[1] == [4, 5, 6, 7, 8, 11, None]
+    assert kept[2] == kept[3] == kept[4] == [4, 5, 6, 7, 8, None]

@@ -1,6 +1,8 @@
+import math
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from codetrail.llm import toxicity as m
@@ -70,3 +72,48 @@ def test_odd_rows(spark):
         scores = {r["doc_id"]: r["score"] for r in got}
         assert scores[0] == scores[1] == scores[3]
     assert m.score(docs(spark, []), labels).collect() == []
+
+
+def _plain_training(rows, positive, prior, steps, size):
+    """The same steps with the two risks written out row by row and gradients by differences; also how often the negative
+    risk was below zero."""
+    def risks(theta):
+        value = [theta[-1] + sum(theta[f] for f in row) for row in rows]
+        loss = lambda z: math.log1p(math.exp(-z))
+        pos, unl = [v for v, p in zip(value, positive) if p], [v for v, p in zip(value, positive) if not p]
+        on_positive = prior * sum(map(loss, pos)) / len(pos)
+        on_negative = sum(loss(-v) for v in unl) / len(unl) - prior * sum(loss(-v) for v in pos) / len(pos)
+        return on_positive, on_negative
+
+    theta = np.zeros(size + 1)
+    theta[-1] = math.log(prior / (1 - prior))
+    mean, square, below = np.zeros_like(theta), np.zeros_like(theta), 0
+    for turn in range(1, steps + 1):
+        negative = risks(theta)[1] < 0
+        below += negative
+        wanted = (lambda t: -risks(t)[1]) if negative else (lambda t: sum(risks(t)))
+        g = np.array([(wanted(theta + d) - wanted(theta - d)) / 2e-5 for d in np.eye(size + 1) * 1e-5])
+        g[:-1] += m.DECAY * theta[:-1]
+        mean = 0.9 * mean + 0.1 * g
+        square = 0.99 * square + 0.01 * g * g
+        rate = m.STEP * min(1.0, 3 * (1 - (turn - 1) / steps))
+        theta = theta - rate * mean / (1 - 0.9**turn) / (np.sqrt(square / (1 - 0.99**turn)) + 1e-8)
+    return theta, below
+
+
+@pytest.mark.parametrize("prior", [0.1, 0.6])
+def test_training_equals_a_plain_computation_of_the_risk(monkeypatch, prior):
+    monkeypatch.setattr(m, "STEPS", 60)
+    monkeypatch.setattr(m, "STEP", 0.2)
+    rng = np.random.default_rng(4)
+    positive = np.arange(240) < 80
+    shares = np.array([[0.9, 0.2], [0.1, 0.6], [0.5, 0.05]])
+    rows = [[f for f in range(3) if rng.random() < shares[f][0 if p else 1]] for p in positive]
+    numbers = np.array([f for row in rows for f in row])
+    first = np.cumsum([0, *map(len, rows)])
+    assert m.telling(numbers, first, positive, 2)[:3].all()
+    weights, bias = m.train(numbers, first, positive, prior, bits=2)
+    want, below = _plain_training(rows, positive, prior, 60, 3)
+    # with the small prior the negative risk is on either side of zero
+    assert 0 < below and (prior > 0.5 or below < 60)
+    assert np.allclose([*weights[:3], bias], want, rtol=1e-4, atol=1e-5) and weights[3] == 0

@@ -97,3 +97,13 @@ def test_sql_keeps_to_the_first_scheme(spark):
     got = sorted(tuple(r) for r in m.judge(_pages(spark, urls)).select("page_id", "host", "path", "rule", "verdict").collect())
     assert [r[1:3] for r in got] == [tuple(r) for r in con.execute(
         "SELECT host, path FROM (" + m.ORACLE_SQL + ") ORDER BY page_id").fetchall()]
+
+
+def test_columns_with_clashing_names_have_no_say(spark):
+    rows = [(1, "http://example.net/en/x"), (2, "https://a.org/fr/y?z"), (3, None), (3, None), (4, "x")]
+    schema = "page_id long, url string"
+    more = "path string, host string, rule string, verdict string, html string, row long, masks string"
+    plain = spark.createDataFrame(rows, schema)
+    clashing = spark.createDataFrame([(*r, "q", "q", "q", "q", "q", 7, "q") for r in rows], f"{schema}, {more}")
+    a, b = (m.judge(df) for df in (plain, clashing))
+    assert a.columns == b.columns and sorted(map(repr, a.collect())) == sorted(map(repr, b.collect())) and b.count() == len(rows)

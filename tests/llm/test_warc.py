@@ -93,3 +93,13 @@ def test_given_pages_match_sql(spark):
     con.sql("CREATE VIEW pages AS SELECT * FROM '/root/testdata/sf0.001/pages.parquet'")
     got = sorted(tuple(r) for r in m.archived(spark.read.parquet("/root/testdata/sf0.001/pages.parquet")).collect())
     assert got == sorted(con.execute(m.ORACLE_SQL).fetchall())
+
+
+def test_columns_with_clashing_names_have_no_say(spark):
+    rows = [(1, "http://a/", "x" * 120), (2, "http://b/", "x" * 120), (3, None, None), (4, "u", "é")]
+    schema = "page_id long, url string, html string"
+    more = "file string, offset long, value string, record string, content string, payload_digest string, record_type string"
+    plain = spark.createDataFrame(rows, schema)
+    clashing = spark.createDataFrame([(*r, "q", 7, "q", "q", "q", "q", "q") for r in rows], f"{schema}, {more}")
+    a, b = (m.archived(df) for df in (plain, clashing))
+    assert a.columns == b.columns and sorted(map(repr, a.collect())) == sorted(map(repr, b.collect())) and b.count() == len(rows)
