@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codetrail.functions.joins import binned_interval_join
@@ -177,6 +177,59 @@ def content_at_commit(snapshots: DataFrame, intervals: DataFrame, requests: Data
     return out
 
 
+# ---------------------------------------------------------------- H6 / H7, delta form
+def state_deltas(intervals: DataFrame, commits: DataFrame, every: int = 4096, suffix: str | None = None,
+                 repo: str = "repo") -> DataFrame:
+    """H6 / H7 for whole histories: (repo, idx, path, change, version), the files of every commit as change sets.
+
+    ``add`` rows are versions that begin at a commit, ``gone`` rows are paths that stop there; every ``every`` commits
+    ``full`` rows list all files.  ``version`` is the commit whose snapshot has the text (null for ``gone``).  The size
+    is that of the changes plus a list of files for each ``every`` commits, where the expanded form has a list for each
+    commit.  ``commits`` (repo, idx) says where each history ends; the implicit empty tree (index 0) has no full rows.
+    """
+    iv = intervals if suffix is None else intervals.filter(F.col("path").endswith(suffix))
+    iv = iv.select(repo, "path", "valid_from", "valid_to")
+    add = iv.select(repo, F.col("valid_from").cast("long").alias("idx"), "path", F.lit("add").alias("change"),
+                    F.col("valid_from").cast("long").alias("version"))
+    ends = iv.filter("valid_to IS NOT NULL").select(repo, F.col("valid_to").cast("long").alias("idx"), "path")
+    gone = ends.join(add.select(repo, "idx", "path"), [repo, "idx", "path"], "left_anti").select(
+        repo, "idx", "path", F.lit("gone").alias("change"), F.lit(None).cast("long").alias("version"))
+    last = commits.groupBy(F.col(repo).alias("_t_repo")).agg(F.max("idx").cast("long").alias("_n")).filter("_n >= 0")
+    at = last.select("_t_repo", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n"), F.lit(every).cast("long"))).alias("_t_idx"))
+    at = at.filter("_t_idx > 0")
+    alive = binned_interval_join(at, iv.withColumnRenamed(repo, "_v_repo"), ["_t_repo"], ["_v_repo"], "_t_idx")
+    full = alive.select(F.col("_t_repo").alias(repo), F.col("_t_idx").alias("idx"), "path", F.lit("full").alias("change"),
+                        F.col("valid_from").cast("long").alias("version"))
+    return add.unionByName(gone).unionByName(full)
+
+
+def expand_deltas(deltas: DataFrame, targets: DataFrame, every: int = 4096, repo: str = "repo") -> DataFrame:
+    """(repo, idx, path, version): the files alive at the commits of ``targets`` (repo, idx), from ``state_deltas`` made with
+    the same ``every``.
+
+    A commit reads the changes since the last multiple of ``every`` and the full rows there, which it meets on
+    (repo, idx div every): its work doesn't grow with the length of the history.  Versions are found again by closing
+    each one at the next change of its path in that stretch, so that many commits of one stretch stay an interval join.
+    """
+    stretch = F.floor(F.col("idx") / every)
+    # a full row says the same as the add row of its commit
+    state = deltas.groupBy(repo, stretch.alias("_s"), "path", "idx").agg(F.max("version").alias("version"))
+    closed = state.withColumn("_end", F.lead("idx").over(Window.partitionBy(repo, "_s", "path").orderBy("idx")))
+    versions = closed.filter("version IS NOT NULL").select(
+        F.col(repo).alias("_v_repo"), F.col("_s").alias("_v_s"), "path", "version", F.col("idx").alias("valid_from"),
+        F.coalesce("_end", (F.col("_s") + 1) * every).alias("valid_to"))
+    asked = targets.select(F.col(repo).alias("_t_repo"), F.col("idx").cast("long").alias("_t_idx"),
+                           stretch.alias("_t_s")).distinct()
+    hit = binned_interval_join(asked, versions, ["_t_repo", "_t_s"], ["_v_repo", "_v_s"], "_t_idx")
+    return hit.select(F.col("_t_repo").alias(repo), F.col("_t_idx").alias("idx"), "path", "version")
+
+
+def content_of_versions(files: DataFrame, snapshots: DataFrame, repo: str = "repo") -> DataFrame:
+    """``files`` (repo, path, version and others) with the text of each version, null where no snapshot was landed."""
+    text = snapshots.select(F.col(repo), "path", F.col("idx").cast("long").alias("version"), "content")
+    return files.join(text, [repo, "path", "version"], "left")
+
+
 # ---------------------------------------------------------------- H8
 def interesting_commits(prev_results: DataFrame, repo: str = "repo_name", commit: str = "cur_commit") -> DataFrame:
     """Distinct (repo, commit) pairs from an earlier run's results, ordered by repo."""
