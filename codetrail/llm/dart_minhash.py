@@ -13,9 +13,10 @@ similarity 0.8 with a chance of about 6e-5.  They are checked in two steps, neit
 bucket:
 
 1. each document against the smallest of each of its buckets;
-2. then, in buckets that still hold several classes, blocks of at most ``BLOCK`` documents against each other inside a
-   task, once for each pair: those of different classes whose signatures agree in at least ``LIKELY`` of the coordinates
-   are verified, the most alike first, until the classes that have a link are joined.
+2. then, in buckets that still hold several classes, the members of all classes but the bucket's largest against each other
+   and against that one, in blocks of at most ``BLOCK`` documents inside a task, once for each pair: those of different
+   classes whose signatures agree in enough coordinates (``likely_share``) are verified, the most alike first, until the
+   classes that have a link are joined.
 
 Both are verified with the shingle sets (40 bits of each shingle's hash) before they count as links.
 """
@@ -36,14 +37,20 @@ from codetrail.llm.words import shingles_of, words_of
 K = 192
 ROWS = 6
 SIMILAR = 0.8
-#: Agreement of signatures below which a pair of step 2 isn't verified: 0.8 less 3.4 standard deviations.
-LIKELY = 0.7
 BLOCK = 256
+#: A key with more than this part of all rows is looked up in a broadcast table, which so has fewer than PARTS rows.
+PARTS = 1000
 #: Documents whose darts are thrown together (about 1,400 for each, whatever its length).
 SKETCH_ROWS = 128
 WORDS = 5
 
 
+def likely_share(similar: float, k: int) -> float:
+    """Agreement of signatures below which a pair of step 2 isn't verified: ``similar`` less 5.2 standard deviations, which
+    leaves out a pair of that similarity with a chance of 1e-7, far less often than the bands do."""
+    return similar - 5.2 * (similar * (1 - similar) / k) ** 0.5
+
+
 def signatures(elements: np.ndarray, weights: np.ndarray, first: np.ndarray, k: int = K) -> np.ndarray:
     """(sets, k) dart ids; ``first`` has each set's first element and the end.  Empty sets get zeros."""
     n = len(first) - 1
@@ -245,18 +252,29 @@ def _between(rows: dict[str, np.ndarray], similar: float, likely: float, weighte
     return links
 
 
-def cross_links(buckets: DataFrame, similar: float, likely: float, block: int, weighted: bool) -> DataFrame:
-    """a, b: links between different classes, out of ``buckets`` (bucket, m members, node, comp, n, sketch, bands, set).
+def dealt_blocks(buckets: DataFrame, block: int) -> DataFrame:
+    """``buckets`` (bucket, node, comp, others) dealt into groups (bucket, i, j) with the side of each row in its group.
 
-    A bucket of m members is dealt into ceil(m / block) blocks by a hash of the node; each pair of blocks is one group,
-    so a task never holds more than two blocks of a bucket, and a member is copied once per block.
+    ``others`` has a row for each bucket: major (the class with most members there), m (members) and m_major (of that
+    class).  Members of the other classes are dealt into blocks 0, 1, ... of at most about ``block`` by a hash of the node,
+    those of the major class into the blocks after them; two blocks are a group unless both are of the major class, whose
+    members never meet each other.  So a million members with one outlier are copied once each.
     """
-    blocks = F.ceil(F.col("m") / block).cast("int")
-    mine = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    dealt = buckets.withColumn("own", mine).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-                         F.signum(F.col("own") - F.col("other")).cast("int").alias("side"),
-                         "node", "comp", "n", "sketch", "bands", "set")
+    minor = F.ceil((F.col("m") - F.col("m_major")) / block).cast("int")
+    major = F.ceil(F.col("m_major") / block).cast("int")
+    inside = F.col("comp") == F.col("major")
+    at = F.xxhash64("node")
+    own = F.when(inside, minor + F.pmod(at, major)).otherwise(F.pmod(at, minor)).cast("int")
+    other = F.sequence(F.lit(0), F.when(inside, minor - 1).otherwise(minor + major - 1))
+    return (buckets.withColumn("own", own).withColumn("other", F.explode(other))
+            .withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+            .withColumn("side", F.signum(F.col("own") - F.col("other")).cast("int")).drop("own", "other"))
+
+
+def cross_links(buckets: DataFrame, similar: float, likely: float, block: int, weighted: bool) -> DataFrame:
+    """a, b: links between different classes, out of ``buckets`` (bucket, major, m, m_major, node, comp, n, sketch, bands,
+    set).  A task holds one group of ``dealt_blocks`` at a time, two blocks of a bucket."""
+    dealt = dealt_blocks(buckets, block).select("bucket", "i", "j", "side", "node", "comp", "n", "sketch", "bands", "set")
     ordered = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
 
     def compared(table: pa.Table, ends: list[int]) -> pa.RecordBatch:
@@ -286,10 +304,22 @@ def cross_links(buckets: DataFrame, similar: float, likely: float, block: int, w
     return ordered.transform(map_arrow, run, "a long, b long")
 
 
+def with_row_of_key(rows: DataFrame, table: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """``rows`` with the row of ``table`` that has their key; ``table`` has each key once and in ``n`` how many rows have it.
+
+    Keys with more than a PARTS-th of the ``total`` rows, fewer than PARTS of them, are broadcast, so that no task receives all
+    rows of such a key; the others are joined."""
+    heavy = F.col(n) * PARTS > total
+    many = table.where(heavy)
+    return rows.join(F.broadcast(many), key).unionByName(
+        rows.join(F.broadcast(many.select(key)), key, "left_anti").join(table.where(~heavy), key))
+
+
 def near_duplicates(docs: DataFrame, similar: float = SIMILAR, k: int = K, rows: int = ROWS, weighted: bool = False,
-                    likely: float = LIKELY, block: int = BLOCK) -> DataFrame:
+                    likely: float | None = None, block: int = BLOCK) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, class_id (the smallest doc_id of its class), class_size (rows),
-    n_links (verified links of its text, as many as hold its class together) and kept.
+    n_copies (rows with the same words in order, itself included), n_spanning_links (verified links of its words to other
+    texts, of a set of links just large enough to hold the class together) and kept.
 
     Classes are connected components of the near-duplicate links; texts of the same words are copies of one class.  Null
     and empty texts, and texts without a word, have no shingles: they are in one class with texts that have the same
@@ -297,30 +327,36 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, k: int = K, rows:
     the smallest doc_id (a null id comes last; of rows that repeat a doc_id all are marked).  An empty table gives no
     rows; other columns aren't read.
     """
+    likely = likely_share(similar, k) if likely is None else likely
     own = landed(sketches(docs, k, rows, weighted), "sketches")
-    reps_of = own.groupBy("key").agg(F.min("node").alias("rep"))
+    total = own.count()
+    first_id = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id")))
+    reps_of = own.groupBy("key").agg(F.min("node").alias("rep"), F.count("*").alias("n_copies"), first_id.alias("best"))
     reps = own.join(reps_of.select(F.col("rep").alias("node")), "node", "left_semi")
     members = reps.select("node", F.explode("bands").alias("bucket"))
     pivots = members.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count("*").alias("m")).where("m > 1")
-    shared = landed(members.join(pivots, "bucket").select("bucket", "m", "node", "pivot"), "shared")
+    shared = landed(members.join(pivots, "bucket").select("bucket", "node", "pivot"), "shared")
     star = shared.where("node != pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
     first = landed(verified(star, reps, docs, similar, weighted), "links")
     comp = landed(components(first), "classes")
-    held = shared.select("bucket", "m", "node").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    mixed = held.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("bucket")
-    rest = held.join(mixed, "bucket", "left_semi").join(reps.select("node", "n", "sketch", "bands"), "node")
+    held = shared.select("bucket", "node").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    sizes = held.groupBy("bucket", "comp").agg(F.count("*").alias("of_class"))
+    mixed = sizes.groupBy("bucket").agg(F.max(F.struct("of_class", "comp")).alias("top"), F.sum("of_class").alias("m")).select(
+        "bucket", "m", F.col("top.comp").alias("major"), F.col("top.of_class").alias("m_major")).where("m > m_major")
+    rest = held.join(mixed, "bucket").join(reps.select("node", "n", "sketch", "bands"), "node")
     rest = rest.join(shingle_sets(rest, reps, docs, weighted), "node")
     links = landed(first.unionByName(cross_links(rest, similar, likely, block, weighted)), "links")
     comp = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    classes = reps_of.withColumnRenamed("rep", "node").join(comp, "node", "left").join(degree, "node", "left").select(
-        "key", F.coalesce("comp", "node").alias("comp"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    listed = landed(own.select("doc_id", "key").join(classes, "key").select("doc_id", "comp", "n_links"), "listed")
-    best = listed.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("id"))).alias("best"),
-                                      F.count("*").alias("class_size"))
-    return listed.join(best, "comp").select(
-        "doc_id", F.col("best.id").alias("class_id"), "class_size", "n_links",
-        F.col("doc_id").eqNullSafe(F.col("best.id")).alias("kept"))
+    texts = landed(reps_of.withColumnRenamed("rep", "node").join(comp, "node", "left").join(degree, "node", "left").select(
+        "key", "n_copies", "best", F.coalesce("comp", "node").alias("comp"),
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_spanning_links")), "texts")
+    classes = texts.groupBy("comp").agg(F.min("best").alias("class_best"), F.sum("n_copies").alias("class_size"),
+                                        F.count("*").alias("n_texts"))
+    of_texts = landed(with_row_of_key(texts, classes, "comp", "n_texts", total).select(
+        "key", "n_copies", "n_spanning_links", "class_size", F.col("class_best.id").alias("class_id")), "texts")
+    return with_row_of_key(own.select("doc_id", "key"), of_texts, "key", "n_copies", total).select(
+        "doc_id", "class_id", "class_size", "n_copies", "n_spanning_links", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
 
 
 def keep_one_of_class(spark: SparkSession, docs: DataFrame) -> DataFrame:

@@ -93,6 +93,54 @@ def test_given_documents_match_all_pairs(spark):
     assert _got(m.near_duplicates(df)) == _classes([(r["doc_id"], r["text"]) for r in df.collect()])
 
 
+def test_one_outlier_copies_its_bucket_once(spark):
+    rows = [(7, n, 0 if n else 5, 0, 1000, 999) for n in range(1000)]
+    dealt = m.dealt_blocks(spark.createDataFrame(rows, "bucket long, node long, comp long, major long, m long, m_major long"), 10)
+    got = [(r.node, r.comp, r.i, r.j, r.side) for r in dealt.collect()]
+    assert len(got) == 999 + 1 + 100  # the outlier meets its own block and each block of the others
+    groups = {}
+    for node, comp, i, j, side in got:
+        groups.setdefault((i, j), []).append((node, comp, side))
+    met = {n for g in groups.values() if any(c == 5 for _, c, _ in g) for n, c, _ in g if c == 0}
+    assert met == set(range(1, 1000))
+
+
+def test_all_pairs_of_different_classes_meet_once(spark):
+    rng = random.Random(5)
+    comps = {n: rng.choice([0, 0, 0, 1, 2, 3]) for n in range(120)}
+    size = sum(c == 0 for c in comps.values())
+    rows = [(7, n, c, 0, len(comps), size) for n, c in comps.items()]
+    dealt = m.dealt_blocks(spark.createDataFrame(rows, "bucket long, node long, comp long, major long, m long, m_major long"), 10)
+    groups = {}
+    for r in dealt.collect():
+        groups.setdefault((r.i, r.j), []).append((r.node, r.side))
+    pairs = []
+    for (i, j), g in groups.items():
+        pairs += [tuple(sorted((a, b))) for a, x in g for b, y in g if x <= 0 <= y and comps[a] != comps[b] and (i != j or a < b)]
+    assert sorted(pairs) == sorted((a, b) for a in comps for b in comps if a < b and comps[a] != comps[b])
+
+
+def test_a_template_with_outliers_matches_all_pairs(spark):
+    """Texts of one template with a varying middle: near copies, outliers of the bucket and chains of links."""
+    rng = random.Random(9)
+    base = [f"t{i}" for i in range(80)]
+    rows = []
+    for i in range(90):
+        text = list(base)
+        for at in range(rng.randint(0, 3)):
+            text[rng.randrange(80)] = f"x{rng.randrange(1000)}"
+        rows.append((i, " ".join(text)))
+    assert _got(m.near_duplicates(docs(spark, rows), block=8)) == _classes(rows)
+
+
+def test_hot_copies_and_their_counts(spark):
+    rows = [(i, "the same words over and over again here") for i in range(50)] + [(60, "The same words over and over again here")]
+    rows += [(100 + i, f"text number {i} with words of its own {i} {i} {i}") for i in range(20)]
+    got = {r["doc_id"]: r for r in m.near_duplicates(docs(spark, rows)).collect()}
+    assert len(got) == 71 and got[7]["class_id"] == 0 and got[7]["class_size"] == got[7]["n_copies"] == 51
+    assert got[7]["n_spanning_links"] == 0 and got[105]["n_copies"] == got[105]["class_size"] == 1
+
+
 def test_weighted_sets_count_occurrences(spark):
     line = "one two three four five six seven eight nine ten "
     rows = [(0, line * 10), (1, line * 20), (2, line * 19)]
