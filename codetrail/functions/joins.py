@@ -3,8 +3,8 @@
 An equi-join of points with intervals on their keys compares every point of a key with every interval of it, which is
 quadratic for a hot key.  Here an interval is cut into as few aligned bins as possible: bins of ``WIDTH`` positions at its
 ends and bins of ``FAN`` times that, ``FAN`` squared, ... in between, so one that stays open through a million
-commits is a few dozen rows and a short one is one or two.  A point looks its bin up once per width.  The same plan
-serves every size; the bins also deal a hot key out over many partitions.
+commits is a few dozen rows and a short one is one or two.  A point looks its bin up once per width that the history's
+length has room for.  The same plan serves every size; the bins also deal a hot key out over many partitions.
 """
 
 from __future__ import annotations
@@ -33,27 +33,39 @@ _BINS = f"""flatten(transform(filter({_CUTS}, s -> s.a < s.b), s -> transform(co
 
 def interval_bins(df: DataFrame, first: Column, last: Column, out: str) -> DataFrame:
     """A row per (level, bin) of the fewest aligned bins that cover the bins ``first`` to ``last`` of the lowest level."""
-    return (df.withColumn("_first", first.cast("long")).withColumn("_last", last.cast("long"))
+    return (df.withColumns({"_first": first.cast("long"), "_last": last.cast("long")})
             .withColumn(out, F.explode(F.expr(_BINS))).drop("_first", "_last"))
 
 
-def point_bins(at: Column) -> Column:
-    """(level, bin) that a point is in."""
-    return F.transform(F.sequence(F.lit(0), F.lit(LEVELS - 1)), lambda l: F.struct(
+def point_bins(at: Column, levels: Column | None = None) -> Column:
+    """(level, bin) that a point is in, for each of the ``levels`` (an array of numbers; all where none is given)."""
+    every = F.sequence(F.lit(0), F.lit(LEVELS - 1)) if levels is None else levels
+    return F.transform(every, lambda l: F.struct(
         l.alias("level"), F.floor(at / (F.lit(WIDTH) * F.pow(F.lit(FAN), l))).alias("bin")))
 
 
+def levels_up_to(top: Column) -> Column:
+    """The levels that intervals of positions up to ``top`` can have whole bins on."""
+    return F.filter(F.sequence(F.lit(0), F.lit(LEVELS - 1)),
+                    lambda l: F.pow(F.lit(FAN), l) <= F.floor(top / F.lit(WIDTH)) + 1)
+
+
 def binned_interval_join(points: DataFrame, intervals: DataFrame, point_keys: Sequence[str],
                          interval_keys: Sequence[str], at: str, valid_from: str = "valid_from",
-                         valid_to: str = "valid_to") -> DataFrame:
+                         valid_to: str = "valid_to", top: Column | None = None) -> DataFrame:
     """Inner join of points ``at`` with intervals ``[valid_from, valid_to)`` on equal keys.
 
     Positions are 0 or more; a null ``valid_to`` is an open end.  Columns of the two sides must not clash; the result has
-    all of them.
+    all of them.  ``top`` is a position that no interval starts or ends behind, by default the last start or end there is:
+    from it on the same intervals are open, so points behind it are looked up there, open intervals reach up to it, and
+    points need only the widths that fit below it (one while histories are short).
     """
-    p = points.filter(F.col(at) >= 0).withColumn("_p", F.explode(point_bins(F.col(at))))
-    last = F.coalesce(F.col(valid_to) - 1, F.lit(WIDTH * FAN ** (LEVELS - 1) - 1))
-    iv = interval_bins(intervals.filter(last >= F.col(valid_from)), F.floor(F.col(valid_from) / WIDTH), F.floor(last / WIDTH), "_i")
+    if top is None:
+        top = intervals.agg(F.max(F.greatest(valid_from, valid_to)).cast("long").alias("_top")).scalar()
+    p = points.filter(F.col(at) >= 0).withColumn("_top", F.coalesce(top, F.lit(0)))
+    p = p.withColumn("_p", F.explode(point_bins(F.least(F.col(at), F.col("_top")), levels_up_to(F.col("_top"))))).drop("_top")
+    iv = intervals.withColumn("_last", F.coalesce(F.col(valid_to) - 1, top)).filter(F.col("_last") >= F.col(valid_from))
+    iv = interval_bins(iv, F.floor(F.col(valid_from) / WIDTH), F.floor(F.col("_last") / WIDTH), "_i")
     on = [p[a] == iv[b] for a, b in zip(point_keys, interval_keys, strict=True)]
     on += [p["_p.level"] == iv["_i.level"], p["_p.bin"] == iv["_i.bin"]]
     cond = on[0]

@@ -59,9 +59,11 @@ def ordered_index(df: DataFrame, keys: Sequence[str], order: Sequence[str],
 
 def next_in_order(df: DataFrame, keys: Sequence[str], order: str, out: str,
                   width: int = DEFAULT_WIDTH) -> DataFrame:
-    """``lead(order)`` per key for integer ``order`` unique within a key, skew-safe."""
-    bucket = F.floor(F.col(order) / F.lit(width))
-    b = df.withColumn("_b", bucket)
+    """``lead(order)`` per key for integer ``order`` unique within a key, skew-safe.
+
+    Rows that come with their bucket (``_b``, the floor of order / width) and are dealt by it and the keys stay where they are.
+    """
+    b = df if "_b" in df.columns else df.withColumn("_b", F.floor(F.col(order) / F.lit(width)))
     inner = Window.partitionBy(*keys, "_b").orderBy(order)
     b = b.withColumn(out, F.lead(order).over(inner))
     heads = b.groupBy(*keys, "_b").agg(F.min(order).alias("_head"))

@@ -134,9 +134,12 @@ def file_intervals(events: DataFrame, repo: str = "repo", width: int = 4096) ->
     additions), each add opens a version at its commit and the next event of the
     path closes it; ``valid_to`` is null while the version is still alive.
     """
-    collapsed = (events.filter(F.col("event").isin("add", "delete"))
-                 .groupBy(repo, "path", "idx")
-                 .agg(F.max((F.col("event") == "add").cast("int")).alias("is_add")))
+    # dealt once by the stretches in which versions are closed; grouping and ordering stay there
+    stretch = F.floor(F.col("idx") / F.lit(width))
+    collapsed = (events.filter(F.col("event").isin("add", "delete")).select(
+        repo, "path", "idx", stretch.alias("_b"), (F.col("event") == "add").cast("int").alias("is_add"))
+                 .repartition(F.col(repo), F.col("path"), F.col("_b"))
+                 .groupBy(repo, "path", "_b", "idx").agg(F.max("is_add").alias("is_add")))
     nxt = next_in_order(collapsed, [repo, "path"], "idx", "valid_to", width=width)
     return (nxt.filter(F.col("is_add") == 1)
             .select(repo, "path", F.col("idx").alias("valid_from"), "valid_to"))
@@ -215,12 +218,14 @@ def expand_deltas(deltas: DataFrame, targets: DataFrame, every: int = 4096, repo
     # a full row says the same as the add row of its commit
     state = deltas.groupBy(repo, stretch.alias("_s"), "path", "idx").agg(F.max("version").alias("version"))
     closed = state.withColumn("_end", F.lead("idx").over(Window.partitionBy(repo, "_s", "path").orderBy("idx")))
+    # positions inside the stretch, so that none passes ``every``
+    begin = F.col("_s") * every
     versions = closed.filter("version IS NOT NULL").select(
-        F.col(repo).alias("_v_repo"), F.col("_s").alias("_v_s"), "path", "version", F.col("idx").alias("valid_from"),
-        F.coalesce("_end", (F.col("_s") + 1) * every).alias("valid_to"))
+        F.col(repo).alias("_v_repo"), F.col("_s").alias("_v_s"), "path", "version", (F.col("idx") - begin).alias("valid_from"),
+        F.coalesce(F.col("_end") - begin, F.lit(every)).alias("valid_to"))
     asked = targets.select(F.col(repo).alias("_t_repo"), F.col("idx").cast("long").alias("_t_idx"),
-                           stretch.alias("_t_s")).distinct()
-    hit = binned_interval_join(asked, versions, ["_t_repo", "_t_s"], ["_v_repo", "_v_s"], "_t_idx")
+                           stretch.alias("_t_s")).distinct().withColumn("_t_at", F.col("_t_idx") - F.col("_t_s") * every)
+    hit = binned_interval_join(asked, versions, ["_t_repo", "_t_s"], ["_v_repo", "_v_s"], "_t_at", top=F.lit(every))
     return hit.select(F.col("_t_repo").alias(repo), F.col("_t_idx").alias("idx"), "path", "version")
 
 
