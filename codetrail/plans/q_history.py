@@ -120,7 +120,7 @@ def q_h4(spark, sf):
 
 # ---------------------------------------------------------------- H6 / H7
 # Whole histories are answered as change sets with a full list every EVERY commits (the test histories are short);
-# file lists and texts are asked for at the last commit of each repository and year.
+# the delta form's texts are asked for at the last commit of each repository and year.
 EVERY = 8
 
 _YEAR_ENDS = "(SELECT repo, max(idx) AS idx FROM commits GROUP BY repo, year(ts))"
@@ -145,13 +145,13 @@ def q_h6_deltas(spark, sf):
     return H.state_deltas(L.intervals, L.commits, every=EVERY)
 
 
-@query("h6_files_at_commit", with_carriers(["commits", "intervals"], f"""
-SELECT c.repo, c.idx, v.path FROM {_YEAR_ENDS} c JOIN intervals v ON v.repo = c.repo
+@query("h6_files_at_commit", with_carriers(["commits", "intervals"], """
+SELECT c.repo, c.idx, v.path FROM commits c JOIN intervals v ON v.repo = c.repo
   AND v.valid_from <= c.idx AND (v.valid_to IS NULL OR v.valid_to > c.idx)
 WHERE ends_with(v.path, '.java')"""))
 def q_h6(spark, sf):
     L = Landed.get(spark, sf)
-    return H.files_at_commit(L.intervals, _year_ends(L), suffix=".java")
+    return H.files_at_commit(L.intervals, L.commits, suffix=".java")
 
 
 @query("h7_content_from_deltas", with_carriers(["commits", "intervals", "snapshots"], f"""
@@ -164,16 +164,16 @@ def q_h7_deltas(spark, sf):
     return H.content_of_versions(files, L.snapshots).select("repo", "idx", "path", "version", "content")
 
 
-@query("h7_content_at_commit", with_carriers(["commits", "intervals", "snapshots"], f"""
+@query("h7_content_at_commit", with_carriers(["commits", "intervals", "snapshots"], """
 SELECT r.repo, r.idx, r.path, s.content
 FROM (SELECT repo, idx, 'src/F' || CAST(f AS VARCHAR) || '.java' AS path
-      FROM {_YEAR_ENDS} c, range(7) t(f)) r
+      FROM commits, range(7) t(f)) r
 LEFT JOIN intervals v ON v.repo = r.repo AND v.path = r.path AND v.valid_from <= r.idx
      AND (v.valid_to IS NULL OR v.valid_to > r.idx)
 LEFT JOIN snapshots s ON s.repo = v.repo AND s.path = v.path AND s.idx = v.valid_from"""))
 def q_h7(spark, sf):
     L = Landed.get(spark, sf)
-    req = _year_ends(L).select("repo", "idx", F.explode(F.sequence(F.lit(0), F.lit(6))).alias("f")).select(
+    req = L.commits.select("repo", "idx", F.explode(F.sequence(F.lit(0), F.lit(6))).alias("f")).select(
         "repo", "idx", F.concat(F.lit("src/F"), F.col("f").cast("string"), F.lit(".java")).alias("path"))
     return H.content_at_commit(L.snapshots, L.intervals, req).select("repo", "idx", "path", "content")
 
