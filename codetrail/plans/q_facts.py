@@ -187,9 +187,7 @@ def q_x12(spark, sf):
 
 
 def _types(L: Landed):
-    f = L.parsed_xml.select("repo", "idx", "path").join(
-        L.live_items.groupBy("repo", "idx", path_col()).agg(F.first("k").alias("k"), F.first("fno").alias("fno")),
-        ["repo", "idx", "path"])
+    f = L.live_files
     fno = F.col("fno").cast("string")
     anc = F.when(F.col("fno") % 2 == 1, F.array(F.struct(F.lit("class").alias("kind"),
                                                          F.concat(F.lit("Outer"), fno).alias("name"),
@@ -203,7 +201,7 @@ def _types(L: Landed):
 
 
 def _packages(L: Landed):
-    f = L.live_items.groupBy("repo", "idx", path_col()).agg(F.first("k").alias("k"), F.first("fno").alias("fno"))
+    f = L.live_files
     main = f.select(F.col("repo").alias("project"), "path",
                     F.concat(F.lit("org.app.p"), (F.col("fno") % 3).cast("string")).alias("package"), F.lit("src").alias("dir"))
     extra = f.filter(F.col("k") >= 3).select(F.col("repo").alias("project"), "path", F.lit("org.app.extra").alias("package"),
