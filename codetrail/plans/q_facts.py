@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from codetrail.functions.lineage import materialize
 from codetrail.operators import facts as X
 from codetrail.plans.oracle_carriers import with_carriers
 from codetrail.plans.registry import query
@@ -293,8 +294,9 @@ def q_x17(spark, sf):
 SELECT DISTINCT repo, path, 'F' || CAST(fno AS VARCHAR) AS name FROM parsed_files"""))
 def q_x19(spark, sf):
     p = Landed.get(spark, sf).parsed_xml
-    t = X.types_from_xml(p).select("repo", "path", "name")
-    c = X.add_default_constructors(X.declarations_from_xml(p), X.types_from_xml(p)).filter(
+    types = materialize(X.types_from_xml(p))
+    t = types.select("repo", "path", "name")
+    c = X.add_default_constructors(X.declarations_from_xml(p), types).filter(
         F.col("is_constructor")).select("repo", "path", "name")
     return X.merge_projects(t, None, c)
 

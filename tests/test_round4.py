@@ -69,3 +69,29 @@ def test_points_are_looked_up_on_as_many_widths_as_histories_need(spark):
         from codetrail.functions.joins import levels_up_to
         top = max(max(a, b or 0) for _, _, a, b in spans)
         assert len(spark.range(1).select(levels_up_to(F.lit(top))).first()[0]) == widths
+
+
+def test_parsed_calls_are_worked_out_once(spark, tmp_path):
+    from codetrail.operators.facts import add_default_constructors
+    from codetrail.sources.writers import write_method_invocations
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def parsed(name):
+        seen.add(1)
+        return name
+
+    calls = spark.createDataFrame([("p", "c", f"f{n}", "k", f"m{n}", n, [3, n]) for n in range(20)], (
+        "project_name STRING, commit_sha STRING, path STRING, qualified_class_name STRING, name STRING, n_args INT, lines ARRAY<INT>"))
+    out = write_method_invocations(calls.withColumn("method_name", parsed("name")).drop("name"), str(tmp_path / "out"))
+    assert spark.read.parquet(out["main"]).count() == 20 and spark.read.parquet(out["lines"]).count() == 40
+    assert seen.value == 20
+
+    seen.value = 0
+    decls = spark.createDataFrame([("r", 1, f"f{n}", f"m{n}", 0, False, False, 1, 2) for n in range(20)], (
+        "repo STRING, idx INT, path STRING, raw STRING, n_args INT, varargs BOOLEAN, is_constructor BOOLEAN, line_start INT, line_end INT"))
+    decls = decls.withColumn("name", parsed("raw")).drop("raw")
+    types = spark.createDataFrame([("r", 1, "f1", "m1", 1, 9), ("r", 1, "f2", "T", 1, 9)],
+                                  "repo STRING, idx INT, path STRING, name STRING, line_start INT, line_end INT")
+    assert add_default_constructors(decls, types).count() == 21
+    assert seen.value == 20
