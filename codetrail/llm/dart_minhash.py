@@ -188,10 +188,8 @@ def shingle_sets(nodes: DataFrame, reps: DataFrame, docs: DataFrame, weighted: b
                   .dropDuplicates(["node"]), "sets")
 
 
-def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, similar: float, weighted: bool) -> DataFrame:
-    """The pairs (a, b nodes of ``reps``) whose sets are similar enough; sets are made for documents in a pair only."""
-    sets = shingle_sets(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))),
-                        reps, docs, weighted)
+def verified(pairs: DataFrame, sets: DataFrame, similar: float, weighted: bool) -> DataFrame:
+    """The pairs (a, b nodes of ``sets``) whose sets are similar enough."""
     both = pairs.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a").join(
         sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
 
@@ -337,14 +335,16 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, k: int = K, rows:
     pivots = members.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count("*").alias("m")).where("m > 1")
     shared = landed(members.join(pivots, "bucket").select("bucket", "node", "pivot"), "shared")
     star = shared.where("node != pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-    first = landed(verified(star, reps, docs, similar, weighted), "links")
+    # both steps compare documents of these buckets only: texts travel once for the two
+    sets = shingle_sets(shared, reps, docs, weighted)
+    first = landed(verified(star, sets, similar, weighted), "links")
     comp = landed(components(first), "classes")
     held = shared.select("bucket", "node").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     sizes = held.groupBy("bucket", "comp").agg(F.count("*").alias("of_class"))
     mixed = sizes.groupBy("bucket").agg(F.max(F.struct("of_class", "comp")).alias("top"), F.sum("of_class").alias("m")).select(
         "bucket", "m", F.col("top.comp").alias("major"), F.col("top.of_class").alias("m_major")).where("m > m_major")
     rest = held.join(mixed, "bucket").join(reps.select("node", "n", "sketch", "bands"), "node")
-    rest = rest.join(shingle_sets(rest, reps, docs, weighted), "node")
+    rest = rest.join(sets, "node")
     links = landed(first.unionByName(cross_links(rest, similar, likely, block, weighted)), "links")
     comp = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))

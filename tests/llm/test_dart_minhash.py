@@ -180,3 +180,14 @@ def test_components_match_union_find(spark):
     got = {r["node"]: r["comp"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for e in edges if e[0] != e[1] for x in e}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_texts_travel_once_for_both_steps(spark, monkeypatch):
+    """Both steps compare documents of the same buckets: their shingle sets are made once."""
+    made, plain = [], m.shingle_sets
+    monkeypatch.setattr(m, "shingle_sets", lambda *a: made.append(1) or plain(*a))
+    words = [f"w{i}" for i in range(60)]
+    rows = [(k, " ".join(words[:k] + [f"x{k}"] + words[k + 1:])) for k in range(4)] + [(9, "another text of other words only")]
+    got = {r.doc_id: r.class_id for r in m.near_duplicates(docs(spark, rows)).collect()}
+    assert len(made) == 1
+    assert got[9] == 9 and sorted(sorted(k for k in got if got[k] == c) for c in set(got.values())) == _classes(rows)
