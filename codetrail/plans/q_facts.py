@@ -19,7 +19,7 @@ _PATH = "'src/F' || CAST(fno AS VARCHAR) || '.java'"
 SELECT repo, idx, {_PATH} AS path, CAST(rl - 1 AS INTEGER) AS unit_pos, api AS name, n_args, line
 FROM xml_units WHERE NOT {_FAILED}"""))
 def q_x1(spark, sf):
-    return X.calls_from_xml(Landed.get(spark, sf).parsed_xml)
+    return X.calls_from_xml(Landed.get(spark, sf).listing("calls_xml"))
 
 
 _X3 = f"""
@@ -32,28 +32,28 @@ SELECT repo, idx, path, CAST(k AS INTEGER), 'F' || CAST(fno AS VARCHAR), 0, fals
 
 @query("x3_declarations_from_xml", with_carriers(["xml_units", "parsed_files"], _X3))
 def q_x3(spark, sf):
-    return X.declarations_from_xml(Landed.get(spark, sf).parsed_xml)
+    return X.declarations_from_xml(Landed.get(spark, sf).listing("decls_xml"))
 
 
 @query("x3_malformed_units", with_carriers(["parsed_files"], """
 SELECT repo, idx, path, CAST(k + CASE WHEN k % 2 = 0 THEN 1 ELSE 0 END + 1 AS BIGINT) AS n_units,
        CAST(1 AS BIGINT) AS n_malformed FROM parsed_files"""))
 def q_x3_malformed(spark, sf):
-    return X.malformed_units(Landed.get(spark, sf).parsed_xml, "decls_xml")
+    return X.malformed_units(Landed.get(spark, sf).listing("decls_xml"), "decls_xml")
 
 
 @query("x4_declaration_spans_from_xml", with_carriers(["xml_units"], f"""
 SELECT repo, idx, {_PATH} AS path, CAST(rl - 1 AS INTEGER) AS k, name, line AS line_start, line_end
 FROM xml_units WHERE fno <> 0"""))
 def q_x4(spark, sf):
-    return X.declaration_spans_from_xml(Landed.get(spark, sf).parsed_xml)
+    return X.declaration_spans_from_xml(Landed.get(spark, sf).listing("spans_xml"))
 
 
 @query("x5_types_from_xml", with_carriers(["parsed_files"], """
 SELECT repo, idx, path, 0 AS k, 'F' || CAST(fno AS VARCHAR) AS name, CAST(k + 1 AS INTEGER) AS line_start,
        CAST(2 * k + 2 AS INTEGER) AS line_end FROM parsed_files"""))
 def q_x5(spark, sf):
-    return X.types_from_xml(Landed.get(spark, sf).parsed_xml)
+    return X.types_from_xml(Landed.get(spark, sf).listing("types_xml"))
 
 
 @query("x6_add_default_constructors", with_carriers(["xml_units", "parsed_files"], f"""
@@ -62,8 +62,8 @@ UNION ALL
 SELECT repo, idx, path, 'F' || CAST(fno AS VARCHAR), 0, false, true, CAST(k + 1 AS INTEGER), CAST(2 * k + 2 AS INTEGER)
 FROM parsed_files WHERE k % 2 = 1"""))
 def q_x6(spark, sf):
-    p = Landed.get(spark, sf).parsed_xml
-    return X.add_default_constructors(X.declarations_from_xml(p), X.types_from_xml(p))
+    L = Landed.get(spark, sf)
+    return X.add_default_constructors(X.declarations_from_xml(L.listing("decls_xml")), X.types_from_xml(L.listing("types_xml")))
 
 
 @query("x7_distinct_facts", with_carriers(["decls"], """
@@ -75,7 +75,7 @@ def q_x7(spark, sf):
 @query("x8_drop_failed_parses", with_carriers(["parsed_files"], f"""
 SELECT repo, idx, path FROM parsed_files WHERE NOT {_FAILED}"""))
 def q_x8(spark, sf):
-    return X.drop_failed_parses(Landed.get(spark, sf).parsed_xml, "calls_xml").select(*KEYS)
+    return X.drop_failed_parses(Landed.get(spark, sf).listing("calls_xml"), "calls_xml").select(*KEYS)
 
 
 def _raw_calls(L: Landed):
@@ -287,16 +287,16 @@ FROM snapshots s JOIN parsed_files p ON p.repo = s.repo AND p.idx = s.idx AND p.
 WHERE NOT (p.fno = 6 AND p.k = 1)"""))
 def q_x17(spark, sf):
     L = Landed.get(spark, sf)
-    return X.relevant_files(L.snapshots, X.calls_from_xml(L.parsed_xml))
+    return X.relevant_files(L.snapshots, X.calls_from_xml(L.listing("calls_xml")))
 
 
 @query("x19_merge_projects", with_carriers(["parsed_files"], """
 SELECT DISTINCT repo, path, 'F' || CAST(fno AS VARCHAR) AS name FROM parsed_files"""))
 def q_x19(spark, sf):
-    p = Landed.get(spark, sf).parsed_xml
-    types = materialize(X.types_from_xml(p))
+    L = Landed.get(spark, sf)
+    types = materialize(X.types_from_xml(L.listing("types_xml")))
     t = types.select("repo", "path", "name")
-    c = X.add_default_constructors(X.declarations_from_xml(p), types).filter(
+    c = X.add_default_constructors(X.declarations_from_xml(L.listing("decls_xml")), types).filter(
         F.col("is_constructor")).select("repo", "path", "name")
     return X.merge_projects(t, None, c)
 
