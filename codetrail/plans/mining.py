@@ -112,12 +112,15 @@ def mine_replacements(inp: MiningInputs, materialize_inputs: bool = True) -> Min
 def results(groups: DataFrame, members: DataFrame, inp: MiningInputs) -> Mined:
     ids = materialize(assign_ids(groups.select(*G.GROUP_KEY), ["repo", "idx", "old_name", "old_n_args", "new_name",
                                                                 "new_n_args", "gid"], base=1))
-    found = materialize(G.candidate_apis(groups, inp.api_catalog))
+    # groups times APIs: matched once per call and package set, counted as lists, made into rows only where they are read
+    matches = materialize(G.matching_classes(groups, inp.api_catalog))
     occurrences = G.occurrences_of(members, groups)
+    found = G.candidate_apis(groups, inp.api_catalog, matches=matches, lists=True)
     counted = G.with_candidate_count(groups, found).join(G.render_occurrences(occurrences), list(G.GROUP_KEY))
-    candidates = found.join(ids, list(G.GROUP_KEY)).select(F.col("id").alias("replacement_id"), "api_id")
-    return Mined(write_replacements_frame(counted.join(ids, list(G.GROUP_KEY)), inp), candidates,
-                 import_changes_frame(occurrences, inp))
+    numbered = groups.join(ids, list(G.GROUP_KEY)).select("id", "new_name", "new_n_args", "rep")
+    candidates = G.candidate_apis(numbered, inp.api_catalog, gkey=["id"], matches=matches)
+    return Mined(write_replacements_frame(counted.join(ids, list(G.GROUP_KEY)), inp),
+                 candidates.withColumnRenamed("id", "replacement_id"), import_changes_frame(occurrences, inp))
 
 
 def write_replacements_frame(groups: DataFrame, inp: MiningInputs) -> DataFrame:

@@ -47,3 +47,17 @@ def test_lists_hold_the_rows_and_are_counted(tables):
     counts = G.with_candidate_count(groups, lists).collect()
     rows = G.with_candidate_count(groups, G.candidate_apis(groups, catalog)).collect()
     assert sorted(map(str, counts)) == sorted(map(str, rows)) and {r.idx: r.n_candidates for r in counts}[900] == 0
+
+
+def test_a_run_writes_no_candidate_rows(spark, monkeypatch):
+    """The result tables that only count candidates don't make a row of each."""
+    from codetrail.plans import mining
+    from codetrail.sources.carriers import Landed
+    L = Landed.get(spark, "/root/testdata/sf0.001")
+    members, groups = L.members, L.mined_groups
+    written = []
+    monkeypatch.setattr(mining, "materialize", lambda df: written.append(df.columns) or df)
+    mined = mining.results(groups, members, L.mining)
+    assert not [c for c in written if "api_id" in c]
+    counted = {r.id: r.nCandidateAPIs for r in mined.replacements.collect()}
+    assert Counter(r.replacement_id for r in mined.candidates.collect()) == Counter({i: n for i, n in counted.items() if n})
