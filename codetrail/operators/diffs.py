@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codetrail.functions.arrays import bound, running
+from codetrail.functions.lineage import materialize
 from codetrail.functions.text import java_strip, java_trim
 
 # The marks of a word diff, [-removed-] and {+added+}; and where a removed text meets the added one.
@@ -217,12 +218,17 @@ def size_guard(pairs: DataFrame, edited_files: DataFrame, max_files: int = 20, m
     """Size flags; no pair is dropped.
 
     ``n_edited`` files of the commit, ``n_pairs`` of the file, ``many_files`` (more than ``max_files``), ``many_pairs``
-    (more than ``max_pairs``) and ``many_changes`` (more than ``warn_pairs``).  Both counts are aggregates
-    (combined before the shuffle) joined back.
+    (more than ``max_pairs``) and ``many_changes`` (more than ``warn_pairs``).  The pairs come out of a parse, so they are
+    written once and counted from their keys; both counts meet in a row per file, which the pairs (their texts) are joined with.
     """
+    file_keys, commit_keys = list(file_keys), list(commit_keys)
+    pairs = materialize(pairs)
     n_files = edited_files.groupBy(*commit_keys).agg(F.count(F.lit(1)).alias("n_edited"))
     n_pairs = pairs.groupBy(*file_keys).agg(F.count(F.lit(1)).alias("n_pairs"))
-    return (pairs.join(n_pairs, list(file_keys)).join(n_files, list(commit_keys))
-            .withColumn("many_files", F.col("n_edited") > max_files)
+    if set(commit_keys) <= set(file_keys):
+        sized = pairs.join(n_pairs.join(n_files, commit_keys), file_keys)
+    else:
+        sized = pairs.join(n_pairs, file_keys).join(n_files, commit_keys)
+    return (sized.withColumn("many_files", F.col("n_edited") > max_files)
             .withColumn("many_pairs", F.col("n_pairs") > max_pairs)
             .withColumn("many_changes", F.col("n_pairs") > warn_pairs))

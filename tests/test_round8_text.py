@@ -60,3 +60,17 @@ def test_flat_fragments_are_read_without_the_walk(spark):
 def test_calls_with_commas(spark, code, want):
     got = spark.createDataFrame([(code,)], "c string").select(C.calls_from_text(F.col("c")).alias("x")).first().x
     assert [(y.name, y.n_args) for y in got] == want
+
+
+def test_d7_makes_its_pairs_once(spark):
+    word = "@@ -1 +1 @@\n[-a-]{+b+}\n[-c-]{+d+}"
+    diffs = spark.createDataFrame([(1, 1, "o", "p", word), (1, 1, None, "q", word), (2, 1, "o", "p", word)],
+                                  "repo long, idx long, old_path string, path string, word_diff string")
+    made = spark.sparkContext.accumulator(0)
+    counted = F.udf(lambda t: made.add(1) or t)
+    pairs = D.paired_replacements(D.diff_lines(diffs.withColumn("word_diff", counted("word_diff"))))
+    edited = spark.createDataFrame([(1, 1, "p"), (1, 1, "q")], "repo long, idx long, path string")
+    rows = D.size_guard(pairs, edited, max_files=1, max_pairs=1, warn_pairs=2).collect()
+    # a file without an old path, and a commit without edited files, have no size
+    assert [(r.repo, r.path, r.n_pairs, r.n_edited, r.many_files, r.many_pairs, r.many_changes) for r in rows] == [(1, "p", 2, 2, True, True, False)] * 2
+    assert made.value == 3
