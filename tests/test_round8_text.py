@@ -1,4 +1,4 @@
-"""Diff lines by stretches of hunks, calls of fragments whose brackets don't nest, and pairs that are made once."""
+"""Diff lines by stretches of hunks, a walk over what can own a comma, and pairs that are made once."""
 
 from __future__ import annotations
 
@@ -9,7 +9,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from codetrail.functions import calls as C
-from codetrail.functions.arrays import bound
 from codetrail.operators import diffs as D
 
 LINES = ["@@ -1,3 +4 @@", "@@ -7 +2,9 @@ class X", "@@ bad", "@@ -99999999999 +4 @@", "@@ -3 +99999999999 @@", "diff --git a b", "--- a", "+++ b", "",
@@ -46,14 +45,12 @@ def test_a_header_is_read_once(spark):
     assert plan._jdf.queryExecution().optimizedPlan().toString().count("RLIKE") == 1
 
 
-def test_flat_fragments_are_read_without_the_walk(spark):
-    r = random.Random(7)
-    parts = ["f", "if", "new", "g.h", "return", "(", "(", ")", ")", "]", "{", "}", ",", ",", " ", "\t", "\n", "1", ";", "é (", "$x(a,", "k(,)", "q( \t)"]
-    codes = ["".join(r.choice(parts) for _ in range(r.choice([2, 4, 8]))) for _ in range(3000)]
-    x = spark.createDataFrame(enumerate(codes), "i int, c string").filter(F.col("c").contains(",") & ~F.col("c").rlike(C._NESTED))
-    walk = bound(F.regexp_extract_all(F.col("c"), F.lit(C._TOKEN), 0), C._calls_of_tokens)
-    rows = x.select("c", C._calls(F.col("c")).alias("got"), walk.alias("want")).collect()
-    assert len(rows) > 500 and not [y.c for y in rows if y.got != y.want] and any(len(y.got) > 1 for y in rows)
+def test_only_calls_brackets_and_commas_are_walked(spark, monkeypatch):
+    walked = C.scan
+    monkeypatch.setattr(C, "scan", lambda kinds, *rest: F.when(F.array_contains(kinds, 0), F.raise_error(F.lit("a name")).cast("array<int>"))
+                        .otherwise(walked(kinds, *rest)))
+    x = spark.createDataFrame([("x.y . f(a + b, c, g(d, e))",)], "c string").select(C.calls_from_text(F.col("c")).alias("x")).first().x
+    assert [(y.name, y.n_args) for y in x] == [("f", 3), ("g", 2)]
 
 
 @pytest.mark.parametrize("code, want", [("f(a, b)", [("f", 2)]), ("f(a, g(b, c), d)", [("f", 3), ("g", 2)]), ("if (a, b", []), ("f(,", [("f", 2)])])
